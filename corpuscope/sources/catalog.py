@@ -26,6 +26,8 @@ def read_api_catalog(spark: SparkSession, path: str) -> DataFrame:
         .option("quote", '"')
         .option("escape", '"')
         .option("enforceSchema", False)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
     flag = F.coalesce(F.lower(strip("deprecated")) == "true", F.lit(False))
@@ -42,6 +44,8 @@ def write_api_catalog(catalog: DataFrame, path: str, mode: str = "errorifexists"
         .option("quote", '"')
         .option("escape", '"')
         .option("quoteAll", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
