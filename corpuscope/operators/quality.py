@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpuscope.functions.text import count_occurrences, split_lines
 from corpuscope.operators.topk import first_per_group
@@ -117,10 +118,19 @@ def finding_level(strict: bool):
 
 
 def route_findings(findings: DataFrame, strict: bool = False, key: str = "file_path") -> DataFrame:
-    """Findings with their level; a file that does not parse keeps only its syntax finding."""
-    broken = findings.where(F.col("kind") == "syntax").select(key).distinct()
-    others = findings.where(F.col("kind") != "syntax").join(broken, key, "left_anti")
-    return findings.where(F.col("kind") == "syntax").unionByName(others).withColumn("level", finding_level(strict))
+    """Findings with their level; a file that does not parse keeps only its syntax finding.
+
+    One window per file instead of an anti join, so costly findings (lint) are computed once; a file is limited in
+    size, and so are its findings.
+    """
+    syntax = F.col("kind") == "syntax"
+    broken = F.max(syntax).over(Window.partitionBy(key))
+    return (
+        findings.withColumn("__broken", broken)
+        .where(~F.col("__broken") | syntax)
+        .drop("__broken")
+        .withColumn("level", finding_level(strict))
+    )
 
 
 def validate(files: DataFrame, findings: DataFrame, keys, strict: bool = False, skip_warnings: bool = False) -> DataFrame:

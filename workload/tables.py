@@ -20,13 +20,15 @@ CTES: dict[str, str] = {}
 def sql(body: str) -> str:
     """The body with the common table expressions it refers to, directly or through others."""
     needed: list[str] = []
+    open_names: set[str] = set()
 
     def visit(text):
         for name in CTES:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                visit(CTES[name])
-                if name not in needed:
-                    needed.append(name)
+            if name in open_names or not re.search(rf"(?:FROM|JOIN|,)\s+{name}\b", text):
+                continue
+            open_names.add(name)
+            visit(CTES[name])
+            needed.append(name)
 
     visit(body)
     if not needed:
