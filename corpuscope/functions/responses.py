@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ CODE_LINE_STARTS = [
     "@", "async def", "try:", "with ", "for ", "while ", "if ",
 ]
 CODE_INDENT = "   "
+# White space inside a line.
+BLANKS = r"[\s\x1c-\x1f&&[^\n]]"
 
 
 def extract_block(c) -> Column:
@@ -34,23 +38,15 @@ def extract_code(c) -> Column:
     """First closed ```python block, else first closed block, else from the first line that looks like code."""
     text = as_col(c)
     trimmed = strip(text)
-    lines = F.split(text, "\n", -1)
-
-    def looks_like_code(line):
-        bare = strip(line)
-        return (
-            any_of(F.startswith(bare, F.lit(s)) for s in CODE_LINE_STARTS)
-            | (bare == "")
-            | F.startswith(line, F.lit(CODE_INDENT))
-        )
-
-    first = F.array_position(F.transform(lines, looks_like_code), True)
-    rest = strip(F.array_join(F.slice(lines, first, F.size(lines)), "\n"))
+    starts = "|".join(re.escape(s) for s in CODE_LINE_STARTS)
+    # One search over the whole text: a blank line, an indented line, or a line that starts like code.
+    code_line = rf"(?dmU)^(?:{CODE_INDENT}|{BLANKS}*(?:$|{starts}))"
+    first = F.regexp_instr(text, F.lit(code_line))
     return (
         F.when(text.rlike(r"(?s)```python.*?```"), strip(F.regexp_extract(text, r"(?s)```python(.*?)```", 1)))
         .when(text.rlike(r"(?s)```.*?```"), strip(F.regexp_extract(text, r"(?s)```(.*?)```", 1)))
         .when(any_of(F.startswith(trimmed, F.lit(s)) for s in CODE_TEXT_STARTS), trimmed)
-        .when(first > 0, rest)
+        .when(first > 0, strip(F.substr(text, first)))
         .otherwise(trimmed)
     )
 
@@ -81,40 +77,28 @@ def repair_json(c, braces: bool = True, join_lines: bool = False) -> Column:
     return strip(F.regexp_replace(body, r"(?U),\s*([}\]])", "$1"))
 
 
-def coerced(c) -> dict[str, Column]:
-    """Typed reading of a stored string: JSON first, then digits, then booleans, else text.
+def json_kind(c) -> Column:
+    """Type name of a JSON text, NULL when it is none. A variant keeps big numbers and nested values without a schema."""
+    return F.schema_of_variant(F.try_parse_json(as_col(c)))
 
-    Returns ``kind`` and one column per scalar type; lists and maps keep their JSON text.
-    """
-    text = as_col(c)
-    # A variant keeps big numbers and nested values without a fixed schema.
-    json_kind = F.schema_of_variant(F.try_parse_json(text))
-    bare = F.lower(text)
-    kind = (
+
+def value_kind(text: Column, parsed: Column) -> Column:
+    """Kind of a stored string: JSON first, then digits, then booleans, else text."""
+    return (
         F.when(text.isNull(), F.lit(None).cast("string"))
-        .when(json_kind == "VOID", F.lit("null"))
-        .when(json_kind == "BIGINT", F.lit("int"))
-        .when(json_kind == "DOUBLE", F.lit("float"))
-        .when(F.startswith(json_kind, F.lit("DECIMAL")),
+        .when(parsed == "VOID", F.lit("null"))
+        .when(parsed == "BIGINT", F.lit("int"))
+        .when(parsed == "DOUBLE", F.lit("float"))
+        .when(F.startswith(parsed, F.lit("DECIMAL")),
               F.when(text.rlike(r"^\s*-?[0-9]+\s*$"), F.lit("int")).otherwise(F.lit("float")))
-        .when(json_kind == "BOOLEAN", F.lit("bool"))
-        .when(json_kind == "STRING", F.lit("string"))
-        .when(F.startswith(json_kind, F.lit("ARRAY")), F.lit("list"))
-        .when(F.startswith(json_kind, F.lit("OBJECT")), F.lit("dict"))
+        .when(parsed == "BOOLEAN", F.lit("bool"))
+        .when(parsed == "STRING", F.lit("string"))
+        .when(F.startswith(parsed, F.lit("ARRAY")), F.lit("list"))
+        .when(F.startswith(parsed, F.lit("OBJECT")), F.lit("dict"))
         .when(text.rlike("^[0-9]+$"), F.lit("int"))
-        .when(bare.isin("true", "false"), F.lit("bool"))
+        .when(F.lower(text).isin("true", "false"), F.lit("bool"))
         .otherwise(F.lit("string"))
     )
-    json_text = F.try_variant_get(F.try_parse_json(text), "$", "string")
-    return {
-        "kind": kind,
-        "int_value": F.when(kind == "int", text.try_cast("bigint")),
-        "float_value": F.when(kind == "float", text.try_cast("double")),
-        "bool_value": F.when(kind == "bool", bare == "true"),
-        "text_value": F.when(json_kind == "STRING", json_text)
-        .when(kind == "string", text)
-        .when(kind.isin("list", "dict"), text),
-    }
 
 
 def stored(value: Column, kind: str) -> Column:

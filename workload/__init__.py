@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["retrieval", "catalog", "quality", "change"]
+MODULES = ["retrieval", "catalog", "quality", "change", "responses", "sessions", "steps"]
 
 
 def registry() -> dict:
