@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuscope.functions.text import any_of, as_col, strip
+from corpuscope.functions.text import BLANKS, any_of, as_col, strip
 
 # What opens a line of code in an unfenced answer.
 CODE_TEXT_STARTS = ["import ", "from ", "def ", "class ", "#", "if __name__"]
@@ -16,8 +16,6 @@ CODE_LINE_STARTS = [
     "@", "async def", "try:", "with ", "for ", "while ", "if ",
 ]
 CODE_INDENT = "   "
-# White space inside a line.
-BLANKS = r"[\s\x1c-\x1f&&[^\n]]"
 
 
 def extract_block(c) -> Column:

@@ -14,7 +14,10 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 NON_SPACE_RUN = r"(?U)[^\s\x1c-\x1f]+"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+# Every character that ends a line besides the line feed.
+OTHER_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+# White space inside a line of a text whose breaks are all line feeds.
+BLANKS = r"[\s\x1c-\x1f&&[^\n]]"
 
 
 def as_col(c) -> Column:
@@ -42,10 +45,39 @@ def count_occurrences(c, token: str) -> Column:
     return (removed / F.lit(len(token))).cast("bigint")
 
 
-def split_lines(c) -> Column:
-    """Lines without their breaks; a final break opens no further line."""
-    parts = F.split(as_col(c), LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+def normal_breaks(c) -> Column:
+    """The text with every kind of line break as a line feed; most texts hold no other and are only searched."""
+    text = F.coalesce(as_col(c), F.lit(""))
+    unified = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), OTHER_BREAKS, "\n" * len(OTHER_BREAKS))
+    return F.when(contains_any(text, OTHER_BREAKS), unified).otherwise(text)
+
+
+def split_lines(normal) -> Column:
+    """Lines of a text with normal breaks; a final break opens no further line, an empty text has none.
+
+    Give it a column that already holds :func:`normal_breaks`, so that work is done once.
+    """
+    text = as_col(normal)
+    body = F.when(F.endswith(text, F.lit("\n")), F.left(text, F.length(text) - 1)).otherwise(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
+
+
+def line_count(normal) -> Column:
+    """Number of lines of a text with normal breaks, without splitting it."""
+    text = as_col(normal)
+    ended = (text == "") | F.endswith(text, F.lit("\n"))
+    return count_occurrences(text, "\n") + F.when(ended, 0).otherwise(1)
+
+
+# Letters outside ASCII that match an ASCII letter when case is ignored.
+FOLDED_LETTERS = ("İıſK", "iisk")
+
+
+def folded(c) -> Column:
+    """Lower case, with the letters that only case folding maps to ASCII; a cheap test before a pattern that ignores case."""
+    text = as_col(c)
+    plain = F.translate(text, *FOLDED_LETTERS)
+    return F.lower(F.when(contains_any(text, FOLDED_LETTERS[0]), plain).otherwise(text))
 
 
 def file_name(path) -> Column:
@@ -70,12 +102,15 @@ def present(c, phrases) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def ilike_term(c, term: str, literal: bool = False) -> Column:
-    """Case-insensitive containment; ``%`` and ``_`` stay wildcards unless literal."""
-    text = as_col(c)
+def ilike_term(lowered, term: str, literal: bool = False) -> Column:
+    """Containment in a lower-case text; ``%`` and ``_`` of the term stay wildcards unless literal.
+
+    Lower the text once and test all terms on it: ``lowered LIKE '%term%'`` is ``text ILIKE '%term%'``.
+    """
+    text = as_col(lowered)
     if literal:
-        return F.contains(F.lower(text), F.lit(term.lower()))
-    return text.ilike(f"%{term}%")
+        return F.contains(text, F.lit(term.lower()))
+    return text.like(f"%{term.lower()}%")
 
 
 def blank_to(c, default) -> Column:

@@ -32,6 +32,8 @@ ORDER_WORDS = ["config", "util", "load", "input", "process", "transform", "outpu
 QUERY_WORDS = 3
 QUERY_WORD_LENGTH = 4
 NO_WORD = 1000
+# Places in the plan ordered together when positions are counted.
+POSITIONS_PER_BLOCK = 100_000
 
 # Thresholds and texts of the risk list.
 HIGH_PRIORITY_LIMIT = 2
@@ -183,13 +185,13 @@ def execution_order(entries: DataFrame, requests: DataFrame) -> DataFrame:
         .join(asked, "run_id", "left")
         .withColumn("__word", F.when(found > 0, found).otherwise(F.lit(NO_WORD)).cast("int"))
         .withColumn("__misfit", -F.col("user_alignment_score"))
-        .withColumn("__cell", F.floor(F.col("__misfit") * 1000))
-        .select("run_id", "pos", "file_path", "priority", "__priority", "__word", "__misfit", "__cell")
+        .withColumn("__block", F.floor(F.col("pos") / POSITIONS_PER_BLOCK))
+        .select("run_id", "pos", "file_path", "priority", "__priority", "__word", "__misfit", "__block")
     )
-    fine = ["__misfit", "pos"]
-    coarse = ["__priority", "__word", "__cell"]
-    distinct = first_per_group(ranked, ["run_id", "file_path"], [*coarse, *fine], 1)
-    return positions(distinct, ["run_id"], coarse, fine, "execution_position").select(
+    # Scores are ratios of small numbers, so they take few values; the block splits runs where many files share one.
+    coarse = ["__priority", "__word", "__misfit", "__block"]
+    distinct = first_per_group(ranked, ["run_id", "file_path"], [*coarse, "pos"], 1)
+    return positions(distinct, ["run_id"], coarse, ["pos"], "execution_position").select(
         "run_id", "execution_position", "file_path", "priority"
     )
 
@@ -272,8 +274,11 @@ def file_roles(df: DataFrame, path: str) -> DataFrame:
 DEPENDENCY_LISTS = ["depends_on", "affects", "imports_from", "imported_by"]
 
 
-def prepare_targets(df: DataFrame, keys=("run_id",), order=("pos",)) -> DataFrame:
-    """Fill missing dependency lists, drop dependencies that say nothing, and place files by priority per run."""
+def prepare_targets(df: DataFrame, keys=("run_id",), pos: str = "pos") -> DataFrame:
+    """Fill missing dependency lists, drop dependencies that say nothing, and place files by priority per run.
+
+    ``pos`` is the number of the file in the run's list; positions are counted over blocks of it.
+    """
     empty = F.array().cast("array<string>")
     filled = df.withColumns({
         **{c: F.coalesce(F.col(c), empty) for c in DEPENDENCY_LISTS},
@@ -288,8 +293,8 @@ def prepare_targets(df: DataFrame, keys=("run_id",), order=("pos",)) -> DataFram
         F.when(says, F.struct(*DEPENDENCY_LISTS, "dependency_reason")),
     ).drop(*DEPENDENCY_LISTS, "dependency_reason")
     rank = F.when(priority_rank() > 0, priority_rank()).otherwise(F.lit(len(PRIORITIES) + 1))
-    placed = positions(kept.withColumn("__rank", rank), list(keys), ["__rank"], list(order), "target_position")
-    return placed.drop("__rank")
+    cells = kept.withColumns({"__rank": rank, "__block": F.floor(F.col(pos) / POSITIONS_PER_BLOCK)})
+    return positions(cells, list(keys), ["__rank", "__block"], [pos], "target_position").drop("__rank", "__block")
 
 
 def group_mods(mods: DataFrame, planned: DataFrame, shared: DataFrame | None = None) -> DataFrame:

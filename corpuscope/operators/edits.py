@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuscope.functions.text import split_lines, strip
+from corpuscope.functions.text import normal_breaks, split_lines, strip
 from corpuscope.session import cut_lineage
 
 # Fixed value: longest added text that is put in without review.
@@ -141,40 +141,34 @@ def line_delta(versions: DataFrame, key: str, old: str, new: str) -> DataFrame:
     The n-th occurrence of a line is unchanged while the old version has at least n of them. Both versions are
     exploded into one stream and meet by (key, line), so no join is needed.
     """
-    empty = F.lit("")
-    lines = versions.select(
-        key,
-        F.explode(
-            F.concat(
-                F.transform(split_lines(F.coalesce(F.col(old), empty)),
-                            lambda x, i: F.struct(F.lit(False).alias("is_new"), i.cast("bigint").alias("line_no"), x.alias("line"))),
-                F.transform(split_lines(F.coalesce(F.col(new), empty)),
-                            lambda x, i: F.struct(F.lit(True).alias("is_new"), i.cast("bigint").alias("line_no"), x.alias("line"))),
-            )
-        ).alias("l"),
+    def numbered(c, is_new):
+        return F.transform(
+            split_lines(c),
+            lambda x, i: F.struct(F.lit(is_new).alias("is_new"), (i + 1).cast("bigint").alias("line_no"), x.alias("line")),
+        )
+
+    normal = versions.select(key, normal_breaks(old).alias("__old"), normal_breaks(new).alias("__new"))
+    lines = normal.select(
+        key, F.explode(F.concat(numbered("__old", False), numbered("__new", True))).alias("l")
     ).select(key, "l.*")
     same = Window.partitionBy(key, "line").orderBy("is_new", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = lines.withColumns({
-        "__old": F.sum(F.when(~F.col("is_new"), 1).otherwise(0)).over(same),
+    seen = lines.withColumns({
+        "__had": F.sum(F.when(~F.col("is_new"), 1).otherwise(0)).over(same),
         "__seen": F.sum(F.when(F.col("is_new"), 1).otherwise(0)).over(same),
     })
-    return numbered.where("is_new").select(
-        key,
-        (F.col("line_no") + 1).alias("line_no"),
-        F.when(F.col("__seen") > F.col("__old"), "+").otherwise(" ").alias("flag"),
-        "line",
+    return seen.where("is_new").select(
+        key, "line_no", F.when(F.col("__seen") > F.col("__had"), "+").otherwise(" ").alias("flag"), "line"
     )
 
 
 def delta_counts(versions: DataFrame, key: str, old: str, new: str) -> DataFrame:
     """Per document: added, unchanged and removed lines."""
-    def tally(c, n, o):
-        lines = F.explode(split_lines(F.coalesce(F.col(c), F.lit(""))))
-        return versions.select(key, lines.alias("line"), F.lit(n).alias("n"), F.lit(o).alias("o"))
+    def marked(c, n, o):
+        return F.transform(split_lines(c), lambda x: F.struct(x.alias("line"), F.lit(n).alias("n"), F.lit(o).alias("o")))
 
-    per_line = tally(new, 1, 0).unionByName(tally(old, 0, 1)).groupBy(key, "line").agg(
-        F.sum("n").alias("n"), F.sum("o").alias("o")
-    )
+    normal = versions.select(key, normal_breaks(old).alias("__old"), normal_breaks(new).alias("__new"))
+    lines = normal.select(key, F.explode(F.concat(marked("__old", 0, 1), marked("__new", 1, 0))).alias("l"))
+    per_line = lines.select(key, "l.*").groupBy(key, "line").agg(F.sum("n").alias("n"), F.sum("o").alias("o"))
     return per_line.groupBy(key).agg(
         F.sum(F.greatest(F.col("n") - F.col("o"), F.lit(0))).alias("added"),
         F.sum(F.least("n", "o")).alias("unchanged"),

@@ -45,9 +45,9 @@ def _id(value) -> Column:
     return F.lit(value).cast("bigint") if isinstance(value, int) else F.lit(value)
 
 
-def name_condition(names: str, column="name", literal: bool = False) -> Column:
-    """Comma-separated names, each contained in the column."""
-    return any_of(ilike_term(column, n.strip(), literal) for n in names.split(","))
+def name_condition(names: str, lowered="__name", literal: bool = False) -> Column:
+    """Comma-separated names, each contained in the lower-case column."""
+    return any_of(ilike_term(lowered, n.strip(), literal) for n in names.split(","))
 
 
 def name_lookup(levels: dict[str, DataFrame], requests, literal: bool = False) -> DataFrame:
@@ -56,7 +56,9 @@ def name_lookup(levels: dict[str, DataFrame], requests, literal: bool = False) -
         if level not in LEVELS:
             raise ValueError(f"Invalid type: {level}")
     wanted = {level for _, level, _ in requests}
-    source = all_levels({x: levels[x] for x in LEVELS if x in wanted})
+    source = all_levels({x: levels[x] for x in LEVELS if x in wanted}).select(
+        "type", "file_path", "name", "parent_class", "enhanced_content", "rich_metadata", F.lower("name").alias("__name")
+    )
     conditions = [
         (
             F.struct(_id(q).alias("query_id"), F.lit(f"Exact {level} match: {names}").alias("match_reason")),
@@ -64,7 +66,7 @@ def name_lookup(levels: dict[str, DataFrame], requests, literal: bool = False) -
         )
         for q, level, names in requests
     ]
-    hits = _passes(source.select("type", "file_path", "name", "parent_class", "enhanced_content", "rich_metadata"), conditions)
+    hits = _passes(source, conditions)
     return hits.select(
         "query_id",
         "type",
@@ -84,9 +86,9 @@ def metadata_search(levels: dict[str, DataFrame], requests, k: int = 20, literal
     Per term and level the first ``k`` by name are taken; a row found by several terms counts for the first one;
     the best ``k`` per query remain. ``rank`` is the position in that list.
     """
-    source = all_levels(levels).select("type", "file_path", "name")
+    source = all_levels(levels).select("type", "file_path", "name", F.lower("name").alias("__name"))
     conditions = [
-        (F.struct(_id(q).alias("query_id"), F.lit(i).cast("bigint").alias("term_pos")), ilike_term("name", t, literal))
+        (F.struct(_id(q).alias("query_id"), F.lit(i).cast("bigint").alias("term_pos")), ilike_term("__name", t, literal))
         for q, terms in requests
         for i, t in enumerate(terms)
     ]
@@ -94,7 +96,7 @@ def metadata_search(levels: dict[str, DataFrame], requests, k: int = 20, literal
         raise ValueError("no search terms")
     branch = F.array_position(F.array(*[F.lit(x) for x in METADATA_ORDER]), F.col("type")).cast("int")
     score = F.create_map(*[F.lit(v) for pair in METADATA_SCORE.items() for v in pair])[F.col("type")]
-    hits = _passes(source, conditions).withColumn("branch", branch)
+    hits = _passes(source, conditions).drop("__name").withColumn("branch", branch)
     hits = first_per_group(hits, ["query_id", "term_pos", "type"], ["name", "file_path"], k)
     hits = first_per_group(hits, ["query_id", "type", "file_path", "name"], ["term_pos"], 1)
     hits = hits.withColumn("score", score)
@@ -104,24 +106,25 @@ def metadata_search(levels: dict[str, DataFrame], requests, k: int = 20, literal
     )
 
 
+def _lowered(artifacts: DataFrame) -> DataFrame:
+    """Both texts in lower case, and the second one only where it differs from the first."""
+    original = F.when(~F.col("original_content").eqNullSafe(F.col("enhanced_content")), F.lower("original_content"))
+    return artifacts.withColumns({"__enhanced": F.lower("enhanced_content"), "__original": original})
+
+
 def keyword_condition(keywords, literal: bool = False) -> Column:
-    """Any keyword in the enhanced or the original text."""
+    """Any keyword in the enhanced or the original text, both in lower case."""
     return any_of(
-        F.coalesce(ilike_term(c, k, literal), F.lit(False))
-        for k in keywords
-        for c in ("enhanced_content", "original_content")
+        F.coalesce(ilike_term(c, k, literal), F.lit(False)) for k in keywords for c in ("__enhanced", "__original")
     )
 
 
-def keyword_relevance(content, keywords) -> Column:
-    """Keyword hits per word and keyword relative to a density of one percent, at most 1."""
-    if not keywords:
-        return F.lit(0.0)
-    text = F.lower(content)
-    hits = sum((count_occurrences(text, k.lower()) for k in keywords if k), F.lit(0))
-    n = word_count(content)
-    score = F.least(hits / (n * F.lit(len(keywords)) * F.lit(DENSITY)), F.lit(1.0))
-    return F.when(n > 0, score).otherwise(F.lit(0.0))
+def keyword_relevance(lowered, n_words, keywords) -> Column:
+    """Keyword hits per word and keyword relative to a density of one percent, at most 1; 0 without words."""
+    hits = sum((count_occurrences(lowered, k.lower()) for k in keywords if k), F.lit(0))
+    count = F.col(n_words) if isinstance(n_words, str) else n_words
+    score = F.least(hits / (count * F.lit(max(len(keywords), 1)) * F.lit(DENSITY)), F.lit(1.0))
+    return F.when(count > 0, score).otherwise(F.lit(0.0))
 
 
 # Scope words of a keyword request; any other word means files.
@@ -134,16 +137,23 @@ def scope_level(scope: str) -> str:
 
 def keyword_filter(levels: dict[str, DataFrame], keywords, scope: str = "all", literal: bool = False) -> DataFrame:
     """Artifacts with any of the keywords in either text, over one level or all."""
-    return all_levels(levels, scope_level(scope)).where(keyword_condition(keywords, literal))
+    source = all_levels(levels, scope_level(scope))
+    return _lowered(source).where(keyword_condition(keywords, literal)).select(*source.columns)
+
+
+def _word_counts(hits: DataFrame) -> DataFrame:
+    """Lower-case text and its number of words as columns of their own, so each is computed once per row."""
+    texts = hits.withColumn("__enhanced", F.lower(F.coalesce("enhanced_content", F.lit(""))))
+    return texts.withColumn("__words", word_count("__enhanced"))
 
 
 def keyword_rank(hits: DataFrame, keywords, k: int | None = 20) -> DataFrame:
     """Keyword hits with their score; the best ``k``, or all with ``k=None``. Ties go by path, level and name."""
-    scored = hits.select(
+    scored = _word_counts(hits).select(
         "type",
         "file_path",
         "name",
-        F.coalesce(keyword_relevance(F.coalesce("enhanced_content", F.lit("")), keywords), F.lit(0.0)).alias("relevance_score"),
+        keyword_relevance("__enhanced", "__words", keywords).alias("relevance_score"),
         F.lit("Keyword matches: " + ", ".join(keywords)).alias("match_reason"),
     )
     if k is None:
@@ -155,18 +165,23 @@ def keyword_match(levels: dict[str, DataFrame], requests, k: int = 20, literal:
     """Filter and rank for several requests in one scan. ``requests``: (query_id, keywords, scope)."""
     reach = {scope_level(s) for _, _, s in requests}
     source = all_levels(levels) if "all" in reach else all_levels({x: levels[x] for x in reach})
-    content = F.coalesce("enhanced_content", F.lit(""))
     conditions = []
     for q, keywords, scope in requests:
         level = scope_level(scope)
         holds = keyword_condition(keywords, literal)
-        tag = F.struct(
-            _id(q).alias("query_id"),
-            keyword_relevance(content, keywords).alias("relevance_score"),
-            F.lit("Keyword matches: " + ", ".join(keywords)).alias("match_reason"),
-        )
+        tag = F.struct(_id(q).alias("query_id"), F.lit(", ".join(keywords)).alias("keywords"))
         conditions.append((tag, holds if level == "all" else holds & (F.col("type") == level)))
-    texts = source.select("type", "file_path", "name", "enhanced_content", "original_content")
-    hits = _passes(texts, conditions).drop("enhanced_content", "original_content")
+    texts = _lowered(source.select("type", "file_path", "name", "enhanced_content", "original_content"))
+    # Words are counted once per text that any request hits, and the hits leave the text behind.
+    hit = texts.where(any_of(c for _, c in conditions)).withColumn("__words", word_count("__enhanced"))
+    scores = [
+        (F.struct(*[F.lit(v).alias(n) for n, v in (("query_id", q), ("match_reason", "Keyword matches: " + ", ".join(kw)))],
+                  F.coalesce(keyword_relevance("__enhanced", "__words", kw), F.lit(0.0)).alias("relevance_score")), cond)
+        for (q, kw, _), (_, cond) in zip(requests, conditions)
+    ]
+    ranked = _passes(hit, scores).select(
+        F.col("query_id").cast("bigint") if all(isinstance(r[0], int) for r in requests) else F.col("query_id"),
+        "type", "file_path", "name", "relevance_score", "match_reason",
+    )
     order = [F.desc("relevance_score"), "file_path", level_rank(), "name"]
-    return first_per_group(hits, ["query_id"], order, k, rank="rank")
+    return first_per_group(ranked, ["query_id"], order, k, rank="rank")

@@ -33,31 +33,29 @@ def candidate_cards(candidates: DataFrame) -> DataFrame:
 def rerank(candidates: DataFrame, rankings: DataFrame, keep: int = RERANK_KEEP, min_relevance: float | None = None) -> DataFrame:
     """Candidates in the order of an external ranking, the first ``keep`` per query.
 
-    ``rankings``: query_id, pos, index, relevance, reason. Indexes outside the candidate list fall away;
-    queries without any ranking keep their first candidates. Candidates hold at most k rows per query and are
-    the broadcast side of both joins.
+    ``rankings``: query_id, pos, index, relevance, reason. Indexes outside the candidate list fall away; queries
+    without any ranking keep their first candidates. The candidates are read once, so the search below runs once;
+    they and the rankings are lists of a few rows per query.
     """
-    indexed = candidates.withColumn("index", F.col("rank") - 1)
     ranks = rankings if min_relevance is None else rankings.where(F.col("relevance") >= min_relevance)
-    scored = (
-        ranks.select("query_id", "pos", "index", "relevance", "reason")
-        .join(F.broadcast(indexed), ["query_id", "index"])
-        .withColumn("relevance_score", F.col("relevance") / F.lit(10.0))
-        .withColumn("match_reason", F.col("reason"))
+    ranks = ranks.select("query_id", "index", "pos", "relevance", "reason")
+    ranked_queries = ranks.select("query_id").distinct().withColumn("__ranked", F.lit(True))
+    rows = (
+        candidates.withColumn("index", F.col("rank") - 1)
+        .join(ranks, ["query_id", "index"], "left")
+        .join(ranked_queries, "query_id", "left")
+        .where(F.when(F.col("__ranked"), F.col("relevance").isNotNull()).otherwise(F.col("rank") <= keep))
     )
-    # Queries of the request list only, so this side is as small as the candidates.
-    ranked_queries = ranks.select("query_id").join(
-        F.broadcast(candidates.select("query_id").distinct()), "query_id", "left_semi"
-    ).distinct()
-    unranked = (
-        indexed.join(ranked_queries, "query_id", "left_anti")
-        .where(F.col("rank") <= keep)
-        .withColumn("pos", F.col("index"))
-    )
-    columns = ["query_id", "pos", *KEYS, "relevance_score", "match_reason"]
     extra = [c for c in ("enhanced_content", "parent_class", "rich_metadata") if c in candidates.columns]
-    both = scored.select(*columns, *extra).unionByName(unranked.select(*columns, *extra))
-    return first_per_group(both, ["query_id"], ["pos", *KEYS], keep, rank="rank").drop("pos")
+    scored = rows.select(
+        "query_id",
+        F.coalesce("pos", "index").alias("pos"),
+        *KEYS,
+        F.coalesce(F.col("relevance") / F.lit(10.0), "relevance_score").alias("relevance_score"),
+        F.coalesce("reason", "match_reason").alias("match_reason"),
+        *extra,
+    )
+    return first_per_group(scored, ["query_id"], ["pos", *KEYS], keep, rank="rank").drop("pos")
 
 
 def hybrid_merge(meta: DataFrame, vec: DataFrame) -> DataFrame:

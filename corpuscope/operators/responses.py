@@ -77,7 +77,8 @@ def parse_contract(df: DataFrame, col: str, contract: list[Field]) -> DataFrame:
     """
     schema = ", ".join(f"`{f.name}` {f.type}" for f in contract) + f", `{MALFORMED}` string"
     parsed = F.from_json(F.col(col), schema, {"columnNameOfCorruptRecord": MALFORMED})
-    rows = df.withColumn("__p", parsed)
+    # Exploding the one struct keeps later filters above the parse, so each text is parsed once.
+    rows = df.select("*", F.explode(F.array(parsed)).alias("__p"))
     reason = F.when(F.col(f"__p.{MALFORMED}").isNotNull() | F.col("__p").isNull(), F.lit("malformed"))
     for f in contract:
         if f.required:

@@ -112,14 +112,21 @@ def symbol_counts(symbols: DataFrame, by=("kind",)) -> DataFrame:
 
 
 def import_edges(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """File-to-file edges: an import whose first or last module part is the stem of another file."""
-    stems = files.select(
-        F.col("file_path").alias("target"), F.regexp_replace(file_name("file_path"), r"\.py$", "").alias("stem")
+    """Imports of files of the same tree: one row per importing file and module.
+
+    A module is the first or last part of an import that is the stem of some file. ``target`` is that file when only
+    one has the stem, else NULL, and ``n_targets`` tells how many there are; so a common name does not pair every
+    importer with every file.
+    """
+    stem = F.regexp_replace(file_name("file_path"), r"\.py$", "")
+    targets = files.groupBy(stem.alias("module")).agg(
+        F.count(F.lit(1)).alias("n_targets"), F.min("file_path").alias("__first")
     )
-    module = F.rtrim(F.col("name"), F.lit("."))
+    name = F.rtrim(F.col("name"), F.lit("."))
+    ends = F.array_distinct(F.array(F.substring_index(name, ".", 1), F.substring_index(name, ".", -1)))
     imports = symbols.where(F.col("kind") == "import").select(
-        F.col("file_path").alias("source"),
-        F.explode(F.array_distinct(F.array(
-            F.substring_index(module, ".", 1), F.substring_index(module, ".", -1)))).alias("stem"),
+        F.col("file_path").alias("source"), F.explode(ends).alias("module")
     ).distinct()
-    return imports.join(stems, "stem").where(F.col("source") != F.col("target")).select("source", "target").distinct()
+    found = imports.join(targets, "module").where((F.col("n_targets") > 1) | (F.col("source") != F.col("__first")))
+    target = F.when(F.col("n_targets") == 1, F.col("__first")).alias("target")
+    return found.select("source", "module", target, "n_targets")

@@ -22,18 +22,20 @@ KEYS = ["type", "file_path", "name"]
 
 
 def query_vectors(queries: DataFrame, query_id: str = "query_id", vector: str = "embedding") -> list[dict]:
-    """Blocks of query vectors from a table, ``QUERIES_PER_PASS`` or so in each.
+    """Blocks of query vectors from a table, at most about ``QUERIES_PER_PASS`` in each.
 
-    The table is read block by block; no block depends on the size of the artifacts.
+    A table that fits one block is read with one job; a larger one is counted and read block by block.
     """
-    total = queries.count()
-    blocks = max(1, math.ceil(total / QUERIES_PER_PASS))
-    block_no = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    out = []
-    for b in range(blocks):
-        rows = queries.where(block_no == b).select(query_id, vector).collect()
-        out.append({r[0]: [float(x) for x in r[1]] for r in rows})
-    return [b for b in out if b]
+    def block(rows):
+        return {r[0]: [float(x) for x in r[1]] for r in rows}
+
+    columns = queries.select(query_id, vector)
+    first = columns.limit(QUERIES_PER_PASS + 1).collect()
+    if len(first) <= QUERIES_PER_PASS:
+        return [block(first)]
+    n = math.ceil(queries.count() / QUERIES_PER_PASS)
+    number = F.pmod(F.xxhash64(query_id), F.lit(n))
+    return [b for b in (block(columns.where(number == i).collect()) for i in range(n)) if b]
 
 
 def _blocks(queries) -> list[dict]:
@@ -61,24 +63,32 @@ def _nearest(block: dict, k: int, id_type: pa.DataType):
             cosine = (rows @ matrix.T) / (np.sqrt((rows * rows).sum(axis=1))[:, None] * norms[None, :])
         return np.round(1.0 - cosine, DISTANCE_DECIMALS) + 0.0
 
+    def nearer(d, limit):
+        """Rows that can still be among the k nearest; ties with the last one stay in and are settled by the order."""
+        if limit is not None and not np.isnan(limit):
+            return np.flatnonzero(d <= limit)
+        if len(d) <= k:
+            return np.arange(len(d))
+        return np.flatnonzero(~(d > np.partition(d, k - 1)[k - 1]))
+
     def run(batches):
         best: dict[int, pa.Table] = {}
+        bound: dict[int, float] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             found = distances(batch)
             keys = pa.Table.from_batches([batch.drop_columns(["embedding"])])
             for q in range(len(ids)):
-                d = found[:, q]
-                if len(d) > k:
-                    # Rows up to the k-th distance; ties are settled by the full order below.
-                    picked = np.flatnonzero(~(d > np.partition(d, k - 1)[k - 1]))
-                else:
-                    picked = np.arange(len(d))
-                rows = keys.take(pa.array(picked)).append_column("distance", pa.array(d[picked]))
+                picked = nearer(found[:, q], bound.get(q))
+                if not len(picked):
+                    continue
+                rows = keys.take(pa.array(picked)).append_column("distance", pa.array(found[picked, q]))
                 if q in best:
                     rows = pa.concat_tables([best[q], rows])
-                best[q] = pc.take(rows, pc.select_k_unstable(rows, min(k, rows.num_rows), order))
+                best[q] = rows = pc.take(rows, pc.select_k_unstable(rows, min(k, rows.num_rows), order))
+                if rows.num_rows == k:
+                    bound[q] = pc.max(rows["distance"]).as_py()
         for q, rows in best.items():
             tagged = rows.append_column("query_id", pa.array([ids[q]] * rows.num_rows, id_type))
             yield from tagged.combine_chunks().to_batches()
@@ -120,13 +130,19 @@ def vector_search(levels: dict[str, DataFrame], queries, level: str = "all", k:
     return vector_topk(all_levels(levels, level), queries, k, id_type)
 
 
-def with_content(results: DataFrame, artifacts: DataFrame, columns) -> DataFrame:
+# Results of at most this many rows (a few bytes of keys each) are sent to the artifacts instead of shuffling those.
+BROADCAST_ROWS = 100_000
+
+
+def with_content(results: DataFrame, artifacts: DataFrame, columns, max_rows: int | None = None) -> DataFrame:
     """Add artifact columns to search results.
 
-    Results hold at most k rows per query, so they are the broadcast side; the artifacts are only streamed.
+    ``max_rows`` is the known bound of the results, k times the number of queries. Up to ``BROADCAST_ROWS`` they are
+    broadcast and the artifacts only streamed; beyond that, or without a bound, Spark picks the join.
     """
     wanted = artifacts.select(*KEYS, *columns)
-    return F.broadcast(results).join(wanted, KEYS)
+    small = max_rows is not None and max_rows <= BROADCAST_ROWS
+    return (F.broadcast(results) if small else results).join(wanted, KEYS)
 
 
 def to_results(hits: DataFrame) -> DataFrame:

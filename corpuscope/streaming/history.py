@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -43,25 +43,44 @@ def capped_history_stream(events: DataFrame, key: str, seq: str, message: str, n
     )
 
 
-def latest_history(emitted: DataFrame) -> DataFrame:
+def latest_history(emitted: DataFrame, keys=("key",)) -> DataFrame:
     """Current list of every key from what the stream emitted."""
-    newest = emitted.groupBy("key").agg(F.max("version").alias("version"))
-    return emitted.join(newest, ["key", "version"]).drop("version")
+    newest = emitted.groupBy(*keys).agg(F.max("version").alias("version"))
+    return emitted.join(newest, [*keys, "version"]).drop("version")
 
 
-def history_writer(read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], keys, order,
-                   n: int = HISTORY_CAP) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function that keeps a history table without Python state.
+def read_histories(spark: SparkSession, path: str, keys) -> DataFrame:
+    """Current lists of a history table kept by :func:`history_table_stream`."""
+    return latest_history(spark.read.option("basePath", path).parquet(f"{path}/version=*"), keys)
 
-    Each batch is capped on its own, joined to the stored lists of the same keys and capped again; ``write`` gets
-    the lists of the touched keys and the batch number, to make a repeated batch harmless.
+
+def history_table_stream(events: DataFrame, path: str, checkpoint: str, keys, order, n: int = HISTORY_CAP):
+    """Writer that keeps a history table without Python state; start it with a trigger.
+
+    Each micro-batch is capped inside every task first, so a hot key sends ``n`` rows per task. It meets the stored
+    lists of the keys it touches, is capped again and written as a version of its own; a repeated batch overwrites
+    its version.
     """
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         fresh = capped_history(batch, keys, order, n).drop("recency")
-        stored = read()
-        if stored is not None:
+        earlier = [f"{path}/version={v}" for v in _versions(spark, path) if v < batch_id]
+        if earlier:
+            stored = latest_history(spark.read.option("basePath", path).parquet(*earlier), keys)
             touched = stored.join(fresh.select(*keys).distinct(), list(keys), "left_semi")
-            fresh = touched.select(*fresh.columns).unionByName(fresh).dropDuplicates([*keys, *order])
-        write(capped_history(fresh, keys, order, n), batch_id)
+            fresh = touched.select(*fresh.columns).unionByName(fresh)
+        capped_history(fresh, keys, order, n).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
 
-    return run
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions written so far, from the folder names on the shared file system."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    done = [x for x in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{x}/_SUCCESS"))]
+    return sorted(int(x.split("=")[1]) for x in done if x.startswith("version="))

@@ -191,7 +191,7 @@ def file_edges(spark, sf):
 
 
 FILE_EDGES = sql("""
-    SELECT DISTINCT s.file_path AS source, f.file_path AS target
+    SELECT DISTINCT s.file_path AS source, s.name AS module, f.file_path AS target, 1::BIGINT AS n_targets
     FROM symbols s JOIN source_files f ON s.name = 'order_' || f.order_key
     WHERE kind = 'import' AND s.file_path <> f.file_path
 """)

@@ -118,7 +118,7 @@ VECTOR_SEARCH_ALL = sql("""
 def similarity_results(spark, sf):
     lv = levels(spark, sf)
     hits = vector_search(lv, centroid_queries(spark, sf), "function", 20)
-    shaped = to_results(with_content(hits, lv["function"], ["enhanced_content", "parent_class", "rich_metadata"]))
+    shaped = to_results(with_content(hits, lv["function"], ["enhanced_content", "parent_class", "rich_metadata"], 200))
     return shaped.withColumn("relevance_score", F.round("relevance_score", 6))
 
 
@@ -278,7 +278,7 @@ RERANK_LABELS = sql("""
 def candidate_descriptions(spark, sf):
     lv = levels(spark, sf)
     hits = vector_search(lv, centroid_queries(spark, sf), "file", 20)
-    shaped = to_results(with_content(hits, lv["file"], ["enhanced_content"]))
+    shaped = to_results(with_content(hits, lv["file"], ["enhanced_content"], 200))
     return candidate_cards(shaped).select("query_id", "index", "file_path", "base_score", "description")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpuscope.operators import history
 from corpuscope.operators.status import derive_status, status_counts
 from corpuscope.session import shared_dir
-from corpuscope.streaming.history import capped_history_stream, latest_history
+from corpuscope.streaming.history import capped_history_stream, history_table_stream, latest_history, read_histories
 from corpuscope.streaming.sessions import session_stream
 from workload.tables import CTES, sql, table
 
@@ -43,6 +43,17 @@ def recent_events_stream(spark, sf):
                          F.col("message").alias("event_type"))
 
 
+def recent_events_table(spark, sf):
+    """The same list kept as a table by micro-batches."""
+    source = events(spark, sf)
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    out = shared_dir(spark, "history")
+    rows = stream.select("user_id", "event_id", "event_type")
+    history_table_stream(rows, f"{out}/table", f"{out}/state", ["user_id"], ["event_id"]).trigger(
+        availableNow=True).start().awaitTermination()
+    return read_histories(spark, f"{out}/table", ["user_id"]).select("user_id", "recency", "event_id", "event_type")
+
+
 RECENT_EVENTS_STREAM = """
     SELECT user_id, recency, event_id, event_type FROM (
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS recency FROM events)
@@ -260,6 +271,7 @@ RUN_STATUS_COUNTS = sql("SELECT status, workflow_stage, count(*) AS sessions FRO
 QUERIES = {
     "capped_history": (recent_events, RECENT_EVENTS),
     "capped_history_stream": (recent_events_stream, RECENT_EVENTS_STREAM),
+    "history_table_stream": (recent_events_table, RECENT_EVENTS_STREAM),
     "sessions": (half_day_sessions, HALF_DAY_SESSIONS),
     "weekly_sessions": (weekly_sessions, WEEKLY_SESSIONS),
     "live_sessions": (live_at_end, LIVE_AT_END),
