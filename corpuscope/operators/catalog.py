@@ -82,33 +82,43 @@ def catalog_names(catalog: DataFrame) -> DataFrame:
     )
 
 
-def resolve_calls(calls: DataFrame, catalog: DataFrame, significant_only: bool = True, first_match: bool = False,
-                  key: str = "file_path") -> DataFrame:
-    """Catalog names each file's calls can mean: one row per file and name.
+def call_lookup(catalog: DataFrame, significant_only: bool = True, first_match: bool = False) -> DataFrame:
+    """``(lookup, qualname)``: absolute names by themselves, relative ones by ``.last``.
 
-    Calls are reduced to distinct (file, call) before the equi-join on the last dotted part. No side is forced to
-    be broadcast: the narrow catalog is small enough for it as a rule, and Spark checks its size; beyond that the
-    join is sorted and a hot method name is split by the adaptive skew join.
+    With ``first_match`` a relative call stands for the first name only.
     """
     names = catalog_names(catalog)
     if significant_only:
         names = names.where(F.col("significant"))
-    absolute = F.startswith(F.col("call"), F.lit(ABSOLUTE_PREFIX))
-    wanted = calls.select(key, "call").distinct().withColumn("last", F.substring_index("call", ".", -1))
-    hit = wanted.join(names, "last").where(
-        F.when(absolute, F.col("qualname") == F.col("call")).otherwise(F.col("resolvable"))
-    )
+    relative = names.where(F.col("resolvable")).select(F.concat(F.lit("."), "last").alias("lookup"), "qualname")
     if first_match:
-        return hit.groupBy(key, "call").agg(F.min("qualname").alias("qualname")).select(key, "qualname").distinct()
-    return hit.select(key, "qualname").distinct()
+        relative = relative.groupBy("lookup").agg(F.min("qualname").alias("qualname"))
+    return relative.unionByName(names.select(F.col("qualname").alias("lookup"), "qualname"))
 
 
-def change_report(resolved: DataFrame, catalog: DataFrame, key: str = "file_path") -> DataFrame:
-    """Reason and suggestion for every resolved name."""
+def _lookup_key(call: str) -> Column:
+    last = F.concat(F.lit("."), F.substring_index(call, ".", -1))
+    return F.when(F.startswith(F.col(call), F.lit(ABSOLUTE_PREFIX)), F.col(call)).otherwise(last)
+
+
+def resolve_calls(calls: DataFrame, catalog: DataFrame, significant_only: bool = True, first_match: bool = False,
+                  key: str = "file_path") -> DataFrame:
+    """Catalog names each file's calls can mean: one row per file and name.
+
+    One equi-join on the lookup key; no side is forced to be broadcast. The narrow lookup is small enough for it as a
+    rule, and Spark checks its size; beyond that the join is sorted and a hot method name is split by the adaptive
+    skew join. A file's rows lie together, so most duplicates go before the exchange.
+    """
+    wanted = calls.select(key, _lookup_key("call").alias("lookup"))
+    return wanted.join(call_lookup(catalog, significant_only, first_match), "lookup").select(key, "qualname").distinct()
+
+
+def change_details(catalog: DataFrame) -> DataFrame:
+    """What a report says about each catalog name."""
     deprecated = F.coalesce(F.col("deprecated"), F.lit(False))
     changed = F.coalesce(F.col("versionchanged"), F.lit("")) != ""
     since = F.coalesce("deprecated_in", F.lit(DEFAULT_DEPRECATED_IN))
-    details = catalog.select(
+    return catalog.select(
         strip("qualname").alias("qualname"),
         F.when(deprecated, F.concat(F.lit("Deprecated in Pyspark "), since))
         .when(changed, F.concat(F.lit("Changed in Pyspark "), "versionchanged"))
@@ -118,7 +128,11 @@ def change_report(resolved: DataFrame, catalog: DataFrame, key: str = "file_path
         F.coalesce("parameters", F.lit(DEFAULT_PARAMETERS)).alias("parameter"),
         F.col("docstring").alias("summary"),
     )
-    return resolved.join(details, "qualname").select(
+
+
+def change_report(resolved: DataFrame, catalog: DataFrame, key: str = "file_path") -> DataFrame:
+    """Reason and suggestion for every resolved name."""
+    return resolved.join(change_details(catalog), "qualname").select(
         key, F.col("qualname").alias("function_name"), "reason", "suggestion", "deprecated", "parameter", "summary"
     )
 
@@ -127,21 +141,29 @@ def analyze_files(files: DataFrame, catalog: DataFrame, content: str = "content"
                   first_match: bool = False) -> DataFrame:
     """Per file: import flag, alignment, need of change and the list of changes.
 
-    Files without the import are settled before any call is extracted. Flags and changes meet in one grouping; a
-    file's list holds distinct catalog names, so it is bounded by the catalog.
+    The files are read once: each gives its distinct calls, or a single row without one, and both joins keep every
+    row, so the only exchange is the grouping by file. A file's list holds distinct catalog names and is bounded by
+    the catalog.
     """
-    flagged = files.withColumn("has_pyspark", has_import(content))
-    calls = extract_calls(flagged.where(F.col("has_pyspark")), content, key)
-    report = change_report(resolve_calls(calls, catalog, first_match=first_match, key=key), catalog, key)
-    entry = F.struct("function_name", "reason", "suggestion", "deprecated", "parameter", "summary")
-    change_type = "struct<function_name:string,reason:string,suggestion:string,deprecated:boolean,parameter:string,summary:string>"
-    rows = flagged.select(key, "has_pyspark", F.lit(None).cast(change_type).alias("change")).unionByName(
-        report.select(key, F.lit(True).alias("has_pyspark"), entry.alias("change"))
+    found = F.array_distinct(F.regexp_extract_all(F.col(content), F.lit(CALL_PATTERN), F.lit(0)))
+    flagged = files.select(key, content, has_import(content).alias("has_pyspark"))
+    calls = flagged.select(key, "has_pyspark", F.explode_outer(F.when(F.col("has_pyspark"), found)).alias("call"))
+    rows = (
+        calls.select(key, "has_pyspark", _lookup_key("call").alias("lookup"))
+        .join(call_lookup(catalog, True, first_match), "lookup", "left")
+        .join(change_details(catalog), "qualname", "left")
+    )
+    entry = F.when(
+        F.col("qualname").isNotNull(),
+        F.struct(F.col("qualname").alias("function_name"), "reason", "suggestion", "deprecated", "parameter", "summary"),
+    )
+    listed = rows.groupBy(key).agg(
+        F.max("has_pyspark").alias("has_pyspark"), F.sort_array(F.collect_set(entry)).alias("changes")
     )
-    n = F.count("change")
-    return rows.groupBy(key).agg(
-        F.max("has_pyspark").alias("has_pyspark"),
-        (n == 0).alias("aligned_with_3_5"),
-        (n > 0).alias("needs_modification"),
-        F.sort_array(F.collect_list("change")).alias("changes"),
+    return listed.select(
+        key,
+        "has_pyspark",
+        (F.size("changes") == 0).alias("aligned_with_3_5"),
+        (F.size("changes") > 0).alias("needs_modification"),
+        "changes",
     )

@@ -27,6 +27,7 @@ from workload.tables import (
     rankings,
     sql,
     table,
+    text_levels,
 )
 
 # One request text per embedding label.
@@ -133,7 +134,7 @@ SIMILARITY_RESULTS = sql("""
 
 
 def name_lookup_functions(spark, sf):
-    hits = name_lookup(levels(spark, sf), [(1, "function", NAMES)])
+    hits = name_lookup(text_levels(spark, sf), [(1, "function", NAMES)])
     return hits.drop("query_id").orderBy("file_path")
 
 
@@ -151,7 +152,7 @@ TERMS = [(i, request_terms(t)) for i, t in enumerate(TEXTS)]
 
 
 def metadata_search_terms(spark, sf):
-    return metadata_search(levels(spark, sf), TERMS, 10)
+    return metadata_search(text_levels(spark, sf), TERMS, 10)
 
 
 CTES["terms"] = "SELECT * FROM (VALUES " + values(
@@ -198,12 +199,12 @@ QUERY_TERMS = sql(rf"""
 
 
 def keyword_filter_all(spark, sf):
-    hits = keyword_filter(levels(spark, sf), KEYWORDS, "all")
+    hits = keyword_filter(text_levels(spark, sf), KEYWORDS, "all")
     return hits.select("type", "file_path", "name", "rich_metadata")
 
 
 def keyword_filter_files(spark, sf):
-    hits = keyword_filter(levels(spark, sf), ["tion", "ein_"], "files")
+    hits = keyword_filter(text_levels(spark, sf), ["tion", "ein_"], "files")
     return hits.select("type", "file_path", "name")
 
 
@@ -225,7 +226,7 @@ def relevance_sql(content, keywords):
 
 def keyword_relevance_all(spark, sf):
     """Every hit with its score, not only the best ones."""
-    hits = keyword_filter(levels(spark, sf), ["the", "ring"], "all")
+    hits = keyword_filter(text_levels(spark, sf), ["the", "ring"], "all")
     return keyword_rank(hits, ["the", "ring"], None).withColumn("relevance_score", F.round("relevance_score", 6))
 
 
@@ -237,7 +238,7 @@ KEYWORD_RELEVANCE_ALL = sql(f"""
 
 
 def keyword_top(spark, sf):
-    hits = keyword_filter(levels(spark, sf), ["tion", "ung"], "all")
+    hits = keyword_filter(text_levels(spark, sf), ["tion", "ung"], "all")
     return keyword_rank(hits, ["tion", "ung"], 20).withColumn("relevance_score", F.round("relevance_score", 6))
 
 
@@ -320,7 +321,7 @@ HYBRID_MERGE_HITS = sql(f"""
 
 def best_hit_per_file(spark, sf):
     """Best function name hit of every file over all name hits of a lookup."""
-    hits = keyword_filter(levels(spark, sf), KEYWORDS, "all")
+    hits = keyword_filter(text_levels(spark, sf), KEYWORDS, "all")
     scored = keyword_rank(hits, KEYWORDS, None).withColumn("query_id", F.lit(0).cast("bigint"))
     best = best_per_file(scored, None, [F.desc("relevance_score"), "type", "name"])
     return best.select("file_path", "type", "name", F.round("relevance_score", 6).alias("relevance_score"))

@@ -47,46 +47,55 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # --- artifacts: documents are files, pages classes, parts functions -------------------------------------------
 
-def file_artifacts(spark, sf) -> DataFrame:
+def with_vectors(spark, sf, df, key, wanted) -> DataFrame:
+    """Rows with the embedding of the same number; text operators do not ask for it."""
+    if not wanted:
+        return df
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias(key), "embedding")
+    return df.join(vectors, key, "left")
+
+
+def embedding(wanted):
+    return ["embedding"] if wanted else []
+
+
+def file_artifacts(spark, sf, vectors=True) -> DataFrame:
     docs = table(spark, sf, "documents")
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return as_artifacts(
-        docs.join(vectors, "doc_id", "left").select(
+        with_vectors(spark, sf, docs, "doc_id", vectors).select(
             F.concat(F.lit("repo"), F.col("doc_id") % 5).alias("repo_id"),
             F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("file_path"),
             F.col("lang").alias("programming_language"),
             F.col("text").alias("enhanced_content"),
             F.col("text").alias("original_content"),
             F.col("lang").alias("rich_metadata"),
-            "embedding",
+            *embedding(vectors),
         ),
         "file",
     )
 
 
-def class_artifacts(spark, sf) -> DataFrame:
+def class_artifacts(spark, sf, vectors=True) -> DataFrame:
     pages = table(spark, sf, "pages")
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding")
     return as_artifacts(
-        pages.join(vectors, "page_id", "left").select(
+        with_vectors(spark, sf, pages, "page_id", vectors).select(
             F.concat(F.lit("repo"), F.col("page_id") % 5).alias("repo_id"),
             F.concat(F.lit("pages/"), "page_id", F.lit(".html")).alias("file_path"),
             F.col("url").alias("class_name"),
             F.col("html").alias("enhanced_content"),
             F.col("html").alias("original_content"),
             F.lit("").alias("rich_metadata"),
-            "embedding",
+            *embedding(vectors),
         ),
         "class",
     )
 
 
-def function_artifacts(spark, sf) -> DataFrame:
+def function_artifacts(spark, sf, vectors=True) -> DataFrame:
     parts = table(spark, sf, "part")
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("p_partkey"), "embedding")
     text = F.concat("p_name", F.lit(" "), "p_type")
     return as_artifacts(
-        parts.join(vectors, "p_partkey", "left").select(
+        with_vectors(spark, sf, parts, "p_partkey", vectors).select(
             F.concat(F.lit("repo"), F.col("p_partkey") % 5).alias("repo_id"),
             F.concat(F.lit("parts/"), F.lower("p_type"), F.lit("/"), F.replace("p_brand", F.lit("#"), F.lit("")),
                      F.lit(".py")).alias("file_path"),
@@ -95,20 +104,25 @@ def function_artifacts(spark, sf) -> DataFrame:
             text.alias("enhanced_content"),
             text.alias("original_content"),
             F.col("p_type").alias("rich_metadata"),
-            "embedding",
+            *embedding(vectors),
         ),
         "function",
     )
 
 
-def levels(spark, sf) -> dict[str, DataFrame]:
+def levels(spark, sf, vectors=True) -> dict[str, DataFrame]:
     return {
-        "file": file_artifacts(spark, sf),
-        "class": class_artifacts(spark, sf),
-        "function": function_artifacts(spark, sf),
+        "file": file_artifacts(spark, sf, vectors),
+        "class": class_artifacts(spark, sf, vectors),
+        "function": function_artifacts(spark, sf, vectors),
     }
 
 
+def text_levels(spark, sf) -> dict[str, DataFrame]:
+    """The levels without embeddings."""
+    return levels(spark, sf, vectors=False)
+
+
 CTES["artifacts"] = """
     SELECT 'file' AS type, 1 AS level, 'repo' || (doc_id % 5) AS repo_id, source || '/' || doc_id || '.txt' AS file_path,
            source || '/' || doc_id || '.txt' AS name, '' AS parent_class, text AS content, lang AS rich_metadata, embedding
