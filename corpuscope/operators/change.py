@@ -100,19 +100,20 @@ def alignment(plans: DataFrame, mods: DataFrame, requests: DataFrame) -> DataFra
     What the modifications mention is first reduced to one row of flags per file with map-side maxima; only those
     rows meet the plans and the request texts.
     """
-    code, why = _lower("new_code"), _lower("explanation")
+    code, why = F.col("__code"), F.col("__why")
     flags = {
         **{f"m_{t}": F.contains(code, F.lit(t)) | F.contains(why, F.lit(t)) for t in ALIGNMENT_TECHNOLOGIES},
         **{f"a_{a}": F.contains(why, F.lit(a)) for a in ALIGNMENT_ACTIONS},
         "intent": contains_any(why, INTENT_WORDS),
     }
-    seen = mods.groupBy(*PLAN_KEYS).agg(
+    lowered = mods.select(*PLAN_KEYS, _lower("new_code").alias("__code"), _lower("explanation").alias("__why"))
+    seen = lowered.groupBy(*PLAN_KEYS).agg(
         F.count(F.lit(1)).alias("n_modifications"), *[F.max(c).alias(n) for n, c in flags.items()]
     )
     rows = plans.join(seen, PLAN_KEYS, "left").join(requests.select("run_id", F.col("text").alias("__text")), "run_id", "left")
-    text = _lower("__text")
-    deps = F.lower(F.array_join(F.coalesce("new_dependencies", F.array().cast("array<string>")), " "))
-    has_deps = F.size(F.coalesce("new_dependencies", F.array().cast("array<string>"))) > 0
+    listed = F.coalesce("new_dependencies", F.array().cast("array<string>"))
+    rows = rows.withColumns({"__asked": _lower("__text"), "__deps": F.lower(F.array_join(listed, " "))})
+    text, deps, has_deps = F.col("__asked"), F.col("__deps"), F.size(listed) > 0
 
     def asked(word):
         return F.contains(text, F.lit(word))
@@ -184,16 +185,16 @@ def execution_order(entries: DataFrame, requests: DataFrame) -> DataFrame:
         .where(F.col("__priority") > 0)
         .join(asked, "run_id", "left")
         .withColumn("__word", F.when(found > 0, found).otherwise(F.lit(NO_WORD)).cast("int"))
-        .withColumn("__misfit", -F.col("user_alignment_score"))
+        .withColumn("__misfit", -F.coalesce("user_alignment_score", F.lit(NEUTRAL_ALIGNMENT)))
         .withColumn("__block", F.floor(F.col("pos") / POSITIONS_PER_BLOCK))
-        .select("run_id", "pos", "file_path", "priority", "__priority", "__word", "__misfit", "__block")
+        .select("run_id", "pos", "file_path", "__priority", "__word", "__misfit", "__block")
     )
     # Scores are ratios of small numbers, so they take few values; the block splits runs where many files share one.
     coarse = ["__priority", "__word", "__misfit", "__block"]
     distinct = first_per_group(ranked, ["run_id", "file_path"], [*coarse, "pos"], 1)
-    return positions(distinct, ["run_id"], coarse, ["pos"], "execution_position").select(
-        "run_id", "execution_position", "file_path", "priority"
-    )
+    placed = positions(distinct, ["run_id"], coarse, ["pos"], "execution_position")
+    priority = F.element_at(F.array(*[F.lit(p) for p in PRIORITIES]), F.col("__priority")).alias("priority")
+    return placed.select("run_id", "execution_position", "file_path", priority)
 
 
 def run_facts(entries: DataFrame) -> DataFrame:

@@ -55,6 +55,20 @@ def sessions(events: DataFrame, keys, ts: str = "ts", gap_seconds: int = SESSION
     )
 
 
+def live_history(events: DataFrame, keys, order, ts: str = "ts", n: int = HISTORY_CAP, gap_seconds: int = SESSION_TTL,
+                 now=None) -> DataFrame:
+    """Newest ``n`` events of each key since its list last ran out; with ``now`` only lists that have not run out by then.
+
+    The events are capped first, so only ``n`` rows per key meet the last session of their key.
+    """
+    last = sessions(events, keys, ts, gap_seconds).groupBy(*keys).agg(
+        F.max("created_at").alias("__opened"), F.max("expires_at").alias("__ends")
+    )
+    kept = capped_history(events, keys, order, n).join(last, list(keys))
+    current = F.col(ts).cast("timestamp") >= F.col("__opened")
+    return kept.where(current if now is None else current & (F.col("__ends") > now)).drop("__opened", "__ends")
+
+
 def live_sessions(found: DataFrame, now) -> DataFrame:
     """Sessions that have not ended at the given time."""
     return found.where(F.col("expires_at") > now)

@@ -93,7 +93,9 @@ def metadata_search(levels: dict[str, DataFrame], requests, k: int = 20, literal
         for i, t in enumerate(terms)
     ]
     if not conditions:
-        raise ValueError("no search terms")
+        return source.where(F.lit(False)).select(
+            F.lit(0).cast("bigint").alias("query_id"), F.lit(0).cast("bigint").alias("rank"), "type", "file_path", "name",
+            F.lit(0.0).alias("score"))
     branch = F.array_position(F.array(*[F.lit(x) for x in METADATA_ORDER]), F.col("type")).cast("int")
     score = F.create_map(*[F.lit(v) for pair in METADATA_SCORE.items() for v in pair])[F.col("type")]
     hits = _passes(source, conditions).drop("__name").withColumn("branch", branch)

@@ -15,34 +15,44 @@ from corpuscope.sources.artifacts import LEVELS, all_levels
 
 # Query vectors handled in one pass over the artifacts; more are done in further passes.
 QUERIES_PER_PASS = 256
+# Query vectors one request may hold; they pass through the driver.
+QUERIES_PER_REQUEST = 4096
 # Distances are compared at this many decimals; equal ones are ordered by level, path and name.
 DISTANCE_DECIMALS = 9
 
 KEYS = ["type", "file_path", "name"]
 
 
-def query_vectors(queries: DataFrame, query_id: str = "query_id", vector: str = "embedding") -> list[dict]:
-    """Blocks of query vectors from a table, at most about ``QUERIES_PER_PASS`` in each.
+def query_vectors(queries: DataFrame, query_id: str = "query_id", vector: str = "embedding") -> dict:
+    """Query vectors of a request table as ``{query_id: vector}``; larger tables go through :func:`write_topk`."""
+    rows = queries.select(query_id, vector).limit(QUERIES_PER_REQUEST + 1).collect()
+    if len(rows) > QUERIES_PER_REQUEST:
+        raise ValueError(f"more than {QUERIES_PER_REQUEST} queries; use write_topk")
+    return {r[0]: [float(x) for x in r[1]] for r in rows}
+
+
+def query_blocks(queries: DataFrame, query_id: str = "query_id", vector: str = "embedding"):
+    """Blocks of about ``QUERIES_PER_PASS`` query vectors, one at a time."""
+    blocks = max(1, math.ceil(queries.count() / QUERIES_PER_PASS))
+    number = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    for b in range(blocks):
+        found = query_vectors(queries.where(number == b), query_id, vector)
+        if found:
+            yield b, found
 
-    A table that fits one block is read with one job; a larger one is counted and read block by block.
-    """
-    def block(rows):
-        return {r[0]: [float(x) for x in r[1]] for r in rows}
 
-    columns = queries.select(query_id, vector)
-    first = columns.limit(QUERIES_PER_PASS + 1).collect()
-    if len(first) <= QUERIES_PER_PASS:
-        return [block(first)]
-    n = math.ceil(queries.count() / QUERIES_PER_PASS)
-    number = F.pmod(F.xxhash64(query_id), F.lit(n))
-    return [b for b in (block(columns.where(number == i).collect()) for i in range(n)) if b]
+def write_topk(artifacts: DataFrame, queries: DataFrame, k: int, path: str, id_type: str = "bigint") -> None:
+    """Nearest rows for a query table of any size, written below ``path`` with one folder per block.
+
+    The driver holds one block at a time, and a repeated block overwrites its own folder.
+    """
+    for b, block in query_blocks(queries):
+        vector_topk(artifacts, block, k, id_type).write.mode("overwrite").parquet(f"{path}/block={b}")
 
 
-def _blocks(queries) -> list[dict]:
-    if isinstance(queries, dict):
-        items = list(queries.items())
-        return [dict(items[i:i + QUERIES_PER_PASS]) for i in range(0, len(items), QUERIES_PER_PASS)]
-    return queries
+def _blocks(queries: dict) -> list[dict]:
+    items = list(queries.items())
+    return [dict(items[i:i + QUERIES_PER_PASS]) for i in range(0, len(items), QUERIES_PER_PASS)]
 
 
 def _nearest(block: dict, k: int, id_type: pa.DataType):
@@ -99,11 +109,13 @@ def _nearest(block: dict, k: int, id_type: pa.DataType):
 def vector_topk(artifacts: DataFrame, queries, k: int = 20, id_type: str = "bigint") -> DataFrame:
     """The ``k`` rows nearest to each query by cosine distance.
 
-    ``queries`` is ``{query_id: vector}`` or the blocks of :func:`query_vectors`. The query matrix travels with the
+    ``queries`` is ``{query_id: vector}``, at most ``QUERIES_PER_REQUEST`` of them. The query matrix travels with the
     tasks (at most ``QUERIES_PER_PASS`` vectors per pass); each task multiplies its Arrow batches with it and keeps
     ``k`` rows per query, so only those reach the shuffle. Rows without an embedding are not indexed.
     Text columns stay out of the Python side; :func:`with_content` adds them to the winners.
     """
+    if not 0 < len(queries) <= QUERIES_PER_REQUEST:
+        raise ValueError(f"{len(queries)} queries; between 1 and {QUERIES_PER_REQUEST} fit one request, use write_topk")
     arrow_id = {"bigint": pa.int64(), "string": pa.string()}[id_type]
     source = artifacts.where(F.col("embedding").isNotNull()).select(
         F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("type")).cast("int").alias("level"),

@@ -36,7 +36,8 @@ def check_steps(steps: DataFrame, keys=("config_id", "pos")) -> DataFrame:
 
     The requirements are a literal map, so this is one projection without a join.
     """
-    given = F.filter(F.map_keys("params"), lambda k: F.length(F.trim(F.col("params")[k])) > 0)
+    params = F.coalesce("params", F.create_map().cast("map<string,string>"))
+    given = F.filter(F.map_keys(params), lambda k: F.length(F.trim(params[k])) > 0)
     problem = F.when(required_params().isNull(), F.array(F.lit("unknown operation"))).otherwise(
         F.transform(F.array_except(required_params(), given), lambda p: F.concat(F.lit("missing "), p))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuscope.operators import keywords, vectors
 from corpuscope.operators.keywords import extract_terms, keyword_filter, keyword_match, keyword_rank, metadata_search, name_lookup
 from corpuscope.operators.merge import best_per_file, candidate_cards, hybrid_merge, rerank
-from corpuscope.operators.vectors import query_vectors, to_results, vector_search, vector_topk, with_content
+from corpuscope.operators.vectors import query_vectors, to_results, vector_search, vector_topk, with_content, write_topk
 from corpuscope.plans.search import SearchRequest, hybrid_search, request_terms, routed_search
 from corpuscope.sources.artifacts import as_artifacts, focus_level
 from tests.conftest import plan, rows
@@ -64,16 +64,23 @@ def test_vector_search_is_exact_with_many_ties(spark, level):
         assert all(abs(a[0] - b[0]) < 1e-6 for a, b in zip(want, mine))
 
 
-def test_many_queries_take_several_passes(spark, monkeypatch):
+def test_many_queries_take_several_passes(spark, monkeypatch, tmp_path):
     levels = make_levels(spark)
     queries = {i: [RNG.uniform(-1, 1) for _ in range(4)] for i in range(7)}
     whole = rows(vector_topk(levels["file"], queries, 5))
     monkeypatch.setattr(vectors, "QUERIES_PER_PASS", 3)
     table = spark.createDataFrame([(i, v) for i, v in queries.items()], "query_id bigint, embedding array<double>")
-    blocks = query_vectors(table)
-    assert len(blocks) > 1 and sorted(i for b in blocks for i in b) == list(range(7))
-    assert rows(vector_topk(levels["file"], blocks, 5)) == whole
+    assert query_vectors(table) == queries
     assert rows(vector_topk(levels["file"], queries, 5)) == whole
+    write_topk(levels["file"], table, 5, str(tmp_path / "top"))
+    assert rows(spark.read.parquet(str(tmp_path / "top")).drop("block")) == whole
+    monkeypatch.setattr(vectors, "QUERIES_PER_REQUEST", 6)
+    with pytest.raises(ValueError, match="write_topk"):
+        query_vectors(table)
+
+
+def test_no_terms_find_nothing(spark):
+    assert metadata_search(make_levels(spark), [(1, [])], 5).collect() == []
 
 
 def test_wrong_dimension_fails(spark):

@@ -54,9 +54,11 @@ def test_filter_reaches_the_scan(spark, tmp_path):
 
 def test_checks(spark):
     steps = spark.createDataFrame(
-        [(1, 0, "read", {"path": "p"}), (1, 1, "filter", {"input": "a", "condition": " "}), (1, 2, "zip", {}), (2, 0, "custom_sql", {"sql": "x"})],
+        [(1, 0, "read", {"path": "p"}), (1, 1, "filter", {"input": "a", "condition": " "}), (1, 2, "zip", {}), (2, 0, "custom_sql", {"sql": "x"}),
+         (3, 0, "custom_sql", None)],
         "config_id int, pos int, op string, params map<string,string>")
-    assert rows(check_steps(steps)) == [(1, 0, "read", "missing format"), (1, 1, "filter", "missing condition"), (1, 2, "zip", "unknown operation")]
+    assert rows(check_steps(steps)) == [(1, 0, "read", "missing format"), (1, 1, "filter", "missing condition"), (1, 2, "zip", "unknown operation"),
+                                       (3, 0, "custom_sql", "missing sql")]
     assert "Join" not in plan(check_steps(steps))
     assert [r.batch for r in batch_steps(spark.range(25).select(F.col("id").alias("pos"))).orderBy("pos").collect()] == [i // 10 for i in range(25)]
     known = spark.createDataFrame([("example",)], "table_name string")

@@ -336,7 +336,7 @@ BEST_HIT_PER_FILE = sql(f"""
 
 
 def requests_with_vectors(spark, sf):
-    vectors = {i: v for block in centroid_queries(spark, sf) for i, v in block.items()}
+    vectors = centroid_queries(spark, sf)
     return [SearchRequest(i, "hybrid_search", text=t, vector=tuple(vectors[i])) for i, t in enumerate(TEXTS) if i in vectors]
 
 

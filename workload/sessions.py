@@ -103,6 +103,20 @@ def live_at_end(spark, sf):
 LIVE_AT_END = sql("SELECT * FROM half_day WHERE expires_at > (SELECT max(ts) - INTERVAL 6 HOUR FROM events)")
 
 
+def live_events(spark, sf):
+    """Newest events of every user since the last pause of half a day."""
+    kept = history.live_history(events(spark, sf), ["user_id"], ["ts", "event_id"], gap_seconds=HALF_DAY)
+    return kept.select("user_id", "recency", "event_id")
+
+
+LIVE_EVENTS = sql("""
+    SELECT user_id, recency, event_id FROM (
+        SELECT e.*, row_number() OVER (PARTITION BY e.user_id ORDER BY ts DESC, event_id DESC) AS recency, opened
+        FROM events e JOIN (SELECT user_id, max(created_at) AS opened FROM half_day GROUP BY user_id) s ON s.user_id = e.user_id)
+    WHERE recency <= 50 AND ts >= opened
+""")
+
+
 def closed_sessions_stream(spark, sf):
     """Sessions the stream has closed once all events are read."""
     source = events(spark, sf)
@@ -270,6 +284,7 @@ RUN_STATUS_COUNTS = sql("SELECT status, workflow_stage, count(*) AS sessions FRO
 
 QUERIES = {
     "capped_history": (recent_events, RECENT_EVENTS),
+    "live_history": (live_events, LIVE_EVENTS),
     "capped_history_stream": (recent_events_stream, RECENT_EVENTS_STREAM),
     "history_table_stream": (recent_events_table, RECENT_EVENTS_STREAM),
     "sessions": (half_day_sessions, HALF_DAY_SESSIONS),
