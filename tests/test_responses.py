@@ -1,5 +1,4 @@
 import json
-import re
 
 import pytest
 
@@ -18,44 +17,21 @@ def frame(spark):
     return spark.createDataFrame(list(enumerate(ANSWERS)), "id int, t string")
 
 
-def brute_block(t):
-    for fence in ("```json", "```"):
-        if fence in t:
-            return t.split(fence, 1)[1].split("```", 1)[0].strip()
-    return t.strip()
-
-
-def brute_code(t):
-    for fence in ("```python", "```"):
-        m = re.search(re.escape(fence) + "(.*?)```", t, re.S)
-        if m:
-            return m.group(1).strip()
-    if t.strip().startswith(("import ", "from ", "def ", "class ", "#", "if __name__")):
-        return t.strip()
-    starts = ("import ", "from ", "def ", "class ", "if __name__", "#", "@", "async def", "try:", "with ", "for ", "while ", "if ")
-    lines = t.split("\n")
-    for i, line in enumerate(lines):
-        if line.strip().startswith(starts) or line.strip() == "" or line.startswith("   "):
-            return "\n".join(lines[i:]).strip()
-    return t.strip()
-
-
-def brute_repair(t):
-    m = re.search(r"```(?:json)?(.*?)```", t, re.S)
-    if m:
-        t = m.group(1).strip()
-    elif "{" in t:
-        t = t[t.index("{"):]
-        t = t[: t.rindex("}") + 1] if "}" in t else t
-    t = t.replace("True", "true").replace("False", "false")
-    return re.sub(r",\s*([}\]])", r"\1", t).strip()
-
-
-@pytest.mark.parametrize("column, brute", [(extract_block, brute_block), (extract_code, brute_code), (repair_json, brute_repair)])
-def test_text_functions_match_python(spark, column, brute):
+BLOCKS = ['{"a": 1}', "[1]", "plain", "open {", "b", "", "python\nimport x", "python\nno end", "Hello\nimport os\nrun()", "Hello\n\nx",
+          "Hello\n    y = 1\nz", "Hello there", "def f(): pass", 'Some {"a": True, "b": [1, 2,],\n} text }', "no braces", "{ open",
+          "} first { then } last", "if x:\n  y", "Text\r\n\r\nfor z"]
+CODE = ['json\n{"a": 1}', "[1]", "plain", "```json\nopen {", "b", "", "import x", "```python\nno end", "import os\nrun()", "x", "y = 1\nz",
+        "Hello there", "def f(): pass", 'Some {"a": True, "b": [1, 2,],\n} text }', "no braces", "{ open", "} first { then } last", "if x:\n  y", "for z"]
+REPAIRED = ['{"a": 1}', "[1]", "plain", "{", "b", "", "python\nimport x", "```python\nno end", "Hello\nimport os\nrun()", "Hello\n\nx",
+            "Hello\n    y = 1\nz", "Hello there", "def f(): pass", '{"a": true, "b": [1, 2]} text }', "no braces", "{ open", "{ then }", "if x:\n  y",
+            "Text\r\n\r\nfor z"]
+
+
+@pytest.mark.parametrize("column, wanted", [(extract_block, BLOCKS), (extract_code, CODE), (repair_json, REPAIRED)])
+def test_text_functions(spark, column, wanted):
     got = {r.id: r.v for r in frame(spark).select("id", column("t").alias("v")).collect()}
     for i, t in enumerate(ANSWERS):
-        assert got[i] == brute(t), repr(t)
+        assert got[i] == wanted[i], repr(t)
 
 
 def test_contract(spark):
@@ -88,18 +64,13 @@ def test_each_answer_is_parsed_once(spark):
 VALUES = ["1", "007", "-3", "1.5", "1e3", "true", "True", "FALSE", "None", "null", "[1, 2]", '{"a": 1}', '"quoted"', "text", "", "12345678901234567890", "{bad"]
 
 
-def brute_value(v):
-    try:
-        x = json.loads(v)
-    except ValueError:
-        return int(v) if v.isdigit() else {"true": True, "false": False}.get(v.lower(), v)
-    return x
+TYPED = [1, 7, -3, 1.5, 1000.0, True, True, False, "None", None, [1, 2], {"a": 1}, "quoted", "text", "", 12345678901234567890, "{bad"]
 
 
-def test_coercion_matches_python(spark):
+def test_coercion(spark):
     df = spark.createDataFrame(list(enumerate(VALUES)), "id int, v string")
     for r in coerce_values(df, "v", ["id"]).collect():
-        want = brute_value(VALUES[r.id])
+        want = TYPED[r.id]
         kind = "null" if want is None else "string" if isinstance(want, str) else type(want).__name__
         assert r.kind == kind, VALUES[r.id]
         if kind == "bool":
