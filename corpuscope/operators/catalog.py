@@ -148,10 +148,14 @@ def analyze_files(files: DataFrame, catalog: DataFrame, content: str = "content"
     found = F.array_distinct(F.regexp_extract_all(F.col(content), F.lit(CALL_PATTERN), F.lit(0)))
     flagged = files.select(key, content, has_import(content).alias("has_pyspark"))
     calls = flagged.select(key, "has_pyspark", F.explode_outer(F.when(F.col("has_pyspark"), found)).alias("call"))
+    # Rows without a call or a match get a key of their own file, so that a sorted join has no hot NULL key.
+    own = F.concat(F.lit("?"), F.col(key))
+    details = change_details(catalog).select(F.col("qualname").alias("detail"), "*").drop("qualname")
     rows = (
-        calls.select(key, "has_pyspark", _lookup_key("call").alias("lookup"))
+        calls.select(key, "has_pyspark", F.coalesce(_lookup_key("call"), own).alias("lookup"))
         .join(call_lookup(catalog, True, first_match), "lookup", "left")
-        .join(change_details(catalog), "qualname", "left")
+        .withColumn("detail", F.coalesce("qualname", own))
+        .join(details, "detail", "left")
     )
     entry = F.when(
         F.col("qualname").isNotNull(),

@@ -13,13 +13,14 @@ HISTORY_CAP = 50
 SESSION_TTL = 604800
 
 
-def capped_history(events: DataFrame, keys, order, n: int = HISTORY_CAP) -> DataFrame:
+def capped_history(events: DataFrame, keys, order, n: int = HISTORY_CAP, hot_keys: bool = False) -> DataFrame:
     """Newest ``n`` events of each key; ``recency`` is 1 for the newest.
 
-    The limit is applied in every task before the exchange, so a hot key sends n rows per task.
+    The limit is applied in every task before the exchange, so a hot key sends n rows per task. With ``hot_keys`` the
+    rows of a key are also split over several tasks first, at the price of a second exchange for all keys.
     """
     newest = [F.desc(c) for c in order]
-    return first_per_group(events, keys, newest, n, rank="recency")
+    return first_per_group(events, keys, newest, n, rank="recency", spread_by=order if hot_keys else ())
 
 
 def sessions(events: DataFrame, keys, ts: str = "ts", gap_seconds: int = SESSION_TTL) -> DataFrame:

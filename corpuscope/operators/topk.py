@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def first_per_group(df: DataFrame, keys, order, n: int = 1, rank: str | None = None) -> DataFrame:
+# Parts a group is split into when its first rows are found in two steps.
+SPREAD = 32
+
+
+def first_per_group(df: DataFrame, keys, order, n: int = 1, rank: str | None = None, spread_by=()) -> DataFrame:
     """First ``n`` rows of each group.
 
-    Catalyst puts a WindowGroupLimit below the exchange, so every task sends at most ``n`` rows per key;
-    a hot key costs ``tasks * n`` rows, not its full size.
+    Catalyst puts a WindowGroupLimit below the exchange, so every task sends at most ``n`` rows per key; a hot key
+    costs ``tasks * n`` rows, not its full size. Where even that is much for one task (few keys, very many tasks),
+    ``spread_by`` names columns whose hash splits each group: the first ``n`` of every part are found first.
     """
+    if spread_by:
+        part = F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD))
+        df = first_per_group(df.withColumn("__part", part), [*keys, "__part"], order, n).drop("__part")
     w = Window.partitionBy(*keys).orderBy(*order)
     name = rank or "__rank"
     ranked = df.withColumn(name, F.row_number().over(w).cast("bigint")).where(F.col(name) <= n)

@@ -111,7 +111,7 @@ def vector_topk(artifacts: DataFrame, queries, k: int = 20, id_type: str = "bigi
 
     ``queries`` is ``{query_id: vector}``, at most ``QUERIES_PER_REQUEST`` of them. The query matrix travels with the
     tasks (at most ``QUERIES_PER_PASS`` vectors per pass); each task multiplies its Arrow batches with it and keeps
-    ``k`` rows per query, so only those reach the shuffle. Rows without an embedding are not indexed.
+    ``k`` rows per query, so only those reach the shuffle, where a query's rows are cut in two steps. Rows without an embedding are not indexed.
     Text columns stay out of the Python side; :func:`with_content` adds them to the winners.
     """
     if not 0 < len(queries) <= QUERIES_PER_REQUEST:
@@ -129,7 +129,7 @@ def vector_topk(artifacts: DataFrame, queries, k: int = 20, id_type: str = "bigi
         near = near.unionByName(p)
     order = ["distance", "level", "file_path", "name"]
     return (
-        first_per_group(near, ["query_id"], order, k, rank="rank")
+        first_per_group(near, ["query_id"], order, k, rank="rank", spread_by=["file_path", "name"])
         .select("query_id", "rank", *KEYS, "distance")
     )
 

@@ -59,6 +59,7 @@ def test_history_cap(spark):
         newest = sorted((e[1] for e in data if e[0] == k), reverse=True)[:7]
         assert [r.seq for r in got.where(F.col("k") == k).orderBy("recency").collect()] == newest
     assert "WindowGroupLimit" in plan(got)
+    assert rows(capped_history(frame(spark), ["k"], ["seq"], 7, hot_keys=True)) == rows(got)
     counts = {e: sum(x[0] == e for x in data) for e in range(6)}
     assert dict(rows(list_keys(frame(spark), ["k"], 7))) == {k: min(n, 7) for k, n in counts.items()}
 
