@@ -5,7 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+
+import corpuscope
+
+# Functions of the library travel to the executors with their code: the package need not be installed there.
+cloudpickle.register_pickle_by_value(corpuscope)
 
 # Settings every operator relies on; the cluster's own values win elsewhere.
 REQUIRED = {
@@ -45,16 +51,22 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+    """A fresh folder below the cluster's shared checkpoint folder, removed when the application ends.
 
-    Only where the cluster names none (tests on one machine) a temporary
-    folder is made and set for the session.
+    Only on a local master (tests on one machine) a temporary folder is made and set for the session where none is
+    named; elsewhere that is an error, since each executor would write to a disk of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="corpuscope-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def cut_lineage(df):
@@ -63,3 +75,10 @@ def cut_lineage(df):
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: computed once, columnar, survives lost executors."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
