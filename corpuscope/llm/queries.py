@@ -5,8 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import exact, mixing
+from corpuscope.llm import decontaminate, exact, mixing, ngram_join, quality, toxicity
 from corpuscope.llm.tables import table
+from corpuscope.session import staged
+
+
+def crc_remainder(column: str, parts: int):
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts)), F.lit(-1))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    measured = staged(quality.with_statistics(docs), "statistics")
+    learned = table(spark, sf_dir, "labels").select("doc_id", "quality").where(crc_remainder("doc_id", 5) != 0)
+    model = quality.fit_quality(measured, learned)
+    return measured.withColumn("score", model.score(F.col("stats"))).select(
+        "doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(crc_remainder("doc_id", 4) != 2)
+    lexicon = toxicity.learn_lexicon(docs, learned)
+    return toxicity.toxicity_scores(docs, lexicon).select(
+        "doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "n_matches", "n_words")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +83,58 @@ counted AS (
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM counted
 """
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                       (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(ws, i0, i0 + k - 1), ' ') AS win
+       FROM (SELECT item_id, ws, least(10, len(ws)) AS k, unnest(generate_series(1, len(ws) - least(10, len(ws)) + 1)) AS i0
+             FROM i WHERE len(ws) > 0)),
+dw AS (SELECT doc_id, i0, k, array_to_string(list_slice(ws, i0, i0 + k - 1), ' ') AS win
+       FROM (SELECT doc_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i0
+             FROM d, (SELECT DISTINCT k FROM iw) WHERE len(ws) >= k)),
+m AS (SELECT doc_id, i0, k, item_id FROM dw JOIN iw USING (k, win)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+         FROM (SELECT doc_id, unnest(generate_series(i0, i0 + k - 1)) AS p FROM (SELECT DISTINCT doc_id, i0, k FROM m)) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicate_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i0, i0 + k - 1), ' ') AS gram
+      FROM (SELECT doc_id, ws, least(4, len(ws)) AS k, unnest(generate_series(1, len(ws) - least(4, len(ws)) + 1)) AS i0
+            FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least(doc_id, lowest), doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS lowest FROM reach GROUP BY 1) USING (doc_id)
+"""
+
 QUERIES = {
+    "op2_quality": (op2_quality, None),
     "op3_mix_sources": (op3_mix_sources, OP3_SQL),
+    "op4_ngram_join": (op4_ngram_join, OP4_SQL),
+    "op5_decontaminate": (op5_decontaminate, OP5_SQL),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
+    "op8_toxicity": (op8_toxicity, None),
 }
