@@ -75,13 +75,16 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The row with the largest id stays (see :func:`duplicate_groups`); of rows that repeat id and text one stays.
     """
-    digest, again = fresh(docs, "digest"), fresh(docs, "again")
+    digest, kept_id, kept_digest = (fresh(docs, c) for c in ("digest", "kept_id", "kept_digest"))
     groups = duplicate_groups(docs, id_col, text_col, heavy).where("kept")
-    kept = groups.groupBy(F.col(id_col).alias("__id"), F.col("digest").alias("__digest")).agg(
-        (F.count(F.lit(1)) > 1).alias("__again"))
+    kept = staged(groups.groupBy(F.col(id_col).alias(kept_id), F.col("digest").alias(kept_digest)).agg(
+        (F.count(F.lit(1)) > 1).alias("again")), "kept")
     own = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(col(text_col), F.lit("")), 256)))
-    found = own.join(kept, col(id_col).eqNullSafe(F.col("__id")) & (col(digest) == F.col("__digest")))
-    found = found.withColumn(again, F.col("__again")).drop("__id", "__digest", "__again")
-    once = found.where(~col(again))
-    repeated = found.where(col(again)).dropDuplicates([id_col, digest])
-    return once.unionByName(repeated).select(*[col(c) for c in docs.columns])
+
+    def matching(keys):
+        return own.join(keys.drop("again"), col(id_col).eqNullSafe(col(kept_id)) & (col(digest) == col(kept_digest)))
+
+    found, repeated = matching(kept.where("not again")), kept.where("again")
+    if not repeated.isEmpty():
+        found = found.unionByName(matching(repeated).dropDuplicates([id_col, digest]))
+    return found.select(*[col(c) for c in docs.columns])

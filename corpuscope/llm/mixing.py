@@ -113,16 +113,20 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str =
     Adds the column ``copy`` (underscores in front while the name is taken). Of rows that repeat id, text and source
     one stands for all, with the copies of all.
     """
-    copy, marked, times, again = (fresh(docs, c) for c in ("copy", "text_hash", "copies", "again"))
-    taken = mix_copies(docs, weights, most, seed, id_col, text_col, source_col).groupBy("id", "text_hash", "source").agg(
-        F.sum("copies").alias("__copies"), (F.count(F.lit(1)) > 1).alias("__again")).where(F.col("__copies") > 0)
-    taken = taken.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source"),
-                         "__copies", "__again")
+    copy, marked, times, key_id, key_hash, key_source = (
+        fresh(docs, c) for c in ("copy", "text_hash", "copies", "key_id", "key_hash", "key_source"))
+    taken = mix_copies(docs, weights, most, seed, id_col, text_col, source_col).groupBy(
+        F.col("id").alias(key_id), F.col("text_hash").alias(key_hash), F.col("source").alias(key_source)).agg(
+        F.sum("copies").alias(times), (F.count(F.lit(1)) > 1).alias("__again"))
+    taken = staged(taken.where(col(times) > 0), "taken")
     own = docs.withColumn(marked, F.xxhash64(col(text_col)))
-    own = own.join(taken, col(id_col).eqNullSafe(F.col("__id")) & (col(marked) == F.col("__hash"))
-                   & col(source_col).eqNullSafe(F.col("__source")))
-    own = own.withColumn(times, F.col("__copies")).withColumn(again, F.col("__again")).drop(
-        "__id", "__hash", "__source", "__copies", "__again")
-    one_each = own.where(~col(again)).unionByName(own.where(col(again)).dropDuplicates([id_col, marked, source_col]))
-    return one_each.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), col(times)))).select(
+
+    def matching(keys):
+        return own.join(keys.drop("__again"), col(id_col).eqNullSafe(col(key_id)) & (col(marked) == col(key_hash))
+                        & col(source_col).eqNullSafe(col(key_source)))
+
+    found, repeated = matching(taken.where("not __again")), taken.where("__again")
+    if not repeated.isEmpty():
+        found = found.unionByName(matching(repeated).dropDuplicates([id_col, marked, source_col]))
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), col(times)))).select(
         *[col(c) for c in docs.columns], col(copy))

@@ -94,19 +94,25 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _measure(batches):
-    for batch in batches:
-        values = statistics(batch.column("text"))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.ravel()))
-        yield pa.record_batch([batch.column("row"), lists], names=["row", "stats"])
+def _measure(text_col: str):
+    """Arrow function: statistics of the text in each row, beside the row."""
+
+    def run(batches):
+        for batch in batches:
+            row = batch.column("row")
+            values = statistics(row.field(row.type.get_field_index(text_col)))
+            ends = pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32))
+            yield pa.record_batch([row, pa.ListArray.from_arrays(ends, pa.array(values.ravel()))], names=["row", "stats"])
+
+    return run
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text", name: str = "stats") -> DataFrame:
-    """``docs`` without its text, with an array of statistics added."""
-    rest = F.struct(*[col(c) for c in docs.columns if c != text_col]) if len(docs.columns) > 1 else F.struct(F.lit(0).alias("none"))
-    packed = docs.select(rest.alias("row"), col(text_col).alias("text"))
+    """``docs`` with an array of statistics added."""
+    packed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"))
     kind = packed.schema["row"].dataType.simpleString()
-    return packed.mapInArrow(_measure, f"row {kind}, stats array<double>").select("row.*", F.col("stats").alias(name))
+    measured = packed.mapInArrow(_measure(text_col), f"row {kind}, stats array<double>")
+    return measured.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("stats").alias(name))
 
 
 @dataclass(frozen=True)
@@ -235,20 +241,31 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
     return Rules(tuple(rules[k] for k in used), tuple(float(w[k]) for k in used), float(b))
 
 
-def fit_quality(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
-                stats: str = "stats", sample: int = SAMPLE) -> Rules:
-    """Fit the ensemble on at most ``sample`` rows of ``measured`` that ``labels`` marks; rows with a null label are left out."""
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+                sample: int = SAMPLE) -> Rules:
+    """Fit the ensemble on at most ``sample`` rows of ``docs`` that ``labels`` marks; rows with a null label are left out."""
     marked = labels.select(col(id_col).alias("label_id"), col(label_col).cast("double").alias("y")).where("y is not null")
-    rows = measured.join(marked, col(id_col) == F.col("label_id")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    got = rows.select(col(stats).alias("stats"), "y").toArrow()
+    own = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
+    # Ids first, then the texts of those that are taken: at most `sample` rows are broadcast.
+    chosen = own.select("id").join(marked, F.col("id") == F.col("label_id")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = own.join(F.broadcast(chosen.select(F.col("id").alias("chosen"), "y").distinct()), F.col("id") == F.col("chosen"))
+    got = with_statistics(rows.select("text", "y")).select("stats", "y").toArrow()
     x = np.array(got["stats"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, len(STATISTICS))
-    return fit_rules(x, got["y"].to_numpy())
+    order = np.lexsort((got["y"].to_numpy(), *x.T))  # the same rows in any order give the same rules
+    return fit_rules(x[order], got["y"].to_numpy()[order])
 
 
-def quality_scores(docs: DataFrame, model: Rules, text_col: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` without its text, with the statistics and the score added (taken names get underscores in front).
+def quality_scores(docs: DataFrame, model: Rules, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``score`` added (underscores in front while the name is taken): the probability of label 1.
 
-    Null and empty texts have statistics of zero and the score of those.
+    Null and empty texts have statistics of zero and the score of those. Each row is scored by itself; whole texts count.
     """
     stats = fresh(docs, "stats")
-    return with_statistics(docs, text_col, stats).withColumn(fresh(docs, score), model.score(F.col(stats)))
+    measured = with_statistics(docs, text_col, stats).withColumn(fresh(docs, "score"), model.score(F.col(stats)))
+    return measured.drop(stats)
+
+
+def keep_good(docs: DataFrame, model: Rules, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` with a score of ``least`` or more, all columns as they were."""
+    scored = quality_scores(docs, model, text_col)
+    return scored.where(col(fresh(docs, "score")) >= least).select(*[col(c) for c in docs.columns])

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import decontaminate, exact, mixing, ngram_join, quality, toxicity
+from corpuscope.llm import decontaminate, exact, lm, mixing, ngram_join, passages, pii, quality, toxicity, urls
 from corpuscope.llm.tables import table
-from corpuscope.session import staged
 
 
 def crc_remainder(column: str, parts: int):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts)), F.lit(-1))
 
 
+def quality_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> quality.Rules:
+    """Rules learned from the labels that are not held out."""
+    learned = table(spark, sf_dir, "labels").select("doc_id", "quality").where(crc_remainder("doc_id", 5) != 0)
+    return quality.fit_quality(docs, learned)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    measured = staged(quality.with_statistics(docs), "statistics")
-    learned = table(spark, sf_dir, "labels").select("doc_id", "quality").where(crc_remainder("doc_id", 5) != 0)
-    model = quality.fit_quality(measured, learned)
-    return measured.withColumn("score", model.score(F.col("stats"))).select(
-        "doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score",
-        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    scored = quality.quality_scores(docs, quality_model(docs, spark, sf_dir))
+    return scored.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,11 +132,36 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least(doc_id, lowe
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS lowest FROM reach GROUP BY 1) USING (doc_id)
 """
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge_urls(pages, urls.fit_urls(spark)).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda s: s == F.lit(k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))
+
+
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.lm_scores(docs, lm.train(docs, lm.vocabulary(docs)))
+
+
 QUERIES = {
+    "op1_passages": (op1_passages, None),
     "op2_quality": (op2_quality, None),
     "op3_mix_sources": (op3_mix_sources, OP3_SQL),
     "op4_ngram_join": (op4_ngram_join, OP4_SQL),
     "op5_decontaminate": (op5_decontaminate, OP5_SQL),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
+    "op7_urls": (op7_urls, None),
     "op8_toxicity": (op8_toxicity, None),
+    "op9_personal_data": (op9_personal_data, None),
+    "op10_lm_scores": (op10_lm_scores, None),
 }

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.llm.tables import col, fresh
+from corpuscope.session import staged
 
 # Labelled rows the lexicon is learned from, at most; the ones with the smallest hash of their id.
 SAMPLE = 20_000
@@ -62,6 +63,16 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(fold(text))
 
 
+def terms_of(words: set[str]) -> set[str]:
+    """Possible entries of a text: its words, and the beginnings that two or more of its different words share."""
+    stems: dict = {}
+    for w in words:
+        for n in STEMS:
+            if len(w) >= n:
+                stems[w[:n]] = stems.get(w[:n], 0) + 1
+    return words | {s + "*" for s, n in stems.items() if n > 1}
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Entries with weights, exception phrases, and the calibration of the score.
@@ -79,29 +90,30 @@ class Lexicon:
 
     def automaton(self):
         found = ahocorasick.Automaton()
-        for entry, weight in self.entries.items():
-            pattern = " " + entry[:-1] if entry.endswith("*") else " " + entry + " "
-            found.add_word(pattern, (pattern, float(weight)))
+        patterns: dict = {}
+        for entry in self.entries:
+            patterns.setdefault(" " + entry[:-1] if entry.endswith("*") else " " + entry + " ", [None, False])[0] = entry
         for phrase in self.exceptions:
-            pattern = " " + phrase + " "
-            found.add_word(pattern, (pattern, None))
+            patterns.setdefault(" " + phrase + " ", [None, False])[1] = True
+        for pattern, (entry, spared) in patterns.items():
+            found.add_word(pattern, (pattern, entry, spared))
         found.make_automaton()
         return found
 
-    def hits(self, automaton, words: list[str]) -> tuple[float, int]:
-        """Sum of the weights and number of matches; of matches from one place the longest counts."""
+    def matches(self, automaton, words: list[str]) -> list[str]:
+        """Entry of each match; of matches from one place the longest counts, and none inside an exception."""
         if not words or not len(automaton):
-            return 0.0, 0
+            return []
         # A word's last space is the first one of the next: whole words in a row are all found.
         line = " " + " ".join(words) + " "
         spared, longest = [], {}
-        for end, (pattern, weight) in automaton.iter(line):
+        for end, (pattern, entry, exempt) in automaton.iter(line):
             start = end - len(pattern) + 1
-            if weight is None:
+            if exempt:
                 spared.append((start, end))
-            elif start not in longest or len(pattern) > longest[start][0]:
-                longest[start] = (len(pattern), weight)
-        total, n, reached, i = 0.0, 0, -1, 0
+            if entry is not None and (start not in longest or len(pattern) > longest[start][0]):
+                longest[start] = (len(pattern), entry)
+        found, reached, i = [], -1, 0
         spared.sort()
         for start in sorted(longest):
             while i < len(spared) and spared[i][0] <= start:
@@ -109,9 +121,13 @@ class Lexicon:
                 i += 1
             # The match is spared if a phrase that begins at or before it reaches past its first letter.
             if reached <= start + 1:
-                total += longest[start][1]
-                n += 1
-        return total, n
+                found.append(longest[start][1])
+        return found
+
+    def hits(self, automaton, words: list[str]) -> tuple[float, int]:
+        """Sum of the weights and number of the matches."""
+        found = self.matches(automaton, words)
+        return float(sum(self.entries[e] for e in found)), len(found)
 
     def density(self, total: float, n_words: int) -> float:
         return math.log1p(max(0.0, total) / max(1, n_words) ** self.length)
@@ -156,135 +172,134 @@ def toxicity_scores(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -
 
 
 def _terms(batches):
-    """Arrow function: the different words of each labelled text and the beginnings of those."""
+    """Arrow function: the possible entries of each labelled text."""
     for batch in batches:
         terms, ys = [], []
         for text, y in zip(batch.column("text"), batch.column("y").to_pylist()):
-            words = set(words_of(text.as_py() or ""))
-            own = words | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
+            own = terms_of(set(words_of(text.as_py() or "")))
             terms.extend(own)
             ys.extend([y] * len(own))
         yield pa.record_batch([pa.array(terms, pa.string()), pa.array(ys, pa.int64())], names=["term", "y"])
 
 
-def _pick(rows, n_bad: int, n_good: int):
-    """Entries by evidence: log odds against the labels, the shortest of those that say the same.
-
-    ``rows`` are (term, texts with label 1, texts with label 0).
-    """
-    scored = []
-    for term, bad, good in rows:
-        odds = math.log((bad + 0.5) / (n_bad + 1)) - math.log((good + 0.5) / (n_good + 1))
-        if bad >= SUPPORT and odds > 1.5:
-            # Signed root of the likelihood ratio against the base rate, as strength of evidence.
-            n, p = bad + good, n_bad / (n_bad + n_good)
-            q = min(max(bad / n, 1e-9), 1 - 1e-9)
-            scored.append((2 * n * (q * math.log(q / p) + (1 - q) * math.log((1 - q) / (1 - p))), odds, term, bad, good))
-    scored.sort(key=lambda s: (-s[0], s[2].endswith("*"), len(s[2]), s[2]))
-    return scored
-
-
 def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
                   sample: int = SAMPLE) -> Lexicon:
-    """Learn entries, exceptions and calibration from at most ``sample`` labelled rows; null labels are left out.
+    """Learn entries, exceptions, weights and calibration from at most ``sample`` labelled rows; null labels are left out.
 
-    Candidates are folded words and their beginnings. Their counts by label come from Spark; the driver sees only those
-    with enough support and the numbers of matches of the labelled rows. Entries are taken from the strongest evidence
-    down, as long as texts with label 1 remain that no entry matches. Words that an entry matches, but that stand in
-    texts of label 0 often enough, become exceptions. With one label only there are no entries.
+    Candidates are folded words, and beginnings that several words of a text share. Spark counts them by label; the
+    driver sees only those with enough support and, for the labelled rows, which of them they hold. Entries are taken
+    by greedy cover: most evidence in texts with label 1 that none matches yet. Words and pairs that an entry matches
+    but that texts of label 0 hold as often become exceptions. Weights come from a logistic regression on the number
+    of matches, none below zero. Texts that repeat count once. With one label only there are no entries.
     """
     marked = labels.select(col(id_col).alias("label_id"), col(label_col).cast("bigint").alias("y")).where("y is not null")
     own = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where(F.col("id").isNotNull())
-    # Ids first, then the texts of those that are taken.
+    # Ids first, then the texts of those that are taken: at most `sample` rows are broadcast.
     chosen = own.select("id").join(marked, F.col("id") == F.col("label_id")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = own.join(F.broadcast(chosen.select(F.col("id").alias("chosen"), "y").distinct()), F.col("id") == F.col("chosen"))
-    rows = rows.select("text", "y").persist()
-    try:
-        totals = dict(rows.groupBy("y").count().collect())  # two rows
-        n_bad, n_good = totals.get(1, 0), totals.get(0, 0)
-        if not n_bad or not n_good:
-            share = (n_bad + 1) / (n_bad + n_good + 2)
-            return Lexicon({}, bias=math.log(share / (1 - share)))
-        counts = rows.mapInArrow(_terms, "term string, y bigint").groupBy("term").agg(
-            F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-        odds = (F.col("bad") + 0.5) / (n_bad + 1) / ((F.col("good") + 0.5) / (n_good + 1))
-        strong = counts.where((F.col("bad") >= SUPPORT) & (odds > 4)).orderBy(
-            F.desc(F.col("bad") * F.log(odds)), "term").limit(8 * ENTRIES)
-        candidates = _pick([tuple(r) for r in strong.collect()], n_bad, n_good)
-        names = {c[2]: k for k, c in enumerate(candidates)}
-        by_text = rows.mapInArrow(_holding(names), "y bigint, held array<int>, n_words bigint").toArrow()
-        entries = _cover(candidates, by_text["held"].to_pylist(), by_text["y"].to_pylist())
-        draft = Lexicon(entries)
-        exceptions = _exceptions(rows, draft)
-        draft = Lexicon(entries, exceptions)
-        seen = rows.mapInArrow(_totals(draft), "y bigint, total double, n_words bigint").toArrow()
-        return calibrated(draft, seen["total"].to_numpy(), seen["n_words"].to_numpy(), seen["y"].to_numpy())
-    finally:
-        rows.unpersist()
+    rows = staged(rows.select("text", "y").dropDuplicates(["text"]), "labelled")
+    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per label
+    n_bad, n_good = totals.get(1, 0), totals.get(0, 0)
+    if not n_bad or not n_good:
+        share = (n_bad + 1) / (n_bad + n_good + 2)
+        return Lexicon({}, bias=math.log(share / (1 - share)))
+    counts = rows.mapInArrow(_terms, "term string, y bigint").groupBy("term").agg(
+        F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
+    odds = (F.col("bad") + 0.5) / (n_bad + 1) / ((F.col("good") + 0.5) / (n_good + 1))
+    strong = counts.where((F.col("bad") >= SUPPORT) & (odds > 4)).orderBy(
+        F.desc(F.col("bad") * F.log(odds)), F.length("term"), "term").limit(8 * ENTRIES).select("term").collect()
+    names = {r["term"]: k for k, r in enumerate(strong)}
+    held = rows.mapInArrow(_holding(names), "y bigint, held array<int>").toArrow()
+    entries = _cover(list(names), held["held"].to_pylist(), held["y"].to_numpy())
+    draft = Lexicon({e: 1.0 for e in entries})
+    draft = Lexicon(draft.entries, _exceptions(rows, draft, n_bad, n_good))
+    seen = rows.mapInArrow(_counted(draft), "y bigint, counts array<int>, n_words bigint").toArrow()
+    counted = np.array(seen["counts"].to_pylist(), dtype=float).reshape(len(seen), len(entries))
+    ys, lengths = seen["y"].to_numpy().astype(float), seen["n_words"].to_numpy()
+    draft = Lexicon(dict(zip(entries, _weights(counted, ys))), draft.exceptions)
+    return calibrated(draft, counted @ np.array(list(draft.entries.values())), lengths, ys)
 
 
 def _holding(names: dict):
-    """Arrow function: label, candidates and length of each labelled text."""
+    """Arrow function: label and candidates of each labelled text."""
 
     def run(batches):
         for batch in batches:
-            held, lengths = [], []
+            held = [sorted(names[t] for t in terms_of(set(words_of(text.as_py() or ""))) if t in names) for text in batch.column("text")]
+            yield pa.record_batch([batch.column("y"), pa.array(held, pa.list_(pa.int32()))], names=["y", "held"])
+
+    return run
+
+
+def _counted(lexicon: Lexicon):
+    """Arrow function: label, number of matches of each entry and length of each labelled text."""
+
+    def run(batches):
+        automaton = lexicon.automaton()
+        place = {e: k for k, e in enumerate(lexicon.entries)}
+        for batch in batches:
+            counts, lengths = [], []
             for text in batch.column("text"):
                 words = words_of(text.as_py() or "")
-                own = set()
-                for w in set(words):
-                    own.add(names.get(w))
-                    own.update(names.get(w[:n] + "*") for n in STEMS if len(w) >= n)
-                held.append(sorted(own - {None}))
+                row = [0] * len(place)
+                for entry in lexicon.matches(automaton, words):
+                    row[place[entry]] += 1
+                counts.append(row)
                 lengths.append(len(words))
-            yield pa.record_batch([batch.column("y"), pa.array(held, pa.list_(pa.int32())), pa.array(lengths, pa.int64())],
-                                  names=["y", "held", "n_words"])
+            yield pa.record_batch([batch.column("y"), pa.array(counts, pa.list_(pa.int32())), pa.array(lengths, pa.int64())],
+                                  names=["y", "counts", "n_words"])
 
     return run
 
 
-def _cover(candidates, held, ys) -> dict:
-    """Entries by greedy cover: the candidate with most evidence in texts that no chosen one matches, until none is left."""
+def _cover(names: list, held, ys: np.ndarray) -> list:
+    """Entries by greedy cover: the candidate with most evidence in texts of label 1 that no chosen one matches, until none is left."""
     members: dict = {}
     for i, own in enumerate(held):
         for k in own:
             members.setdefault(k, []).append(i)
-    ys = np.array(ys)
-    n_bad, n_good = int((ys == 1).sum()), int((ys == 0).sum())
     members = {k: np.array(v) for k, v in members.items()}
-    uncovered = np.ones(len(ys), bool)
-    entries: dict = {}
-    left = set(members)
-    while left and len(entries) < ENTRIES:
-        best = (0.0, None, 0.0)
-        for k in sorted(left):
-            own = members[k]
-            open_bad = int((uncovered[own] & (ys[own] == 1)).sum())
-            if open_bad < max(2, SUPPORT // 2):
-                left.discard(k)
+    bad = ys == 1
+    n_bad, n_good = int(bad.sum()), int((~bad).sum())
+    rate = {}
+    for k, own in members.items():
+        n = int(bad[own].sum())
+        rate[k] = (math.log((n + 0.5) / (n_bad + 1)) - math.log((len(own) - n + 0.5) / (n_good + 1)), len(own) - n)
+    uncovered = bad.copy()
+    entries: list = []
+    while len(entries) < ENTRIES:
+        best = (0.0, None)
+        for k in sorted(members):
+            open_bad = int(uncovered[members[k]].sum())
+            if open_bad < SUPPORT:
+                del members[k]
                 continue
-            bad, good = int((ys[own] == 1).sum()), int((ys[own] == 0).sum())
-            odds = math.log((bad + 0.5) / (n_bad + 1)) - math.log((good + 0.5) / (n_good + 1))
-            gain = open_bad * odds - 1.0 * good
-            if odds > 2.0 and gain > best[0] + 1e-9:
-                best = (gain, k, odds)
+            odds, good = rate[k]
+            if odds > 2.0 and open_bad * odds - good > best[0] + 1e-9:
+                best = (open_bad * odds - good, k)
         if best[1] is None:
-            break
-        entries[candidates[best[1]][2]] = round(best[2], 4)
-        uncovered[members[best[1]]] = False
-        left.discard(best[1])
-    # All other whole words with strong evidence of their own add weight where they are not words of a chosen beginning.
-    stems = tuple(e[:-1] for e in entries if e.endswith("*"))
-    for evidence, odds, term, bad, good in candidates:
-        if len(entries) >= ENTRIES:
-            break
-        if not term.endswith("*") and term not in entries and good == 0 and bad >= 4 * SUPPORT and not (stems and term.startswith(stems)):
-            entries[term] = round(odds, 4)
+            return entries
+        entries.append(names[best[1]])
+        uncovered[members.pop(best[1])] = False
     return entries
 
 
-def _exceptions(rows: DataFrame, lexicon: Lexicon) -> tuple:
-    """Words, with the one before or after, that the lexicon matches and that texts of label 0 hold at least as often as their share."""
+def _weights(counts: np.ndarray, ys: np.ndarray, ridge: float = 1.0, steps: int = 600) -> list:
+    """Logistic weights of the numbers of matches (up to 8), none below zero, by projected gradient steps."""
+    if not counts.shape[1]:
+        return []
+    a = np.minimum(counts, 8)
+    w, b = np.ones(a.shape[1]), -4.0
+    rate = np.array([1.0 / (0.25 * (a[:, j] ** 2).sum() + ridge) for j in range(a.shape[1])])
+    for _ in range(steps):
+        error = 1 / (1 + np.exp(-np.clip(a @ w + b, -30, 30))) - ys
+        w = np.maximum(0.0, w - rate * (a.T @ error + ridge * w / 10))
+        b -= 4.0 * error.mean()
+    return [round(float(x), 4) for x in w]
+
+
+def _exceptions(rows: DataFrame, lexicon: Lexicon, n_bad: int, n_good: int) -> tuple:
+    """Words, and pairs with the one before or after, that the lexicon matches and texts of label 0 hold no less often."""
 
     def run(batches):
         stems = tuple(e[:-1] for e in lexicon.entries if e.endswith("*"))
@@ -306,29 +321,14 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon) -> tuple:
 
     counts = rows.mapInArrow(run, "phrase string, bad bigint, good bigint").groupBy("phrase").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    fine = counts.where("good >= 2 and good >= bad").orderBy(F.desc("good"), "phrase").limit(EXCEPTIONS).collect()
+    fine = counts.where((F.col("good") >= 2) & (F.col("good") * n_bad >= F.col("bad") * n_good)).orderBy(F.desc("good"), "phrase").limit(EXCEPTIONS).collect()
     return tuple(r["phrase"] for r in fine)
 
 
-def _totals(lexicon: Lexicon):
-    def run(batches):
-        automaton = lexicon.automaton()
-        for batch in batches:
-            totals, lengths = [], []
-            for text in batch.column("text"):
-                words = words_of(text.as_py() or "")
-                totals.append(lexicon.hits(automaton, words)[0])
-                lengths.append(len(words))
-            yield pa.record_batch([batch.column("y"), pa.array(totals, pa.float64()), pa.array(lengths, pa.int64())],
-                                  names=["y", "total", "n_words"])
-
-    return run
-
-
 def calibrated(lexicon: Lexicon, totals, lengths, ys) -> Lexicon:
     """Exponent of the length, slope and bias with the best log-likelihood (a little ridge keeps the slope finite)."""
     best = None
-    for exponent in (0.0, 0.25, 0.5, 0.75, 1.0):
+    for exponent in (0.125, 0.25, 0.5, 0.75, 1.0):
         x = np.log1p(np.maximum(0, totals) / np.maximum(1, lengths) ** exponent)
         spread = x.std() or 1.0
         a = np.stack([np.ones(len(x)), x / spread], axis=1)
