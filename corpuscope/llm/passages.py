@@ -1,4 +1,4 @@
-"""Substring dedup: paragraphs of a fixed number of words that begin at content-defined places, MinHash banding, exact Jaccard, components."""
+"""Substring dedup: paragraphs (lines, and runs of words from content-defined places), MinHash banding, exact Jaccard, components."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from corpuscope.llm.components import components
 from corpuscope.llm.sieve import BITS, bitmap, passes
-from corpuscope.llm.tables import col
-from corpuscope.llm.words import SPACED, documents_words, grams, mix
+from corpuscope.llm.tables import col, fresh
+from corpuscope.llm.words import SPACED, documents_lines, grams, mix
 from corpuscope.session import staged
 
 # Words of a shingle, similarity of two paragraphs, words of a paragraph, and places among which one begins.
@@ -20,8 +20,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 LENGTH = 20
 PLACES = 32
-# Paragraphs with fewer different shingles (one word over and over) are not compared.
-LEAST = 10
 # Share of similar paragraphs that have to collide, and values of a band.
 RECALL = 0.98
 ROWS = 2
@@ -68,37 +66,52 @@ def anchors(hashes: np.ndarray, ends: np.ndarray, shingles: np.ndarray, places:
     return spots[spots + length <= ends[spots]]
 
 
+LINE, RUN = 0, 1
+
+
 def paragraphs(batch: pa.RecordBatch, length: int, places: int):
-    """Yield (document keys, first words, shingles) of the paragraphs of runs of documents; one row of sorted shingles each."""
+    """Yield the paragraphs of runs of documents: (kind, document keys, first words, numbers of words, shingles, cuts).
+
+    Lines of ``length`` words or more, and runs of ``length`` words from the :func:`anchors` on. The shingles of
+    paragraph i are ``shingles[cuts[i]:cuts[i + 1]]``, at least one.
+    """
     keys = batch.column("key").to_numpy()
-    for first, hashes, bounds in documents_words(batch.column("text"), SPACED):
+    for first, hashes, bounds, feeds in documents_lines(batch.column("text"), SPACED):
         shingles = grams(hashes, SHINGLE)
         if not len(shingles):
             continue
         counts = np.diff(bounds)
-        ends = np.repeat(bounds[1:], counts)
-        spots = anchors(hashes, ends, shingles, places, length)
+        document = np.repeat(np.arange(len(counts)), counts)
+        new = np.ones(len(hashes), bool)
+        new[1:] = (document[1:] != document[:-1]) | (feeds[1:] != feeds[:-1])
+        begins = np.flatnonzero(new)
+        sizes = np.diff(np.append(begins, len(hashes)))
+        begins, sizes = begins[sizes >= length], sizes[sizes >= length]
+        for i in range(0, len(begins), 1 << 14):
+            part, n = begins[i:i + (1 << 14)], sizes[i:i + (1 << 14)]
+            cuts = np.concatenate([[0], np.cumsum(n - SHINGLE + 1)])
+            at = np.arange(cuts[-1]) + np.repeat(part - cuts[:-1], n - SHINGLE + 1)
+            yield LINE, keys[first + document[part]], part - bounds[document[part]], n, shingles[at], cuts
+        spots = anchors(hashes, np.repeat(bounds[1:], counts), shingles, places, length)
+        wide = length - SHINGLE + 1
         for i in range(0, len(spots), 1 << 16):
             part = spots[i:i + (1 << 16)]
-            rows = np.sort(shingles[part[:, None] + np.arange(length - SHINGLE + 1)], axis=1)
-            enough = 1 + np.count_nonzero(rows[:, 1:] != rows[:, :-1], axis=1) >= LEAST
-            part, rows = part[enough], rows[enough]
-            document = np.searchsorted(bounds, part, side="right") - 1
-            yield keys[first + document], part - bounds[document], rows
+            rows = shingles[part[:, None] + np.arange(wide)]
+            yield RUN, keys[first + document[part]], part - bounds[document[part]], np.full(len(part), length), rows.ravel(), np.arange(len(part) + 1) * wide
 
 
-def node_ids(keys: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+def node_ids(kind: int, keys: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """One 64-bit number for a paragraph of a document."""
-    return mix(keys.view(np.uint64) ^ mix(firsts.astype(np.uint64) + np.uint64(1)))
+    return mix(keys.view(np.uint64) ^ mix(2 * firsts.astype(np.uint64) + np.uint64(kind + 1)))
 
 
-def band_keys(rows: np.ndarray, bands: int, per_band: int) -> np.ndarray:
-    """MinHash keys, paragraphs x bands."""
-    out = np.empty((len(rows), bands), np.uint64)
+def band_keys(kind: int, shingles: np.ndarray, cuts: np.ndarray, bands: int, per_band: int) -> np.ndarray:
+    """MinHash keys, paragraphs x bands; lines and runs never collide."""
+    out = np.empty((len(cuts) - 1, bands), np.uint64)
     for j in range(bands):
-        key = np.full(len(rows), j + 1, np.uint64)
+        key = np.full(len(cuts) - 1, 2 * j + kind + 1, np.uint64)
         for i in range(per_band):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + (rows * _SEEDS[j * per_band + i]).min(axis=1))
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(shingles * _SEEDS[j * per_band + i], cuts[:-1]))
         out[:, j] = key
     return out
 
@@ -145,11 +158,9 @@ def _bands(length: int, places: int, bands: int, per_band: int, bits: int):
     def run(batches):
         tokens, nodes, size = [], [], 0
         for batch in batches:
-            for keys, firsts, rows in paragraphs(batch, length, places):
-                if not len(rows):
-                    continue
-                tokens.append(band_keys(rows, bands, per_band).ravel())
-                nodes.append(np.repeat(node_ids(keys, firsts), bands))
+            for kind, keys, firsts, _, shingles, cuts in paragraphs(batch, length, places):
+                tokens.append(band_keys(kind, shingles, cuts, bands, per_band).ravel())
+                nodes.append(np.repeat(node_ids(kind, keys, firsts), bands))
                 size += len(tokens[-1])
                 if size >= CHUNK:
                     yield _send(np.concatenate(tokens), np.concatenate(nodes), bits)
@@ -176,14 +187,16 @@ def _wanted(sieve, length: int, places: int):
 
     def run(batches):
         for batch in batches:
-            for keys, firsts, rows in paragraphs(batch, length, places):
-                nodes = node_ids(keys, firsts)
+            for kind, keys, firsts, n, shingles, cuts in paragraphs(batch, length, places):
+                nodes = node_ids(kind, keys, firsts)
                 keep = passes(sieve, nodes >> np.uint64(64 - BITS))
-                rows = rows[keep]
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel().view(np.int64)))
-                yield pa.record_batch([pa.array(nodes[keep].view(np.int64)), pa.array(keys[keep]), pa.array(firsts[keep]), lists],
-                                      names=["node", "key", "first", "shingles"])
+                sizes = np.diff(cuts)
+                kept = shingles[np.repeat(keep, sizes)].view(np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes[keep])]).astype(np.int32)
+                yield pa.record_batch(
+                    [pa.array(nodes[keep].view(np.int64)), pa.array(keys[keep]), pa.array(firsts[keep]), pa.array(n[keep].astype(np.int64)),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(kept))],
+                    names=["node", "key", "first", "n_words", "shingles"])
 
     return run
 
@@ -192,11 +205,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Paragraphs that stand in more than one document.
 
-    A paragraph is ``length`` words (runs of non-space, A-Z as a-z) from a content-defined place on: passages need not
-    begin or end with a line. Two are linked when their sets of SHINGLE-word shingles have a Jaccard similarity of
+    A paragraph is a line of ``length`` words or more (runs of non-space, A-Z as a-z), or ``length`` words from a
+    content-defined place on, as passages need not begin or end with a line. Two of a kind are linked when their sets of SHINGLE-word shingles have a Jaccard similarity of
     ``similarity`` or more; collisions in one of the MinHash bands are candidates, checked exactly. Every passage of
-    ``places + length - 1`` words (51) that documents share word by word is found; of similar ones about the share
-    ``recall``. Linked paragraphs form classes (components), and classes within one document are left out.
+    ``places + length - 1`` words (51) that documents share word by word is found (in a run of one word over and over
+    only the beginning of the run counts); of similar ones about the share ``recall``. Linked paragraphs form classes (components), and classes within one document are left out.
 
     Returns one row per paragraph: ``<id_col>, first_word, n_words, class_id, class_size, kept_in, removed``. ``class_id``
     is a number of the class, ``kept_in`` the smallest id in it; the first paragraph of that document stays, the others
@@ -206,14 +219,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bands = tuned_bands(similarity, recall)
     own = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     keyed = own.select("id", "text", F.xxhash64(F.col("id"), F.xxhash64("text")).alias("key"))
-    entries = (docs.agg(F.sum(F.octet_length(col(text_col)))).first()[0] or 0) / 6 / ((places + 1) / 2) * bands
+    # About six bytes a word, a run for every (places + 1) / 2 words, and half as many lines.
+    entries = 1.5 * (docs.agg(F.sum(F.octet_length(col(text_col)))).first()[0] or 0) / 6 / ((places + 1) / 2) * bands
     bits = max(1, math.ceil(math.log2(max(1.0, entries / BUCKET))))
     texts = keyed.select("key", "text")
     packed = texts.mapInArrow(_bands(length, places, bands, ROWS, bits), "bucket int, tokens binary, nodes binary, a binary, b binary")
     ties = staged(packed.groupBy("bucket").applyInArrow(_collisions, "a bigint, b bigint").distinct(), "ties")
     slot = F.shiftrightunsigned("node", 64 - BITS).alias("slot")
     sieve = bitmap(ties.select(F.col("a").alias("node")).union(ties.select("b")).select(slot))
-    units = staged(texts.mapInArrow(_wanted(sieve, length, places), "node bigint, key bigint, first bigint, shingles array<bigint>"), "paragraphs")
+    units = staged(texts.mapInArrow(_wanted(sieve, length, places), "node bigint, key bigint, first bigint, n_words bigint, shingles array<bigint>"), "paragraphs")
     sets = units.select("node", F.array_distinct("shingles").alias("s")).dropDuplicates(["node"])
     both = ties.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
@@ -221,13 +235,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
     classes = components(links)
     ids = keyed.select("key", "id").distinct()
-    members = units.select("node", "key", "first").distinct().join(classes, "node").select("component", "key", "first")
+    members = units.select("node", "key", "first", "n_words").distinct().join(classes, "node").select("component", "key", "first", "n_words")
     several = members.groupBy("component").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("class_size"))
     members = staged(members.join(several.where("low <> high").drop("low", "high"), "component").join(ids, "key"), "members")
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("key"), F.col("first"))
     kept = members.groupBy("component").agg(F.min(place).alias("kept"))
     return members.join(kept, "component").select(
-        F.col("id").alias(id_col), F.col("first").alias("first_word"), F.lit(length).cast("bigint").alias("n_words"),
+        F.col("id").alias(id_col), F.col("first").alias("first_word"), "n_words",
         F.col("component").alias("class_id"), "class_size", F.col("kept.id").alias("kept_in"),
         ((F.col("key") != F.col("kept.key")) | (F.col("first") != F.col("kept.first"))).alias("removed"))
 
@@ -239,10 +253,10 @@ def _cut(batches):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     for batch in batches:
         texts = []
-        for text, firsts, n in zip(batch.column("text").to_pylist(), batch.column("firsts").to_pylist(), batch.column("n").to_pylist()):
+        for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
             gone = set()
-            for first in firsts:
-                gone.update(range(first, first + n))
+            for place in places:
+                gone.update(range(place["first_word"], place["first_word"] + place["n_words"]))
             parts, end = [], 0
             for i, m in enumerate(word.finditer(text)):
                 if i in gone:
@@ -255,12 +269,12 @@ def _cut(batches):
 
 def without_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the removed paragraphs of :func:`repeated_passages` cut out of their texts; ids are taken as unique."""
-    gone = found.where("removed").groupBy(F.col(id_col).alias("__id")).agg(
-        F.collect_set("first_word").alias("__firsts"), F.max("n_words").alias("__n"))
-    joined = docs.join(gone, col(id_col).eqNullSafe(F.col("__id")), "left")
+    key, places = fresh(docs, "key"), fresh(docs, "places")
+    gone = found.where("removed").groupBy(F.col(id_col).alias(key)).agg(F.collect_set(F.struct("first_word", "n_words")).alias(places))
+    joined = docs.join(gone, col(id_col).eqNullSafe(col(key)), "left")
     row = F.struct(*[col(c) for c in docs.columns])
-    cut = joined.where("__firsts is not null").select(row.alias("row"), col(text_col).alias("text"), F.col("__firsts").alias("firsts"), F.col("__n").alias("n"))
+    cut = joined.where(col(places).isNotNull()).select(row.alias("row"), col(text_col).alias("text"), col(places).alias("places"))
     kind = cut.schema["row"].dataType.simpleString()
     cut = cut.mapInArrow(_cut, f"row {kind}, text string").select(
         *[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
-    return joined.where("__firsts is null").select(*[col(c) for c in docs.columns]).unionByName(cut)
+    return joined.where(col(places).isNull()).select(*[col(c) for c in docs.columns]).unionByName(cut)

@@ -18,10 +18,10 @@ CONTEXT = 32
 ACCEPT = 0.5
 
 # Base patterns. Inside words of digits and domains, separators that belong are first replaced one for one
-# (\u0001 in cards, \u0002 in domains), so that each pattern repeats single characters only and long runs need no stack.
+# (a space in a card by \u0001, a hyphen by \u0004, a dot in a domain by \u0002), so that each pattern repeats single characters only and long runs need no stack.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+\x02-]))[A-Za-z0-9._%+\x02-]+@[A-Za-z0-9-]+\x02[A-Za-z0-9\x02-]+"
 IP = r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
-CARD = r"[0-9\x01]{13,}"
+CARD = r"[0-9\x01\x04]{13,}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 # Wider patterns: spans that the base rules miss.
@@ -64,7 +64,8 @@ def _marked(text: Column, kind: str) -> Column:
     if kind == "email":
         return F.regexp_replace(F.translate(text, "\u0002", "\u0003"), r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", "\u0002")
     if kind == "card":
-        return F.regexp_replace(F.translate(text, "\u0001", "\u0003"), r"(?<=[0-9])[ -](?=[0-9])", "\u0001")
+        spaced = F.regexp_replace(F.translate(text, "\u0001\u0004", "\u0003\u0003"), r"(?<=[0-9]) (?=[0-9])", "\u0001")
+        return F.regexp_replace(spaced, r"(?<=[0-9])-(?=[0-9])", "\u0004")
     return text
 
 
@@ -75,7 +76,7 @@ def _pieces(text: Column, kind: str, pattern: str, base: bool, needed: Column) -
     values = F.regexp_extract_all(marked, F.lit(pattern), F.lit(0))
 
     def shown(value):
-        return F.translate(value, "\u0001\u0002", " .") if base else value
+        return F.translate(value, "\u0001\u0004\u0002", " -.") if base else value
 
     found = F.transform(values, lambda v, i: F.struct(
         F.lit(kind).alias("kind"), F.lit(base).alias("base"),

@@ -61,6 +61,8 @@ class _Powers:
 
 def _piece(data: np.ndarray, firsts: np.ndarray, table: np.ndarray):
     """Starts and hashes of the words in ``data``; ``firsts`` are the places where a document begins."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     values = table[data]
     inside = values != 0
     begins = inside.copy()
@@ -101,6 +103,12 @@ def documents_words(texts: pa.Array, table: np.ndarray):
     The words of row ``first + i`` have the hashes ``hashes[bounds[i]:bounds[i + 1]]``; null has none. Equal words have
     equal hashes; different words differ up to the chance of a 64-bit collision.
     """
+    for first, hashes, bounds, _ in documents_lines(texts, table):
+        yield first, hashes, bounds
+
+
+def documents_lines(texts: pa.Array, table: np.ndarray):
+    """As :func:`documents_words`, with the number of line feeds before each word (counted from anywhere above it)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string())
@@ -116,13 +124,21 @@ def documents_words(texts: pa.Array, table: np.ndarray):
         stop = min(max(stop, row + 1), n)
         lo, hi = offsets[row], offsets[stop]
         if stop == row + 1 and hi - lo > PIECE:
-            parts = [_piece(data[lo + a:lo + b], np.zeros(0, np.int64), table)[1] for a, b in _cuts(data[lo:hi], table)]
+            parts, feeds, before = [], [], 0
+            for a, b in _cuts(data[lo:hi], table):
+                part = data[lo + a:lo + b]
+                starts, hashes = _piece(part, np.zeros(0, np.int64), table)
+                ends = np.flatnonzero(part == 10)
+                parts.append(hashes)
+                feeds.append(before + np.searchsorted(ends, starts))
+                before += len(ends)
             hashes = np.concatenate(parts)
-            yield row, hashes, np.array([0, len(hashes)])
+            yield row, hashes, np.array([0, len(hashes)]), np.concatenate(feeds)
         else:
             firsts = offsets[row:stop] - lo
             starts, hashes = _piece(data[lo:hi], firsts[firsts < hi - lo], table)
-            yield row, hashes, np.searchsorted(starts, offsets[row:stop + 1] - lo)
+            feeds = np.searchsorted(np.flatnonzero(data[lo:hi] == 10), starts)
+            yield row, hashes, np.searchsorted(starts, offsets[row:stop + 1] - lo), feeds
         row = stop
 
 
