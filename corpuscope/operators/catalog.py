@@ -82,18 +82,18 @@ def catalog_names(catalog: DataFrame) -> DataFrame:
     )
 
 
-def call_lookup(catalog: DataFrame, significant_only: bool = True, first_match: bool = False) -> DataFrame:
+def call_lookup(catalog: DataFrame, significant_only: bool = True, all_matches: bool = False) -> DataFrame:
     """``(lookup, qualname)``: absolute names by themselves, relative ones by ``.last``.
 
-    With ``first_match`` a relative call stands for the first name only.
+    A relative call stands for one name, the smallest it can mean; whether that one is significant is asked afterwards.
+    With ``all_matches`` it stands for every name it can mean.
     """
     names = catalog_names(catalog)
-    if significant_only:
-        names = names.where(F.col("significant"))
-    relative = names.where(F.col("resolvable")).select(F.concat(F.lit("."), "last").alias("lookup"), "qualname")
-    if first_match:
-        relative = relative.groupBy("lookup").agg(F.min("qualname").alias("qualname"))
-    return relative.unionByName(names.select(F.col("qualname").alias("lookup"), "qualname"))
+    relative = names.where(F.col("resolvable")).select(F.concat(F.lit("."), "last").alias("lookup"), "qualname", "significant")
+    if not all_matches:
+        relative = relative.groupBy("lookup").agg(F.min(F.struct("qualname", "significant")).alias("first")).select("lookup", "first.*")
+    found = relative.unionByName(names.select(F.col("qualname").alias("lookup"), "qualname", "significant"))
+    return (found.where(F.col("significant")) if significant_only else found).select("lookup", "qualname")
 
 
 def _lookup_key(call: str) -> Column:
@@ -101,16 +101,20 @@ def _lookup_key(call: str) -> Column:
     return F.when(F.startswith(F.col(call), F.lit(ABSOLUTE_PREFIX)), F.col(call)).otherwise(last)
 
 
-def resolve_calls(calls: DataFrame, catalog: DataFrame, significant_only: bool = True, first_match: bool = False,
-                  key: str = "file_path") -> DataFrame:
-    """Catalog names each file's calls can mean: one row per file and name.
+def resolve_calls(calls: DataFrame, catalog: DataFrame, significant_only: bool = True, key: str = "file_path") -> DataFrame:
+    """Catalog names that each file's calls mean: one row per file and name, never more than its distinct calls.
 
-    One equi-join on the lookup key; no side is forced to be broadcast. The narrow lookup is small enough for it as a
-    rule, and Spark checks its size; beyond that the join is sorted and a hot method name is split by the adaptive
-    skew join. A file's rows lie together, so most duplicates go before the exchange.
+    One equi-join on the lookup key; the lookup has one row per key, so a hot method name is on one side only, where
+    the adaptive skew join can split it. A file's rows lie together, so most duplicates go before the exchange.
     """
     wanted = calls.select(key, _lookup_key("call").alias("lookup"))
-    return wanted.join(call_lookup(catalog, significant_only, first_match), "lookup").select(key, "qualname").distinct()
+    return wanted.join(call_lookup(catalog, significant_only), "lookup").select(key, "qualname").distinct()
+
+
+def call_candidates(calls: DataFrame, catalog: DataFrame, significant_only: bool = False) -> DataFrame:
+    """All catalog names that a call can mean: one row per called name and catalog name, whatever the number of files."""
+    wanted = calls.select(_lookup_key("call").alias("lookup")).distinct()
+    return wanted.join(call_lookup(catalog, significant_only, all_matches=True), "lookup").distinct()
 
 
 def change_details(catalog: DataFrame) -> DataFrame:
@@ -137,37 +141,26 @@ def change_report(resolved: DataFrame, catalog: DataFrame, key: str = "file_path
     )
 
 
-def analyze_files(files: DataFrame, catalog: DataFrame, content: str = "content", key: str = "file_path",
-                  first_match: bool = False) -> DataFrame:
-    """Per file: import flag, alignment, need of change and the list of changes.
+def file_changes(files: DataFrame, catalog: DataFrame, content: str = "content", key: str = "file_path") -> DataFrame:
+    """Change rows of the files that have the import; a file without it needs no change."""
+    flagged = files.where(has_import(content))
+    return change_report(resolve_calls(extract_calls(flagged, content, key), catalog, key=key), catalog, key)
+
+
+def analyze_files(files: DataFrame, catalog: DataFrame, content: str = "content", key: str = "file_path") -> DataFrame:
+    """Per file: import flag, alignment, need of change, number and names of the changes (rows: :func:`file_changes`).
 
-    The files are read once: each gives its distinct calls, or a single row without one, and both joins keep every
-    row, so the only exchange is the grouping by file. A file's list holds distinct catalog names and is bounded by
-    the catalog.
+    The files are read once: each gives its distinct calls, or a single row without one, and the join keeps every
+    row, so the only exchange is the grouping by file. Only names are gathered, at most one per distinct call.
     """
     found = F.array_distinct(F.regexp_extract_all(F.col(content), F.lit(CALL_PATTERN), F.lit(0)))
     flagged = files.select(key, content, has_import(content).alias("has_pyspark"))
     calls = flagged.select(key, "has_pyspark", F.explode_outer(F.when(F.col("has_pyspark"), found)).alias("call"))
-    # Rows without a call or a match get a key of their own file, so that a sorted join has no hot NULL key.
+    # Rows without a call get a key of their own file, so that a sorted join has no hot NULL key.
     own = F.concat(F.lit("?"), F.col(key))
-    details = change_details(catalog).select(F.col("qualname").alias("detail"), "*").drop("qualname")
-    rows = (
-        calls.select(key, "has_pyspark", F.coalesce(_lookup_key("call"), own).alias("lookup"))
-        .join(call_lookup(catalog, True, first_match), "lookup", "left")
-        .withColumn("detail", F.coalesce("qualname", own))
-        .join(details, "detail", "left")
-    )
-    entry = F.when(
-        F.col("qualname").isNotNull(),
-        F.struct(F.col("qualname").alias("function_name"), "reason", "suggestion", "deprecated", "parameter", "summary"),
-    )
-    listed = rows.groupBy(key).agg(
-        F.max("has_pyspark").alias("has_pyspark"), F.sort_array(F.collect_set(entry)).alias("changes")
-    )
-    return listed.select(
-        key,
-        "has_pyspark",
-        (F.size("changes") == 0).alias("aligned_with_3_5"),
-        (F.size("changes") > 0).alias("needs_modification"),
-        "changes",
-    )
+    rows = calls.select(key, "has_pyspark", F.coalesce(_lookup_key("call"), own).alias("lookup")).join(
+        call_lookup(catalog), "lookup", "left")
+    listed = rows.groupBy(key).agg(F.max("has_pyspark").alias("has_pyspark"), F.sort_array(F.collect_set("qualname")).alias("functions"))
+    n = F.size("functions").cast("bigint")
+    return listed.select(key, "has_pyspark", (n == 0).alias("aligned_with_3_5"), (n > 0).alias("needs_modification"),
+                         n.alias("n_changes"), "functions")

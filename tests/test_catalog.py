@@ -3,7 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpuscope.functions.markup import clean_markup
-from corpuscope.operators.catalog import analyze_files, change_report, extract_calls, insert_ignore, mine_version_info, resolve_calls
+from corpuscope.operators.catalog import analyze_files, call_candidates, extract_calls, file_changes, insert_ignore, mine_version_info, resolve_calls
 from corpuscope.operators.topk import first_per_group
 from corpuscope.sources.catalog import CATALOG_COLUMNS, catalog_dims, read_api_catalog, write_api_catalog
 from tests.conftest import plan, rows
@@ -73,42 +73,60 @@ FILES = [
 ]
 
 
-def brute_resolve(text, names, modules):
+def brute_options(call, names, modules):
     classes = {n.split(".")[-2] for n in names if n.count(".") > 1}
-    found = set()
-    for call in re.findall(r"\b(?:pyspark(?:\.\w+)+|\w+\.\w+)\b", text):
-        if call.startswith("pyspark."):
-            options = {call}
-        else:
-            last = call.split(".")[-1]
-            options = {f"{m}.{last}" for m in modules} | {f"{m}.{c}.{last}" for m in modules for c in classes}
-        found |= options & names
-    return found
-
-
-def test_resolution_equals_all_combinations(spark):
+    if call.startswith("pyspark."):
+        options = {call}
+    else:
+        last = call.split(".")[-1]
+        options = {f"{m}.{last}" for m in modules} | {f"{m}.{c}.{last}" for m in modules for c in classes}
+    return sorted(options & names)
+
+
+def brute_calls(text):
+    return re.findall(r"\b(?:pyspark(?:\.\w+)+|\w+\.\w+)\b", text)
+
+
+def test_resolution_equals_first_of_all_combinations(spark):
     known = catalog(spark)
     names = {r.qualname for r in known.collect()}
     modules = {r.module for r in known.collect()}
     files = spark.createDataFrame(FILES, "file_path string, content string")
-    got = rows(resolve_calls(extract_calls(files), known, significant_only=False))
-    want = sorted(((p, n) for p, t in FILES for n in brute_resolve(t, names, modules)), key=repr)
-    assert got == want
-    first = {r.qualname for r in resolve_calls(extract_calls(files), known, False, True).where("file_path = 'a.py'").collect()}
-    assert "pyspark.sql.Column.shared" in first
+    calls = extract_calls(files)
+    want = {(p, options[0]) for p, t in FILES for c in brute_calls(t) if (options := brute_options(c, names, modules))}
+    assert rows(resolve_calls(calls, known, significant_only=False)) == sorted(want, key=repr)
+    lookups = {(c if c.startswith("pyspark.") else "." + c.split(".")[-1], n)
+               for _, t in FILES for c in brute_calls(t) for n in brute_options(c, names, modules)}
+    assert rows(call_candidates(calls, known)) == sorted(lookups, key=repr)
+
+
+def test_rows_grow_with_the_calls(spark):
+    """Many classes share one method name: each call still gives one row."""
+    n = 300
+    base = spark.createDataFrame([(i, "pyspark.m", f"pyspark.m.C{i:03}.shared", "use x") for i in range(n)],
+                                 "n int, module string, qualname string, docstring string")
+    known = mine_version_info(base).withColumns({c: F.lit("") for c in ("pyspark_version", "type", "parameters", "returns")}).select(*CATALOG_COLUMNS)
+    for k in (10, 100):
+        files = spark.createDataFrame([(f"f{i}", "import pyspark\na.shared()\nb.shared()") for i in range(k)], "file_path string, content string")
+        assert resolve_calls(extract_calls(files), known).count() == k
+        assert file_changes(files, known).count() == k
+    assert call_candidates(extract_calls(files), known).count() == n
 
 
 def test_report_and_roll_up(spark):
     known = catalog(spark)
     files = spark.createDataFrame(FILES, "file_path string, content string")
-    report = {(r.file_path, r.function_name): r for r in change_report(resolve_calls(extract_calls(files), known), known).collect()}
+    report = {(r.file_path, r.function_name): r for r in file_changes(files, known).collect()}
     assert report["a.py", "pyspark.sql.DataFrame.old"].reason == "Deprecated in Pyspark 2.4"
-    assert report["d.py", "pyspark.sql.DataFrame.changed"].suggestion == "Supports y and z."if ("d.py", "pyspark.sql.DataFrame.changed") in report else True
+    assert not any(path == "c.py" for path, _ in report)
+    # The docstring has none of the phrases, so the changed name is no significant change.
+    assert ("d.py", "pyspark.sql.DataFrame.changed") not in report
     per_file = {r.file_path: r for r in analyze_files(files, known).collect()}
     assert per_file["a.py"].needs_modification and not per_file["a.py"].aligned_with_3_5
     assert per_file["b.py"].has_pyspark and per_file["b.py"].aligned_with_3_5
-    assert not per_file["c.py"].has_pyspark and per_file["c.py"].changes == []
-    assert [c.function_name for c in per_file["a.py"].changes] == sorted(c.function_name for c in per_file["a.py"].changes)
+    assert not per_file["c.py"].has_pyspark and per_file["c.py"].functions == []
+    for path, r in per_file.items():
+        assert r.functions == sorted(n for p, n in report if p == path) and r.n_changes == len(r.functions)
 
 
 def test_no_product_join(spark):

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from corpuscope.functions.markup import clean_markup
 from corpuscope.operators.catalog import (
     analyze_files,
+    call_candidates,
     catalog_names,
-    change_report,
     extract_calls,
+    file_changes,
     has_import,
     insert_ignore,
     is_significant,
@@ -163,22 +164,35 @@ CTES["named"] = """
           FROM catalog) c
 """
 CTES["matches"] = """
-    SELECT DISTINCT file_path, qualname FROM calls JOIN named ON split_part(call, '.', -1) = last
-    WHERE CASE WHEN starts_with(call, 'pyspark.') THEN call = qualname ELSE resolvable END
+    SELECT DISTINCT file_path, qualname FROM (
+        SELECT file_path, call, min(qualname) AS qualname FROM calls JOIN named ON split_part(call, '.', -1) = last
+        WHERE CASE WHEN starts_with(call, 'pyspark.') THEN call = qualname ELSE resolvable END
+        GROUP BY file_path, call)
 """
 RESOLVED_CALLS = sql("SELECT * FROM matches")
 
 
 def first_matches(spark, sf):
-    files = source_files(spark, sf)
-    return resolve_calls(extract_calls(files), catalog(spark, sf), significant_only=False, first_match=True)
+    """Names that calls of files with the import mean, with the number of files."""
+    files = source_files(spark, sf).where(has_import("content"))
+    found = resolve_calls(extract_calls(files), catalog(spark, sf), significant_only=False)
+    return found.groupBy("qualname").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-FIRST_MATCHES = sql("""
-    SELECT DISTINCT file_path, qualname FROM (
-        SELECT file_path, call, min(qualname) AS qualname FROM calls JOIN named ON split_part(call, '.', -1) = last
-        WHERE CASE WHEN starts_with(call, 'pyspark.') THEN call = qualname ELSE resolvable END
-        GROUP BY file_path, call)
+FIRST_MATCHES = sql(r"""
+    SELECT qualname, count(*) AS n_files FROM matches WHERE file_path IN (
+        SELECT file_path FROM source_files WHERE regexp_matches(content, 'import\s+pyspark|from\s+pyspark')) GROUP BY qualname
+""")
+
+
+def candidates(spark, sf):
+    return call_candidates(extract_calls(source_files(spark, sf)), catalog(spark, sf))
+
+
+CANDIDATES = sql("""
+    SELECT DISTINCT CASE WHEN starts_with(call, 'pyspark.') THEN call ELSE '.' || last END AS lookup, qualname
+    FROM (SELECT DISTINCT call FROM calls) JOIN named ON split_part(call, '.', -1) = last
+    WHERE CASE WHEN starts_with(call, 'pyspark.') THEN call = qualname ELSE resolvable END
 """)
 
 
@@ -209,19 +223,20 @@ CTES["reported"] = rf"""
 
 
 def call_changes(spark, sf):
-    known = catalog(spark, sf)
-    return change_report(resolve_calls(extract_calls(source_files(spark, sf)), known), known)
+    return file_changes(source_files(spark, sf), catalog(spark, sf))
 
 
-CALL_CHANGES = sql("SELECT * FROM reported")
+CALL_CHANGES = sql(r"""
+    SELECT * FROM reported WHERE file_path IN (
+        SELECT file_path FROM source_files WHERE regexp_matches(content, 'import\s+pyspark|from\s+pyspark'))
+""")
 
 
 def migration_report(spark, sf):
     report = analyze_files(source_files(spark, sf), catalog(spark, sf))
     return report.select(
         "file_path", "has_pyspark", "aligned_with_3_5", "needs_modification",
-        F.size("changes").cast("bigint").alias("n_changes"),
-        F.array_join("changes.function_name", "|").alias("functions"),
+        "n_changes", F.array_join("functions", "|").alias("functions"),
     )
 
 
@@ -252,6 +267,7 @@ QUERIES = {
     "extract_calls": (file_calls, FILE_CALLS),
     "catalog_names": (resolvable_names, RESOLVABLE_NAMES),
     "resolve_calls": (resolved_calls, RESOLVED_CALLS),
+    "call_candidates": (candidates, CANDIDATES),
     "first_match_calls": (first_matches, FIRST_MATCHES),
     "significant_names": (significant_names, SIGNIFICANT_NAMES),
     "change_report": (call_changes, CALL_CHANGES),
