@@ -7,14 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuscope.functions.text import normal_breaks, split_lines, strip
-from corpuscope.session import cut_lineage
 
 # Fixed value: longest added text that is put in without review.
 MAX_ADDED_CHARS = 500
-# Edits of one document folded in one go; longer lists take further rounds.
-EDITS_PER_ROUND = 1000
-
-EDIT = "struct<action:string,line_number:bigint,old:string,new:string>"
 
 
 def eligible(mods_action="action", old="old_code", new="new_code"):
@@ -70,64 +65,46 @@ def _step(state, e):
     )
 
 
-def apply_edits(docs: DataFrame, edits: DataFrame, key: str, text: str, per_round: int = EDITS_PER_ROUND) -> DataFrame:
+def apply_edits(docs: DataFrame, edits: DataFrame, key: str, text: str) -> DataFrame:
     """Documents after their edits.
 
     ``edits``: key, seq, action (add / modify / delete), line_number, old_code, new_code. Line edits come first, last
     line first, the others follow by ``seq``. modify and delete change the first occurrence; when the text is missing
     the document is ``rejected`` and its content NULL. Documents with an edit that may not be applied directly are
-    ``ineligible``, those without edits ``unchanged``. Unusable edits are counted in ``edits_skipped``.
+    ``ineligible``, those without edits ``unchanged``. Unusable edits are counted in ``edits_skipped``. Edits whose key
+    (NULL included) no document has give one row with the status ``missing_document``.
 
-    Each edit sees the result of the one before, so a document is one row's work; at most ``per_round`` of its edits
-    are ever collected together, longer lists are folded in rounds.
+    Each edit sees the result of the one before, so a document with its own edits is one row's work; nothing but the
+    edits is grouped, and the plan is the same for any number of them.
     """
     line = F.coalesce(F.col("line_number"), F.lit(0)).cast("bigint")
-    by_doc = Window.partitionBy(key)
-    placed = edits.select(
-        key,
-        F.row_number().over(by_doc.orderBy(F.greatest(line, F.lit(0)).desc(), F.col("seq"))).alias("__n"),
-        F.struct(
-            F.coalesce("action", F.lit("")).alias("action"),
-            line.alias("line_number"),
-            F.coalesce(strip("old_code"), F.lit("")).alias("old"),
-            F.coalesce(strip("new_code"), F.lit("")).alias("new"),
-        ).alias("__edit"),
-        eligible().alias("__fit"),
+    edit = F.struct(
+        (-F.greatest(line, F.lit(0))).alias("turn"),
+        F.col("seq").alias("seq"),
+        F.coalesce("action", F.lit("")).alias("action"),
+        line.alias("line_number"),
+        F.coalesce(strip("old_code"), F.lit("")).alias("old"),
+        F.coalesce(strip("new_code"), F.lit("")).alias("new"),
     )
-    longest = edits.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    rounds = max(1, -(-longest // per_round))
+    lists = edits.groupBy(F.col(key).alias("__key")).agg(
+        F.array_sort(F.collect_list(edit)).alias("__list"), F.min(eligible()).alias("__fit"))
     start = F.struct(
-        F.col(text).alias("text"), F.lit(True).alias("ok"), F.lit(0).alias("applied"), F.lit(0).alias("skipped")
+        F.col("__text").alias("text"), F.lit(True).alias("ok"), F.lit(0).alias("applied"), F.lit(0).alias("skipped")
     )
-    state = docs.select(key, F.col(text).alias("__text"), start.alias("__state"),
-                        F.lit(True).alias("__fit"), F.lit(0).cast("bigint").alias("__edits"))
-    for r in range(rounds):
-        part = placed if rounds == 1 else placed.where(
-            (F.col("__n") > r * per_round) & (F.col("__n") <= (r + 1) * per_round))
-        lists = part.groupBy(key).agg(
-            F.array_sort(F.collect_list(F.struct("__n", "__edit"))).alias("__list"),
-            F.min("__fit").alias("__part_fit"),
-        )
-        joined = state.join(lists, key, "left")
-        folded = F.aggregate(F.col("__list"), F.col("__state"), lambda s, e: _step(s, e["__edit"]))
-        state = joined.select(
-            key, "__text",
-            F.when(F.col("__list").isNull(), F.col("__state")).otherwise(folded).alias("__state"),
-            (F.col("__fit") & F.coalesce("__part_fit", F.lit(True))).alias("__fit"),
-            (F.col("__edits") + F.coalesce(F.size("__list"), F.lit(0)).cast("bigint")).alias("__edits"),
-        )
-        if r + 1 < rounds:
-            state = cut_lineage(state)
+    joined = docs.select(key, F.col(text).alias("__text"), F.lit(True).alias("__found")).join(
+        lists, F.col(key) == F.col("__key"), "full")
+    state = F.when(F.col("__found") & F.col("__list").isNotNull(), F.aggregate("__list", start, _step)).otherwise(start)
     status = (
-        F.when(F.col("__edits") == 0, "unchanged")
+        F.when(F.col("__found").isNull(), "missing_document")
+        .when(F.col("__list").isNull(), "unchanged")
         .when(~F.col("__fit"), "ineligible")
         .when(~F.col("__state.ok"), "rejected")
         .otherwise("edited")
     )
-    done = state.withColumn("status", status)
+    done = joined.withColumn("__state", state).withColumn("status", status)
     counted = F.col("status") == "edited"
     return done.select(
-        key,
+        F.coalesce(key, "__key").alias(key),
         "status",
         F.when(F.col("status").isin("edited", "unchanged"), F.col("__state.text")).alias(text),
         F.when(counted, F.col("__state.applied")).otherwise(F.lit(0)).cast("bigint").alias("edits_applied"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuscope.operators.topk import first_per_group
+from corpuscope.operators.topk import first_per_group, positions
 
 # Messages kept per key, seconds until a session ends.
 HISTORY_CAP = 50
@@ -105,32 +107,68 @@ def session_status(state: DataFrame, histories: DataFrame, keys, columns=("statu
     )
 
 
-# Positions per block when a conversation is spread; only its last ``history`` turns are repeated in the next block.
+# Positions per block when a conversation is spread.
 BLOCK = 1000
 
 
-def _spread(turns: DataFrame, keys, position: str, before: int):
-    """Turns by block of positions, each block led by the ``before`` turns ahead of it (``own`` is false there).
+def _numbered(turns: DataFrame, keys, position: str, width: int) -> DataFrame:
+    """Turns with their place in the conversation (``__at``, from 0) and its block, whatever the gaps between positions."""
+    cell = turns.withColumn("__cell", F.floor(F.col(position) / BLOCK))
+    placed = positions(cell, list(keys), ["__cell"], [position], "__at").drop("__cell")
+    return placed.withColumn("__at", F.col("__at") - 1).withColumn("__block", F.floor(F.col("__at") / width))
+
+
+def _listed(column: str, frame, separator: str):
+    """Messages of a frame, joined; NULL where it has none."""
+    found = F.collect_list(column).over(frame)
+    return F.when(F.size(found) > 0, F.array_join(found, separator))
 
-    Positions are list positions 0..n-1, so a conversation of any length is spread over blocks of bounded size.
+
+def _earlier(turns: DataFrame, keys, position: str, text: str, separator: str, history: int | None) -> DataFrame:
+    """Adds ``__earlier``: the messages before each turn, joined; NULL where there are none.
+
+    A conversation of any length is spread over blocks of places. With ``history`` each block is led by that many turns
+    ahead of it; without, the texts of all earlier blocks are joined to its turns.
+    """
+    keys = list(keys)
+    width = BLOCK if history is None else max(BLOCK, 20 * history)
+    placed = _numbered(turns, keys, position, width)
+    in_block = Window.partitionBy(*keys, "__block").orderBy("__at")
+    if history is not None:
+        own = F.struct(F.col("__block").alias("block"), F.lit(True).alias("own"))
+        led = F.struct((F.col("__block") + 1).alias("block"), F.lit(False).alias("own"))
+        copies = F.when(F.col("__at") % width >= width - history, F.array(own, led)).otherwise(F.array(own))
+        spread = placed.withColumn("__copy", F.explode(copies)).withColumn("__block", F.col("__copy.block"))
+        found = spread.withColumn("__earlier", _listed(text, in_block.rowsBetween(-history, -1), separator))
+        return found.where("__copy.own").drop("__copy", "__block", "__at")
+    inside = placed.withColumn("__inside", _listed(text, in_block.rowsBetween(Window.unboundedPreceding, -1), separator))
+    messages = F.sort_array(F.collect_list(F.when(F.col(text).isNotNull(), F.struct("__at", F.col(text).alias("m")))))
+    blocks = placed.groupBy(*keys, "__block").agg(F.array_join(F.transform(messages, lambda x: x["m"]), separator).alias("t"), F.size(messages).alias("n"))
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("t", F.when(F.col("n") > 0, F.col("t"))).withColumn("__ahead", _listed("t", before, separator))
+    names = {c: f"__of_{i}" for i, c in enumerate([*keys, "__block"])}
+    ahead = blocks.where("__ahead is not null").select(*[F.col(c).alias(n) for c, n in names.items()], "__ahead")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    joined = inside.join(ahead, same, "left").drop(*names.values())
+    return joined.withColumn("__earlier", F.concat_ws(separator, "__ahead", "__inside")).withColumn(
+        "__earlier", F.when(F.col("__ahead").isNotNull() | F.col("__inside").isNotNull(), F.col("__earlier"))
+    ).drop("__ahead", "__inside", "__block", "__at")
+
+
+def running_context(turns: DataFrame, keys, position: str = "turn", text: str = "text", history: int | None = None) -> DataFrame:
+    """Per turn: all earlier messages and itself, one per line; with ``history`` at most so many earlier ones.
+
+    The whole context of every turn grows with the square of a conversation; :func:`last_context` gives one row each.
     """
-    width = max(BLOCK, 20 * before)
-    place = F.col(position) % width
-    block = F.floor(F.col(position) / width)
-    copies = F.when(
-        place >= width - before,
-        F.array(F.struct(block.alias("block"), F.lit(True).alias("own")),
-                F.struct((block + 1).alias("block"), F.lit(False).alias("own"))),
-    ).otherwise(F.array(F.struct(block.alias("block"), F.lit(True).alias("own"))))
-    return turns.select("*", F.explode(copies).alias("__b")).select("*", "__b.block", "__b.own").drop("__b")
+    found = _earlier(turns, keys, position, text, "\n", history)
+    return found.withColumn("context", F.concat_ws("\n", "__earlier", text)).drop("__earlier")
 
 
-def running_context(turns: DataFrame, keys, position: str = "turn", text: str = "text", history: int = HISTORY_CAP) -> DataFrame:
-    """Per turn: the earlier messages (at most ``history``, the size of the stored list) and itself, one per line."""
-    spread = _spread(turns, keys, position, history)
-    frame = Window.partitionBy(*keys, "block").orderBy(position).rowsBetween(-history, 0)
-    context = F.array_join(F.collect_list(text).over(frame), "\n")
-    return spread.withColumn("context", context).where("own").drop("block", "own")
+def last_context(turns: DataFrame, keys, position: str = "turn", text: str = "text") -> DataFrame:
+    """Per conversation: number of messages and all of them in order, one per line."""
+    message = F.when(F.col(text).isNotNull(), F.struct(F.col(position).alias("at"), F.col(text).alias("m")))
+    listed = F.sort_array(F.collect_list(message))
+    return turns.groupBy(*keys).agg(F.count(text).alias("messages"), F.array_join(F.transform(listed, lambda x: x["m"]), "\n").alias("context"))
 
 
 # Texts of the follow-up task.
@@ -138,10 +176,8 @@ FOLLOWUP = ("\n\n --- the above are the previously used user_queries. ---", "\n
             "\n\n Please create a new approach considering this feedback.")
 
 
-def followup_context(turns: DataFrame, keys, position: str = "turn", text: str = "text", history: int = HISTORY_CAP) -> DataFrame:
-    """Per turn: the earlier messages joined by commas, then the message as an additional requirement."""
-    spread = _spread(turns, keys, position, history)
-    frame = Window.partitionBy(*keys, "block").orderBy(position).rowsBetween(-history, -1)
-    earlier = F.array_join(F.collect_list(text).over(frame), ", ")
-    task = F.concat(earlier, F.lit(FOLLOWUP[0]), F.lit(FOLLOWUP[1]), F.col(text), F.lit(FOLLOWUP[2]))
-    return spread.withColumn("developer_task", task).where("own").drop("block", "own")
+def followup_context(turns: DataFrame, keys, position: str = "turn", text: str = "text", history: int | None = None) -> DataFrame:
+    """Per turn: all earlier messages (with ``history`` at most so many) joined by commas, then the message as an additional requirement."""
+    found = _earlier(turns, keys, position, text, ", ", history)
+    task = F.concat(F.coalesce("__earlier", F.lit("")), F.lit(FOLLOWUP[0]), F.lit(FOLLOWUP[1]), F.coalesce(text, F.lit("")), F.lit(FOLLOWUP[2]))
+    return found.withColumn("developer_task", task).drop("__earlier")

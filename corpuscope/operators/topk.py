@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,16 +33,19 @@ def positions(df: DataFrame, keys, coarse, order, name: str = "position") -> Dat
     """1-based position of every row within its group, without putting a whole group in one task.
 
     ``coarse`` are columns the order starts with. Rows are numbered per (key, coarse) cell and moved by the
-    number of rows in earlier cells of the key; only the cell counts are ever ordered per key.
+    number of rows in earlier cells of the key; only the cell counts are ever ordered per key. NULL is a key and a
+    value like any other (first in the order), so every row gets a position.
     """
     cell = [*keys, *coarse]
     counts = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy(*coarse).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*cell, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    names = {c: f"__at_{i}" for i, c in enumerate(cell)}
+    offsets = counts.select(*[F.col(c).alias(n) for c, n in names.items()], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     local = Window.partitionBy(*cell).orderBy(*order)
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
     return (
         df.withColumn("__local", F.row_number().over(local))
-        .join(offsets, cell)
+        .join(offsets, same)
         .withColumn(name, (F.col("__before") + F.col("__local")).cast("bigint"))
-        .drop("__before", "__local")
+        .drop("__before", "__local", *names.values())
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscope.operators.topk import positions
+
 # Parameters each operation needs, and the steps sent together.
 REQUIRED = {
     "read": ["path", "format"],
@@ -44,9 +46,11 @@ def check_steps(steps: DataFrame, keys=("config_id", "pos")) -> DataFrame:
     return steps.select(*keys, "op", F.explode(problem).alias("problem"))
 
 
-def batch_steps(steps: DataFrame, n: int = STEPS_PER_BATCH, pos: str = "pos") -> DataFrame:
-    """Batch number of every step from its 0-based position."""
-    return steps.withColumn("batch", F.floor(F.col(pos) / n).cast("bigint"))
+def batch_steps(steps: DataFrame, n: int = STEPS_PER_BATCH, pos: str = "pos", keys=("config_id",)) -> DataFrame:
+    """Batch number of every step: the steps of a list in the order of ``pos``, ``n`` at a time, whatever the gaps."""
+    cell = steps.withColumn("__cell", F.floor(F.col(pos) / 1000))
+    placed = positions(cell, list(keys), ["__cell"], [pos], "__at")
+    return placed.withColumn("batch", F.floor((F.col("__at") - 1) / n).cast("bigint")).drop("__cell", "__at")
 
 
 def _need(step: dict) -> None:
@@ -91,6 +95,8 @@ def _write(df: DataFrame, step: dict) -> None:
     columns = step.get("columns")
     out = df.select(*columns) if columns else df
     if step["format"] == "stdout":
-        out.show(int(step.get("rows", 20)), truncate=False)
+        shown = int(step.get("rows", 20))
+        out.show(shown, truncate=False)
+        print(f"{max(0, out.count() - shown)} rows not shown")
     else:
         out.write.mode(step.get("mode", "errorifexists")).format(step["format"]).save(step["path"])

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.text import any_of, file_name
 
-# Extensions scanned, folders skipped, largest file read.
+# Extensions scanned, folders skipped, size limit of the documented service.
 SOURCE_EXTENSIONS = [".py", ".js", ".ts", ".java", ".go", ".rs", ".cpp", ".c"]
 SKIPPED_FOLDERS = ["node_modules", "__pycache__", "venv"]
 MAX_FILE_BYTES = 1048576
+# Bytes one cell can hold.
+READABLE = (1 << 31) - 1
 
 CONFIG_SCHEMA = """
     data_sources array<struct<name string, type string, connection_params map<string,string>,
@@ -27,14 +29,16 @@ CONFIG_SCHEMA = """
 """
 
 
-def scan_sources(spark: SparkSession, root: str, extensions=None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def scan_sources(spark: SparkSession, root: str, extensions=None, max_bytes: int | None = None) -> DataFrame:
     """Text files below ``root`` with their file information.
 
-    Files above the size limit keep their information row with NULL content, as do files that are not UTF-8.
-    The extension filter runs on the listing, so other files are never opened.
+    ``content_status`` is ``text``, ``too_large`` (above ``max_bytes``, if given, or what a cell can hold) or
+    ``not_utf8``; content is NULL in the last two. The extension filter runs on the listing, so other files are never
+    opened; nor are those that are too large, whose rows come from a second scan without the content.
     """
     extensions = extensions or SOURCE_EXTENSIONS
     glob = "*{" + ",".join(extensions) + "}" if len(extensions) > 1 else "*" + extensions[0]
+    limit = READABLE if max_bytes is None else min(max_bytes, READABLE)
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -48,16 +52,25 @@ def scan_sources(spark: SparkSession, root: str, extensions=None, max_bytes: int
     skipped = F.exists(inner, lambda d: d.isin(SKIPPED_FOLDERS) | F.startswith(d, F.lit(".")))
     name = file_name("path")
     extension = F.regexp_extract(name, r"(?s)[^.](\.[^.]+)$", 1)
-    fits = (F.col("length") <= max_bytes) & F.is_valid_utf8(F.col("content").cast("string"))
-    return raw.where(~skipped).select(
-        F.col("path").alias("file_path"),
-        name.alias("name"),
-        extension.alias("extension"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"),
-        (extension == ".py").alias("is_python"),
-        F.when(fits, F.col("content").cast("string")).alias("content"),
-    ).where(any_of(F.endswith(F.col("name"), F.lit(e)) for e in extensions))
+    wanted = any_of(F.endswith(name, F.lit(e)) for e in extensions) & ~skipped
+
+    def described(rows, content, status):
+        return rows.where(wanted).select(
+            F.col("path").alias("file_path"),
+            name.alias("name"),
+            extension.alias("extension"),
+            F.col("length").alias("size"),
+            F.col("modificationTime").alias("modified"),
+            (extension == ".py").alias("is_python"),
+            content.alias("content"),
+            status.alias("content_status"),
+        )
+
+    text = F.col("content").cast("string")
+    readable = F.is_valid_utf8(text)
+    return described(
+        raw.where(F.col("length") <= limit), F.when(readable, text), F.when(readable, "text").otherwise("not_utf8")
+    ).unionByName(described(raw.where(F.col("length") > limit), F.lit(None).cast("string"), F.lit("too_large")))
 
 
 def write_sources(files: DataFrame, path: str, mode: str = "append") -> None:

@@ -108,6 +108,12 @@ def test_positions_match_row_number(spark):
         assert [r.position for r in sorted((r for r in got if r.k == k), key=lambda r: r.id)] == list(range(1, sum(r.k == k for r in got) + 1))
 
 
+def test_positions_with_nulls(spark):
+    df = spark.createDataFrame([(None, None, 1), (None, 1, 2), ("a", None, 3), ("a", 1, 4), ("a", None, 0)], "k string, c int, id int")
+    got = {r.id: r.position for r in positions(df, ["k"], ["c"], ["id"]).collect()}
+    assert got == {1: 1, 2: 2, 0: 1, 3: 2, 4: 3}
+
+
 def test_roll_ups(spark):
     plans, mods = frames(spark)
     entries = change.plan_entries(change.alignment(plans, mods, requests(spark)))
@@ -169,27 +175,31 @@ EDIT_CASES = [
 ]
 
 
-@pytest.mark.parametrize("per_round", [1000, 2, 1])
-def test_edits(spark, per_round):
+def test_edits(spark):
     docs = spark.createDataFrame([(i, DOC) for i in range(len(EDIT_CASES))], "id int, text string")
     flat = [(i, n, *e) for i, case in enumerate(EDIT_CASES) for n, e in enumerate(case[0])]
     edits = spark.createDataFrame(flat, "id int, seq int, action string, line_number int, old_code string, new_code string")
-    got = {r.id: (r.status, r.text, r.edits_applied, r.edits_skipped) for r in apply_edits(docs, edits, "id", "text", per_round).collect()}
+    got = {r.id: (r.status, r.text, r.edits_applied, r.edits_skipped) for r in apply_edits(docs, edits, "id", "text").collect()}
     for i, (listed, *want) in enumerate(EDIT_CASES[:-1]):
         assert got[i] == tuple(want), listed
     # A break at the end of the old text is trimmed away with it, so the empty line stays.
     assert got[len(EDIT_CASES) - 1] == ("edited", "\n" + DOC, 2, 0)
 
 
-def test_rounds_do_not_change_results(spark):
-    rng = random.Random(11)
-    docs = spark.createDataFrame([(i, "\n".join(rng.choice(["abc", "", "x y", "üñ"]) for _ in range(4))) for i in range(40)], "id int, text string")
-    flat = [(i, s, rng.choice(["add", "modify", "delete"]), rng.choice([0, 1, 2, 9]), rng.choice(["abc", "x"]), rng.choice(["new", "two"]))
-            for i in range(40) for s in range(rng.randint(1, 7))]
-    edits = spark.createDataFrame(flat, "id int, seq int, action string, line_number int, old_code string, new_code string")
-    whole = rows(apply_edits(docs, edits, "id", "text"))
-    assert rows(apply_edits(docs, edits, "id", "text", 3)) == whole
-    assert {r[1] for r in whole} == {"edited", "rejected"}
+def test_edits_without_document(spark):
+    docs = spark.createDataFrame([(1, DOC), (None, DOC)], "id int, text string")
+    edits = spark.createDataFrame([(2, 0, "add", 1, None, "x"), (None, 0, "add", 1, None, "y"), (1, 0, "add", 1, None, "z")],
+                                  "id int, seq int, action string, line_number int, old_code string, new_code string")
+    got = sorted((repr(r.id), r.status, r.text) for r in apply_edits(docs, edits, "id", "text").collect())
+    assert got == [("1", "edited", "z\n" + DOC), ("2", "missing_document", None), ("None", "missing_document", None), ("None", "unchanged", DOC)]
+
+
+def test_many_edits_of_one_document(spark):
+    docs = spark.createDataFrame([(1, "a")], "id int, text string")
+    edits = spark.range(3000).selectExpr("1 as id", "id as seq", "'modify' as action", "0 as line_number",
+                                         "concat('a', if(id = 0, '', cast(id as string))) as old_code", "concat('a', id + 1) as new_code")
+    got = apply_edits(docs, edits, "id", "text").first()
+    assert (got.status, got.text, got.edits_applied) == ("edited", "a3000", 3000)
 
 
 def test_line_delta_matches_counting(spark):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscope.operators import history
-from corpuscope.operators.history import (capped_history, delete_keys, followup_context, list_keys, live_sessions, merge_state,
+from corpuscope.operators.history import (capped_history, delete_keys, followup_context, last_context, list_keys, live_sessions, merge_state,
                                           replace_history, running_context, session_status, sessions)
 from corpuscope.operators.status import derive_status, status_counts
 from corpuscope.streaming.history import capped_history_stream, history_table_stream, latest_history, read_histories
@@ -73,18 +73,25 @@ def test_delete_and_replace(spark):
 
 
 @pytest.mark.parametrize("block", [1000, 8])
-def test_context_over_blocks(spark, monkeypatch, block):
+@pytest.mark.parametrize("cap", [None, 1, 3])
+def test_context_over_blocks(spark, monkeypatch, block, cap):
+    """A conversation longer than any cap, and one with gaps between its positions and a NULL message."""
     monkeypatch.setattr(history, "BLOCK", block)
-    turns = spark.createDataFrame([(c, t, f"c{c}t{t}") for c in (1, 2) for t in range(65 if c == 1 else 2)], "conv_id int, turn int, text string")
-    cap = 3 if block == 1000 else 0
-    cap = max(cap, 1)
+    long = [(1, t, f"c1t{t}") for t in range(65)]
+    gaps = [(2, t, None if t == 20 else f"c2t{t}") for t in (0, 10, 20, 1500, 2700, 5000)] + [(None, 7, "alone")]
+    turns = spark.createDataFrame(long + gaps, "conv_id int, turn int, text string")
     got = {(r.conv_id, r.turn): r.context for r in running_context(turns, ["conv_id"], history=cap).collect()}
     tasks = {(r.conv_id, r.turn): r.developer_task for r in followup_context(turns, ["conv_id"], history=cap).collect()}
+    assert len(got) == len(tasks) == len(long + gaps)
     for (c, t), text in got.items():
-        earlier = [f"c{c}t{i}" for i in range(max(0, t - cap), t)]
-        assert text == "\n".join([*earlier, f"c{c}t{t}"])
-        assert tasks[c, t].startswith(", ".join(earlier) + "\n\n --- the above") and f"requirements: c{c}t{t}\n" in tasks[c, t]
-    assert len(got) == 67
+        own = [x for x in long + gaps if x[0] == c]
+        at = [x[1] for x in own].index(t)
+        earlier = [x[2] for x in own[:at]][-cap if cap else 0:]
+        earlier = [m for m in earlier if m is not None]
+        assert text == "\n".join([*earlier, *([own[at][2]] if own[at][2] is not None else [])])
+        assert tasks[c, t].startswith(", ".join(earlier) + "\n\n --- the above") and f"requirements: {own[at][2] or ''}\n" in tasks[c, t]
+    whole = {r.conv_id: (r.messages, r.context) for r in last_context(turns, ["conv_id"]).collect()}
+    assert whole[1] == (65, "\n".join(x[2] for x in long)) and whole[2][0] == 5 and whole[None] == (1, "alone")
 
 
 def test_state_merge_and_status(spark):

@@ -60,7 +60,7 @@ def test_checks(spark):
     assert rows(check_steps(steps)) == [(1, 0, "read", "missing format"), (1, 1, "filter", "missing condition"), (1, 2, "zip", "unknown operation"),
                                        (3, 0, "custom_sql", "missing sql")]
     assert "Join" not in plan(check_steps(steps))
-    assert [r.batch for r in batch_steps(spark.range(25).select(F.col("id").alias("pos"))).orderBy("pos").collect()] == [i // 10 for i in range(25)]
+    assert [r.batch for r in batch_steps(spark.range(25).select((F.col("id") * 700).alias("pos"), F.lit(1).alias("config_id"))).orderBy("pos").collect()] == [i // 10 for i in range(25)]
     known = spark.createDataFrame([("example",)], "table_name string")
     asked = spark.createDataFrame([("example",), ("other",)], "table_name string")
     assert rows(resolve_tables(asked, known)) == [("example", "./examples/example.json")]

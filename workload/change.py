@@ -465,8 +465,8 @@ FIRST_WORD = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]+"
 
 
 def document_edits(spark, sf):
-    """Seven edits per document, among them some that cannot be applied for some documents."""
-    docs = table(spark, sf, "documents")
+    """Seven edits per document that is not French, among them some that cannot be applied for some documents, and edits of documents that are not there."""
+    docs = table(spark, sf, "documents").where(F.col("lang") != "fr")
     word = F.regexp_extract("text", FIRST_WORD, 0)
     none = F.lit(None).cast("string")
 
@@ -483,7 +483,8 @@ def document_edits(spark, sf):
         edit(5, F.lit("add"), 999999, none, F.lit("tail")),
         edit(6, F.lit("modify"), 0, F.lit("top"), F.lit("  ")),
     )
-    return docs.select("doc_id", F.explode(edits).alias("e")).select("doc_id", "e.*")
+    lost = docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.explode(F.slice(edits, 2, 1)).alias("e")).where("doc_id % 7 = 0")
+    return docs.select("doc_id", F.explode(edits).alias("e")).unionByName(lost).select("doc_id", "e.*")
 
 
 def edited_documents(spark, sf):
@@ -491,7 +492,7 @@ def edited_documents(spark, sf):
 
 
 CTES["edited"] = rf"""
-    SELECT doc_id, text, CASE WHEN lang = 'es' THEN 'ineligible' WHEN NOT contains(d, 'tion') THEN 'rejected' ELSE 'edited' END AS status,
+    SELECT doc_id, text, CASE WHEN lang = 'fr' THEN 'unchanged' WHEN lang = 'es' THEN 'ineligible' WHEN NOT contains(d, 'tion') THEN 'rejected' ELSE 'edited' END AS status,
            substr(d, 1, instr(d, 'tion') - 1) || substr(d, instr(d, 'tion') + 4) AS done
     FROM (SELECT *, substr(c, 1, instr(c, word) - 1) || 'EDITED' || substr(c, instr(c, word) + length(word)) AS d
           FROM (SELECT *, 'top' || chr(10) || b AS c
@@ -499,16 +500,18 @@ CTES["edited"] = rf"""
                       FROM (SELECT *, text || chr(10) || 'tail' AS a, regexp_extract(text, '{FIRST_WORD}') AS word FROM documents))))
 """
 EDITED_DOCUMENTS = sql("""
-    SELECT doc_id, status, CASE WHEN status = 'edited' THEN done END AS text,
+    SELECT doc_id, status, CASE status WHEN 'edited' THEN done WHEN 'unchanged' THEN text END AS text,
            CASE WHEN status = 'edited' THEN 5 ELSE 0 END::BIGINT AS edits_applied, CASE WHEN status = 'edited' THEN 2 ELSE 0 END::BIGINT AS edits_skipped
     FROM edited
+    UNION ALL SELECT -doc_id - 1, 'missing_document', NULL, 0, 0 FROM documents WHERE lang <> 'fr' AND (doc_id + 1) % 7 = 0
 """)
 
 
 def versions(spark, sf):
+    """Every document before and after; where the edits were not applied the text stays."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    done = edited_documents(spark, sf).select("doc_id", F.col("text").alias("new_text"))
-    return docs.join(done, "doc_id").where(F.col("new_text").isNotNull())
+    done = edited_documents(spark, sf).select("doc_id", F.col("text").alias("done"))
+    return docs.join(done, "doc_id").select("doc_id", "text", F.coalesce("done", "text").alias("new_text"))
 
 
 def document_delta(spark, sf):
@@ -521,11 +524,11 @@ BREAK = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]'"
 def lines_sql(column):
     return f"""SELECT doc_id, generate_subscripts(parts, 1)::BIGINT AS line_no, unnest(parts) AS line FROM (
         SELECT doc_id, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS parts
-        FROM (SELECT doc_id, regexp_split_to_array({column}, {BREAK}) AS p FROM edited WHERE status = 'edited'))"""
+        FROM (SELECT doc_id, regexp_split_to_array({column}, {BREAK}) AS p FROM edited))"""
 
 
 CTES["old_lines"] = lines_sql("text")
-CTES["new_lines"] = lines_sql("done")
+CTES["new_lines"] = lines_sql("CASE status WHEN 'edited' THEN done ELSE text END")
 CTES["delta"] = """
     SELECT n.doc_id, line_no, CASE WHEN seen > coalesce(had, 0) THEN '+' ELSE ' ' END AS flag, n.line
     FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY line_no) AS seen FROM new_lines) n

@@ -175,11 +175,20 @@ def conversation_context(spark, sf):
 
 
 CONVERSATION_CONTEXT = """
-    SELECT conv_id, turn, string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 50 PRECEDING AND CURRENT ROW) AS context
+    SELECT conv_id, turn, string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS context
     FROM conversations
 """
 
 
+def whole_conversations(spark, sf):
+    return history.last_context(table(spark, sf, "conversations"), ["conv_id"])
+
+
+WHOLE_CONVERSATIONS = """
+    SELECT conv_id, count(text) AS messages, string_agg(text, chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id
+"""
+
+
 def followup_tasks(spark, sf):
     turns = table(spark, sf, "conversations")
     return history.followup_context(turns, ["conv_id"]).select("conv_id", "turn", "developer_task")
@@ -187,7 +196,7 @@ def followup_tasks(spark, sf):
 
 FOLLOWUP_TASKS = """
     SELECT conv_id, turn,
-           coalesce(string_agg(text, ', ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), '')
+           coalesce(string_agg(text, ', ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')
            || chr(10) || chr(10) || ' --- the above are the previously used user_queries. ---' || chr(10)
            || ' Additional requirements: ' || text || chr(10) || chr(10) || ' Please create a new approach considering this feedback.' AS developer_task
     FROM conversations
@@ -295,6 +304,7 @@ QUERIES = {
     "delete_keys": (after_delete, AFTER_DELETE),
     "replace_history": (replaced, REPLACED),
     "running_context": (conversation_context, CONVERSATION_CONTEXT),
+    "last_context": (whole_conversations, WHOLE_CONVERSATIONS),
     "followup_context": (followup_tasks, FOLLOWUP_TASKS),
     "merge_state": (merged_state, MERGED_STATE),
     "session_status": (session_lookup, SESSION_LOOKUP),

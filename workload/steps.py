@@ -63,12 +63,14 @@ STEP_PROBLEMS = """
 
 def step_batches(spark, sf):
     turns = table(spark, sf, "conversations").withColumnRenamed("turn", "pos")
-    return batch_steps(turns, 3).groupBy("conv_id", "batch").agg(
+    return batch_steps(turns, 3, keys=["conv_id"]).groupBy("conv_id", "batch").agg(
         F.count(F.lit(1)).alias("steps"), F.min("pos").alias("first_pos"))
 
 
 STEP_BATCHES = """
-    SELECT conv_id, turn // 3 AS batch, count(*) AS steps, min(turn) AS first_pos FROM conversations GROUP BY ALL
+    SELECT conv_id, batch, count(*) AS steps, min(turn) AS first_pos FROM (
+        SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS batch, turn FROM conversations)
+    GROUP BY ALL
 """
 
 
@@ -199,16 +201,17 @@ def source_tree(spark, sf):
     """Documents written as text files per source, scanned as a tree, summed per folder."""
     out = shared_dir(spark, "tree")
     table(spark, sf, "documents").select("text", "source").write.partitionBy("source").text(out)
-    files = scan_sources(spark, out, [".txt"], max_bytes=1 << 30)
+    files = scan_sources(spark, out, [".txt"])
     folder = F.regexp_extract("file_path", "source=([^/]+)/", 1)
     return files.groupBy(folder.alias("folder")).agg(
         F.sum("size").alias("bytes"), F.sum(F.length("content")).alias("chars"),
-        F.min("is_python").alias("is_python"), F.min("extension").alias("extension"))
+        F.min("is_python").alias("is_python"), F.min("extension").alias("extension"),
+        F.max("content_status").alias("content_status"))
 
 
 SOURCE_TREE = """
     SELECT source AS folder, sum(strlen(text) + 1)::BIGINT AS bytes, sum(length(text) + 1)::BIGINT AS chars, false AS is_python,
-           '.txt' AS extension
+           '.txt' AS extension, 'text' AS content_status
     FROM documents GROUP BY source
 """
 
