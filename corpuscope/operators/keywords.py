@@ -1,4 +1,4 @@
-"""Name, metadata and keyword search. Requests are small lists; the artifacts are read once for all of them."""
+"""Name, metadata and keyword search for tables of requests; the artifacts are read once for all of them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.text import any_of, count_occurrences, ilike_term, word_count, words
 from corpuscope.operators.topk import first_per_group
-from corpuscope.sources.artifacts import LEVELS, all_levels, level_rank
+from corpuscope.sources.artifacts import KEYS, SCOPE_LEVEL, all_levels, level_rank, scope_level
 
 # Words that are no search terms, shortest term, score per level.
 STOP_WORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by"]
@@ -16,8 +16,8 @@ METADATA_SCORE = {"function": 0.95, "class": 0.9, "file": 0.85}
 METADATA_ORDER = ["function", "class", "file"]
 DENSITY = 0.01
 
-# Conditions put into one projection; longer request lists are done in further passes.
-CONDITIONS_PER_PASS = 500
+# Requests that one row of a block holds.
+REQUESTS_PER_BLOCK = 256
 
 
 def extract_terms(df: DataFrame, text: str, keys) -> DataFrame:
@@ -27,85 +27,79 @@ def extract_terms(df: DataFrame, text: str, keys) -> DataFrame:
     return df.select(*keys, F.posexplode(kept).alias("pos", "term")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def _matching(df: DataFrame, conditions) -> DataFrame:
-    """One row per artifact and condition that holds; ``conditions`` is a list of (struct column, condition)."""
-    found = F.array_compact(F.array(*[F.when(cond, tag) for tag, cond in conditions]))
-    return df.select("*", F.explode(found).alias("hit")).select("*", "hit.*").drop("hit")
+def like_term(lowered, term, literal: bool = False) -> Column:
+    """Containment of a term column in a lower-case text; ``%`` and ``_`` of the term stay wildcards unless literal."""
+    text, term = (F.col(c) if isinstance(c, str) else c for c in (lowered, F.lower(term)))
+    plain = F.contains(text, term)
+    if literal:
+        return plain
+    wild = F.contains(term, F.lit("%")) | F.contains(term, F.lit("_")) | F.contains(term, F.lit("\\"))
+    return F.when(wild, F.like(text, F.concat(F.lit("%"), term, F.lit("%")))).otherwise(plain)
 
 
-def _passes(df: DataFrame, conditions) -> DataFrame:
-    out = None
-    for i in range(0, len(conditions), CONDITIONS_PER_PASS):
-        part = _matching(df, conditions[i:i + CONDITIONS_PER_PASS])
-        out = part if out is None else out.unionByName(part)
-    return out
+def _meet(artifacts: DataFrame, requests: DataFrame, holds, kept=None) -> DataFrame:
+    """Artifacts with the requests that hold for them, one row each; a request is the column ``r``.
 
+    The requests are put together in blocks, so a row of artifacts is met by few rows whatever their number, and the
+    plan is the same for any. ``kept`` extends the artifacts that any request of a block hit, before they are multiplied.
+    """
+    block = F.floor(F.monotonically_increasing_id() / REQUESTS_PER_BLOCK)
+    blocks = requests.withColumn("__block", block).groupBy("__block").agg(
+        F.collect_list(F.struct(*requests.columns)).alias("__requests")).drop("__block")
+    met = artifacts.join(blocks).withColumn("__requests", F.filter("__requests", holds)).where(F.size("__requests") > 0)
+    met = met if kept is None else kept(met)
+    return met.withColumn("r", F.explode("__requests")).drop("__requests")
 
-def _id(value) -> Column:
-    return F.lit(value).cast("bigint") if isinstance(value, int) else F.lit(value)
 
+def _same_repo(r) -> Column:
+    return r["repo_id"].isNull() | (r["repo_id"] == F.col("repo_id"))
 
-def name_condition(names: str, lowered="__name", literal: bool = False) -> Column:
-    """Comma-separated names, each contained in the lower-case column."""
-    return any_of(ilike_term(lowered, n.strip(), literal) for n in names.split(","))
 
+def _with_repo(requests: DataFrame) -> DataFrame:
+    """Requests with a ``repo_id``; NULL stands for all repositories."""
+    return requests if "repo_id" in requests.columns else requests.withColumn("repo_id", F.lit(None).cast("string"))
 
-def name_lookup(levels: dict[str, DataFrame], requests, literal: bool = False) -> DataFrame:
-    """Rows whose name contains one of the names. ``requests``: (query_id, level, names)."""
-    for _, level, _ in requests:
-        if level not in LEVELS:
-            raise ValueError(f"Invalid type: {level}")
-    wanted = {level for _, level, _ in requests}
-    source = all_levels({x: levels[x] for x in LEVELS if x in wanted}).select(
-        "type", "file_path", "name", "parent_class", "enhanced_content", "rich_metadata", F.lower("name").alias("__name")
-    )
-    conditions = [
-        (
-            F.struct(_id(q).alias("query_id"), F.lit(f"Exact {level} match: {names}").alias("match_reason")),
-            (F.col("type") == level) & name_condition(names, literal=literal),
-        )
-        for q, level, names in requests
-    ]
-    hits = _passes(source, conditions)
-    return hits.select(
-        "query_id",
-        "type",
-        "file_path",
-        "name",
+
+def name_lookup(levels: dict[str, DataFrame], requests: DataFrame, literal: bool = False) -> DataFrame:
+    """Rows whose name contains one of the names.
+
+    ``requests``: query_id, level, names (comma-separated), and repo_id where wanted. A level that does not exist finds nothing.
+    """
+    asked = _with_repo(requests).select(
+        "query_id", "repo_id", "level", "names", F.transform(F.split("names", ","), lambda n: F.trim(n)).alias("list"))
+    source = all_levels(levels).select(*KEYS, "enhanced_content", "rich_metadata", F.lower("name").alias("__name"))
+
+    def holds(r):
+        return (r["level"] == F.col("type")) & _same_repo(r) & F.exists(r["list"], lambda n: like_term("__name", n, literal))
+
+    return _meet(source, asked, holds).select(
+        F.col("r.query_id").alias("query_id"),
+        *KEYS,
         F.lit(1.0).alias("relevance_score"),
         F.coalesce("enhanced_content", F.lit("")).alias("enhanced_content"),
-        F.coalesce("parent_class", F.lit("")).alias("parent_class"),
-        "match_reason",
+        F.concat(F.lit("Exact "), F.col("r.level"), F.lit(" match: "), F.col("r.names")).alias("match_reason"),
         F.coalesce("rich_metadata", F.lit("")).alias("rich_metadata"),
     )
 
 
-def metadata_search(levels: dict[str, DataFrame], requests, k: int = 20, literal: bool = False) -> DataFrame:
-    """Name matches of single terms with a fixed score per level. ``requests``: (query_id, [terms]).
+def metadata_search(levels: dict[str, DataFrame], terms: DataFrame, k: int = 20, literal: bool = False) -> DataFrame:
+    """Name matches of single terms with a fixed score per level.
 
-    Per term and level the first ``k`` by name are taken; a row found by several terms counts for the first one;
-    the best ``k`` per query remain. ``rank`` is the position in that list.
+    ``terms``: query_id, pos, term (as :func:`extract_terms` gives them), and repo_id where wanted. Per term and level
+    the first ``k`` by name are taken; a row found by several terms counts for the first one; the best ``k`` per query
+    remain. ``rank`` is the position in that list.
     """
-    source = all_levels(levels).select("type", "file_path", "name", F.lower("name").alias("__name"))
-    conditions = [
-        (F.struct(_id(q).alias("query_id"), F.lit(i).cast("bigint").alias("term_pos")), ilike_term("__name", t, literal))
-        for q, terms in requests
-        for i, t in enumerate(terms)
-    ]
-    if not conditions:
-        return source.where(F.lit(False)).select(
-            F.lit(0).cast("bigint").alias("query_id"), F.lit(0).cast("bigint").alias("rank"), "type", "file_path", "name",
-            F.lit(0.0).alias("score"))
+    asked = _with_repo(terms).select("query_id", "repo_id", "pos", "term")
+    source = all_levels(levels).select(*KEYS, F.lower("name").alias("__name"))
     branch = F.array_position(F.array(*[F.lit(x) for x in METADATA_ORDER]), F.col("type")).cast("int")
     score = F.create_map(*[F.lit(v) for pair in METADATA_SCORE.items() for v in pair])[F.col("type")]
-    hits = _passes(source, conditions).drop("__name").withColumn("branch", branch)
-    hits = first_per_group(hits, ["query_id", "term_pos", "type"], ["name", "file_path"], k)
-    hits = first_per_group(hits, ["query_id", "type", "file_path", "name"], ["term_pos"], 1)
-    hits = hits.withColumn("score", score)
-    order = [F.desc("score"), "term_pos", "branch", "name", "file_path"]
-    return first_per_group(hits, ["query_id"], order, k, rank="rank").select(
-        "query_id", "rank", "type", "file_path", "name", "score"
-    )
+    hits = _meet(source, asked, lambda r: _same_repo(r) & like_term("__name", r["term"], literal)).select(
+        F.col("r.query_id").alias("query_id"), F.col("r.pos").alias("term_pos"), *KEYS, branch.alias("branch"), score.alias("score"))
+    by_name = ["name", "file_path", "parent_class", "repo_id", "position"]
+    hits = first_per_group(hits, ["query_id", "term_pos", "type"], by_name, k)
+    hits = first_per_group(hits, ["query_id", *KEYS], ["term_pos"], 1)
+    order = [F.desc("score"), "term_pos", "branch", *by_name]
+    return first_per_group(hits, ["query_id"], order, k, rank="rank").select("query_id", "rank", *KEYS, "score")
 
 
 def _lowered(artifacts: DataFrame) -> DataFrame:
@@ -129,17 +123,9 @@ def keyword_relevance(lowered, n_words, keywords) -> Column:
     return F.when(count > 0, score).otherwise(F.lit(0.0))
 
 
-# Scope words of a keyword request; any other word means files.
-SCOPE_LEVEL = {"files": "file", "classes": "class", "functions": "function"}
-
-
-def scope_level(scope: str) -> str:
-    return "all" if scope == "all" else SCOPE_LEVEL.get(scope, "file")
-
-
 def keyword_filter(levels: dict[str, DataFrame], keywords, scope: str = "all", literal: bool = False) -> DataFrame:
     """Artifacts with any of the keywords in either text, over one level or all."""
-    source = all_levels(levels, scope_level(scope))
+    source = all_levels(levels, SCOPE_LEVEL.get(scope, "file"))
     return _lowered(source).where(keyword_condition(keywords, literal)).select(*source.columns)
 
 
@@ -149,41 +135,51 @@ def _word_counts(hits: DataFrame) -> DataFrame:
     return texts.withColumn("__words", word_count("__enhanced"))
 
 
+def _ranking() -> list:
+    """Order of keyword hits: score, then where they stand."""
+    return [F.desc("relevance_score"), "file_path", level_rank(), "name", "parent_class", "repo_id", "position"]
+
+
 def keyword_rank(hits: DataFrame, keywords, k: int | None = 20) -> DataFrame:
     """Keyword hits with their score; the best ``k``, or all with ``k=None``. Ties go by path, level and name."""
     scored = _word_counts(hits).select(
-        "type",
-        "file_path",
-        "name",
+        *KEYS,
+        "enhanced_content",
+        "rich_metadata",
         keyword_relevance("__enhanced", "__words", keywords).alias("relevance_score"),
         F.lit("Keyword matches: " + ", ".join(keywords)).alias("match_reason"),
     )
     if k is None:
         return scored
-    return scored.orderBy(F.desc("relevance_score"), "file_path", level_rank(), "name").limit(k)
-
-
-def keyword_match(levels: dict[str, DataFrame], requests, k: int = 20, literal: bool = False) -> DataFrame:
-    """Filter and rank for several requests in one scan. ``requests``: (query_id, keywords, scope)."""
-    reach = {scope_level(s) for _, _, s in requests}
-    source = all_levels(levels) if "all" in reach else all_levels({x: levels[x] for x in reach})
-    conditions = []
-    for q, keywords, scope in requests:
-        level = scope_level(scope)
-        holds = keyword_condition(keywords, literal)
-        tag = F.struct(_id(q).alias("query_id"), F.lit(", ".join(keywords)).alias("keywords"))
-        conditions.append((tag, holds if level == "all" else holds & (F.col("type") == level)))
-    texts = _lowered(source.select("type", "file_path", "name", "enhanced_content", "original_content"))
-    # Words are counted once per text that any request hits, and the hits leave the text behind.
-    hit = texts.where(any_of(c for _, c in conditions)).withColumn("__words", word_count("__enhanced"))
-    scores = [
-        (F.struct(*[F.lit(v).alias(n) for n, v in (("query_id", q), ("match_reason", "Keyword matches: " + ", ".join(kw)))],
-                  F.coalesce(keyword_relevance("__enhanced", "__words", kw), F.lit(0.0)).alias("relevance_score")), cond)
-        for (q, kw, _), (_, cond) in zip(requests, conditions)
-    ]
-    ranked = _passes(hit, scores).select(
-        F.col("query_id").cast("bigint") if all(isinstance(r[0], int) for r in requests) else F.col("query_id"),
-        "type", "file_path", "name", "relevance_score", "match_reason",
-    )
-    order = [F.desc("relevance_score"), "file_path", level_rank(), "name"]
-    return first_per_group(ranked, ["query_id"], order, k, rank="rank")
+    return scored.orderBy(*_ranking()).limit(k)
+
+
+def keyword_match(levels: dict[str, DataFrame], requests: DataFrame, k: int = 20, literal: bool = False) -> DataFrame:
+    """Filter and rank for a table of requests in one scan: query_id, keywords (array), scope, and repo_id where wanted.
+
+    Words are counted once per text that any request of a block hits.
+    """
+    asked = _with_repo(requests).select(
+        "query_id", "repo_id", "keywords", scope_level("scope").alias("level"),
+        F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda x: F.lower(x)).alias("lowered"))
+    source = all_levels(levels).select(*KEYS, "enhanced_content", "original_content", "rich_metadata")
+
+    def contained(r, text):
+        return F.exists(r["lowered"], lambda x: F.coalesce(like_term(text, x, literal), F.lit(False)))
+
+    def holds(r):
+        own = (r["level"] == "all") | (r["level"] == F.col("type"))
+        return own & _same_repo(r) & (contained(r, "__enhanced") | contained(r, "__original"))
+
+    def counted(met):
+        return met.withColumn("__text", F.coalesce("__enhanced", F.lit(""))).withColumn("__words", word_count("__text")).drop("__enhanced", "__original")
+
+    hits = _meet(_lowered(source).drop("original_content"), asked, holds, counted)
+    found = F.aggregate("r.lowered", F.lit(0).cast("bigint"), lambda total, x: total + F.when(
+        F.length(x) > 0, F.floor((F.length("__text") - F.length(F.replace(F.col("__text"), x, F.lit("")))) / F.length(x))).otherwise(0))
+    score = F.least(found / (F.col("__words") * F.greatest(F.size("r.lowered"), F.lit(1)) * F.lit(DENSITY)), F.lit(1.0))
+    ranked = hits.select(
+        F.col("r.query_id").alias("query_id"), *KEYS, "enhanced_content", "rich_metadata",
+        F.when(F.col("__words") > 0, score).otherwise(F.lit(0.0)).alias("relevance_score"),
+        F.concat(F.lit("Keyword matches: "), F.concat_ws(", ", "r.keywords")).alias("match_reason"))
+    return first_per_group(ranked, ["query_id"], _ranking(), k, rank="rank")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.operators.topk import first_per_group
+from corpuscope.sources.artifacts import KEYS
 
 # Sizes and texts of the hybrid merge.
 RERANK_KEEP = 8
@@ -13,8 +14,6 @@ SUMMARY_CHARS = 150
 METADATA_BOOST = 0.1
 HYBRID_REASON = "Hybrid match: semantic similarity + metadata keywords"
 
-KEYS = ["file_path", "name", "type"]
-
 
 def candidate_cards(candidates: DataFrame) -> DataFrame:
     """Candidates as shown to a ranker: 0-based index, score to three decimals, shortened description."""
@@ -24,7 +23,6 @@ def candidate_cards(candidates: DataFrame) -> DataFrame:
         "query_id",
         (F.col("rank") - 1).cast("bigint").alias("index"),
         *KEYS,
-        "parent_class",
         F.round("relevance_score", 3).alias("base_score"),
         F.when(F.length(text) > SUMMARY_CHARS, short).otherwise(text).alias("description"),
     )
@@ -46,7 +44,7 @@ def rerank(candidates: DataFrame, rankings: DataFrame, keep: int = RERANK_KEEP,
         .join(ranked_queries, "query_id", "left")
         .where(F.when(F.col("__ranked"), F.col("relevance").isNotNull()).otherwise(F.col("rank") <= keep))
     )
-    extra = [c for c in ("enhanced_content", "parent_class", "rich_metadata") if c in candidates.columns]
+    extra = [c for c in ("enhanced_content", "rich_metadata") if c in candidates.columns]
     scored = rows.select(
         "query_id",
         F.coalesce("pos", "index").alias("pos"),
@@ -86,9 +84,9 @@ def hybrid_merge(meta: DataFrame, vec: DataFrame) -> DataFrame:
 
 
 def best_per_file(df: DataFrame, k: int | None, order=None) -> DataFrame:
-    """First row of each file in score order, then the first ``k`` files per query."""
+    """First row of each file of a repository in score order, then the first ``k`` files per query."""
     order = order or [F.desc("relevance_score"), "ord"]
-    best = first_per_group(df, ["query_id", "file_path"], order, 1)
+    best = first_per_group(df, ["query_id", "repo_id", "file_path"], order, 1)
     if k is None:
         return best
     return first_per_group(best, ["query_id"], order, k, rank="rank")

@@ -1,9 +1,7 @@
-"""Exact cosine search over embeddings."""
+"""Exact cosine search over embeddings for a table of queries."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,150 +9,128 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.operators.topk import first_per_group
-from corpuscope.sources.artifacts import LEVELS, all_levels
+from corpuscope.sources.artifacts import KEYS, LEVELS, all_levels
 
-# Query vectors handled in one pass over the artifacts; more are done in further passes.
-QUERIES_PER_PASS = 256
-# Query vectors one request may hold; they pass through the driver.
-QUERIES_PER_REQUEST = 4096
-# Distances are compared at this many decimals; equal ones are ordered by level, path and name.
+# Query vectors multiplied with a chunk at a time.
+QUERIES_PER_STEP = 256
+# Distances are compared at this many decimals; equal ones are ordered by these columns.
 DISTANCE_DECIMALS = 9
-
-KEYS = ["type", "file_path", "name"]
-
-
-def query_vectors(queries: DataFrame, query_id: str = "query_id", vector: str = "embedding") -> dict:
-    """Query vectors of a request table as ``{query_id: vector}``; larger tables go through :func:`write_topk`."""
-    rows = queries.select(query_id, vector).limit(QUERIES_PER_REQUEST + 1).collect()
-    if len(rows) > QUERIES_PER_REQUEST:
-        raise ValueError(f"more than {QUERIES_PER_REQUEST} queries; use write_topk")
-    return {r[0]: [float(x) for x in r[1]] for r in rows}
-
-
-def query_blocks(queries: DataFrame, query_id: str = "query_id", vector: str = "embedding"):
-    """Blocks of about ``QUERIES_PER_PASS`` query vectors, one at a time."""
-    blocks = max(1, math.ceil(queries.count() / QUERIES_PER_PASS))
-    number = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    for b in range(blocks):
-        found = query_vectors(queries.where(number == b), query_id, vector)
-        if found:
-            yield b, found
-
-
-def write_topk(artifacts: DataFrame, queries: DataFrame, k: int, path: str, id_type: str = "bigint") -> None:
-    """Nearest rows for a query table of any size, written below ``path`` with one folder per block.
-
-    The driver holds one block at a time, and a repeated block overwrites its own folder.
-    """
-    for b, block in query_blocks(queries):
-        vector_topk(artifacts, block, k, id_type).write.mode("overwrite").parquet(f"{path}/block={b}")
-
-
-def _blocks(queries: dict) -> list[dict]:
-    items = list(queries.items())
-    return [dict(items[i:i + QUERIES_PER_PASS]) for i in range(0, len(items), QUERIES_PER_PASS)]
-
-
-def _nearest(block: dict, k: int, id_type: pa.DataType):
-    """Arrow function keeping, per partition, the k nearest rows of each query."""
-    ids = list(block)
-    matrix = np.array([block[i] for i in ids], dtype=np.float64)
-    norms = np.sqrt((matrix * matrix).sum(axis=1))
-    order = [("distance", "ascending"), ("level", "ascending"), ("file_path", "ascending"), ("name", "ascending")]
-
-    def distances(batch):
-        column = batch.column("embedding")
-        values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        width = matrix.shape[1]
-        if values.size != len(column) * width or np.unique(np.diff(column.offsets.to_numpy())).size > 1:
-            raise ValueError(f"embeddings must all have {width} dimensions")
-        rows = values.reshape(len(column), width)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            cosine = (rows @ matrix.T) / (np.sqrt((rows * rows).sum(axis=1))[:, None] * norms[None, :])
-        return np.round(1.0 - cosine, DISTANCE_DECIMALS) + 0.0
-
-    def nearer(d, limit):
-        """Rows that can still be among the k nearest; ties with the last one stay in and are settled by the order."""
-        if limit is not None and not np.isnan(limit):
-            return np.flatnonzero(d <= limit)
-        if len(d) <= k:
-            return np.arange(len(d))
-        return np.flatnonzero(~(d > np.partition(d, k - 1)[k - 1]))
-
-    def run(batches):
-        best: dict[int, pa.Table] = {}
-        bound: dict[int, float] = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            found = distances(batch)
-            keys = pa.Table.from_batches([batch.drop_columns(["embedding"])])
-            for q in range(len(ids)):
-                picked = nearer(found[:, q], bound.get(q))
-                if not len(picked):
-                    continue
-                rows = keys.take(pa.array(picked)).append_column("distance", pa.array(found[picked, q]))
-                if q in best:
-                    rows = pa.concat_tables([best[q], rows])
-                best[q] = rows = pc.take(rows, pc.select_k_unstable(rows, min(k, rows.num_rows), order))
-                if rows.num_rows == k:
-                    bound[q] = pc.max(rows["distance"]).as_py()
-        for q, rows in best.items():
-            tagged = rows.append_column("query_id", pa.array([ids[q]] * rows.num_rows, id_type))
-            yield from tagged.combine_chunks().to_batches()
-
-    return run
-
-
-def vector_topk(artifacts: DataFrame, queries, k: int = 20, id_type: str = "bigint") -> DataFrame:
+TIES = ["level", "file_path", "name", "parent_class", "repo_id", "position"]
+
+
+def _matrix(column: pa.ChunkedArray, what: str, width: int | None = None) -> np.ndarray:
+    """Vectors of equal length as rows."""
+    column = column.combine_chunks()
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    lengths = np.diff(column.offsets.to_numpy())
+    width = width if width is not None else (int(lengths[0]) if len(lengths) else 0)
+    if len(lengths) and (lengths != width).any():
+        raise ValueError(f"{what} must all have {width} dimensions")
+    return values.reshape(len(lengths), width)
+
+
+def _nearest(k: int):
+    """Function of one chunk of artifacts and the queries: the k nearest artifacts of the chunk for each query."""
+
+    def run(artifacts: pa.Table, queries: pa.Table) -> pa.Table:
+        names = ["level", *KEYS]
+        if not artifacts.num_rows or not queries.num_rows:
+            empty = artifacts.select(names).slice(0, 0)
+            return empty.append_column("distance", pa.array([], pa.float64())).append_column(
+                "query_id", queries.slice(0, 0).column("query_id"))
+        # Rows stand in the order that settles equal distances.
+        artifacts = artifacts.take(pc.sort_indices(artifacts, sort_keys=[(c, "ascending") for c in TIES]))
+        asked = _matrix(queries["embedding"], "query vectors")
+        rows = _matrix(artifacts["embedding"], "embeddings", asked.shape[1])
+        norms, lengths = np.sqrt((rows * rows).sum(axis=1)), np.sqrt((asked * asked).sum(axis=1))
+        repos, levels = np.array(artifacts["repo_id"].to_pylist(), object), np.array(artifacts["type"].to_pylist(), object)
+        own_repo, own_level = queries["repo_id"].to_pylist(), queries["level"].to_pylist()
+        spots, owners, distances = [], [], []
+        for i in range(0, len(asked), QUERIES_PER_STEP):
+            part = slice(i, i + QUERIES_PER_STEP)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                cosine = (rows @ asked[part].T) / (norms[:, None] * lengths[None, part])
+            found = np.round(1.0 - cosine, DISTANCE_DECIMALS) + 0.0
+            # Vectors of length zero have no distance; they come last.
+            key = np.where(np.isnan(found), np.finfo(float).max, found)
+            for j, (repo, level) in enumerate(zip(own_repo[part], own_level[part])):
+                if repo is not None:
+                    key[repos != repo, j] = np.inf
+                if level != "all":
+                    key[levels != level, j] = np.inf
+            at = min(k, len(rows)) - 1
+            bound = np.partition(key, at, axis=0)[at]
+            q, r = np.nonzero(((key <= bound) & (key < np.inf)).T)
+            order = np.lexsort((r, key[r, q], q))
+            q, r = q[order], r[order]
+            kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+            spots.append(r[kept])
+            owners.append(q[kept] + i)
+            distances.append(found[r[kept], q[kept]])
+        spots, owners = pa.array(np.concatenate(spots)), pa.array(np.concatenate(owners))
+        out = artifacts.select(names).take(spots)
+        return out.append_column("distance", pa.array(np.concatenate(distances))).append_column("query_id", queries["query_id"].take(owners))
+
+    def both(artifacts: pa.Table, queries: pa.Table) -> pa.Table:
+        found = run(artifacts, queries)
+        return found.select(["level", *KEYS, "distance", "query_id"])
+
+    return both
+
+
+def query_table(queries: DataFrame) -> DataFrame:
+    """``query_id, repo_id, level, embedding``; without a repository or level all are searched. NULL vectors find nothing."""
+    def given(name, default):
+        return F.col(name).cast("string") if name in queries.columns else F.lit(default).cast("string")
+
+    return queries.where(F.col("embedding").isNotNull()).select(
+        "query_id", given("repo_id", None).alias("repo_id"), F.coalesce(given("level", "all"), F.lit("all")).alias("level"),
+        F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def vector_topk(artifacts: DataFrame, queries: DataFrame, k: int = 20, chunks: int | None = None, query_blocks: int = 1) -> DataFrame:
     """The ``k`` rows nearest to each query by cosine distance.
 
-    ``queries`` is ``{query_id: vector}``, at most ``QUERIES_PER_REQUEST`` of them. The query matrix travels with the
-    tasks (at most ``QUERIES_PER_PASS`` vectors per pass); each task multiplies its Arrow batches with it and keeps
-    ``k`` rows per query, so only those reach the shuffle, where a query's rows are cut in two steps. Rows without an embedding are not indexed.
-    Text columns stay out of the Python side; :func:`with_content` adds them to the winners.
+    ``queries``: query_id, embedding and, where wanted, repo_id and level. The artifacts are read once and dealt by a
+    hash of their key into ``chunks`` (four for each shuffle partition, unless given); each meets all queries, which
+    are a copy per chunk, and sends at most ``k`` rows per query on. With very many queries ``query_blocks`` splits
+    those too (about 50 000 in each), at one more copy of the artifacts per block. Texts stay out of the Python side;
+    :func:`with_content` adds them to the winners. Rows without an embedding are not indexed; vectors of length zero
+    have the distance NaN and come last.
     """
-    if not 0 < len(queries) <= QUERIES_PER_REQUEST:
-        raise ValueError(f"{len(queries)} queries; between 1 and {QUERIES_PER_REQUEST} fit one request, use write_topk")
-    arrow_id = {"bigint": pa.int64(), "string": pa.string()}[id_type]
-    source = artifacts.where(F.col("embedding").isNotNull()).select(
-        F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("type")).cast("int").alias("level"),
-        *KEYS,
-        "embedding",
-    )
-    schema = f"level int, type string, file_path string, name string, distance double, query_id {id_type}"
-    passes = [source.mapInArrow(_nearest(b, k, arrow_id), schema) for b in _blocks(queries)]
-    near = passes[0]
-    for p in passes[1:]:
-        near = near.unionByName(p)
-    order = ["distance", "level", "file_path", "name"]
-    return (
-        first_per_group(near, ["query_id"], order, k, rank="rank", spread_by=["file_path", "name"])
-        .select("query_id", "rank", *KEYS, "distance")
-    )
-
-
-def vector_search(levels: dict[str, DataFrame], queries, level: str = "all", k: int = 20, id_type: str = "bigint") -> DataFrame:
-    """Nearest rows over one level or all three.
+    spark = artifacts.sparkSession
+    chunks = chunks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = query_table(queries)
+    id_type = asked.schema["query_id"].dataType.simpleString()
+    level = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("type")).cast("int").alias("level")
+    rows = artifacts.where(F.col("embedding").isNotNull()).select(
+        F.pmod(F.xxhash64(*KEYS), F.lit(chunks)).cast("int").alias("chunk"), level, *KEYS, "embedding")
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    copies = asked.select(
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
+        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("block"), "query_id", "repo_id", "level", "embedding")
+    schema = ("level int, repo_id string, type string, file_path string, parent_class string, name string, position bigint, "
+              f"distance double, query_id {id_type}")
+    near = rows.groupBy("chunk", "block").cogroup(copies.groupBy("chunk", "block")).applyInArrow(_nearest(k), schema)
+    best = first_per_group(near, ["query_id"], ["distance", *TIES], k, rank="rank", spread_by=KEYS)
+    return best.select("query_id", "rank", *KEYS, "distance")
+
+
+def vector_search(levels: dict[str, DataFrame], queries: DataFrame, k: int = 20, **how) -> DataFrame:
+    """Nearest rows over all levels, or the one that a query names.
 
     The k nearest of the stacked levels are the k nearest of the three per-level lists, so one pass is enough.
     """
-    return vector_topk(all_levels(levels, level), queries, k, id_type)
-
-
-# Results of at most this many rows (a few bytes of keys each) are sent to the artifacts instead of shuffling those.
-BROADCAST_ROWS = 100_000
+    return vector_topk(all_levels(levels), queries, k, **how)
 
 
-def with_content(results: DataFrame, artifacts: DataFrame, columns, max_rows: int | None = None) -> DataFrame:
-    """Add artifact columns to search results.
+def with_content(results: DataFrame, artifacts: DataFrame, columns) -> DataFrame:
+    """Add artifact columns to search results, one row per result: (query_id, rank) and the key tell them apart.
 
-    ``max_rows`` is the known bound of the results, k times the number of queries. Up to ``BROADCAST_ROWS`` they are
-    broadcast and the artifacts only streamed; beyond that, or without a bound, Spark picks the join.
+    Of artifacts with the same key one stands for all. Spark picks the join by the sizes it measures.
     """
     wanted = artifacts.select(*KEYS, *columns)
-    small = max_rows is not None and max_rows <= BROADCAST_ROWS
-    return (F.broadcast(results) if small else results).join(wanted, KEYS)
+    return results.join(wanted, KEYS, "left").dropDuplicates(["query_id", *KEYS])
 
 
 def to_results(hits: DataFrame) -> DataFrame:
@@ -168,7 +144,6 @@ def to_results(hits: DataFrame) -> DataFrame:
         *KEYS,
         (F.lit(1.0) - F.col("distance")).alias("relevance_score"),
         text("enhanced_content").alias("enhanced_content"),
-        text("parent_class").alias("parent_class"),
         F.lit("").alias("match_reason"),
         text("rich_metadata").alias("rich_metadata"),
     )

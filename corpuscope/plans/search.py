@@ -1,88 +1,61 @@
-"""Hybrid and routed search: compositions of the retrieval operators."""
+"""Hybrid and routed search for tables of requests: compositions of the retrieval operators."""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.operators.keywords import (
-    MIN_TERM_LENGTH,
-    STOP_WORDS,
-    keyword_match,
-    metadata_search,
-    name_lookup,
-)
+from corpuscope.operators.keywords import extract_terms, keyword_match, metadata_search, name_lookup
 from corpuscope.operators.merge import best_per_file, hybrid_merge, rerank
-from corpuscope.operators.vectors import vector_search
-from corpuscope.sources.artifacts import focus_level
+from corpuscope.operators.vectors import vector_search, with_content
+from corpuscope.sources.artifacts import KEYS, all_levels, focus_level
 
+# One row per search call. ``tool`` is identify_file, keyword_match or hybrid_search; any other means hybrid. Without a
+# ``repo_id`` all repositories are searched; the other columns are those the tool reads.
+REQUEST_SCHEMA = ("request_id bigint, repo_id string, tool string, text string, embedding array<double>, focus string, level string, "
+                  "names string, keywords array<string>, scope string")
 
-@dataclass(frozen=True)
-class SearchRequest:
-    """One search call. ``tool`` is identify_file, keyword_match or hybrid_search; any other means hybrid."""
+RESULT = ["query_id", "rank", *KEYS, "relevance_score", "enhanced_content", "match_reason", "rich_metadata"]
 
-    request_id: int
-    tool: str
-    text: str = ""
-    vector: tuple = ()
-    focus: str = "all"
-    level: str = "file"
-    names: str = ""
-    keywords: tuple = field(default_factory=tuple)
-    scope: str = "all"
 
+def _complete(hits: DataFrame, levels: dict[str, DataFrame]) -> DataFrame:
+    """Results with the texts of their artifacts."""
+    texts = [c for c in ("enhanced_content", "rich_metadata") if c not in hits.columns]
+    full = with_content(hits, all_levels(levels), texts) if texts else hits
+    return full.withColumns({c: F.coalesce(c, F.lit("")) for c in ("enhanced_content", "rich_metadata")})
 
-def request_terms(text: str) -> list[str]:
-    """Terms of one request text; the column form for tables of texts is ``extract_terms``."""
-    cleaned = (re.sub(r"[^\w]", "", w) for w in text.lower().split())
-    return [w for w in cleaned if len(w) >= MIN_TERM_LENGTH and w not in STOP_WORDS]
 
+def hybrid_search(levels: dict[str, DataFrame], requests: DataFrame, rankings: DataFrame, max_results: int = 20,
+                  text_levels: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Vector search reranked by given scores, merged with name matches, best hit per file, with the texts of the hits.
 
-def hybrid_search(levels: dict[str, DataFrame], requests, rankings: DataFrame, max_results: int = 20) -> DataFrame:
-    """Vector search reranked by given scores, merged with name matches, best hit per file.
-
-    ``requests``: :class:`SearchRequest` list with text, vector and focus. The artifacts are read once for the
-    vectors per focus and once for the names, whatever the number of requests.
+    ``requests``: request_id, repo_id, text, embedding, focus. The artifacts are read once for the vectors, once for the
+    names and once for the texts of the winners, whatever the number of requests. ``text_levels`` are the levels to
+    read names and texts from, where those with embeddings cost more.
     """
-    by_level: dict[str, dict] = {}
-    for r in requests:
-        by_level.setdefault(focus_level(r.focus), {})[r.request_id] = list(r.vector)
-    near = reduce(
-        DataFrame.unionByName,
-        [vector_search(levels, queries, level, max_results) for level, queries in by_level.items()],
-    )
+    texts = text_levels or levels
+    asked = requests.withColumnRenamed("request_id", "query_id")
+    near = vector_search(levels, asked.select("query_id", "repo_id", focus_level("focus").alias("level"), "embedding"), max_results)
     candidates = near.select(
-        "query_id", "rank", "type", "file_path", "name",
-        (F.lit(1.0) - F.col("distance")).alias("relevance_score"),
-        F.lit("").alias("match_reason"),
-    )
+        "query_id", "rank", *KEYS, (F.lit(1.0) - F.col("distance")).alias("relevance_score"), F.lit("").alias("match_reason"))
     vec = rerank(candidates, rankings)
-    terms = [(r.request_id, request_terms(r.text)) for r in requests]
-    meta = metadata_search(levels, terms, max_results // 2)
-    merged = hybrid_merge(meta, vec)
-    return best_per_file(merged, max_results)
-
-
-RESULT = ["query_id", "tool", "rank", "type", "file_path", "name", "relevance_score", "match_reason"]
-
-
-def routed_search(levels: dict[str, DataFrame], requests, rankings: DataFrame, max_results: int = 10) -> DataFrame:
-    """Each request with the tool it names; all requests of a tool share its scans."""
-    named = [r for r in requests if r.tool == "identify_file"]
-    keyed = [r for r in requests if r.tool == "keyword_match"]
-    rest = [r for r in requests if r.tool not in ("identify_file", "keyword_match")]
-    parts = []
-    if named:
-        hits = name_lookup(levels, [(r.request_id, r.level, r.names) for r in named])
-        parts.append(hits.withColumn("tool", F.lit("identify_file")).withColumn("rank", F.lit(None).cast("bigint")))
-    if keyed:
-        hits = keyword_match(levels, [(r.request_id, list(r.keywords), r.scope) for r in keyed], max_results)
-        parts.append(hits.withColumn("tool", F.lit("keyword_match")))
-    if rest:
-        hits = hybrid_search(levels, rest, rankings, max_results)
-        parts.append(hits.withColumn("tool", F.lit("hybrid_search")))
-    return reduce(DataFrame.unionByName, [p.select(*RESULT) for p in parts])
+    terms = extract_terms(asked, "text", ["query_id", "repo_id"])
+    merged = hybrid_merge(metadata_search(texts, terms, max_results // 2), vec)
+    return _complete(best_per_file(merged, max_results), texts).select(*RESULT)
+
+
+def routed_search(levels: dict[str, DataFrame], requests: DataFrame, rankings: DataFrame, max_results: int = 10,
+                  text_levels: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Each request (``REQUEST_SCHEMA``) with the tool it names; all requests of a tool share its scans."""
+    texts = text_levels or levels
+    tool = F.when(F.col("tool").isin("identify_file", "keyword_match"), F.col("tool")).otherwise(F.lit("hybrid_search"))
+    routed = requests.withColumn("tool", tool)
+    asked = routed.withColumnRenamed("request_id", "query_id")
+    named = name_lookup(texts, asked.where(F.col("tool") == "identify_file")).withColumn("rank", F.lit(None).cast("bigint"))
+    keyed = keyword_match(texts, asked.where(F.col("tool") == "keyword_match"), max_results)
+    mixed = hybrid_search(levels, routed.where(F.col("tool") == "hybrid_search"), rankings, max_results, texts)
+    parts = {"identify_file": named, "keyword_match": keyed, "hybrid_search": mixed}
+    return reduce(DataFrame.unionByName, [
+        _complete(hits, texts).select("query_id", F.lit(tool).alias("tool"), *RESULT[1:]) for tool, hits in parts.items()])

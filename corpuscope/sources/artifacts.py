@@ -17,6 +17,7 @@ ARTIFACT_COLUMNS = {
     "file_path": "string",
     "name": "string",
     "parent_class": "string",
+    "position": "bigint",
     "programming_language": "string",
     "enhanced_content": "string",
     "original_content": "string",
@@ -24,6 +25,10 @@ ARTIFACT_COLUMNS = {
     "embedding": "array<float>",
 }
 
+# What tells artifacts apart; ``position`` (such as the first line) only where all else repeats.
+KEYS = ["repo_id", "type", "file_path", "parent_class", "name", "position"]
+_ABSENT = {"repo_id": "", "parent_class": "", "position": 0}
+
 
 def level_rank(level="type") -> Column:
     c = F.col(level) if isinstance(level, str) else level
@@ -31,16 +36,15 @@ def level_rank(level="type") -> Column:
 
 
 def as_artifacts(df: DataFrame, level: str) -> DataFrame:
-    """Bring one level table to the common artifact columns; missing ones become NULL."""
+    """Bring one level table to the common artifact columns; missing ones become NULL, in the key '' or 0."""
     have = set(df.columns)
 
     def column(name, dtype):
         if name == "type":
             return F.lit(level).alias("type")
         source = NAME_COLUMN[level] if name == "name" else name
-        if source not in have:
-            return F.lit(None).cast(dtype).alias(name)
-        return F.col(source).cast(dtype).alias(name)
+        found = F.col(source).cast(dtype) if source in have else F.lit(None).cast(dtype)
+        return (F.coalesce(found, F.lit(_ABSENT[name]).cast(dtype)) if name in _ABSENT else found).alias(name)
 
     return df.select([column(n, t) for n, t in ARTIFACT_COLUMNS.items()])
 
@@ -97,5 +101,20 @@ def all_levels(levels: dict[str, DataFrame], level: str = "all") -> DataFrame:
 FOCUS_LEVEL = {"files": "file", "classes": "class", "functions": "function", "all": "all"}
 
 
-def focus_level(focus: str) -> str:
-    return FOCUS_LEVEL.get(focus, "all")
+def focus_level(focus) -> Column:
+    """Level a focus word means; any other word means all."""
+    return _meaning(focus, FOCUS_LEVEL, "all")
+
+
+# Scope words of a keyword request; any other word means files.
+SCOPE_LEVEL = {"files": "file", "classes": "class", "functions": "function", "all": "all"}
+
+
+def scope_level(scope) -> Column:
+    """Level a scope word means."""
+    return _meaning(scope, SCOPE_LEVEL, "file")
+
+
+def _meaning(word, meanings: dict, default: str) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in meanings.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.coalesce(F.col(word) if isinstance(word, str) else word, F.lit(""))), F.lit(default))

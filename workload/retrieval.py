@@ -13,10 +13,10 @@ from corpuscope.operators.keywords import (
     name_lookup,
 )
 from corpuscope.operators.merge import best_per_file, candidate_cards, hybrid_merge, rerank
-from corpuscope.operators.vectors import query_vectors, to_results, vector_search, vector_topk, with_content
-from corpuscope.plans.search import SearchRequest, hybrid_search, request_terms, routed_search
+from corpuscope.operators.vectors import to_results, vector_search, vector_topk, with_content
+from corpuscope.plans.search import hybrid_search, routed_search
 from corpuscope.session import shared_dir
-from corpuscope.sources.artifacts import read_artifacts, write_artifacts
+from corpuscope.sources.artifacts import focus_level, read_artifacts, write_artifacts
 from workload.tables import (
     CTES,
     class_artifacts,
@@ -30,21 +30,62 @@ from workload.tables import (
     text_levels,
 )
 
-# One request text per embedding label.
-TEXTS = [
-    "Find the small ring of src1",
-    "Where is the blue bolt, and the example page?",
-    "the old anvil by src12 (fr)",
-    "Large plate with red widget",
-    "hot gear for the src3 loader",
-    "Page src19 or cold bolt!",
-    "A new ring in thth blog",
-    "green_gear and pages",
-    "src0 src5 src7",
-    "of the and widget.",
-]
 KEYWORDS = ["the", "tion", "ring"]
-NAMES = "small ring, bolt 1,anvil"
+
+KEYS = "repo_id, type, file_path, parent_class, name, position"
+TIES = "level, file_path, name, parent_class, repo_id, position"
+
+
+def requests(spark, sf):
+    """A search request for every benchmark item: its text, a centroid as its vector, and a tool, scope and repository by number."""
+    items = table(spark, sf, "benchmark")
+    number = F.col("item_id")
+
+    def pick(by, values):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values) + 1).cast("int"))
+
+    terms = extract_terms(items, "text", ["item_id"]).where("pos < 2").groupBy(F.col("item_id").alias("t_id")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("keywords"))
+    vectors = label_centroids(spark, sf).select(F.col("query_id").alias("label"), "embedding")
+    return items.join(terms, number == F.col("t_id"), "left").join(vectors, number % 10 == F.col("label"), "left").select(
+        number.alias("request_id"),
+        F.when(number % 3 > 0, F.concat(F.lit("repo"), number % 5)).alias("repo_id"),
+        pick(number, ["hybrid_search", "keyword_match", "identify_file", "unknown_tool"]).alias("tool"),
+        "text", "embedding",
+        pick(number, ["all", "files", "classes", "functions", "nonsense"]).alias("focus"),
+        pick(number, ["file", "class", "function"]).alias("level"),
+        F.concat(F.lit("src"), number % 20, F.lit("/, thth , small ring")).alias("names"),
+        F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"),
+        pick(F.floor(number / 4), ["all", "files", "classes", "functions", "other"]).alias("scope"),
+    )
+
+
+STOP = "('the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by')"
+SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+WORD_LIST = rf"regexp_extract_all({{0}}, '[^\s\x0b\x1c-\x1f\x85\p{{{{Z}}}}]+')"
+
+
+def word_list(column):
+    return WORD_LIST.format(column)
+
+
+CTES["item_terms"] = rf"""
+    SELECT item_id, (generate_subscripts(kept, 1) - 1)::BIGINT AS pos, unnest(kept) AS term FROM (
+        SELECT item_id, list_filter(
+            list_transform({word_list('lower(text)').replace('{{', '{').replace('}}', '}')},
+                           lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}_]', '', 'g')),
+            lambda w: length(w) > 2 AND w NOT IN {STOP}) AS kept
+        FROM benchmark)
+"""
+CTES["requests"] = """
+    SELECT item_id AS request_id, CASE WHEN item_id % 3 > 0 THEN 'repo' || (item_id % 5) END AS repo_id,
+           ['hybrid_search', 'keyword_match', 'identify_file', 'unknown_tool'][item_id % 4 + 1] AS tool, text, q AS embedding,
+           ['all', 'file', 'class', 'function', 'all'][item_id % 5 + 1] AS focus_level,
+           ['file', 'class', 'function'][item_id % 3 + 1] AS level, 'src' || (item_id % 20) || '/, thth , small ring' AS names,
+           keywords, ['all', 'file', 'class', 'function', 'file'][(item_id // 4) % 5 + 1] AS scope_level
+    FROM benchmark LEFT JOIN query_vectors ON query_id = item_id % 10
+    LEFT JOIN (SELECT item_id AS t_id, list(term ORDER BY pos) AS keywords FROM item_terms WHERE pos < 2 GROUP BY item_id) ON t_id = item_id
+"""
 
 
 def q(text: str) -> str:
@@ -80,95 +121,93 @@ ARTIFACT_SCAN = sql("""
 """)
 
 
-def centroid_queries(spark, sf):
-    return query_vectors(label_centroids(spark, sf))
-
-
 def vector_topk_file(spark, sf):
-    hits = vector_topk(file_artifacts(spark, sf), centroid_queries(spark, sf), 20)
+    hits = vector_topk(file_artifacts(spark, sf), label_centroids(spark, sf), 20)
     return hits.select("query_id", "rank", "file_path", F.round("distance", 6).alias("distance"))
 
 
 VECTOR_TOPK_FILE = sql("""
     SELECT query_id, rank, file_path, round(distance, 6) AS distance FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, level, file_path, name) AS rank
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, level, file_path, name, parent_class, repo_id, position) AS rank
         FROM near WHERE type = 'file')
     WHERE rank <= 20
 """)
 
 
 def vector_search_all(spark, sf):
-    hits = vector_search(levels(spark, sf), centroid_queries(spark, sf), "all", 20)
-    return hits.select("query_id", "rank", "type", "file_path", "name", F.round("distance", 6).alias("distance"))
+    hits = vector_search(levels(spark, sf), label_centroids(spark, sf), 20)
+    return hits.select("query_id", "rank", "repo_id", "type", "file_path", "name", "position", F.round("distance", 6).alias("distance"))
 
 
-CTES["level_top"] = """
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, type ORDER BY distance, file_path, name) AS in_level
-                   FROM near) WHERE in_level <= 20
-"""
-CTES["vector_hits"] = """
-    SELECT query_id, rank, type, file_path, name, distance FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, level, file_path, name) AS rank FROM level_top)
+CTES["vector_hits"] = f"""
+    SELECT query_id, rank, {KEYS}, distance FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, {TIES}) AS rank FROM near)
     WHERE rank <= 20
 """
 VECTOR_SEARCH_ALL = sql("""
-    SELECT query_id, rank, type, file_path, name, round(distance, 6) AS distance FROM vector_hits
+    SELECT query_id, rank, repo_id, type, file_path, name, position, round(distance, 6) AS distance FROM vector_hits
 """)
 
 
+def functions_near(spark, sf):
+    return label_centroids(spark, sf).withColumn("level", F.lit("function"))
+
+
 def similarity_results(spark, sf):
-    lv = levels(spark, sf)
-    hits = vector_search(lv, centroid_queries(spark, sf), "function", 20)
-    shaped = to_results(with_content(hits, lv["function"], ["enhanced_content", "parent_class", "rich_metadata"], 200))
+    hits = vector_search(levels(spark, sf), functions_near(spark, sf), 20)
+    shaped = to_results(with_content(hits, text_levels(spark, sf)["function"], ["enhanced_content", "rich_metadata"]))
     return shaped.withColumn("relevance_score", F.round("relevance_score", 6))
 
 
-SIMILARITY_RESULTS = sql("""
-    SELECT query_id, rank, n.type, n.file_path, n.name, round(1 - distance, 6) AS relevance_score, content AS enhanced_content,
-           parent_class, '' AS match_reason, rich_metadata
-    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, file_path, name) AS rank
-          FROM near WHERE type = 'function') n
-    JOIN artifacts a ON a.type = n.type AND a.file_path = n.file_path AND a.name = n.name
+SIMILARITY_RESULTS = sql(f"""
+    SELECT query_id, rank, n.repo_id, n.type, n.file_path, n.parent_class, n.name, n.position, round(1 - distance, 6) AS relevance_score,
+           content AS enhanced_content, '' AS match_reason, rich_metadata
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, {TIES}) AS rank FROM near WHERE type = 'function') n
+    JOIN artifacts a ON a.type = n.type AND a.position = n.position
     WHERE rank <= 20
 """)
 
 
-def name_lookup_functions(spark, sf):
-    hits = name_lookup(text_levels(spark, sf), [(1, "function", NAMES)])
-    return hits.drop("query_id").orderBy("file_path")
+def name_lookup_requests(spark, sf):
+    return name_lookup(text_levels(spark, sf), requests(spark, sf).withColumnRenamed("request_id", "query_id"))
 
 
 def ilikes(column, names):
     return " OR ".join(f"{column} ILIKE {q('%' + n.strip() + '%')}" for n in names)
 
 
-NAME_LOOKUP_FUNCTIONS = sql(f"""
-    SELECT type, file_path, name, 1.0::DOUBLE AS relevance_score, content AS enhanced_content, parent_class,
-           {q('Exact function match: ' + NAMES)} AS match_reason, rich_metadata
-    FROM artifacts WHERE type = 'function' AND ({ilikes('name', NAMES.split(','))})
+SAME_REPO = "(r.repo_id IS NULL OR r.repo_id = a.repo_id)"
+CTES["named_hits"] = f"""
+    SELECT request_id AS query_id, r.tool, a.*, 'Exact ' || r.level || ' match: ' || names AS match_reason
+    FROM requests r JOIN artifacts a ON a.type = r.level AND {SAME_REPO}
+    WHERE len(list_filter(string_split(names, ','), lambda n: a.name ILIKE '%' || trim(n) || '%')) > 0
+"""
+NAME_LOOKUP_REQUESTS = sql(f"""
+    SELECT query_id, {KEYS}, 1.0::DOUBLE AS relevance_score, content AS enhanced_content, match_reason, rich_metadata FROM named_hits
 """)
 
-TERMS = [(i, request_terms(t)) for i, t in enumerate(TEXTS)]
+
+def request_terms(spark, sf):
+    asked = requests(spark, sf).withColumnRenamed("request_id", "query_id")
+    return extract_terms(asked, "text", ["query_id", "repo_id"])
 
 
 def metadata_search_terms(spark, sf):
-    return metadata_search(text_levels(spark, sf), TERMS, 10)
+    return metadata_search(text_levels(spark, sf), request_terms(spark, sf), 10)
 
 
-CTES["terms"] = "SELECT * FROM (VALUES " + values(
-    [(i, p, t) for i, ts in TERMS for p, t in enumerate(ts)]
-) + ") AS t(query_id, term_pos, term)"
-CTES["term_hits"] = """
-    SELECT query_id::BIGINT AS query_id, term_pos, type, file_path, name,
-           CASE type WHEN 'function' THEN 1 WHEN 'class' THEN 2 ELSE 3 END AS branch,
-           CASE type WHEN 'function' THEN 0.95::DOUBLE WHEN 'class' THEN 0.9::DOUBLE ELSE 0.85::DOUBLE END AS score
-    FROM terms, artifacts WHERE name ILIKE '%' || term || '%'
+CTES["term_hits"] = f"""
+    SELECT request_id AS query_id, pos AS term_pos, {KEYS.replace("repo_id", "a.repo_id").replace(" type", " a.type")},
+           CASE a.type WHEN 'function' THEN 1 WHEN 'class' THEN 2 ELSE 3 END AS branch,
+           CASE a.type WHEN 'function' THEN 0.95::DOUBLE WHEN 'class' THEN 0.9::DOUBLE ELSE 0.85::DOUBLE END AS score
+    FROM requests r JOIN item_terms ON item_id = request_id JOIN artifacts a ON {SAME_REPO} AND contains(lower(a.name), term)
 """
-CTES["meta_hits"] = """
-    SELECT query_id, rank, type, file_path, name, score FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term_pos, branch, name, file_path) AS rank FROM (
-            SELECT *, row_number() OVER (PARTITION BY query_id, type, file_path, name ORDER BY term_pos) AS seen FROM (
-                SELECT *, row_number() OVER (PARTITION BY query_id, term_pos, type ORDER BY name, file_path) AS in_branch
+BY_NAME = "name, file_path, parent_class, repo_id, position"
+CTES["meta_hits"] = f"""
+    SELECT query_id, rank, {KEYS}, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term_pos, branch, {BY_NAME}) AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id, {KEYS} ORDER BY term_pos) AS seen FROM (
+                SELECT *, row_number() OVER (PARTITION BY query_id, term_pos, type ORDER BY {BY_NAME}) AS in_branch
                 FROM term_hits) WHERE in_branch <= 10) WHERE seen = 1) WHERE rank <= 10
 """
 METADATA_SEARCH_TERMS = sql("SELECT * FROM meta_hits")
@@ -178,41 +217,24 @@ def query_terms(spark, sf):
     return extract_terms(table(spark, sf, "benchmark"), "text", ["item_id"])
 
 
-STOP = "('the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by')"
-SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
-WORD_LIST = rf"regexp_extract_all({{0}}, '[^\s\x0b\x1c-\x1f\x85\p{{{{Z}}}}]+')"
-
-
-def word_list(column):
-    return WORD_LIST.format(column)
-
-
-QUERY_TERMS = sql(rf"""
-    WITH cleaned AS (
-        SELECT item_id, list_filter(
-            list_transform({word_list('lower(text)').replace('{{', '{').replace('}}', '}')},
-                           lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}_]', '', 'g')),
-            lambda w: length(w) > 2 AND w NOT IN {STOP}) AS kept
-        FROM benchmark)
-    SELECT item_id, (generate_subscripts(kept, 1) - 1)::BIGINT AS pos, unnest(kept) AS term FROM cleaned
-""")
+QUERY_TERMS = sql("SELECT * FROM item_terms")
 
 
 def keyword_filter_all(spark, sf):
     hits = keyword_filter(text_levels(spark, sf), KEYWORDS, "all")
-    return hits.select("type", "file_path", "name", "rich_metadata")
+    return hits.select("repo_id", "type", "file_path", "name", "position", "rich_metadata")
 
 
 def keyword_filter_files(spark, sf):
     hits = keyword_filter(text_levels(spark, sf), ["tion", "ein_"], "files")
-    return hits.select("type", "file_path", "name")
+    return hits.select("repo_id", "type", "file_path", "name")
 
 
 KEYWORD_FILTER_ALL = sql(f"""
-    SELECT type, file_path, name, rich_metadata FROM artifacts WHERE {ilikes('content', KEYWORDS)}
+    SELECT repo_id, type, file_path, name, position, rich_metadata FROM artifacts WHERE {ilikes('content', KEYWORDS)}
 """)
 KEYWORD_FILTER_FILES = sql(f"""
-    SELECT type, file_path, name FROM artifacts WHERE type = 'file' AND ({ilikes('content', ['tion', 'ein_'])})
+    SELECT repo_id, type, file_path, name FROM artifacts WHERE type = 'file' AND ({ilikes('content', ['tion', 'ein_'])})
 """)
 
 
@@ -231,7 +253,7 @@ def keyword_relevance_all(spark, sf):
 
 
 KEYWORD_RELEVANCE_ALL = sql(f"""
-    SELECT type, file_path, name, round({relevance_sql('content', ['the', 'ring'])}, 6) AS relevance_score,
+    SELECT {KEYS}, content AS enhanced_content, rich_metadata, round({relevance_sql('content', ['the', 'ring'])}, 6) AS relevance_score,
            'Keyword matches: the, ring' AS match_reason
     FROM artifacts WHERE {ilikes('content', ['the', 'ring'])}
 """)
@@ -243,78 +265,88 @@ def keyword_top(spark, sf):
 
 
 KEYWORD_TOP = sql(f"""
-    SELECT type, file_path, name, round(s, 6) AS relevance_score, 'Keyword matches: tion, ung' AS match_reason FROM (
+    SELECT {KEYS}, content AS enhanced_content, rich_metadata, round(s, 6) AS relevance_score, 'Keyword matches: tion, ung' AS match_reason FROM (
         SELECT *, {relevance_sql('content', ['tion', 'ung'])} AS s FROM artifacts WHERE {ilikes('content', ['tion', 'ung'])})
-    ORDER BY s DESC, file_path, level, name LIMIT 20
+    ORDER BY s DESC, file_path, level, name, parent_class, repo_id, position LIMIT 20
 """)
 
 
 def vector_candidates(spark, sf):
-    lv = levels(spark, sf)
-    hits = vector_search(lv, centroid_queries(spark, sf), "all", 20)
-    return to_results(hits)
+    return to_results(vector_search(levels(spark, sf), label_centroids(spark, sf), 20))
 
 
 def rerank_labels(spark, sf):
     ranked = rerank(vector_candidates(spark, sf), rankings(spark, sf))
-    return ranked.select("query_id", "rank", "type", "file_path", "name", F.round("relevance_score", 6).alias("relevance_score"),
-                         "match_reason")
+    return ranked.select("query_id", "rank", "repo_id", "type", "file_path", "name", "position",
+                         F.round("relevance_score", 6).alias("relevance_score"), "match_reason")
 
 
-CTES["reranked"] = """
-    SELECT query_id, rank, type, file_path, name, relevance_score, match_reason FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, file_path, name, type) AS rank FROM (
-            SELECT r.query_id, pos, type, file_path, name, relevance / 10.0::DOUBLE AS relevance_score, reason AS match_reason
-            FROM rankings r JOIN vector_hits v ON v.query_id = r.query_id AND v.rank - 1 = r.idx
+def reranked_sql(hits):
+    return f"""
+    SELECT query_id, rank, {KEYS}, relevance_score, match_reason FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, {KEYS}) AS rank FROM (
+            SELECT r.query_id, pos, {KEYS}, relevance / 10.0::DOUBLE AS relevance_score, reason AS match_reason
+            FROM rankings r JOIN {hits} v ON v.query_id = r.query_id AND v.rank - 1 = r.idx
             UNION ALL
-            SELECT query_id, rank - 1, type, file_path, name, 1 - distance, '' FROM vector_hits
+            SELECT query_id, rank - 1, {KEYS}, 1 - distance, '' FROM {hits}
             WHERE rank <= 8 AND query_id NOT IN (SELECT query_id FROM rankings)))
     WHERE rank <= 8
 """
+
+
+CTES["reranked"] = reranked_sql("vector_hits")
 RERANK_LABELS = sql("""
-    SELECT query_id, rank, type, file_path, name, round(relevance_score, 6) AS relevance_score, match_reason FROM reranked
+    SELECT query_id, rank, repo_id, type, file_path, name, position, round(relevance_score, 6) AS relevance_score, match_reason FROM reranked
 """)
 
 
 def candidate_descriptions(spark, sf):
-    lv = levels(spark, sf)
-    hits = vector_search(lv, centroid_queries(spark, sf), "file", 20)
-    shaped = to_results(with_content(hits, lv["file"], ["enhanced_content"], 200))
-    return candidate_cards(shaped).select("query_id", "index", "file_path", "base_score", "description")
+    files = label_centroids(spark, sf).withColumn("level", F.lit("file"))
+    hits = vector_search(levels(spark, sf), files, 20)
+    shaped = to_results(with_content(hits, text_levels(spark, sf)["file"], ["enhanced_content"]))
+    return candidate_cards(shaped).select("query_id", "index", "repo_id", "file_path", "base_score", "description")
 
 
-CANDIDATE_DESCRIPTIONS = sql("""
-    SELECT query_id, rank - 1 AS index, n.file_path, round(1 - distance, 3) AS base_score,
+CANDIDATE_DESCRIPTIONS = sql(f"""
+    SELECT query_id, rank - 1 AS index, n.repo_id, n.file_path, round(1 - distance, 3) AS base_score,
            CASE WHEN length(content) > 150 THEN substr(content, 1, 150) || '...' ELSE content END AS description
-    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, file_path, name) AS rank
-          FROM near WHERE type = 'file') n
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, {TIES}) AS rank FROM near WHERE type = 'file') n
     JOIN artifacts a ON a.type = 'file' AND a.file_path = n.file_path
     WHERE rank <= 20
 """)
 
-
-def hybrid_merge_hits(spark, sf):
-    lv = levels(spark, sf)
-    vec = rerank(vector_candidates(spark, sf), rankings(spark, sf))
-    merged = hybrid_merge(metadata_search(lv, TERMS, 10), vec)
-    return merged.select("query_id", "type", "file_path", "name", F.round("relevance_score", 6).alias("relevance_score"),
-                         "origin", "match_reason")
-
-
-CTES["merged"] = """
-    SELECT coalesce(m.query_id, v.query_id) AS query_id, coalesce(m.type, v.type) AS type,
-           coalesce(m.file_path, v.file_path) AS file_path, coalesce(m.name, v.name) AS name,
+# Vector hits of the requests, each in its repository and level.
+CTES["request_vectors"] = f"""
+    SELECT query_id, rank, {KEYS}, distance FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, {TIES}) AS rank FROM (
+            SELECT r.request_id AS query_id, n.* EXCLUDE (query_id) FROM requests r JOIN near n ON n.query_id = r.request_id % 10
+            AND (r.repo_id IS NULL OR r.repo_id = n.repo_id) AND r.focus_level IN ('all', n.type)))
+    WHERE rank <= 20
+"""
+CTES["request_ranked"] = reranked_sql("request_vectors")
+CTES["merged"] = f"""
+    SELECT query_id, {KEYS},
            CASE WHEN m.score IS NULL OR v.relevance_score > m.score + 0.1 THEN v.relevance_score ELSE m.score + 0.1 END AS relevance_score,
            CASE WHEN m.score IS NULL OR v.relevance_score > m.score + 0.1 THEN 'vector' ELSE 'metadata' END AS origin,
            coalesce(m.rank, 1099511627776 + v.rank) AS ord
     FROM meta_hits m FULL JOIN (
-        SELECT query_id, type, file_path, name, max(relevance_score) AS relevance_score, min(rank) AS rank
-        FROM reranked GROUP BY ALL) v
-    ON m.query_id = v.query_id AND m.type = v.type AND m.file_path = v.file_path AND m.name = v.name
+        SELECT query_id, {KEYS}, max(relevance_score) AS relevance_score, min(rank) AS rank FROM request_ranked GROUP BY ALL) v
+    USING (query_id, {KEYS})
 """
 HYBRID_REASON = "'Hybrid match: semantic similarity + metadata keywords'"
+
+
+def hybrid_merge_hits(spark, sf):
+    asked = requests(spark, sf).select(F.col("request_id").alias("query_id"), "repo_id", focus_level("focus").alias("level"), "embedding")
+    vec = rerank(to_results(vector_search(levels(spark, sf), asked, 20)), rankings(spark, sf))
+    merged = hybrid_merge(metadata_search(text_levels(spark, sf), request_terms(spark, sf), 10), vec)
+    return merged.select("query_id", "repo_id", "type", "file_path", "name", "position",
+                         F.round("relevance_score", 6).alias("relevance_score"), "origin", "match_reason")
+
+
 HYBRID_MERGE_HITS = sql(f"""
-    SELECT query_id, type, file_path, name, round(relevance_score, 6) AS relevance_score, origin, {HYBRID_REASON} AS match_reason
+    SELECT query_id, repo_id, type, file_path, name, position, round(relevance_score, 6) AS relevance_score, origin,
+           {HYBRID_REASON} AS match_reason
     FROM merged
 """)
 
@@ -323,94 +355,85 @@ def best_hit_per_file(spark, sf):
     """Best function name hit of every file over all name hits of a lookup."""
     hits = keyword_filter(text_levels(spark, sf), KEYWORDS, "all")
     scored = keyword_rank(hits, KEYWORDS, None).withColumn("query_id", F.lit(0).cast("bigint"))
-    best = best_per_file(scored, None, [F.desc("relevance_score"), "type", "name"])
-    return best.select("file_path", "type", "name", F.round("relevance_score", 6).alias("relevance_score"))
+    best = best_per_file(scored, None, [F.desc("relevance_score"), "type", "name", "position"])
+    return best.select("repo_id", "file_path", "type", "name", F.round("relevance_score", 6).alias("relevance_score"))
 
 
 BEST_HIT_PER_FILE = sql(f"""
-    SELECT file_path, type, name, round(s, 6) AS relevance_score FROM (
-        SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY s DESC, type, name) AS rn FROM (
+    SELECT repo_id, file_path, type, name, round(s, 6) AS relevance_score FROM (
+        SELECT *, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY s DESC, type, name, position) AS rn FROM (
             SELECT *, {relevance_sql('content', KEYWORDS)} AS s FROM artifacts WHERE {ilikes('content', KEYWORDS)}))
     WHERE rn = 1
 """)
 
 
-def requests_with_vectors(spark, sf):
-    vectors = centroid_queries(spark, sf)
-    return [SearchRequest(i, "hybrid_search", text=t, vector=tuple(vectors[i])) for i, t in enumerate(TEXTS) if i in vectors]
-
-
 def hybrid_search_requests(spark, sf):
-    found = hybrid_search(levels(spark, sf), requests_with_vectors(spark, sf), rankings(spark, sf), 20)
-    return found.select("query_id", "rank", "type", "file_path", "name", F.round("relevance_score", 6).alias("relevance_score"),
-                        "match_reason")
+    found = hybrid_search(levels(spark, sf), requests(spark, sf), rankings(spark, sf), 20, text_levels(spark, sf))
+    return found.withColumn("relevance_score", F.round("relevance_score", 6))
 
 
-CTES["hybrid_hits"] = """
-    SELECT * FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, ord) AS rank FROM (
-            SELECT *, row_number() OVER (PARTITION BY query_id, file_path ORDER BY relevance_score DESC, ord) AS in_file FROM merged)
-        WHERE in_file = 1)
+CTES["hybrid_hits"] = f"""
+    SELECT h.query_id, h.rank, h.repo_id, h.type, h.file_path, h.parent_class, h.name, h.position, h.relevance_score,
+           a.content AS enhanced_content, {HYBRID_REASON} AS match_reason, a.rich_metadata
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, ord) AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id, repo_id, file_path ORDER BY relevance_score DESC, ord) AS in_file FROM merged)
+          WHERE in_file = 1) h
+    JOIN artifacts a ON a.type = h.type AND a.file_path = h.file_path AND a.name = h.name AND a.position = h.position
     WHERE rank <= 20
 """
-HYBRID_SEARCH_REQUESTS = sql(f"""
-    SELECT query_id, rank, type, file_path, name, round(relevance_score, 6) AS relevance_score, {HYBRID_REASON} AS match_reason
-    FROM hybrid_hits
-""")
+HYBRID_SEARCH_REQUESTS = sql("SELECT * REPLACE (round(relevance_score, 6) AS relevance_score) FROM hybrid_hits")
 
-KEYED = [(100, ["the", "ring"], "all"), (101, ["tion"], "files"), (102, ["widget", "bolt"], "functions")]
-NAMED = [(200, "function", "small ring, old anvil"), (201, "file", "src1/, src2/"), (202, "class", "thth")]
 
+def keyword_match_requests(spark, sf):
+    asked = requests(spark, sf).withColumnRenamed("request_id", "query_id")
+    return keyword_match(text_levels(spark, sf), asked, 20).withColumn("relevance_score", F.round("relevance_score", 6))
 
-def routed_search_requests(spark, sf):
-    requests = [
-        *[SearchRequest(r.request_id, "unknown_tool" if r.request_id == 9 else r.tool, text=r.text, vector=r.vector)
-          for r in requests_with_vectors(spark, sf)],
-        *[SearchRequest(i, "keyword_match", keywords=tuple(k), scope=s) for i, k, s in KEYED],
-        *[SearchRequest(i, "identify_file", level=lv, names=n) for i, lv, n in NAMED],
-    ]
-    found = routed_search(levels(spark, sf), requests, rankings(spark, sf), 20)
-    return found.withColumn("relevance_score", F.round("relevance_score", 6))
 
-
-def keyed_sql(i, keywords, scope):
-    level = {"all": "", "files": "type = 'file' AND", "functions": "type = 'function' AND"}[scope]
-    return f"""
-        SELECT {i}::BIGINT AS query_id, 'keyword_match' AS tool, rank, type, file_path, name, round(s, 6) AS relevance_score,
-               {q('Keyword matches: ' + ', '.join(keywords))} AS match_reason
-        FROM (SELECT *, row_number() OVER (ORDER BY s DESC, file_path, level, name) AS rank FROM (
-            SELECT *, {relevance_sql('content', keywords)} AS s FROM artifacts WHERE {level} ({ilikes('content', keywords)})))
-        WHERE rank <= 20"""
+N_WORDS = f"len({word_list('lower(content)').replace('{{', '{').replace('}}', '}')})"
+CTES["keyed_hits"] = f"""
+    SELECT query_id, tool, rank, {KEYS}, content, rich_metadata, round(s, 6) AS relevance_score, match_reason FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, file_path, level, name, parent_class, repo_id, position) AS rank
+        FROM (SELECT *, CASE WHEN n > 0 THEN least(list_sum(list_transform(keywords, lambda k:
+                        (length(lower(content)) - length(replace(lower(content), k, ''))) // length(k))) / (n * len(keywords) * 0.01::DOUBLE), 1.0::DOUBLE)
+                     ELSE 0.0::DOUBLE END AS s
+              FROM (SELECT r.request_id AS query_id, r.tool, r.keywords, 'Keyword matches: ' || array_to_string(keywords, ', ') AS match_reason,
+                           a.*, {N_WORDS} AS n
+                    FROM requests r JOIN artifacts a ON {SAME_REPO} AND r.scope_level IN ('all', a.type)
+                    WHERE len(list_filter(keywords, lambda k: contains(lower(content), k))) > 0)))
+    WHERE rank <= 20
+"""
+KEYWORD_MATCH_REQUESTS = sql(f"""
+    SELECT query_id, rank, {KEYS}, content AS enhanced_content, rich_metadata, relevance_score, match_reason FROM keyed_hits
+""")
 
 
-def named_sql(i, level, names):
-    return f"""
-        SELECT {i}::BIGINT, 'identify_file', NULL::BIGINT, type, file_path, name, 1.0::DOUBLE,
-               {q(f'Exact {level} match: {names}')}
-        FROM artifacts WHERE type = '{level}' AND ({ilikes('name', names.split(','))})"""
+def routed_search_requests(spark, sf):
+    found = routed_search(levels(spark, sf), requests(spark, sf), rankings(spark, sf), 20, text_levels(spark, sf))
+    return found.withColumn("relevance_score", F.round("relevance_score", 6))
 
 
-ROUTED_SEARCH_REQUESTS = sql(
-    f"""
-    SELECT query_id, 'hybrid_search' AS tool, rank, type, file_path, name, round(relevance_score, 6) AS relevance_score,
-           {HYBRID_REASON} AS match_reason
-    FROM hybrid_hits
-    UNION ALL """
-    + " UNION ALL ".join([keyed_sql(*k) for k in KEYED] + [named_sql(*n) for n in NAMED])
-)
+ROUTED_SEARCH_REQUESTS = sql(f"""
+    SELECT query_id, 'hybrid_search' AS tool, rank, {KEYS}, round(relevance_score, 6) AS relevance_score, enhanced_content, match_reason, rich_metadata
+    FROM hybrid_hits WHERE query_id IN (SELECT request_id FROM requests WHERE tool IN ('hybrid_search', 'unknown_tool'))
+    UNION ALL
+    SELECT query_id, tool, rank, {KEYS}, relevance_score, content, match_reason, rich_metadata FROM keyed_hits WHERE tool = 'keyword_match'
+    UNION ALL
+    SELECT query_id, tool, NULL::BIGINT, {KEYS}, 1.0::DOUBLE, content, match_reason, rich_metadata FROM named_hits WHERE tool = 'identify_file'
+""")
 
 QUERIES = {
     "artifact_scan": (artifact_scan, ARTIFACT_SCAN),
     "vector_topk": (vector_topk_file, VECTOR_TOPK_FILE),
     "vector_search": (vector_search_all, VECTOR_SEARCH_ALL),
     "similarity_results": (similarity_results, SIMILARITY_RESULTS),
-    "name_lookup": (name_lookup_functions, NAME_LOOKUP_FUNCTIONS),
+    "name_lookup": (name_lookup_requests, NAME_LOOKUP_REQUESTS),
     "metadata_search": (metadata_search_terms, METADATA_SEARCH_TERMS),
     "query_terms": (query_terms, QUERY_TERMS),
     "keyword_filter": (keyword_filter_all, KEYWORD_FILTER_ALL),
     "keyword_filter_files": (keyword_filter_files, KEYWORD_FILTER_FILES),
     "keyword_relevance": (keyword_relevance_all, KEYWORD_RELEVANCE_ALL),
     "keyword_top": (keyword_top, KEYWORD_TOP),
+    "keyword_match": (keyword_match_requests, KEYWORD_MATCH_REQUESTS),
     "rerank": (rerank_labels, RERANK_LABELS),
     "candidate_cards": (candidate_descriptions, CANDIDATE_DESCRIPTIONS),
     "hybrid_merge": (hybrid_merge_hits, HYBRID_MERGE_HITS),

@@ -99,8 +99,10 @@ def function_artifacts(spark, sf, vectors=True) -> DataFrame:
             F.concat(F.lit("repo"), F.col("p_partkey") % 5).alias("repo_id"),
             F.concat(F.lit("parts/"), F.lower("p_type"), F.lit("/"), F.replace("p_brand", F.lit("#"), F.lit("")),
                      F.lit(".py")).alias("file_path"),
-            F.concat("p_name", F.lit(" "), "p_partkey").alias("function_name"),
+            # Parts of one brand and type share a file, and some of those a name: their number tells them apart.
+            F.col("p_name").alias("function_name"),
             F.col("p_brand").alias("parent_class"),
+            F.col("p_partkey").alias("position"),
             text.alias("enhanced_content"),
             text.alias("original_content"),
             F.col("p_type").alias("rich_metadata"),
@@ -125,15 +127,15 @@ def text_levels(spark, sf) -> dict[str, DataFrame]:
 
 CTES["artifacts"] = """
     SELECT 'file' AS type, 1 AS level, 'repo' || (doc_id % 5) AS repo_id, source || '/' || doc_id || '.txt' AS file_path,
-           source || '/' || doc_id || '.txt' AS name, '' AS parent_class, text AS content, lang AS rich_metadata, embedding
+           source || '/' || doc_id || '.txt' AS name, '' AS parent_class, 0::BIGINT AS position, text AS content, lang AS rich_metadata, embedding
     FROM documents LEFT JOIN embeddings ON vec_id = doc_id
     UNION ALL
-    SELECT 'class', 2, 'repo' || (page_id % 5), 'pages/' || page_id || '.html', url, '', html, '', embedding
+    SELECT 'class', 2, 'repo' || (page_id % 5), 'pages/' || page_id || '.html', url, '', 0, html, '', embedding
     FROM pages LEFT JOIN embeddings ON vec_id = page_id
     UNION ALL
     SELECT 'function', 3, 'repo' || (p_partkey % 5),
-           'parts/' || lower(p_type) || '/' || replace(p_brand, '#', '') || '.py', p_name || ' ' || p_partkey,
-           p_brand, p_name || ' ' || p_type, p_type, embedding
+           'parts/' || lower(p_type) || '/' || replace(p_brand, '#', '') || '.py', p_name,
+           p_brand, p_partkey, p_name || ' ' || p_type, p_type, embedding
     FROM part LEFT JOIN embeddings ON vec_id = p_partkey
 """
 
@@ -156,7 +158,7 @@ CTES["query_vectors"] = """
     FROM (SELECT label, dim, round(avg(x), 6) AS m FROM cells GROUP BY label, dim) GROUP BY label
 """
 CTES["near"] = """
-    SELECT query_id, type, level, file_path, name,
+    SELECT query_id, type, level, repo_id, file_path, name, parent_class, position,
            round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 9) + 0.0 AS distance
     FROM artifacts, query_vectors WHERE embedding IS NOT NULL
 """
