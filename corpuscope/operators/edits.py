@@ -65,14 +65,15 @@ def _step(state, e):
     )
 
 
-def apply_edits(docs: DataFrame, edits: DataFrame, key: str, text: str) -> DataFrame:
+def apply_edits(docs: DataFrame, edits: DataFrame, key: str, text: str, keep=()) -> DataFrame:
     """Documents after their edits.
 
     ``edits``: key, seq, action (add / modify / delete), line_number, old_code, new_code. Line edits come first, last
     line first, the others follow by ``seq``. modify and delete change the first occurrence; when the text is missing
     the document is ``rejected`` and its content NULL. Documents with an edit that may not be applied directly are
     ``ineligible``, those without edits ``unchanged``. Unusable edits are counted in ``edits_skipped``. Edits whose key
-    (NULL included) no document has give one row with the status ``missing_document``.
+    (NULL included) no document has give one row with the status ``missing_document``. ``keep`` names columns of the
+    documents that stay.
 
     Each edit sees the result of the one before, so a document with its own edits is one row's work; nothing but the
     edits is grouped, and the plan is the same for any number of them.
@@ -91,7 +92,7 @@ def apply_edits(docs: DataFrame, edits: DataFrame, key: str, text: str) -> DataF
     start = F.struct(
         F.col("__text").alias("text"), F.lit(True).alias("ok"), F.lit(0).alias("applied"), F.lit(0).alias("skipped")
     )
-    joined = docs.select(key, F.col(text).alias("__text"), F.lit(True).alias("__found")).join(
+    joined = docs.select(key, *keep, F.col(text).alias("__text"), F.lit(True).alias("__found")).join(
         lists, F.col(key) == F.col("__key"), "full")
     state = F.when(F.col("__found") & F.col("__list").isNotNull(), F.aggregate("__list", start, _step)).otherwise(start)
     status = (
@@ -105,6 +106,7 @@ def apply_edits(docs: DataFrame, edits: DataFrame, key: str, text: str) -> DataF
     counted = F.col("status") == "edited"
     return done.select(
         F.coalesce(key, "__key").alias(key),
+        *keep,
         "status",
         F.when(F.col("status").isin("edited", "unchanged"), F.col("__state.text")).alias(text),
         F.when(counted, F.col("__state.applied")).otherwise(F.lit(0)).cast("bigint").alias("edits_applied"),

@@ -32,29 +32,43 @@ def sessions(events: DataFrame, keys, ts: str = "ts", gap_seconds: int = SESSION
     row per (key, cell) with map-side aggregation. Only those few rows per key are ordered, whatever the size of the
     key. A pause of exactly the gap still belongs to the session, as in the streaming variant.
     """
+    return session_rows(merge_spans(event_spans(events, keys, ts, gap_seconds), keys, gap_seconds), keys, gap_seconds)
+
+
+def event_spans(events: DataFrame, keys, ts: str = "ts", gap_seconds: int = SESSION_TTL) -> DataFrame:
+    """Events reduced to one span per key and time cell as wide as the gap: keys, first, last (microseconds), n."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     gap = gap_seconds * 1_000_000
-    cells = (
+    return (
         events.where(F.col(ts).isNotNull())
         .select(*keys, micros.alias("t"), (micros - F.pmod(micros, F.lit(gap))).alias("cell"))
         .groupBy(*keys, "cell")
         .agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count(F.lit(1)).alias("n"))
+        .drop("cell")
     )
-    in_time = Window.partitionBy(*keys).orderBy("cell")
-    opens = F.coalesce((F.col("first") - F.lag("last").over(in_time) > gap).cast("int"), F.lit(1))
-    numbered = cells.withColumn("opens", opens).withColumn(
-        "session_no", F.sum("opens").over(in_time.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")
-    )
-    spans = numbered.groupBy(*keys, "session_no").agg(
-        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("events")
-    )
+
+
+def merge_spans(spans: DataFrame, keys, gap_seconds: int = SESSION_TTL) -> DataFrame:
+    """Spans of a key that are not further apart than the gap, or overlap, put together."""
+    in_time = Window.partitionBy(*keys).orderBy("first", "last")
+    reached = F.max("last").over(in_time.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce((F.col("first") - reached > gap_seconds * 1_000_000).cast("int"), F.lit(1))
+    numbered = spans.withColumn("opens", opens).withColumn(
+        "__no", F.sum("opens").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "__no").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("__no")
+
+
+def session_rows(spans: DataFrame, keys, gap_seconds: int = SESSION_TTL) -> DataFrame:
+    """Sessions from merged spans, numbered per key."""
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("first")).cast("bigint")
     return spans.select(
         *keys,
-        "session_no",
+        number.alias("session_no"),
         F.timestamp_micros("first").alias("created_at"),
         F.timestamp_micros("last").alias("last_activity"),
-        F.timestamp_micros(F.col("last") + gap).alias("expires_at"),
-        "events",
+        F.timestamp_micros(F.col("last") + gap_seconds * 1_000_000).alias("expires_at"),
+        F.col("n").alias("events"),
     )
 
 

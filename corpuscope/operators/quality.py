@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,15 +58,14 @@ ERROR_PENALTY = 10
 WARNING_PENALTY = 2
 
 
-def scan_rules(docs: DataFrame, rules, text: str, keys) -> DataFrame:
-    """One finding per rule that matches a text: all rules in one projection over one scan.
+def rule_findings(rules, text: str, lowered: str) -> Column:
+    """Findings of a text as an array, one per rule that matches.
 
-    A pattern is only tried where its word occurs, which a plain substring search finds much faster. The lower-case
-    text is a column of its own, so it is made once per text. (?U) gives \\s and \\w their Unicode meaning, (?d) lets
-    "." pass everything but a line feed.
+    A pattern is only tried where its word occurs, which a plain substring search finds much faster. (?U) gives \\s and
+    \\w their Unicode meaning, (?d) lets "." pass everything but a line feed. ``lowered`` names the folded text.
     """
     def finding(rule):
-        source, flags = ("__folded", "(?iUd)") if rule.ignore_case else (text, "(?Ud)")
+        source, flags = (lowered, "(?iUd)") if rule.ignore_case else (text, "(?Ud)")
         return F.when(
             F.contains(F.col(source), F.lit(rule.word)) & F.col(text).rlike(flags + rule.pattern),
             F.struct(
@@ -77,9 +76,17 @@ def scan_rules(docs: DataFrame, rules, text: str, keys) -> DataFrame:
             ),
         )
 
-    found = F.array_compact(F.array(*[finding(r) for r in rules]))
+    return F.array_compact(F.array(*[finding(r) for r in rules]))
+
+
+def scan_rules(docs: DataFrame, rules, text: str, keys) -> DataFrame:
+    """One finding per rule that matches a text: all rules in one projection over one scan.
+
+    The lower-case text is a column of its own, so it is made once per text.
+    """
     texts = docs.select(*keys, text, folded(text).alias("__folded"))
-    return texts.select(*keys, F.explode(found).alias("f")).select(*keys, "f.*")
+    found = F.explode(rule_findings(rules, text, "__folded")).alias("f")
+    return texts.select(*keys, found).select(*keys, "f.*")
 
 
 def code_metrics(docs: DataFrame, text: str, keys) -> DataFrame:
@@ -135,22 +142,26 @@ def route_findings(findings: DataFrame, strict: bool = False, key: str = "file_p
 
 
 def validate(files: DataFrame, findings: DataFrame, keys, strict: bool = False, skip_warnings: bool = False) -> DataFrame:
+    """Per file: errors, warnings, suggestions and the pass flag; files and findings as two tables (see :func:`validate_checked`)."""
+    none = files.select(*keys, F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("severity"))
+    return validate_checked(none.unionByName(findings.select(*keys, "kind", "severity")), keys, strict, skip_warnings)
+
+
+def validate_checked(checked: DataFrame, keys, strict: bool = False, skip_warnings: bool = False) -> DataFrame:
     """Per file: errors, warnings, suggestions and the pass flag.
 
-    Files and findings meet in one grouping with map-side sums, so no join is needed and clean files stay in.
-    ``skip_warnings`` empties ``reported_warnings`` only; the counts and the pass flag do not change.
+    ``checked`` has a row for every finding and one with a NULL kind for every file, so clean files stay in and one
+    grouping with map-side sums is all. ``skip_warnings`` empties ``reported_warnings`` only; the counts and the pass
+    flag do not change.
     """
     level = finding_level(strict)
     syntax = F.col("kind") == "syntax"
-    marks = findings.select(
-        *keys,
-        syntax.cast("bigint").alias("s"),
-        ((level == "error") & ~syntax).cast("bigint").alias("e"),
-        (level == "warning").cast("bigint").alias("w"),
-        (level == "suggestion").cast("bigint").alias("g"),
-    )
-    none = files.select(*keys, *[F.lit(0).cast("bigint").alias(c) for c in "sewg"])
-    sums = none.unionByName(marks).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in "sewg"])
+
+    def mark(condition):
+        return F.coalesce(F.sum((F.col("kind").isNotNull() & condition).cast("bigint")), F.lit(0))
+
+    sums = checked.groupBy(*keys).agg(
+        mark(syntax).alias("s"), mark((level == "error") & ~syntax).alias("e"), mark(level == "warning").alias("w"), mark(level == "suggestion").alias("g"))
     broken = F.col("s") > 0
     counted = sums.select(
         *keys,

@@ -14,13 +14,19 @@ from corpuscope.functions.text import strip
 
 @dataclass(frozen=True)
 class Field:
-    """One field of a contract: required, or with a default; optionally limited to values."""
+    """One field of a contract: required, or with a default; optionally limited to values, or open to null.
+
+    ``type`` is string, int, double, boolean, array<string>, map<string,string>, or struct or list, whose content ``fields``
+    describes.
+    """
 
     name: str
     type: str
     required: bool = True
     default: Any = None
-    allowed: tuple = field(default_factory=tuple)
+    allowed: tuple = ()
+    nullable: bool = False
+    fields: tuple = field(default_factory=tuple)
 
 
 # The contracts of the answers.
@@ -28,21 +34,21 @@ MODIFICATION = [
     Field("action", "string"),
     Field("target_type", "string"),
     Field("target_name", "string"),
-    Field("line_number", "int", False, 0),
-    Field("old_code", "string", False, ""),
+    Field("line_number", "int", False, 0, nullable=True),
+    Field("old_code", "string", False, "", nullable=True),
     Field("new_code", "string"),
     Field("explanation", "string"),
-    Field("affects_dependencies", "array<string>", False, ()),
-    Field("user_intent_alignment", "double", False, 0.0),
+    Field("affects_dependencies", "array<string>", False, (), nullable=True),
+    Field("user_intent_alignment", "double", False, 0.0, nullable=True),
 ]
 FILE_ANALYSIS = [
     Field("needs_modification", "boolean"),
     Field("modification_type", "string", False, "", (
         "data_loading", "data_transformation", "output_handling", "configuration", "utility", "new_file",
-        "dependency_update", "testing", "Migration")),
+        "dependency_update", "testing", "Migration"), nullable=True),
     Field("priority", "string", False, "low", ("high", "medium", "low")),
     Field("reason", "string"),
-    Field("cross_file_dependencies", "map<string,string>", False, None),
+    Field("cross_file_dependencies", "map<string,string>", False, None, nullable=True),
 ]
 INTENT = [
     Field("core_intent", "string"),
@@ -60,36 +66,139 @@ QUERY_ENHANCEMENT = [
     Field("change_type", "string"),
 ]
 
-MALFORMED = "__malformed"
+CHANGE_PLAN = [
+    Field("modifications", "list", False, (), fields=tuple(MODIFICATION)),
+    Field("new_dependencies", "array<string>", False, ()),
+    Field("testing_suggestions", "array<string>", False, ()),
+    Field("potential_issues", "array<string>", False, ()),
+    Field("cross_file_impacts", "array<string>", False, (), nullable=True),
+    Field("implementation_notes", "array<string>", False, (), nullable=True),
+    Field("alignment_score", "double", False, 0.0, nullable=True),
+]
+TARGET_FILES = [
+    Field("success", "boolean"),
+    Field("message", "string"),
+    Field("files_to_modify", "list", False, (), fields=(
+        Field("file_path", "string"),
+        Field("file_info", "map<string,string>"),
+        Field("analysis", "struct", fields=tuple(FILE_ANALYSIS)),
+        Field("priority", "string", allowed=("high", "medium", "low")),
+    )),
+]
+
+# Texts that stand for a truth value.
+TRUE_TEXTS = ["true", "t", "yes", "y", "on", "1"]
+FALSE_TEXTS = ["false", "f", "no", "n", "off", "0"]
+
+
+def _ddl(f: Field) -> str:
+    if not f.fields:
+        return f.type
+    inner = "struct<" + ",".join(f"`{x.name}`:{_ddl(x)}" for x in f.fields) + (",`reject_reason`:string>" if f.type == "list" else ">")
+    return f"array<{inner}>" if f.type == "list" else inner
 
 
 def _default(f: Field) -> Column:
-    if isinstance(f.default, tuple):
-        return F.array(*[F.lit(x) for x in f.default]).cast(f.type)
+    if f.fields or isinstance(f.default, tuple):
+        return (F.array(*[F.lit(x) for x in f.default or ()]) if f.type != "struct" else F.lit(None)).cast(_ddl(f))
     return F.lit(f.default).cast(f.type)
 
 
-def parse_contract(df: DataFrame, col: str, contract: list[Field]) -> DataFrame:
-    """Parse a JSON column by its contract.
+def _value(raw: Column, kind: Column, f: Field) -> tuple[Column, Column]:
+    """Typed value of a variant, NULL where it does not fit, and what is wrong inside it (NULL if nothing).
 
-    Adds the fields (defaults filled in) and ``reject_reason``: NULL for good rows, else what is wrong first:
-    malformed JSON or types, a missing required field, a value that is not allowed.
+    Numeric text is a number, a number is no text; whole numbers may be written with a point; some texts and 0 and 1
+    stand for truth values. ``kind`` is the variant's type.
     """
-    schema = ", ".join(f"`{f.name}` {f.type}" for f in contract) + f", `{MALFORMED}` string"
-    parsed = F.from_json(F.col(col), schema, {"columnNameOfCorruptRecord": MALFORMED})
-    # Exploding the one struct keeps later filters above the parse, so each text is parsed once.
-    rows = df.select("*", F.explode(F.array(parsed)).alias("__p"))
-    reason = F.when(F.col(f"__p.{MALFORMED}").isNotNull() | F.col("__p").isNull(), F.lit("malformed"))
+    def got(as_type):
+        return F.try_variant_get(raw, "$", as_type)
+
+    none = F.lit(None).cast("string")
+    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL"))
+    text, flag = F.when(kind == "STRING", got("string")), F.when(kind == "BOOLEAN", got("boolean"))
+    match f.type:
+        case "string":
+            return text, none
+        case "int" | "bigint":
+            whole = F.when(number & (got("double") == F.floor(got("double"))), got("double"))
+            written = F.when(F.trim(text).rlike(r"^[+-]?[0-9]+(?:\.0*)?$"), F.trim(text).try_cast("double"))
+            exact = F.when(kind == "BIGINT", got("bigint"))
+            return F.coalesce(exact, F.coalesce(whole, written, flag.cast("double")).try_cast("bigint")).try_cast(f.type), none
+        case "double":
+            return F.coalesce(F.when(number, got("double")), F.trim(text).try_cast("double"), flag.cast("double")), none
+        case "boolean":
+            word = F.lower(text)
+            one = F.when(kind == "BIGINT", got("bigint"))
+            return F.coalesce(flag, F.when(word.isin(TRUE_TEXTS) | (one == 1), True).when(word.isin(FALSE_TEXTS) | (one == 0), False)), none
+        case "array<string>":
+            items = F.when(F.startswith(kind, F.lit("ARRAY")), got("array<variant>"))
+            fits = F.forall(items, lambda x: F.schema_of_variant(x) == "STRING")
+            return F.when(fits, F.transform(items, lambda x: F.try_variant_get(x, "$", "string"))), none
+        case "map<string,string>":
+            items = F.when(F.startswith(kind, F.lit("OBJECT")), got("map<string,variant>"))
+            return F.transform_values(items, lambda _, x: F.when(
+                F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x))), none
+        case "struct":
+            values, problem = _fields(raw, f.fields)
+            inside = F.struct(*[v.alias(n) for n, v in values.items()])
+            return F.when(F.startswith(kind, F.lit("OBJECT")), inside), F.concat(F.lit(f.name + ": "), problem)
+        case "list":
+            def element(x):
+                values, problem = _fields(x, f.fields)
+                reason = F.when(~F.startswith(F.schema_of_variant(x), F.lit("OBJECT")), "wrong type").otherwise(problem)
+                return F.struct(*[v.alias(n) for n, v in values.items()], reason.alias("reject_reason"))
+
+            return F.when(F.startswith(kind, F.lit("ARRAY")), F.transform(got("array<variant>"), element)), none
+    raise ValueError(f"unknown type {f.type}")
+
+
+def _fields(obj: Column, contract) -> tuple[dict, Column]:
+    """Values of the fields of an object, defaults filled in, and the first thing that is wrong with it."""
+    values, missing, wrong, refused, inner = {}, [], [], [], []
     for f in contract:
+        raw = F.try_variant_get(obj, f"$['{f.name}']", "variant")
+        kind = F.schema_of_variant(raw)
+        value, problem = _value(raw, kind, f)
+        absent = raw.isNull()
+        null = kind == "VOID"
+        # A given null is not the default: it is kept where the field is open to it.
+        values[f.name] = F.when(absent, _default(f) if not f.required else F.lit(None).cast(_ddl(f))).when(null, F.lit(None).cast(_ddl(f))).otherwise(value)
         if f.required:
-            reason = reason.when(F.col(f"__p.{f.name}").isNull(), F.lit(f"missing {f.name}"))
-    for f in contract:
+            missing.append((absent, f"missing {f.name}"))
+        if not f.nullable:
+            wrong.append((null, f"null {f.name}"))
+        wrong.append((~absent & ~null & value.isNull(), f"wrong type {f.name}"))
         if f.allowed:
-            allowed = [*f.allowed, *([f.default] if f.default is not None else [])]
-            reason = reason.when(~F.col(f"__p.{f.name}").isin(*allowed), F.lit(f"invalid {f.name}"))
-    values = {f.name: F.col(f"__p.{f.name}") if f.required else F.coalesce(F.col(f"__p.{f.name}"), _default(f))
-              for f in contract}
-    return rows.withColumns({**values, "reject_reason": reason}).drop("__p")
+            refused.append((~absent & ~null & ~value.isin(*f.allowed, *([f.default] if f.default is not None else [])), f"invalid {f.name}"))
+        if f.type == "struct":
+            inner.append(F.when(~absent & ~null, problem))
+    reason = F.when(F.lit(False), F.lit(None).cast("string"))
+    for condition, message in [*missing, *wrong, *refused]:
+        reason = reason.when(condition, F.lit(message))
+    return values, F.coalesce(reason.otherwise(F.lit(None).cast("string")), *inner)
+
+
+def parse_contract(df: DataFrame, col: str, contract: list[Field]) -> DataFrame:
+    """Parse a JSON column by its contract.
+
+    Adds the fields (defaults filled in) and ``reject_reason``: NULL for good rows, else what is wrong first: malformed
+    JSON, a missing required field, a null or a value of another type, a value that is not allowed, the same inside a
+    struct. Elements of a list carry a ``reject_reason`` of their own (see :func:`contract_elements`).
+    """
+    # Exploding the one value keeps later filters above the parse, so each text is parsed once.
+    rows = df.select("*", F.explode(F.array(F.try_parse_json(F.col(col)))).alias("__v"))
+    object_ = F.coalesce(F.startswith(F.schema_of_variant("__v"), F.lit("OBJECT")), F.lit(False))
+    values, problem = _fields(F.col("__v"), contract)
+    reason = F.when(~object_, F.lit("malformed")).otherwise(problem)
+    return rows.withColumns({**values, "reject_reason": reason}).drop("__v")
+
+
+def contract_elements(parsed: DataFrame, name: str, keys) -> DataFrame:
+    """One row per element of a list field: keys, pos, its fields and ``reject_reason`` with the place of the element."""
+    rows = parsed.where(F.col("reject_reason").isNull()).select(*keys, F.posexplode(name).alias("pos", "__e"))
+    inner = [c for c in rows.select("__e.*").columns if c != "reject_reason"]
+    place = F.concat(F.lit(f"{name}["), F.col("pos").cast("string"), F.lit("]: "), F.col("__e.reject_reason"))
+    return rows.select(*keys, F.col("pos").cast("bigint").alias("pos"), *[F.col(f"__e.{c}").alias(c) for c in inner], place.alias("reject_reason"))
 
 
 def good_and_rejects(parsed: DataFrame, contract: list[Field], keys) -> tuple[DataFrame, DataFrame]:

@@ -33,7 +33,7 @@ def _is_docstring(body) -> bool:
     return isinstance(getattr(value, "value", None), str) and isinstance(value, ast.Constant)
 
 
-def _lint(text):
+def lint_text(text):
     """(kind, rule, severity, line, message) of one source text."""
     tree, error = _parsed(text)
     if tree is None:
@@ -90,10 +90,16 @@ def _per_file(extract, columns):
     return run
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """Paths and texts over all shuffle partitions: a parse costs far more than the bytes that Spark packs tasks by."""
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("file_path", "content").repartition(parts, "file_path")
+
+
 def lint_findings(files: DataFrame) -> DataFrame:
     """Findings of every file: syntax error, or bare excepts, unused names, long functions, missing docstrings."""
-    source = files.where(F.col("content").isNotNull()).select("file_path", "content")
-    run = _per_file(_lint, ["kind", "rule_id", "severity", "line", "message"])
+    source = _dealt(files.where(F.col("content").isNotNull()))
+    run = _per_file(lint_text, ["kind", "rule_id", "severity", "line", "message"])
     return source.mapInPandas(
         run, "file_path string, pos bigint, kind string, rule_id string, severity string, line bigint, message string"
     )
@@ -101,7 +107,7 @@ def lint_findings(files: DataFrame) -> DataFrame:
 
 def symbol_index(files: DataFrame) -> DataFrame:
     """Functions, classes, imports and assigned names of every file that parses."""
-    source = files.where(F.length("content") > 0).select("file_path", "content")
+    source = _dealt(files.where(F.length("content") > 0))
     run = _per_file(_symbols, ["kind", "name", "line", "args"])
     return source.mapInPandas(run, "file_path string, pos bigint, kind string, name string, line bigint, args array<string>")
 
@@ -114,19 +120,29 @@ def symbol_counts(symbols: DataFrame, by=("kind",)) -> DataFrame:
 def import_edges(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Imports of files of the same tree: one row per importing file and module.
 
-    A module is the first or last part of an import that is the stem of some file. ``target`` is that file when only
-    one has the stem, else NULL, and ``n_targets`` tells how many there are; so a common name does not pair every
-    importer with every file.
+    An import names a module, or a module and something in it. A file is the module if its path ends with the module's:
+    ``pkg.mod`` is ``src/pkg/mod.py`` or ``src/pkg/mod/__init__.py``. The whole name goes before the name without its last
+    part, and a file below the importer's own folder before the others. ``target`` is NULL where several files are left;
+    ``n_targets`` is their number. Both lookups have one row per name, so a common name does not pair every importer with
+    every file.
     """
-    stem = F.regexp_replace(file_name("file_path"), r"\.py$", "")
-    targets = files.groupBy(stem.alias("module")).agg(
-        F.count(F.lit(1)).alias("n_targets"), F.min("file_path").alias("__first")
-    )
-    name = F.rtrim(F.col("name"), F.lit("."))
-    ends = F.array_distinct(F.array(F.substring_index(name, ".", 1), F.substring_index(name, ".", -1)))
-    imports = symbols.where(F.col("kind") == "import").select(
-        F.col("file_path").alias("source"), F.explode(ends).alias("module")
-    ).distinct()
-    found = imports.join(targets, "module").where((F.col("n_targets") > 1) | (F.col("source") != F.col("__first")))
-    target = F.when(F.col("n_targets") == 1, F.col("__first")).alias("target")
-    return found.select("source", "module", target, "n_targets")
+    place = F.regexp_replace("file_path", r"(?:/__init__)?\.py$", "")
+    parts = F.split(place, "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
+    by_end = files.select(F.explode(ends).alias("module"), "file_path").groupBy("module").agg(
+        F.count(F.lit(1)).alias("n"), F.min("file_path").alias("only"))
+    by_place = files.select(place.alias("place"), "file_path").groupBy("place").agg(F.min("file_path").alias("near"))
+    name = F.btrim(F.col("name"), F.lit("."))
+    folder = F.regexp_extract("file_path", "^(.*/)?[^/]*$", 1)
+    whole = F.struct(F.lit(1).alias("rank"), name.alias("module"))
+    front = F.struct(F.lit(2).alias("rank"), F.regexp_replace(name, r"\.[^.]*$", "").alias("module"))
+    options = F.when(F.contains(name, F.lit(".")), F.array(whole, front)).otherwise(F.array(whole))
+    asked = symbols.where(F.col("kind") == "import").select(
+        F.col("file_path").alias("source"), "name", folder.alias("folder"), F.explode(options).alias("o")).distinct()
+    asked = asked.select("source", "name", "o.rank", "o.module", F.concat("folder", F.replace("o.module", F.lit("."), F.lit("/"))).alias("place"))
+    found = asked.join(by_place, "place", "left").join(by_end, "module", "left").where("near is not null or n is not null")
+    target = F.coalesce("near", F.when(F.col("n") == 1, F.col("only")))
+    count = F.when(F.col("near").isNotNull(), F.lit(1).cast("bigint")).otherwise(F.col("n"))
+    best = found.groupBy("source", "name").agg(F.min(F.struct("rank", "module", target.alias("target"), count.alias("n_targets"))).alias("b"))
+    edges = best.select("source", "b.module", "b.target", "b.n_targets").distinct()
+    return edges.where(F.col("target").isNull() | (F.col("target") != F.col("source")))

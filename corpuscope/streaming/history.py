@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from corpuscope.operators.history import HISTORY_CAP, capped_history
+from corpuscope.streaming.tables import BUCKETS, read_table, table_stream
 
 
 def capped_history_stream(events: DataFrame, key: str, seq: str, message: str, n: int = HISTORY_CAP) -> DataFrame:
@@ -49,38 +51,19 @@ def latest_history(emitted: DataFrame, keys=("key",)) -> DataFrame:
     return emitted.join(newest, [*keys, "version"]).drop("version")
 
 
-def read_histories(spark: SparkSession, path: str, keys) -> DataFrame:
-    """Current lists of a history table kept by :func:`history_table_stream`."""
-    return latest_history(spark.read.option("basePath", path).parquet(f"{path}/version=*"), keys)
+def read_histories(spark: SparkSession, path: str, keys, order) -> DataFrame:
+    """Current lists of a history table kept by :func:`history_table_stream`; ``recency`` is 1 for the newest."""
+    rows = read_table(spark, path)
+    return rows.withColumn("recency", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])).cast("bigint"))
 
 
-def history_table_stream(events: DataFrame, path: str, checkpoint: str, keys, order, n: int = HISTORY_CAP):
-    """Writer that keeps a history table without Python state; start it with a trigger.
+def history_table_stream(events: DataFrame, path: str, checkpoint: str, keys, order, n: int = HISTORY_CAP, buckets: int = BUCKETS):
+    """Writer that keeps the newest ``n`` events of each key as a table, without Python state; start it with a trigger.
 
-    Each micro-batch is capped inside every task first, so a hot key sends ``n`` rows per task. It meets the stored
-    lists of the keys it touches, is capped again and written as a version of its own; a repeated batch overwrites
-    its version.
+    Each micro-batch is capped inside every task first, so a hot key sends ``n`` rows per task, and only the lists
+    of touched buckets of keys are read and rewritten.
     """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = capped_history(batch, keys, order, n).drop("recency")
-        earlier = [f"{path}/version={v}" for v in _versions(spark, path) if v < batch_id]
-        if earlier:
-            stored = latest_history(spark.read.option("basePath", path).parquet(*earlier), keys)
-            touched = stored.join(fresh.select(*keys).distinct(), list(keys), "left_semi")
-            fresh = touched.select(*fresh.columns).unionByName(fresh)
-        capped_history(fresh, keys, order, n).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions written so far, from the folder names on the shared file system."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    done = [x for x in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{x}/_SUCCESS"))]
-    return sorted(int(x.split("=")[1]) for x in done if x.startswith("version="))
+    def newest(rows: DataFrame) -> DataFrame:
+        return capped_history(rows, keys, order, n).drop("recency")
+
+    return table_stream(events, path, checkpoint, keys, newest, newest, buckets)

@@ -9,7 +9,7 @@ from corpuscope.operators.history import (capped_history, delete_keys, followup_
                                           replace_history, running_context, session_status, sessions)
 from corpuscope.operators.status import derive_status, status_counts
 from corpuscope.streaming.history import capped_history_stream, history_table_stream, latest_history, read_histories
-from corpuscope.streaming.sessions import session_stream
+from corpuscope.streaming.sessions import read_sessions, session_stream, session_table_stream
 from tests.conftest import plan, rows
 
 START = dt.datetime(2024, 1, 1)
@@ -145,12 +145,27 @@ def test_history_stream_equals_batch(spark, event_files):
 def test_history_table_equals_batch(spark, event_files):
     data, stream, tmp = event_files
     path = str(tmp / "table")
-    history_table_stream(stream.drop("ts"), path, str(tmp / "ck2"), ["k"], ["seq"], 6).trigger(availableNow=True).start().awaitTermination()
-    got = read_histories(spark, path, ["k"])
+    history_table_stream(stream.drop("ts"), path, str(tmp / "ck2"), ["k"], ["seq"], 6, buckets=3).trigger(availableNow=True).start().awaitTermination()
+    got = read_histories(spark, path, ["k"], ["seq"])
     want = capped_history(frame(spark, data), ["k"], ["seq"], 6)
     assert rows(got.select("k", "recency", "seq", "m")) == rows(want.select("k", "recency", "seq", "m"))
 
 
+def test_session_table_equals_batch(spark, event_files):
+    """Open and closed sessions, whatever the order of the files; a batch that runs twice changes nothing."""
+    data, stream, tmp = event_files
+    path, gap = str(tmp / "sessions"), 300
+    writer = session_table_stream(stream, path, str(tmp / "ck4"), ["k"], "ts", gap, buckets=3)
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = sessions(frame(spark, data), ["k"], "ts", gap)
+    assert rows(read_sessions(spark, path, ["k"], gap)) == rows(want)
+    # The same batches from the beginning: every bucket has seen them.
+    again = session_table_stream(stream, path, str(tmp / "ck5"), ["k"], "ts", gap, buckets=3)
+    again.trigger(availableNow=True).start().awaitTermination()
+    assert rows(read_sessions(spark, path, ["k"], gap)) == rows(want)
+
+
 def test_session_stream_equals_closed_batch_sessions(spark, event_files):
     data, stream, tmp = event_files
     gap = 300

@@ -4,9 +4,11 @@ import re
 from pyspark.sql import functions as F
 
 from corpuscope.operators.quality import (PERFORMANCE, SECURITY, code_metrics, complexity, route_findings, scan_rules, top_issues,
-                                          validate, validation_summary)
+                                          validate, validate_checked, validation_summary)
 from corpuscope.operators.symbols import import_edges, lint_findings, symbol_counts, symbol_index
 from corpuscope.operators.edits import delta_counts
+from corpuscope.plans.validation import check_files, record_passed, run_changes
+from corpuscope.sources.ledger import read_ledger
 from tests.conftest import plan, rows
 
 PIECES = ["EVAL (", "exec(", "input\u00a0(", "subprocess.run", "os.system (", "pickle.load(", "__import__(", "password = 'x'", "paſſword='y'",
@@ -83,7 +85,44 @@ def test_symbols_and_edges(spark):
     assert a == {("import", "os"), ("import", "util.b"), ("import", "b.c"), ("variable", "_x"), ("variable", "__y"), ("class", "K"), ("function", "m")}
     assert symbols.where("name = 'm'").first().args == ["self", "a"]
     assert symbol_counts(symbols).where("kind = 'import'").first().symbols == 4
-    assert rows(import_edges(symbols, files)) == [("src/a.py", "b", None, 2), ("src/a.py", "c", "src/c.py", 1), ("x/b.py", "a", "src/a.py", 1)]
+    assert rows(import_edges(symbols, files)) == [("src/a.py", "b", "src/b.py", 1), ("x/b.py", "a", "src/a.py", 1)]
+
+
+def test_edges_by_module_path(spark):
+    files = spark.createDataFrame([
+        ("src/pkg/mod.py", "x = 1"), ("src/pkg/__init__.py", ""), ("lib/util.py", ""), ("src/util.py", ""), ("app/util.py", "import pkg"),
+        ("app/main.py", "from pkg.mod import f\nimport util\nimport pkg.mod\nimport os\nfrom pkg import mod"),
+        ("src/run.py", "import util\nimport src.pkg.mod as m"), ("top.py", "import util\nimport lib.util")], "file_path string, content string")
+    assert rows(import_edges(symbol_index(files), files)) == [
+        ("app/main.py", "pkg.mod", "src/pkg/mod.py", 1), ("app/main.py", "util", "app/util.py", 1), ("app/util.py", "pkg", "src/pkg/__init__.py", 1),
+        ("src/run.py", "src.pkg.mod", "src/pkg/mod.py", 1), ("src/run.py", "util", "src/util.py", 1),
+        ("top.py", "lib.util", "lib/util.py", 1), ("top.py", "util", None, 3)]
+
+
+def test_one_read_equals_two_tables(spark):
+    files, found = findings(spark)
+    all_files = spark.createDataFrame([*CODE, ("null.py", None)], "file_path string, content string")
+    checked = check_files(all_files)
+    got = rows(checked.where("kind is not null").select("file_path", "rule_id", "kind", "severity", "message"))
+    assert got == rows(found.select("file_path", "rule_id", "kind", "severity", "message"))
+    assert sorted(r.file_path for r in checked.where("kind is null").collect()) == sorted(f for f, _ in [*CODE, ("null.py", None)])
+    for strict in (False, True):
+        want = rows(validate(all_files, found, ["file_path"], strict=strict))
+        assert rows(validate_checked(checked, ["file_path"], strict=strict)) == want
+    assert plan(validate_checked(checked, ["file_path"])).count("MapInArrow") == 1
+
+
+def test_change_plan_to_ledger(spark, tmp_path):
+    files = spark.createDataFrame([("r1", "a", "x = 1"), ("r1", "b", "eval(1)"), ("r2", "c", "eval(2)"), ("r3", "d", "y"), ("r4", "e", "z")],
+                                  "run_id string, file_path string, content string")
+    edits = spark.createDataFrame([("b", 0, "modify", 0, "eval(1)", "safe"), ("c", 0, "add", 1, None, "import os"), ("d", 0, "modify", 0, "none", "n"),
+                                   ("lost", 0, "add", 1, None, "n")],
+                                  "file_path string, seq int, action string, line_number int, old_code string, new_code string")
+    runs = run_changes(files, edits, strict=True, lint=False)
+    got = {r.run_id: (r.files_edited, r.files_not_edited, r.total_errors, r.passed) for r in runs.collect()}
+    assert got == {"r1": (1, 0, 0, True), "r2": (1, 0, 1, False), "r3": (0, 1, None, False), "r4": (0, 0, 0, True)}
+    record_passed(runs, str(tmp_path / "l"), F.lit("2024-01-01").cast("timestamp"))
+    assert sorted(r.user_id for r in read_ledger(spark, str(tmp_path / "l")).collect()) == ["r1", "r4"]
 
 
 def findings(spark):

@@ -3,7 +3,8 @@ import json
 import pytest
 
 from corpuscope.functions.responses import extract_block, extract_code, repair_json
-from corpuscope.operators.responses import FILE_ANALYSIS, INTENT, MODIFICATION, coerce_values, good_and_rejects, parse_responses, user_turns
+from corpuscope.operators.responses import (CHANGE_PLAN, FILE_ANALYSIS, INTENT, MODIFICATION, TARGET_FILES, coerce_values, contract_elements,
+                                             good_and_rejects, parse_responses, user_turns)
 from tests.conftest import plan, rows
 
 ANSWERS = [
@@ -42,7 +43,8 @@ def test_contract(spark):
     good, bad = good_and_rejects(parsed, MODIFICATION, ["id"])
     kept = {r.id: r for r in good.collect()}
     assert sorted(kept) == [1, 5] and kept[1].line_number == 0 and kept[1].old_code == "" and kept[5].affects_dependencies == ["a"]
-    assert dict(rows(bad)) == {2: "malformed", 3: "missing new_code", 4: "malformed", 6: "malformed"}
+    assert kept[5].old_code is None
+    assert dict(rows(bad)) == {2: "wrong type line_number", 3: "missing new_code", 4: "malformed", 6: "malformed"}
 
 
 def test_enums_and_defaults(spark):
@@ -58,7 +60,55 @@ def test_enums_and_defaults(spark):
 def test_each_answer_is_parsed_once(spark):
     parsed = parse_responses(frame(spark), "t", MODIFICATION)
     good, _ = good_and_rejects(parsed, MODIFICATION, ["id"])
-    assert plan(good).count("from_json") == 1
+    assert plan(good).lower().count("parsejson") == 1
+
+
+BASE = {"action": "add", "target_type": "t", "target_name": "n", "new_code": "c", "explanation": "e"}
+# Changes to a good answer, and the value or the reason that follows.
+TYPES = [
+    ({"line_number": "5"}, "line_number", 5), ({"line_number": 5.0}, "line_number", 5), ({"line_number": True}, "line_number", 1),
+    ({"line_number": None}, "line_number", None), ({"line_number": " 7 "}, "line_number", 7), ({"line_number": 5.5}, None, "wrong type line_number"),
+    ({"line_number": 12345678901}, None, "wrong type line_number"), ({"line_number": [1]}, None, "wrong type line_number"),
+    ({"action": 7}, None, "wrong type action"), ({"action": None}, None, "null action"), ({"action": ["a"]}, None, "wrong type action"),
+    ({"user_intent_alignment": "0.5"}, "user_intent_alignment", 0.5), ({"user_intent_alignment": 1}, "user_intent_alignment", 1.0),
+    ({"affects_dependencies": ["a", "b"]}, "affects_dependencies", ["a", "b"]), ({"affects_dependencies": ["a", 1]}, None, "wrong type affects_dependencies"),
+    ({"affects_dependencies": "a"}, None, "wrong type affects_dependencies"), ({"affects_dependencies": None}, "affects_dependencies", None),
+]
+
+
+def test_type_rules(spark):
+    data = [(i, json.dumps({**BASE, **change})) for i, (change, _, _) in enumerate(TYPES)]
+    got = {r.id: r for r in parse_responses(spark.createDataFrame(data, "id int, t string"), "t", MODIFICATION).collect()}
+    for i, (change, name, want) in enumerate(TYPES):
+        if name:
+            assert got[i].reject_reason is None and got[i][name] == want, change
+        else:
+            assert got[i].reject_reason == want, change
+
+
+@pytest.mark.parametrize("value, want", [("yes", True), ("OFF", False), (1, True), (0, False), (2, None), ("maybe", None), (True, True)])
+def test_truth_values(spark, value, want):
+    text = json.dumps({"needs_modification": value, "reason": "r"}).replace("true", "True")
+    got = parse_responses(spark.createDataFrame([(1, text)], "id int, t string"), "t", FILE_ANALYSIS).first()
+    assert (got.needs_modification, got.reject_reason) == (want, None if want is not None else "wrong type needs_modification")
+
+
+def test_nested_contracts(spark):
+    plan_ = {"modifications": [BASE, {**BASE, "action": 1}, "text", {k: v for k, v in BASE.items() if k != "new_code"}], "testing_suggestions": ["t"]}
+    targets = {"success": True, "message": "m", "files_to_modify": [
+        {"file_path": "a", "file_info": {"size": 3, "name": "x"}, "analysis": {"needs_modification": True, "reason": "r"}, "priority": "high"},
+        {"file_path": "b", "file_info": {}, "analysis": {"needs_modification": True}, "priority": "high"},
+        {"file_path": "c", "file_info": {}, "analysis": {"needs_modification": False, "reason": "", "priority": "urgent"}, "priority": "low"}]}
+    frame_ = spark.createDataFrame([(1, json.dumps(plan_)), (2, "{}"), (3, '{"modifications": 4}'), (4, '{"modifications": null}')], "id int, t string")
+    parsed = parse_responses(frame_, "t", CHANGE_PLAN)
+    assert {r.id: r.reject_reason for r in parsed.collect()} == {1: None, 2: None, 3: "wrong type modifications", 4: "null modifications"}
+    got = [(r.id, r.pos, r.target_name, r.reject_reason) for r in contract_elements(parsed, "modifications", ["id"]).orderBy("pos").collect()]
+    assert got == [(1, 0, "n", None), (1, 1, "n", "modifications[1]: wrong type action"), (1, 2, None, "modifications[2]: wrong type"),
+                   (1, 3, "n", "modifications[3]: missing new_code")]
+    parsed = parse_responses(spark.createDataFrame([(1, json.dumps(targets).replace("true", "True"))], "id int, t string"), "t", TARGET_FILES)
+    rows_ = contract_elements(parsed, "files_to_modify", ["id"]).orderBy("pos").collect()
+    assert [r.reject_reason for r in rows_] == [None, "files_to_modify[1]: analysis: missing reason", "files_to_modify[2]: analysis: invalid priority"]
+    assert rows_[0].file_info == {"size": "3", "name": "x"} and rows_[0].analysis.priority == "low"
 
 
 VALUES = ["1", "007", "-3", "1.5", "1e3", "true", "True", "FALSE", "None", "null", "[1, 2]", '{"a": 1}', '"quoted"', "text", "", "12345678901234567890", "{bad"]

@@ -8,15 +8,20 @@ from corpuscope.operators.quality import (
     COMPLEXITY_TOKENS,
     PERFORMANCE,
     SECURITY,
+    Rule,
     code_metrics,
     complexity,
     route_findings,
     scan_rules,
     top_issues,
     validate,
+    validate_checked,
     validation_summary,
 )
 from corpuscope.operators.symbols import import_edges, lint_findings, symbol_counts, symbol_index
+from corpuscope.plans.validation import check_files, record_passed, run_changes
+from corpuscope.session import shared_dir
+from corpuscope.sources.ledger import read_ledger
 from workload.tables import CTES, source_files, sql, table
 
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
@@ -47,11 +52,19 @@ def security_scan(spark, sf):
 SECURITY_SCAN = rules_sql("documents", "text", "doc_id, source", SECURITY)
 
 
+# Pages hold no code: what every page has and what some have.
+PAGE_RULES = [
+    Rule("script", "security", "low", r"<\s*script", "Script in a page", "script"),
+    Rule("link", "performance", "links", r"<a\s+href=[\"\']\w+", "Link to another page", "href", False),
+    *SECURITY,
+]
+
+
 def security_scan_pages(spark, sf):
-    return scan_rules(table(spark, sf, "pages"), SECURITY + PERFORMANCE, "html", ["page_id"])
+    return scan_rules(table(spark, sf, "pages"), PAGE_RULES, "html", ["page_id"])
 
 
-SECURITY_SCAN_PAGES = rules_sql("pages", "html", "page_id", SECURITY + PERFORMANCE)
+SECURITY_SCAN_PAGES = rules_sql("pages", "html", "page_id", PAGE_RULES)
 
 
 def code_scan(spark, sf):
@@ -117,11 +130,9 @@ def source_complexity(spark, sf):
 SOURCE_COMPLEXITY = sql(complexity_sql("source_files", "content", "file_path"))
 
 
-def all_findings(spark, sf):
-    files = source_files(spark, sf)
-    scanned = scan_rules(files, SECURITY + PERFORMANCE, "content", ["file_path"])
-    linted = lint_findings(files).select("file_path", "rule_id", "kind", "severity", "message")
-    return files, scanned.unionByName(linted)
+def checked_files(spark, sf):
+    """All findings of the source files, with a row for each file, from one read."""
+    return check_files(source_files(spark, sf), keys=["file_path", "customer_key"])
 
 
 # The check reads line numbers off the text: the bound files hold a known set of statements.
@@ -232,24 +243,21 @@ def without_folder(df):
 
 
 def file_validation(spark, sf):
-    files, findings = all_findings(spark, sf)
-    return without_folder(validate(files, findings, ["file_path"]))
+    return without_folder(validate_checked(checked_files(spark, sf), ["file_path"]))
 
 
 FILE_VALIDATION = sql("SELECT * EXCLUDE (folder) FROM validated")
 
 
 def file_validation_strict(spark, sf):
-    files, findings = all_findings(spark, sf)
-    return without_folder(validate(files, findings, ["file_path"], strict=True, skip_warnings=True))
+    return without_folder(validate_checked(checked_files(spark, sf), ["file_path"], strict=True, skip_warnings=True))
 
 
 FILE_VALIDATION_STRICT = sql("SELECT * EXCLUDE (folder) FROM validated_strict")
 
 
 def folder_summary(spark, sf):
-    files, findings = all_findings(spark, sf)
-    per_file = validate(files, findings, ["file_path"])
+    per_file = validate_checked(checked_files(spark, sf), ["file_path"])
     folder = F.element_at(F.split("file_path", "/"), 2)
     return validation_summary(per_file.withColumn("folder", folder), ["folder"])
 
@@ -285,10 +293,8 @@ SOURCE_SUMMARY = f"""
 
 def run_summary_strict(spark, sf):
     """One validation run per customer, strict."""
-    files, findings = all_findings(spark, sf)
-    per_file = validate(files, findings, ["file_path"], strict=True)
-    owner = files.select("file_path", "customer_key")
-    return validation_summary(per_file.join(owner, "file_path"), ["customer_key"], strict=True)
+    per_file = validate_checked(checked_files(spark, sf), ["file_path", "customer_key"], strict=True)
+    return validation_summary(per_file, ["customer_key"], strict=True)
 
 
 RUN_SUMMARY_STRICT = sql(
@@ -297,9 +303,8 @@ RUN_SUMMARY_STRICT = sql(
 
 
 def top_file_issues(spark, sf):
-    files, findings = all_findings(spark, sf)
-    run = files.select("file_path", F.col("customer_key").alias("run_id"))
-    routed = route_findings(findings, strict=True).join(run, "file_path")
+    findings = checked_files(spark, sf).where(F.col("kind").isNotNull()).withColumnRenamed("customer_key", "run_id")
+    routed = route_findings(findings, strict=True)
     message = F.when(F.col("kind") == "syntax", "").otherwise(F.col("message")).alias("message")
     found = top_issues(routed, ["run_id"], ["file_path", "kind", "rule_id", "message"], 5, 3)
     return found.select("run_id", "level", "rank", "file_path", "kind", "rule_id", message)
@@ -313,6 +318,45 @@ TOP_FILE_ISSUES = sql("""
     WHERE rank <= CASE level WHEN 'error' THEN 5 ELSE 3 END
 """)
 
+def source_edits(spark, sf):
+    """An edit of two files in three: the first import becomes a guarded one, in files that have none it cannot be applied."""
+    return source_files(spark, sf).where("order_key % 3 > 0").select(
+        "file_path", F.lit(0).alias("seq"), F.lit("modify").alias("action"), F.lit(0).alias("line_number"),
+        F.lit("import ").alias("old_code"), F.lit("global lib # import").alias("new_code"))
+
+
+def change_pipeline(spark, sf):
+    """Edits of each customer's files applied and validated; passed runs go to the ledger, which is read back."""
+    files = source_files(spark, sf).withColumnRenamed("customer_key", "run_id")
+    runs = run_changes(files, source_edits(spark, sf), strict=True, lint=False)
+    out = shared_dir(spark, "ledger")
+    record_passed(runs, out, F.lit("2024-05-01 10:00:00").cast("timestamp"))
+    saved = read_ledger(spark, out).select(F.col("user_id").cast("bigint").alias("saved_run"), "validation_status")
+    return runs.join(saved, F.col("run_id") == F.col("saved_run"), "left").select(
+        "run_id", "files_edited", "files_not_edited", "total_files", "total_errors", "total_suggestions", "overall_status", "passed",
+        "validation_status")
+
+
+CTES["changed_sources"] = """
+    SELECT file_path, customer_key AS run_id, status, CASE status WHEN 'edited' THEN
+               substr(content, 1, instr(content, 'import') - 1) || 'global lib # import' || substr(content, instr(content, 'import') + 6)
+               ELSE content END AS content
+    FROM (SELECT *, CASE WHEN order_key % 3 = 0 THEN 'unchanged' WHEN contains(content, 'import') THEN 'edited' ELSE 'rejected' END AS status
+          FROM source_files)
+"""
+CTES["usable_sources"] = "SELECT * FROM changed_sources WHERE status <> 'rejected'"
+CTES["changed_findings"] = rules_sql("usable_sources", "content", "file_path, run_id", SECURITY + PERFORMANCE)
+CHANGE_PIPELINE = sql("""
+    SELECT *, CASE WHEN passed THEN 'PASSED' END AS validation_status FROM (
+        SELECT *, files_not_edited = 0 AND coalesce(overall_status, 'passed') <> 'failed' AS passed FROM (
+            SELECT run_id, files_edited, files_not_edited, total_files, total_errors, total_suggestions,
+                   CASE WHEN total_errors > 0 THEN 'failed' WHEN total_files IS NOT NULL THEN 'passed' END AS overall_status
+            FROM (SELECT run_id, count(*) FILTER (status = 'edited') AS files_edited, count(*) FILTER (status = 'rejected') AS files_not_edited,
+                         nullif(count(*) FILTER (status <> 'rejected'), 0) AS total_files FROM changed_sources GROUP BY run_id)
+            LEFT JOIN (SELECT u.run_id, count(*) FILTER (kind = 'security') AS total_errors, count(*) FILTER (kind = 'performance') AS total_suggestions
+                       FROM usable_sources u LEFT JOIN changed_findings f ON f.file_path = u.file_path GROUP BY u.run_id) USING (run_id)))
+""")
+
 QUERIES = {
     "security_scan": (security_scan, SECURITY_SCAN),
     "security_scan_pages": (security_scan_pages, SECURITY_SCAN_PAGES),
@@ -331,4 +375,5 @@ QUERIES = {
     "source_summary": (source_summary, SOURCE_SUMMARY),
     "run_summary_strict": (run_summary_strict, RUN_SUMMARY_STRICT),
     "top_issues": (top_file_issues, TOP_FILE_ISSUES),
+    "change_pipeline": (change_pipeline, CHANGE_PIPELINE),
 }

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.responses import repair_json, stored
 from corpuscope.operators.responses import (
+    CHANGE_PLAN,
     FILE_ANALYSIS,
     MODIFICATION,
     code_blocks,
     coerce_values,
+    contract_elements,
     good_and_rejects,
     parse_responses,
     response_blocks,
@@ -127,7 +129,7 @@ def rejected_modifications(spark, sf):
 
 
 REJECTED_MODIFICATIONS = """
-    SELECT o_orderkey AS answer_id, CASE o_orderkey % 7 WHEN 5 THEN 'missing target_type' ELSE 'malformed' END AS reject_reason
+    SELECT o_orderkey AS answer_id, CASE WHEN o_orderkey % 7 IN (4, 5) THEN 'missing target_type' ELSE 'malformed' END AS reject_reason
     FROM orders WHERE o_orderkey % 7 >= 4
 """
 
@@ -154,6 +156,38 @@ FILE_ANALYSES = """
 """
 
 
+def plan_answers(spark, sf):
+    """One answer per customer with a modification for each order, some of them against the contract."""
+    key = F.col("o_orderkey").cast("string")
+    shape = F.col("o_orderkey") % 6
+    line = (F.col("o_custkey") % 100).cast("string")
+    number = F.when(shape == 0, F.concat(F.lit('"'), line, F.lit('"'))).when(shape == 3, "null").when(shape == 4, '"x"').otherwise(line)
+    element = F.concat(
+        F.lit('{"action": '), F.when(shape == 1, "7").otherwise('"modify"'), F.lit(', "target_type": "order", "target_name": "order_'), key,
+        F.lit('", "line_number": '), number, F.when(shape == 2, "").otherwise(F.concat(F.lit(', "new_code": "x = '), key, F.lit('"'))),
+        F.lit(', "explanation": "e"}'))
+    listed = table(spark, sf, "orders").select("o_custkey", "o_orderkey", element.alias("e")).groupBy("o_custkey").agg(
+        F.sort_array(F.collect_list(F.struct("o_orderkey", "e"))).alias("l"))
+    text = F.concat(F.lit('```json\n{"modifications": ['), F.array_join("l.e", ", "), F.lit('], "alignment_score": "0.5",}\n```'))
+    return listed.select("o_custkey", text.alias("text"))
+
+
+def plan_elements(spark, sf):
+    parsed = parse_responses(plan_answers(spark, sf), "text", CHANGE_PLAN)
+    return contract_elements(parsed, "modifications", ["o_custkey", "alignment_score"]).select(
+        "o_custkey", "alignment_score", "pos", "action", "target_name", "line_number", "new_code", "old_code", "reject_reason")
+
+
+PLAN_ELEMENTS = """
+    SELECT o_custkey, 0.5::DOUBLE AS alignment_score, pos, CASE WHEN shape <> 1 THEN 'modify' END AS action, 'order_' || o_orderkey AS target_name,
+           CASE WHEN shape NOT IN (3, 4) THEN (o_custkey % 100)::INTEGER END AS line_number,
+           CASE WHEN shape <> 2 THEN 'x = ' || o_orderkey END AS new_code, '' AS old_code,
+           'modifications[' || pos || ']: ' || CASE shape WHEN 1 THEN 'wrong type action' WHEN 2 THEN 'missing new_code'
+               WHEN 4 THEN 'wrong type line_number' END AS reject_reason
+    FROM (SELECT *, o_orderkey % 6 AS shape, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders)
+"""
+
+
 def stored_values(spark, sf):
     """Every event's fields as stored strings, one per row."""
     key = F.col("event_id").cast("string")
@@ -219,6 +253,7 @@ QUERIES = {
     "parse_contract": (parsed_modifications, PARSED_MODIFICATIONS),
     "contract_rejects": (rejected_modifications, REJECTED_MODIFICATIONS),
     "file_analysis_contract": (file_analyses, FILE_ANALYSES),
+    "contract_elements": (plan_elements, PLAN_ELEMENTS),
     "coerce_values": (coerced_values, COERCED_VALUES),
     "stored_values": (store_forms, STORE_FORMS),
     "user_turns": (even_turns, EVEN_TURNS),

@@ -8,7 +8,7 @@ from corpuscope.operators import history
 from corpuscope.operators.status import derive_status, status_counts
 from corpuscope.session import shared_dir
 from corpuscope.streaming.history import capped_history_stream, history_table_stream, latest_history, read_histories
-from corpuscope.streaming.sessions import session_stream
+from corpuscope.streaming.sessions import read_sessions, session_stream, session_table_stream
 from workload.tables import CTES, sql, table
 
 HALF_DAY = 12 * 3600
@@ -43,15 +43,20 @@ def recent_events_stream(spark, sf):
                          F.col("message").alias("event_type"))
 
 
+def event_files(spark, sf, out):
+    """The events as a stream of four files, one per micro-batch, in no order of time."""
+    source = events(spark, sf)
+    source.repartition(4).write.parquet(f"{out}/source")
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/source")
+
+
 def recent_events_table(spark, sf):
     """The same list kept as a table by micro-batches."""
-    source = events(spark, sf)
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     out = shared_dir(spark, "history")
-    rows = stream.select("user_id", "event_id", "event_type")
-    history_table_stream(rows, f"{out}/table", f"{out}/state", ["user_id"], ["event_id"]).trigger(
+    rows = event_files(spark, sf, out).select("user_id", "event_id", "event_type")
+    history_table_stream(rows, f"{out}/table", f"{out}/state", ["user_id"], ["event_id"], buckets=8).trigger(
         availableNow=True).start().awaitTermination()
-    return read_histories(spark, f"{out}/table", ["user_id"]).select("user_id", "recency", "event_id", "event_type")
+    return read_histories(spark, f"{out}/table", ["user_id"], ["event_id"]).select("user_id", "recency", "event_id", "event_type")
 
 
 RECENT_EVENTS_STREAM = """
@@ -128,6 +133,14 @@ def closed_sessions_stream(spark, sf):
     return as_ntz(spark.read.parquet(f"{out}/rows"), *TIMES)
 
 
+def all_sessions_table(spark, sf):
+    """All sessions, open ones too, kept as a table by micro-batches."""
+    out = shared_dir(spark, "sessions")
+    session_table_stream(event_files(spark, sf, out), f"{out}/table", f"{out}/state", ["user_id"], gap_seconds=HALF_DAY, buckets=8).trigger(
+        availableNow=True).start().awaitTermination()
+    return as_ntz(read_sessions(spark, f"{out}/table", ["user_id"], HALF_DAY), *TIMES)
+
+
 CLOSED_SESSIONS_STREAM = sql("""
     SELECT user_id, created_at, last_activity, expires_at, events FROM half_day
     WHERE expires_at <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)
@@ -299,6 +312,7 @@ QUERIES = {
     "sessions": (half_day_sessions, HALF_DAY_SESSIONS),
     "weekly_sessions": (weekly_sessions, WEEKLY_SESSIONS),
     "live_sessions": (live_at_end, LIVE_AT_END),
+    "session_table_stream": (all_sessions_table, HALF_DAY_SESSIONS),
     "session_stream": (closed_sessions_stream, CLOSED_SESSIONS_STREAM),
     "list_keys": (user_keys, USER_KEYS),
     "delete_keys": (after_delete, AFTER_DELETE),
