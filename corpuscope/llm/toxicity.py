@@ -23,8 +23,9 @@ ENTRIES = 600
 EXCEPTIONS = 2000
 # Lengths of the beginnings of words that can be entries besides whole words.
 STEMS = range(3, 9)
-# Labelled texts an entry has to occur in.
+# Labelled texts an entry has to occur in, and the share of those with label 1 that make a word an entry by itself.
 SUPPORT = 4
+COMMON = 0.03
 
 # Letters that look like a Latin letter, and digits and signs written for one.
 HOMOGLYPHS = {
@@ -253,7 +254,10 @@ def _counted(lexicon: Lexicon):
 
 
 def _cover(names: list, held, ys: np.ndarray) -> list:
-    """Entries by greedy cover: the candidate with most evidence in texts of label 1 that no chosen one matches, until none is left."""
+    """Entries by greedy cover: the candidate with most evidence in texts of label 1 that no chosen one matches, until none is left.
+
+    Whole words that very many texts of label 1 and nearly none of label 0 have are entries too, though the texts are covered.
+    """
     members: dict = {}
     for i, own in enumerate(held):
         for k in own:
@@ -265,6 +269,8 @@ def _cover(names: list, held, ys: np.ndarray) -> list:
     for k, own in members.items():
         n = int(bad[own].sum())
         rate[k] = (math.log((n + 0.5) / (n_bad + 1)) - math.log((len(own) - n + 0.5) / (n_good + 1)), len(own) - n)
+    plain = [k for k in sorted(rate) if not names[k].endswith("*") and rate[k][0] > 4.0
+             and len(members[k]) - rate[k][1] >= max(4 * SUPPORT, COMMON * n_bad)]
     uncovered = bad.copy()
     entries: list = []
     while len(entries) < ENTRIES:
@@ -278,10 +284,12 @@ def _cover(names: list, held, ys: np.ndarray) -> list:
             if odds > 2.0 and open_bad * odds - good > best[0] + 1e-9:
                 best = (open_bad * odds - good, k)
         if best[1] is None:
-            return entries
+            break
         entries.append(names[best[1]])
         uncovered[members.pop(best[1])] = False
-    return entries
+    stems = tuple(e[:-1] for e in entries if e.endswith("*"))
+    more = [names[k] for k in plain if names[k] not in entries and not names[k].startswith(stems or ("\0",))]
+    return (entries + more)[:ENTRIES]
 
 
 def _weights(counts: np.ndarray, ys: np.ndarray, ridge: float = 1.0, steps: int = 600) -> list:
