@@ -27,14 +27,47 @@ def extract_terms(df: DataFrame, text: str, keys) -> DataFrame:
     return df.select(*keys, F.posexplode(kept).alias("pos", "term")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def like_term(lowered, term, literal: bool = False) -> Column:
-    """Containment of a term column in a lower-case text; ``%`` and ``_`` of the term stay wildcards unless literal."""
-    text, term = (F.col(c) if isinstance(c, str) else c for c in (lowered, F.lower(term)))
-    plain = F.contains(text, term)
-    if literal:
-        return plain
-    wild = F.contains(term, F.lit("%")) | F.contains(term, F.lit("_")) | F.contains(term, F.lit("\\"))
-    return F.when(wild, F.like(text, F.concat(F.lit("%"), term, F.lit("%")))).otherwise(plain)
+def wild(term) -> Column:
+    """Whether a term holds a wildcard (or an escape)."""
+    return F.contains(term, F.lit("%")) | F.contains(term, F.lit("_")) | F.contains(term, F.lit("\\"))
+
+
+def like_term(lowered, term, pattern) -> Column:
+    """Containment of a lower-case term in a lower-case text, or its LIKE pattern where it has one (see :func:`patterns`)."""
+    text = F.col(lowered) if isinstance(lowered, str) else lowered
+    return F.when(pattern.isNull(), F.contains(text, term)).otherwise(F.like(text, pattern))
+
+
+def patterns(term: Column, literal: bool) -> Column:
+    """``%term%`` of a term with wildcards, else NULL; so the test of a plain term is a substring search."""
+    found = F.when(wild(term), F.concat(F.lit("%"), term, F.lit("%")))
+    return F.lit(None).cast("string") if literal else found
+
+
+PIECE = 3
+
+
+def pieces(text) -> Column:
+    """Different runs of ``PIECE`` characters; none for shorter texts."""
+    letters = F.split(text, "")
+    last = F.length(text) - PIECE
+    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(*[F.get(letters, i + k) for k in range(PIECE)]))
+    return F.array_distinct(F.when(last >= 0, runs).otherwise(F.array().cast("array<string>")))
+
+
+def _by_pieces(named: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows of ``named`` (with ``__name``) whose name contains a plain term: one row per pair, with ``term``.
+
+    Names and terms meet on the rarest piece of the term; a term with a piece that no name has finds nothing. Only pieces
+    that some term has leave the scan of the names.
+    """
+    own = terms.select("term").distinct().select("term", F.explode(pieces("term")).alias("piece"))
+    asked = own.select("piece").distinct()
+    parts = named.withColumn("piece", F.explode(pieces("__name"))).join(asked, "piece", "left_semi")
+    often = parts.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = own.join(often, "piece", "left").groupBy("term").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("r")).where("r.n > 0").select("term", "r.piece")
+    return parts.join(rarest, "piece").where(F.contains("__name", F.col("term"))).drop("piece")
 
 
 def _meet(artifacts: DataFrame, requests: DataFrame, holds, kept=None) -> DataFrame:
@@ -66,11 +99,12 @@ def name_lookup(levels: dict[str, DataFrame], requests: DataFrame, literal: bool
     ``requests``: query_id, level, names (comma-separated), and repo_id where wanted. A level that does not exist finds nothing.
     """
     asked = _with_repo(requests).select(
-        "query_id", "repo_id", "level", "names", F.transform(F.split("names", ","), lambda n: F.trim(n)).alias("list"))
+        "query_id", "repo_id", "level", "names", F.transform(F.split("names", ","), lambda n: F.struct(
+            F.lower(F.trim(n)).alias("term"), patterns(F.lower(F.trim(n)), literal).alias("pattern"))).alias("list"))
     source = all_levels(levels).select(*KEYS, "enhanced_content", "rich_metadata", F.lower("name").alias("__name"))
 
     def holds(r):
-        return (r["level"] == F.col("type")) & _same_repo(r) & F.exists(r["list"], lambda n: like_term("__name", n, literal))
+        return (r["level"] == F.col("type")) & _same_repo(r) & F.exists(r["list"], lambda n: like_term("__name", n["term"], n["pattern"]))
 
     return _meet(source, asked, holds).select(
         F.col("r.query_id").alias("query_id"),
@@ -89,12 +123,19 @@ def metadata_search(levels: dict[str, DataFrame], terms: DataFrame, k: int = 20,
     the first ``k`` by name are taken; a row found by several terms counts for the first one; the best ``k`` per query
     remain. ``rank`` is the position in that list.
     """
-    asked = _with_repo(terms).select("query_id", "repo_id", "pos", "term")
+    asked = _with_repo(terms).select("query_id", "repo_id", "pos", F.lower("term").alias("term")).withColumn("pattern", patterns(F.col("term"), literal))
     source = all_levels(levels).select(*KEYS, F.lower("name").alias("__name"))
     branch = F.array_position(F.array(*[F.lit(x) for x in METADATA_ORDER]), F.col("type")).cast("int")
     score = F.create_map(*[F.lit(v) for pair in METADATA_SCORE.items() for v in pair])[F.col("type")]
-    hits = _meet(source, asked, lambda r: _same_repo(r) & like_term("__name", r["term"], literal)).select(
-        F.col("r.query_id").alias("query_id"), F.col("r.pos").alias("term_pos"), *KEYS, branch.alias("branch"), score.alias("score"))
+    plain = F.col("pattern").isNull() & (F.length("term") >= PIECE)
+    found = _by_pieces(source, asked.where(plain)).drop("__name")
+    same = (F.col("r.term") == F.col("f.term")) & (F.col("r.repo_id").isNull() | (F.col("r.repo_id") == F.col("f.repo_id")))
+    named = found.alias("f").join(asked.where(plain).alias("r"), same).select(
+        "r.query_id", F.col("r.pos").alias("term_pos"), *[F.col(f"f.{k}").alias(k) for k in KEYS])
+    # Terms with wildcards, and those shorter than a piece, are tried on every name.
+    other = _meet(source, asked.where(~plain), lambda r: _same_repo(r) & like_term("__name", r["term"], r["pattern"])).select(
+        F.col("r.query_id").alias("query_id"), F.col("r.pos").alias("term_pos"), *KEYS)
+    hits = named.unionByName(other).withColumns({"branch": branch, "score": score})
     by_name = ["name", "file_path", "parent_class", "repo_id", "position"]
     hits = first_per_group(hits, ["query_id", "term_pos", "type"], by_name, k)
     hits = first_per_group(hits, ["query_id", *KEYS], ["term_pos"], 1)
@@ -161,11 +202,12 @@ def keyword_match(levels: dict[str, DataFrame], requests: DataFrame, k: int = 20
     """
     asked = _with_repo(requests).select(
         "query_id", "repo_id", "keywords", scope_level("scope").alias("level"),
-        F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda x: F.lower(x)).alias("lowered"))
+        F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda x: F.struct(
+            F.lower(x).alias("term"), patterns(F.lower(x), literal).alias("pattern"))).alias("lowered"))
     source = all_levels(levels).select(*KEYS, "enhanced_content", "original_content", "rich_metadata")
 
     def contained(r, text):
-        return F.exists(r["lowered"], lambda x: F.coalesce(like_term(text, x, literal), F.lit(False)))
+        return F.exists(r["lowered"], lambda x: F.coalesce(like_term(text, x["term"], x["pattern"]), F.lit(False)))
 
     def holds(r):
         own = (r["level"] == "all") | (r["level"] == F.col("type"))
@@ -175,7 +217,7 @@ def keyword_match(levels: dict[str, DataFrame], requests: DataFrame, k: int = 20
         return met.withColumn("__text", F.coalesce("__enhanced", F.lit(""))).withColumn("__words", word_count("__text")).drop("__enhanced", "__original")
 
     hits = _meet(_lowered(source).drop("original_content"), asked, holds, counted)
-    found = F.aggregate("r.lowered", F.lit(0).cast("bigint"), lambda total, x: total + F.when(
+    found = F.aggregate("r.lowered.term", F.lit(0).cast("bigint"), lambda total, x: total + F.when(
         F.length(x) > 0, F.floor((F.length("__text") - F.length(F.replace(F.col("__text"), x, F.lit("")))) / F.length(x))).otherwise(0))
     score = F.least(found / (F.col("__words") * F.greatest(F.size("r.lowered"), F.lit(1)) * F.lit(DENSITY)), F.lit(1.0))
     ranked = hits.select(
