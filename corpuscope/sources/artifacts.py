@@ -56,8 +56,8 @@ def read_artifacts(spark: SparkSession, root: str, level: str, repo_id: str | No
     """
     if level not in LEVELS:
         raise ValueError(f"unknown level {level!r}; one of {LEVELS}")
-    df = as_artifacts(spark.read.format(fmt).load(f"{root}/{level}"), level)
-    return df if repo_id is None else df.where(F.col("repo_id") == repo_id)
+    df = spark.read.format(fmt).load(f"{root}/{level}")
+    return as_artifacts(df if repo_id is None else df.where(F.col("repo_id") == repo_id), level)
 
 
 def read_artifacts_jdbc(spark: SparkSession, table: str, level: str, options: dict, repo_id: str | None = None) -> DataFrame:
