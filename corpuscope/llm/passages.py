@@ -100,9 +100,11 @@ def paragraphs(batch: pa.RecordBatch, length: int, places: int):
             yield RUN, keys[first + document[part]], part - bounds[document[part]], np.full(len(part), length), rows.ravel(), np.arange(len(part) + 1) * wide
 
 
-def node_ids(kind: int, keys: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """One 64-bit number for a paragraph of a document."""
-    return mix(keys.view(np.uint64) ^ mix(2 * firsts.astype(np.uint64) + np.uint64(kind + 1)))
+def contents_of(kind: int, shingles: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A 64-bit number for the shingles of each paragraph in their order; equal paragraphs have equal numbers, never 0."""
+    places = np.arange(len(shingles)) - np.repeat(cuts[:-1], np.diff(cuts))
+    sums = np.add.reduceat(mix(shingles + mix(places.astype(np.uint64))), cuts[:-1])
+    return mix(2 * sums + np.uint64(kind)) | np.uint64(1)
 
 
 def band_keys(kind: int, shingles: np.ndarray, cuts: np.ndarray, bands: int, per_band: int) -> np.ndarray:
@@ -116,87 +118,128 @@ def band_keys(kind: int, shingles: np.ndarray, cuts: np.ndarray, bands: int, per
     return out
 
 
-def _group(tokens: np.ndarray, nodes: np.ndarray):
-    """Sorted entries with the smallest node of each token first: (tokens, nodes, starts, lengths)."""
-    order = np.lexsort((nodes, tokens))
-    tokens, nodes = tokens[order], nodes[order]
+def _pairs(tokens: np.ndarray, holders: np.ndarray):
+    """Different (token, holder) pairs by token: (tokens, holders, starts, lengths)."""
+    order = np.lexsort((holders, tokens))
+    tokens, holders = tokens[order], holders[order]
+    if len(tokens):
+        same = np.zeros(len(tokens), bool)
+        same[1:] = (tokens[1:] == tokens[:-1]) & (holders[1:] == holders[:-1])
+        tokens, holders = tokens[~same], holders[~same]
     new = np.ones(len(tokens), bool)
     new[1:] = tokens[1:] != tokens[:-1]
     starts = np.flatnonzero(new)
-    return tokens, nodes, starts, np.diff(np.append(starts, len(tokens)))
+    return tokens, holders, starts, np.diff(np.append(starts, len(tokens)))
 
 
-def _stars(nodes, starts, lengths):
-    """(first node of the group, other node) for all groups."""
-    first = np.repeat(nodes[starts], lengths)
-    other = first != nodes
-    return first[other], nodes[other]
+def _ties(holders, starts, lengths):
+    """(first holder of the group, other holder) for all groups."""
+    first = np.repeat(holders[starts], lengths)
+    other = first != holders
+    return first[other], holders[other]
 
 
-def _send(tokens, nodes, bits: int) -> pa.RecordBatch:
-    """Entries of one chunk, packed by bucket of the token.
+def _send(tokens, band_contents, contents, keys, bits: int) -> pa.RecordBatch:
+    """Entries of one chunk, packed by bucket: band keys with contents, and contents with documents.
 
-    Paragraphs of the chunk that collide are tied to the first of them here; only that one goes on. A passage that
-    very many documents have is one entry per chunk.
+    Contents of the chunk that collide are tied to the first of them here, and only that one goes on; a content that
+    several documents of the chunk have is marked here, and goes on once, with document 0. So what very many
+    documents share is one entry per chunk.
     """
-    tokens, nodes, starts, lengths = _group(tokens, nodes)
-    a, b = _stars(nodes, starts, lengths)
-    tokens, nodes = tokens[starts], nodes[starts]
     buckets = 1 << bits
-    cuts = np.append(np.searchsorted(tokens, np.arange(buckets, dtype=np.uint64) << np.uint64(64 - bits)), len(tokens))
-    parts = np.linspace(0, len(a), buckets + 1).astype(np.int64)
-    rest = (tokens >> np.uint64(32 - bits)).astype(np.uint32)
+    limits = np.arange(buckets, dtype=np.uint64) << np.uint64(64 - bits)
 
     def blobs(values, at):
         return pa.array([values[at[i]:at[i + 1]].tobytes() for i in range(buckets)], pa.binary())
 
-    return pa.record_batch([pa.array(np.arange(buckets, dtype=np.int32)), blobs(rest, cuts), blobs(nodes, cuts), blobs(a, parts), blobs(b, parts)],
-                           names=["bucket", "tokens", "nodes", "a", "b"])
+    def by_token(tokens, holders):
+        cuts = np.append(np.searchsorted(tokens, limits), len(tokens))
+        return blobs((tokens >> np.uint64(32 - bits)).astype(np.uint32), cuts), blobs(holders, cuts)
+
+    def spread(values):
+        return blobs(values, np.linspace(0, len(values), buckets + 1).astype(np.int64))
+
+    tokens, holders, starts, lengths = _pairs(tokens, band_contents)
+    a, b = _ties(holders, starts, lengths)
+    band = by_token(tokens[starts], holders[starts])
+    contents, holders, starts, lengths = _pairs(contents, keys)
+    several = lengths > 1
+    slots = (contents[starts][several] >> np.uint64(64 - BITS)).astype(np.uint32)
+    single = by_token(contents[starts], np.where(several, np.uint64(0), holders[starts]))
+    return pa.record_batch([pa.array(np.arange(buckets, dtype=np.int32)), *band, spread(a), spread(b), *single, spread(np.unique(slots))], names=PACKED)
+
+
+PACKED = ["bucket", "tokens", "band_contents", "a", "b", "contents", "documents", "slots"]
 
 
 def _bands(length: int, places: int, bands: int, per_band: int, bits: int):
     def run(batches):
-        tokens, nodes, size = [], [], 0
+        held, size = [], 0
+
+        def out():
+            tokens, contents, keys = (np.concatenate(x) for x in zip(*held))
+            _, first = np.unique(contents, return_index=True)
+            return _send(tokens[first].ravel(), np.repeat(contents[first], bands), contents, keys, bits)
+
         for batch in batches:
-            for kind, keys, firsts, _, shingles, cuts in paragraphs(batch, length, places):
-                tokens.append(band_keys(kind, shingles, cuts, bands, per_band).ravel())
-                nodes.append(np.repeat(node_ids(kind, keys, firsts), bands))
-                size += len(tokens[-1])
+            for kind, keys, _, _, shingles, cuts in paragraphs(batch, length, places):
+                held.append((band_keys(kind, shingles, cuts, bands, per_band), contents_of(kind, shingles, cuts), keys.view(np.uint64)))
+                size += (bands + 1) * len(keys)
                 if size >= CHUNK:
-                    yield _send(np.concatenate(tokens), np.concatenate(nodes), bits)
-                    tokens, nodes, size = [], [], 0
+                    yield out()
+                    held, size = [], 0
         if size:
-            yield _send(np.concatenate(tokens), np.concatenate(nodes), bits)
+            yield out()
 
     return run
 
 
 def _collisions(rows: pa.Table) -> pa.Table:
-    """Ties of one bucket: those its chunks found, and those among their firsts."""
+    """For one bucket: ties between contents that collide, and the slots of contents that several documents have."""
     def flat(name, dtype):
         return np.frombuffer(b"".join(rows.column(name).to_pylist()), dtype)
 
-    _, nodes, starts, lengths = _group(flat("tokens", np.uint32), flat("nodes", np.uint64))
-    a, b = _stars(nodes, starts, lengths) if len(starts) else (nodes, nodes)
+    _, holders, starts, lengths = _pairs(flat("tokens", np.uint32), flat("band_contents", np.uint64))
+    a, b = _ties(holders, starts, lengths)
     pairs = np.unique(np.stack([np.concatenate([a, flat("a", np.uint64)]), np.concatenate([b, flat("b", np.uint64)])], axis=1), axis=0)
-    return pa.table({"a": pairs[:, 0].copy().view(np.int64), "b": pairs[:, 1].copy().view(np.int64)})
-
-
-def _wanted(sieve, length: int, places: int):
-    """Arrow function: the paragraphs whose node passes the sieve, with their shingles."""
+    bucket, bits = int(rows.column("bucket")[0].as_py()), int(rows.column("bits")[0].as_py())
+    contents, holders, starts, lengths = _pairs(flat("contents", np.uint32), flat("documents", np.uint64))
+    # Document 0 stands for several; it comes first.
+    several = contents[starts][(lengths > 1) | (holders[starts] == 0)] if len(starts) else contents
+    own = ((np.uint64(bucket) << np.uint64(64 - bits)) | (several.astype(np.uint64) << np.uint64(32 - bits))) >> np.uint64(64 - BITS)
+    slots = np.unique(np.concatenate([own.astype(np.uint32), flat("slots", np.uint32)]))
+    n, m = len(pairs), len(slots)
+    return pa.table({
+        "a": pa.array(np.concatenate([pairs[:, 0], np.zeros(m, np.uint64)]).view(np.int64), mask=np.arange(n + m) >= n),
+        "b": pa.array(np.concatenate([pairs[:, 1], np.zeros(m, np.uint64)]).view(np.int64), mask=np.arange(n + m) >= n),
+        "slot": pa.array(np.concatenate([np.zeros(n, np.int64), slots.astype(np.int64)]), mask=np.arange(n + m) < n)})
+
+
+def _wanted(sieve, tied, length: int, places: int):
+    """Arrow function: the paragraphs whose content passes the sieve; with their shingles where it passes that of the ties."""
 
     def run(batches):
         for batch in batches:
+            row_of = {}
             for kind, keys, firsts, n, shingles, cuts in paragraphs(batch, length, places):
-                nodes = node_ids(kind, keys, firsts)
-                keep = passes(sieve, nodes >> np.uint64(64 - BITS))
+                contents = contents_of(kind, shingles, cuts)
+                slots = contents >> np.uint64(64 - BITS)
+                keep = passes(sieve, slots)
+                if not keep.any():
+                    continue
+                if not row_of:
+                    row_of = {k: i for i, k in enumerate(batch.column("key").to_pylist())}
+                shown = passes(tied, slots)[keep]
                 sizes = np.diff(cuts)
-                kept = shingles[np.repeat(keep, sizes)].view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes[keep])]).astype(np.int32)
-                yield pa.record_batch(
-                    [pa.array(nodes[keep].view(np.int64)), pa.array(keys[keep]), pa.array(firsts[keep]), pa.array(n[keep].astype(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(kept))],
-                    names=["node", "key", "first", "n_words", "shingles"])
+                kept = shingles[np.repeat(keep, sizes)]
+                sizes = sizes[keep]
+                kept = kept[np.repeat(shown, sizes)].view(np.int64)
+                ends = np.concatenate([[0], np.cumsum(np.where(shown, sizes, 0))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(kept), mask=pa.array(~shown))
+                ids = batch.column("id").take(pa.array([row_of[k] for k in keys[keep].tolist()], pa.int64()))
+                yield pa.record_batch([ids, pa.array(contents[keep].view(np.int64)), pa.array(keys[keep]), pa.array(firsts[keep]),
+                                       pa.array(n[keep].astype(np.int64)), lists],
+                                      names=["id", "content", "key", "first", "n_words", "shingles"])
 
     return run
 
@@ -222,27 +265,37 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # About six bytes a word, a run for every (places + 1) / 2 words, and half as many lines.
     entries = 1.5 * (docs.agg(F.sum(F.octet_length(col(text_col)))).first()[0] or 0) / 6 / ((places + 1) / 2) * bands
     bits = max(1, math.ceil(math.log2(max(1.0, entries / BUCKET))))
-    texts = keyed.select("key", "text")
-    packed = texts.mapInArrow(_bands(length, places, bands, ROWS, bits), "bucket int, tokens binary, nodes binary, a binary, b binary")
-    ties = staged(packed.groupBy("bucket").applyInArrow(_collisions, "a bigint, b bigint").distinct(), "ties")
-    slot = F.shiftrightunsigned("node", 64 - BITS).alias("slot")
-    sieve = bitmap(ties.select(F.col("a").alias("node")).union(ties.select("b")).select(slot))
-    units = staged(texts.mapInArrow(_wanted(sieve, length, places), "node bigint, key bigint, first bigint, n_words bigint, shingles array<bigint>"), "paragraphs")
-    sets = units.select("node", F.array_distinct("shingles").alias("s")).dropDuplicates(["node"])
-    both = ties.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    kinds = ", ".join(f"{c} {'int' if c == 'bucket' else 'binary'}" for c in PACKED)
+    packed = keyed.select("key", "text").mapInArrow(_bands(length, places, bands, ROWS, bits), kinds).withColumn("bits", F.lit(bits))
+    found = staged(packed.groupBy("bucket").applyInArrow(_collisions, "a bigint, b bigint, slot bigint"), "collisions")
+    ties = staged(found.where("a is not null").select("a", "b").distinct(), "ties")
+    slot = F.shiftrightunsigned("content", 64 - BITS).alias("slot")
+    of_ties = ties.select(F.col("a").alias("content")).union(ties.select("b")).select(slot)
+    tied = bitmap(of_ties)
+    sieve = tied | bitmap(found.where("slot is not null").select("slot"))
+    id_type = keyed.schema["id"].dataType.simpleString()
+    units = staged(keyed.mapInArrow(
+        _wanted(sieve, tied, length, places),
+        f"id {id_type}, content bigint, key bigint, first bigint, n_words bigint, shingles array<bigint>"), "paragraphs")
+    sets = units.where("shingles is not null").select("content", F.array_distinct("shingles").alias("s")).dropDuplicates(["content"])
+    both = ties.join(sets.select(F.col("content").alias("a"), F.col("s").alias("sa")), "a").join(
+        sets.select(F.col("content").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     links = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    classes = components(links)
-    ids = keyed.select("key", "id").distinct()
-    members = units.select("node", "key", "first", "n_words").distinct().join(classes, "node").select("component", "key", "first", "n_words")
-    several = members.groupBy("component").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("class_size"))
-    members = staged(members.join(several.where("low <> high").drop("low", "high"), "component").join(ids, "key"), "members")
+    classes = components(links).select(F.col("node").alias("content"), F.col("component"))
+    rest = ["id", "key", "first", "n_words"]
+    if not keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # rows that repeat id and text
+        units = units.dropDuplicates(["content", "key", "first"])
+    # Only contents with their shingles can be in a tie; all others are classes of their own.
+    plain = units.where("shingles is null").select(F.col("content").alias("class_id"), *rest)
+    members = plain.unionByName(units.where("shingles is not null").select("content", *rest).join(classes, "content", "left").select(
+        F.coalesce("component", "content").alias("class_id"), *rest))
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("key"), F.col("first"))
-    kept = members.groupBy("component").agg(F.min(place).alias("kept"))
-    return members.join(kept, "component").select(
-        F.col("id").alias(id_col), F.col("first").alias("first_word"), "n_words",
-        F.col("component").alias("class_id"), "class_size", F.col("kept.id").alias("kept_in"),
+    facts = staged(members.groupBy("class_id").agg(
+        F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("class_size"), F.min(place).alias("kept")
+    ).where("low <> high").drop("low", "high"), "classes")
+    return members.join(facts, "class_id").select(
+        F.col("id").alias(id_col), F.col("first").alias("first_word"), "n_words", "class_id", "class_size", F.col("kept.id").alias("kept_in"),
         ((F.col("key") != F.col("kept.key")) | (F.col("first") != F.col("kept.first"))).alias("removed"))
 
 
