@@ -111,8 +111,3 @@ def ilike_term(lowered, term: str, literal: bool = False) -> Column:
     if literal:
         return F.contains(text, F.lit(term.lower()))
     return text.like(f"%{term.lower()}%")
-
-
-def blank_to(c, default) -> Column:
-    """NULL becomes the default."""
-    return F.coalesce(as_col(c), F.lit(default))

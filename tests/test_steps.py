@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,10 @@ def test_shared_folder(spark):
     made = shared_dir(spark, "x")
     assert root is None or made.startswith(root)
     assert cut_lineage(spark.range(3)).count() == 3
+
+
+def test_no_shared_folder_on_a_cluster():
+    """Only a local master may fall back to a temporary folder."""
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=context), "x")
