@@ -30,9 +30,9 @@ SHARD = 2000
 PROBE = 64
 
 
-def least_overlap(n, percent: int):
+def least_overlap(n, percent: int, of: int = 100):
     """Shingles a partner has to share with a set of ``n``, as the union has at least ``n``."""
-    return -(-percent * n // 100)
+    return -(-percent * n // of)
 
 
 def shingle_sets(batch: pa.RecordBatch, shingle: int):
@@ -169,7 +169,7 @@ def _token_rows(batches):
                               names=["cls", "n", "token"])
 
 
-def t_occurrence(sizes, sets, sides, percent: int):
+def t_occurrence(sizes, sets, sides, percent: int, of: int = 100):
     """Links among sets of shingles, without those between sets that are connected already: pairs of positions.
 
     ``sizes[i]`` is the whole size of set i and ``sets[i]`` the shingles in it that any other set has, rarest first.
@@ -202,7 +202,7 @@ def t_occurrence(sizes, sets, sides, percent: int):
 
     for x in range(count):
         n = int(place[x])
-        t = least_overlap(n, percent)
+        t = least_overlap(n, percent, of)
         own = token[at[x]:at[x + 1]]
         if len(own) < t:
             continue
@@ -224,8 +224,8 @@ def t_occurrence(sizes, sets, sides, percent: int):
             continue
         cand = np.array([m[0] for m in merged], np.int64)
         have = np.array([m[1] for m in merged], np.int64)
-        # |A and B| >= percent / (100 + percent) * (|A| + |B|)
-        need = -(-percent * (n + place[cand]) // (100 + percent))
+        # |A and B| >= percent / (of + percent) * (|A| + |B|)
+        need = -(-percent * (n + place[cand]) // (of + percent))
         for i in range(0, len(long), PROBE):
             keep = have + (len(long) - i) >= need
             cand, have, need = cand[keep], have[keep], need[keep]
@@ -241,7 +241,7 @@ def t_occurrence(sizes, sets, sides, percent: int):
                 yield order[x], order[int(y)]
 
 
-def _search(percent: int):
+def _search(percent: int, of: int):
     """Links of one task's documents as (a, b) classes."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -249,7 +249,7 @@ def _search(percent: int):
         sets = [np.array(s, np.int64) for s in rows.column("tokens").to_pylist()]
         parts = rows.column("part").to_numpy()
         cross = bool((rows.column("i").to_numpy() != rows.column("j").to_numpy()).any())
-        links = list(t_occurrence(rows.column("n").to_numpy().tolist(), sets, parts.tolist() if cross else None, percent))
+        links = list(t_occurrence(rows.column("n").to_numpy().tolist(), sets, parts.tolist() if cross else None, percent, of))
         return pa.table({"a": pa.array([int(cls[x]) for x, _ in links], pa.int64()),
                          "b": pa.array([int(cls[y]) for _, y in links], pa.int64())})
 
@@ -285,7 +285,15 @@ def links_between(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE, p
         _sets(bitmap(alive.select("slot")), shingle), "cls bigint, n bigint, tokens binary")
     sets = staged(found.join(alive.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
-    tokens = sets.mapInArrow(_token_rows, "cls bigint, n bigint, token bigint")
+    return links_within(sets.mapInArrow(_token_rows, "cls bigint, n bigint, token bigint"), percent, shard)
+
+
+def links_within(tokens: DataFrame, percent: int, shard: int = SHARD, of: int = 100) -> DataFrame:
+    """Links (a, b) of sets given as rows (cls, n, token), steps 2 and 3 of :func:`links_between`.
+
+    A link needs ``of * |A and B| >= percent * |A or B|``; all sets that such links connect are connected by the result.
+    """
+    spare = F.col("n") - F.ceil(F.col("n") * percent / of).cast("bigint") + 1
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = tokens.join(often, "token").groupBy("cls", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
@@ -306,7 +314,7 @@ def links_between(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE, p
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     tasks = ranked.join(placed, "cls").select("cls", "n", "tokens", "pack", "parts", "part", other).select(
         "cls", "n", "tokens", "pack", "parts", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    return tasks.groupBy("pack", "parts", "i", "j").applyInArrow(_search(percent), "a bigint, b bigint")
+    return tasks.groupBy("pack", "parts", "i", "j").applyInArrow(_search(percent, of), "a bigint, b bigint")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.llm.components import components
+from corpuscope.llm.ngram_join import links_within
 from corpuscope.llm.sieve import BITS, bitmap, passes
 from corpuscope.llm.tables import col, fresh
 from corpuscope.llm.words import SPACED, documents_lines, grams, mix
@@ -233,7 +235,8 @@ def _wanted(sieve, tied, length: int, places: int):
                 sizes = np.diff(cuts)
                 kept = shingles[np.repeat(keep, sizes)]
                 sizes = sizes[keep]
-                kept = kept[np.repeat(shown, sizes)].view(np.int64)
+                # Shingles of different kinds differ, so that lines and runs are never similar.
+                kept = (kept[np.repeat(shown, sizes)] ^ np.uint64(kind)).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.where(shown, sizes, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(kept), mask=pa.array(~shown))
                 ids = batch.column("id").take(pa.array([row_of[k] for k in keys[keep].tolist()], pa.int64()))
@@ -244,13 +247,49 @@ def _wanted(sieve, tied, length: int, places: int):
     return run
 
 
+def _classes(ties: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Class of each content that is like another one: (content, component).
+
+    ``ties`` only connect the contents that collide, one of them with each other one. Those that are similar are links.
+    What failed ties hold together beyond the links is a block, and the contents of a block of three or more are
+    searched exactly, each with each: no collision leaves a block, so every similar pair that collides is connected.
+    """
+    both = ties.join(sets.select(F.col("content").alias("a"), F.col("s").alias("sa")), "a").join(
+        sets.select(F.col("content").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    checked = staged(both.select("a", "b", (shared >= similarity * (F.size("sa") + F.size("sb") - shared)).alias("alike")), "checked")
+    first = components(checked.where("alike").select("a", "b")).select(F.col("node").alias("content"), "component")
+
+    def contracted(edges):
+        """``edges`` between what the links connect already."""
+        for end in ("a", "b"):
+            of = first.select(F.col("content").alias(end), "component")
+            edges = edges.join(of, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+        return edges.select("a", "b").where("a <> b").distinct()
+
+    blocks = components(contracted(checked.where("not alike").select("a", "b"))).select("node", F.col("component").alias("block"))
+    # Contents of the blocks, whether or not a link has them.
+    linked = first.join(blocks, F.col("component") == F.col("node")).select("content", "block")
+    alone = blocks.join(first, F.col("node") == F.col("content"), "left_anti").select(F.col("node").alias("content"), "block")
+    members = staged(linked.unionByName(alone), "blocks")
+    large = members.groupBy("block").agg(F.count(F.lit(1)).alias("k")).where("k > 2").select("block")
+    tokens = sets.join(members.join(large, "block"), "content").select(
+        F.col("content").alias("cls"), F.size("s").cast("bigint").alias("n"), "block", F.explode("s").alias("token"))
+    tokens = staged(tokens.withColumn("token", F.xxhash64("block", "token")).drop("block"), "tokens")
+    share = Fraction(str(similarity))
+    second = components(contracted(links_within(tokens, share.numerator, of=share.denominator))).withColumnRenamed("component", "whole")
+    linked = first.join(second, F.col("component") == F.col("node"), "left").select("content", F.coalesce("whole", "component").alias("component"))
+    added = second.join(first, F.col("node") == F.col("content"), "left_anti")
+    return linked.unionByName(added.select(F.col("node").alias("content"), F.col("whole").alias("component")))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, places: int = PLACES,
                       similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Paragraphs that stand in more than one document.
 
     A paragraph is a line of ``length`` words or more (runs of non-space, A-Z as a-z), or ``length`` words from a
     content-defined place on, as passages need not begin or end with a line. Two of a kind are linked when their sets of SHINGLE-word shingles have a Jaccard similarity of
-    ``similarity`` or more; collisions in one of the MinHash bands are candidates, checked exactly. Every passage of
+    ``similarity`` or more; what collisions in the MinHash bands hold together is a block, searched exactly. Every passage of
     ``places + length - 1`` words (51) that documents share word by word is found (in a run of one word over and over
     only the beginning of the run counts); of similar ones about the share ``recall``. Linked paragraphs form classes (components), and classes within one document are left out.
 
@@ -278,11 +317,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         _wanted(sieve, tied, length, places),
         f"id {id_type}, content bigint, key bigint, first bigint, n_words bigint, shingles array<bigint>"), "paragraphs")
     sets = units.where("shingles is not null").select("content", F.array_distinct("shingles").alias("s")).dropDuplicates(["content"])
-    both = ties.join(sets.select(F.col("content").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("content").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    classes = components(links).select(F.col("node").alias("content"), F.col("component"))
+    classes = _classes(ties, sets, similarity)
     rest = ["id", "key", "first", "n_words"]
     if not keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # rows that repeat id and text
         units = units.dropDuplicates(["content", "key", "first"])

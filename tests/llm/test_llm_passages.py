@@ -90,6 +90,22 @@ def test_similar_paragraphs_recall(spark):
     assert got <= want and len(want) > 200 and len(got) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("chunk", [None, 2000])
+def test_similar_paragraphs_among_unlike_ones_with_a_phrase(spark, monkeypatch, chunk):
+    """Lines of which most is one phrase fall on the same band keys; only the two of a pair are similar."""
+    if chunk:
+        monkeypatch.setattr(passages, "CHUNK", chunk)
+    rng = random.Random(6)
+    phrase, rows = [f"p{k}" for k in range(30)], []
+    for i in range(0, 400, 2):
+        own = phrase + [f"v{rng.randrange(10**6)}" for _ in range(12)]
+        rows += [(i, " ".join(own)), (i + 1, " ".join(own[:-1] + ["x"]))]
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), places=200)
+    of = {r.doc_id: r.class_id for r in found.where("n_words = 42").collect()}
+    together = sum(i in of and of[i] == of.get(i + 1) for i in range(0, 400, 2))
+    assert together >= 0.98 * 200 and len(set(of.values())) == together
+
+
 def test_bands():
     for s, r in ((0.8, 0.98), (0.5, 0.9)):
         b = tuned_bands(s, r)
