@@ -22,7 +22,7 @@ def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, by_text=True)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

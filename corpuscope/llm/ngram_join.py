@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.llm.components import components
 from corpuscope.llm.sieve import bitmap, passes, slot_of
-from corpuscope.llm.tables import col
+from corpuscope.llm.tables import col, fresh
 from corpuscope.llm.words import SPACED, documents_words, grams
 from corpuscope.session import staged
 
@@ -328,9 +328,16 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     have one, else null. Rows that repeat an id are all kept; each gets the component of its own text. Every
     link counts (64-bit hashes stand for words, shingles and sets).
     """
+    return _grouped(docs, id_col, text_col, shingle, percent, shard).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, shard: int = SHARD) -> DataFrame:
+    """Rows of :func:`near_duplicate_groups` as (id, hash of the text, n, component_id)."""
     own = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
-    id_type = own.schema["id"].dataType.simpleString()
-    members = staged(own.mapInArrow(_classes(shingle), f"id {id_type}, n bigint, cls bigint"), "members")
+    keyed = own.select(F.struct("id", F.xxhash64("text").alias("hash")).alias("id"), "text")
+    id_type = keyed.schema["id"].dataType.simpleString()
+    members = staged(keyed.mapInArrow(_classes(shingle), f"id {id_type}, n bigint, cls bigint").select("id.id", "id.hash", "n", "cls"), "members")
     classes = staged(members.where("n > 0").groupBy("cls", "n").agg(F.min("id").alias("rep")), "classes")
     groups = components(links_between(own, classes, shingle, percent, shard))
     joined = classes.join(groups, F.col("cls") == F.col("node"), "left")
@@ -338,19 +345,26 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     final = joined.join(lowest, "component", "left").select(
         F.col("cls").alias("of"), F.coalesce("lowest", "rep").alias("component_id"))
     return members.join(final, F.col("cls") == F.col("of"), "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+        "id", "hash", "n",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
+             by_text: bool = False) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id, all columns as they were.
 
-    Rows that repeat that id stay together; rows with a null id stay where no row of their set has an id.
+    Rows that repeat that id stay together. With ``by_text`` a row goes only if its own text is in a component with a
+    smaller id (or it has no id and one in its component has): rows with a null id stay where no row of their set has an
+    id, and an id with several texts stays in the components where it is the smallest. Without it an id, or null, goes
+    with all its rows once one of them does.
     """
-    groups = near_duplicate_groups(docs, id_col, text_col, shingle, percent)
-    dropped = groups.where(F.col("component_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id")))
-    name = "__dropped"
-    while name in docs.columns:
-        name = "_" + name
-    dropped = dropped.select(F.col(id_col).alias(name)).distinct()
-    return docs.join(dropped, col(id_col).eqNullSafe(F.col(name)), "left_anti")
+    groups = _grouped(docs, id_col, text_col, shingle, percent)
+    dropped = groups.where(F.col("component_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("component_id")))
+    name, text = fresh(docs, "dropped_id"), fresh(docs, "dropped_hash")
+    same = col(id_col).eqNullSafe(F.col(name))
+    if by_text:
+        dropped = dropped.select(F.col("id").alias(name), F.col("hash").alias(text)).distinct()
+        same = same & (F.xxhash64(col(text_col)) == F.col(text))
+    else:
+        dropped = dropped.select(F.col("id").alias(name)).distinct()
+    return docs.join(dropped, same, "left_anti")

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from corpuscope.llm import ngram_join
 from corpuscope.llm.ngram_join import keep_one, near_duplicate_groups, t_occurrence
 from tests.llm.test_llm_words import brute_components
@@ -110,3 +111,14 @@ def test_empty_and_names(spark):
     gone = {i for i, c in want if c is not None and i != c}
     assert kept.columns == table.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((i for i, _ in rows if i not in gone), key=repr)
+
+
+def test_keep_one_by_text_leaves_other_texts_of_an_id(spark):
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(30)) for k in "abcd")
+    rows = [(1, a), (2, a.upper()), (2, b), (3, b), (None, a), (None, c), (None, d), (None, None), (4, None)]
+    table = spark.createDataFrame([(*r, 1, "h") for r in rows], "doc_id bigint, text string, dropped_id int, hash string")
+    kept = corpus_pipeline.one_of_similar(spark, table, "")
+    want = [(1, a), (2, b), (None, c), (None, d), (None, None), (4, None)]
+    assert kept.columns == table.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
