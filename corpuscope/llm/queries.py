@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import decontaminate, exact, lm, mixing, ngram_join, passages, pii, quality, toxicity, urls
+from corpuscope.llm import (decontaminate, exact, lm, mixing, negatives, ngram_join, packing, passages, pii, quality, repair, toxicity,
+                            urls)
 from corpuscope.llm.tables import table
 
 
@@ -153,6 +154,108 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(docs, lm.train(docs, lm.vocabulary(docs)))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.when(
+        x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.floor(256 * x.cast("double"))))
+    vectors = rows.select("vec_id", moved.alias("label"), whole.alias("embedding"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+           FROM v a JOIN v b ON a.vec_id % 50 = 0 AND (a.label <> b.label OR a.vec_id <> b.vec_id)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER best)::INT AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER best <= 3
+"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(repair.damage(table(spark, sf_dir, "conversations")), dropped_col="dropped")
+
+
+# Places: 0 nothing yet, 1 after s, 2 after u, 3 after a. `ins` are inserts before a row, `op` what is done with the row.
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM range(256) r(i))),
+d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295, list_reduce(list_concat([4294967295], list_transform(
+           string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS f
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN f = 1 THEN '' WHEN f = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM d, range(2) r(k) WHERE f <> 0 AND (k = 0 OR f = 3)),
+firsts AS (
+  SELECT *, rtrim(text, E' 	
+
+') AS shown,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen
+  FROM damaged),
+r AS (
+  SELECT *, row_number() OVER o AS i, lag(role[1]) OVER o || role[1] AS pair,
+         CASE WHEN shown = '' THEN 1 WHEN seen > 1 THEN 2 WHEN shown[-1] IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault
+  FROM firsts WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen)),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM r GROUP BY conv_id),
+ins(f, t, cost, letters, said) AS (VALUES
+  (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+  (0, 2, 5, 'I', 'user:'), (1, 2, 5, 'I', chr(10) || 'user:'), (2, 3, 5, 'I', chr(10) || 'assistant:'), (3, 2, 5, 'I', chr(10) || 'user:'),
+  (0, 3, 10, 'II', 'user:' || chr(10) || 'assistant:'), (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (2, 2, 10, 'II', chr(10) || 'assistant:' || chr(10) || 'user:'), (3, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+op(f, t, cost, letter, initial, role) AS (VALUES
+  (0, 0, 2, 'D', NULL, NULL), (1, 1, 2, 'D', NULL, NULL), (2, 2, 2, 'D', NULL, NULL), (3, 3, 2, 'D', NULL, NULL),
+  (0, 1, 0, 'K', 's', NULL), (0, 2, 0, 'K', 'u', NULL), (1, 2, 0, 'K', 'u', NULL), (2, 3, 0, 'K', 'a', NULL), (3, 2, 0, 'K', 'u', NULL),
+  (0, 2, 1, 'R', NULL, 'user'), (1, 2, 1, 'R', NULL, 'user'), (2, 3, 1, 'R', NULL, 'assistant'), (3, 2, 1, 'R', NULL, 'user')),
+move AS (SELECT ins.f, op.t, ins.cost + op.cost AS cost, letters || letter AS letters, said, letter, initial, role, ins.t AS at
+         FROM ins JOIN op ON op.f = ins.t),
+dp(conv_id, i, place, best) AS (
+  SELECT conv_id, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': '', 'said': ''} FROM facts
+  UNION ALL
+  SELECT dp.conv_id, r.i, m.t, min({
+    'cost': best.cost + m.cost + CASE WHEN m.letter <> 'D' AND fault = 3 THEN 5 ELSE 0 END,
+    'audit': best.audit || m.letters,
+    'said': best.said || m.said || CASE WHEN m.letter = 'D' THEN '' ELSE
+            CASE WHEN m.at = 0 THEN '' ELSE chr(10) END || coalesce(m.role, r.role) || ':' || r.text END})
+  FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1
+          JOIN move m ON m.f = dp.place AND (m.letter = 'D' OR fault NOT IN (1, 2) AND (m.initial IS NULL OR m.initial = r.role[1]))
+  GROUP BY dp.conv_id, r.i, m.t),
+ended AS (
+  SELECT dp.conv_id, min({'cost': best.cost + ins.cost, 'audit': best.audit || letters, 'said': best.said || ins.said}) AS best
+  FROM dp JOIN facts f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.n = dp.i JOIN ins ON ins.f = place AND ins.t IN (0, 3)
+  GROUP BY dp.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(best.said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM a.conv_id
+     LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
 QUERIES = {
     "op1_passages": (op1_passages, None),
     "op2_quality": (op2_quality, None),
@@ -164,4 +267,7 @@ QUERIES = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_personal_data": (op9_personal_data, None),
     "op10_lm_scores": (op10_lm_scores, None),
+    "op11_packing": (op11_packing, None),
+    "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
+    "op13_conversation_repair": (op13_conversation_repair, OP13_SQL),
 }

@@ -23,7 +23,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are n
 
 def test_all_registered():
     names = set(driver.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and {*QUERIES, "pipeline"} <= names
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and {*QUERIES, "pipeline"} <= names
     assert {"op3_mix_sources", "op4_ngram_join", "op5_decontaminate", "op6_exact_dedup"} <= set(driver.oracle_sql())
 
 
