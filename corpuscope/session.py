@@ -69,16 +69,18 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return path
 
 
-def cut_lineage(df):
-    """Reliable checkpoint in the shared folder; survives lost executors."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: computed once, columnar, survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more; whatever was made of them must be written by now."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscope.plans.steps import batch_steps, check_steps, resolve_tables, run_steps
-from corpuscope.session import cut_lineage, shared_dir
+from corpuscope.session import release, shared_dir, staged
 from corpuscope.sources.artifacts import as_artifacts, read_artifacts, write_artifacts
 from corpuscope.sources.ledger import append_ledger, read_ledger
 from corpuscope.sources.tree import read_config, scan_sources, write_sources
@@ -120,7 +120,11 @@ def test_shared_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     made = shared_dir(spark, "x")
     assert root is None or made.startswith(root)
-    assert cut_lineage(spark.range(3)).count() == 3
+    table = staged(spark.range(3), "x")
+    assert table.count() == 3
+    release(table)
+    with pytest.raises(Exception):
+        spark.read.parquet(table.staged_at)
 
 
 def test_no_shared_folder_on_a_cluster():
