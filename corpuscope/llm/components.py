@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.session import staged
+from corpuscope.session import release, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     In each round every node points to its smallest neighbour (or itself) and, one step further, to that one's; the
     edges are then drawn between what their ends point to. Loops and repeats fall away, so the graph shrinks until
-    no edge is left. Every round is written to the shared folder. Groupings are by (node) with partial sums of one
+    no edge is left. Every round is written to the shared folder, and what it was made of is removed. Groupings are by (node) with partial sums of one
     number, and in each join one side has one row per node, so a node with very many edges can be split.
     """
     a, b = F.col("a"), F.col("b")
@@ -27,11 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = staged(parents.select(F.col("n").alias("node"), F.col("p").alias("component")), "labels")
         else:
-            joined = labels.join(parents, F.col("component") == F.col("n"), "left")
+            joined, old = labels.join(parents, F.col("component") == F.col("n"), "left"), labels
             labels = staged(joined.select("node", F.coalesce("p", "component").alias("component")), "labels")
+            release(old)
         left = parents.select(F.col("n").alias("a"), F.col("p").alias("pa"))
         right = parents.select(F.col("n").alias("b"), F.col("p").alias("pb"))
         moved = edges.join(left, "a").join(right, "b").where("pa <> pb")
-        edges = staged(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        old, edges = edges, staged(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        release(old, lowest)
         if edges.isEmpty():
+            release(edges)
             return labels

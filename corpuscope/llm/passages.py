@@ -1,4 +1,4 @@
-"""Substring dedup: paragraphs (lines, and runs of words from content-defined places), MinHash banding, exact Jaccard, components."""
+"""Substring dedup: paragraphs (lines, blocks, runs of words from content-defined places), MinHash banding, exact Jaccard, components."""
 
 from __future__ import annotations
 
@@ -15,9 +15,9 @@ from corpuscope.llm.ngram_join import links_within
 from corpuscope.llm.sieve import BITS, bitmap, passes
 from corpuscope.llm.tables import col, fresh
 from corpuscope.llm.words import SPACED, documents_lines, grams, mix
-from corpuscope.session import staged
+from corpuscope.session import release, staged
 
-# Words of a shingle, similarity of two paragraphs, words of a paragraph, and places among which one begins.
+# Words of a shingle, similarity of two paragraphs, words of a run, and places among which one begins.
 SHINGLE = 5
 SIMILARITY = 0.8
 LENGTH = 20
@@ -74,8 +74,9 @@ LINE, RUN = 0, 1
 def paragraphs(batch: pa.RecordBatch, length: int, places: int):
     """Yield the paragraphs of runs of documents: (kind, document keys, first words, numbers of words, shingles, cuts).
 
-    Lines of ``length`` words or more, and runs of ``length`` words from the :func:`anchors` on. The shingles of
-    paragraph i are ``shingles[cuts[i]:cuts[i + 1]]``, at least one.
+    Lines of ``SHINGLE`` words or more; blocks, that is lines between empty ones, where they have several, so that a
+    hard-wrapped paragraph is one whole and may be like a line; and runs of ``length`` words from the :func:`anchors` on. The
+    shingles of paragraph i are ``shingles[cuts[i]:cuts[i + 1]]``, at least one.
     """
     keys = batch.column("key").to_numpy()
     for first, hashes, bounds, feeds in documents_lines(batch.column("text"), SPACED):
@@ -84,11 +85,14 @@ def paragraphs(batch: pa.RecordBatch, length: int, places: int):
             continue
         counts = np.diff(bounds)
         document = np.repeat(np.arange(len(counts)), counts)
-        new = np.ones(len(hashes), bool)
-        new[1:] = (document[1:] != document[:-1]) | (feeds[1:] != feeds[:-1])
-        begins = np.flatnonzero(new)
-        sizes = np.diff(np.append(begins, len(hashes)))
-        begins, sizes = begins[sizes >= length], sizes[sizes >= length]
+        step = np.full(len(hashes), 2)
+        step[1:] = np.where(document[1:] != document[:-1], 2, np.diff(feeds))
+        lines, blocks = np.flatnonzero(step > 0), np.flatnonzero(step > 1)
+        line_sizes, sizes = np.diff(np.append(lines, len(hashes))), np.diff(np.append(blocks, len(hashes)))
+        several = feeds[blocks + sizes - 1] > feeds[blocks]
+        begins = np.concatenate([lines, blocks[several]])
+        sizes = np.concatenate([line_sizes, sizes[several]])
+        begins, sizes = begins[sizes >= SHINGLE], sizes[sizes >= SHINGLE]
         for i in range(0, len(begins), 1 << 14):
             part, n = begins[i:i + (1 << 14)], sizes[i:i + (1 << 14)]
             cuts = np.concatenate([[0], np.cumsum(n - SHINGLE + 1)])
@@ -120,6 +124,23 @@ def band_keys(kind: int, shingles: np.ndarray, cuts: np.ndarray, bands: int, per
     return out
 
 
+def edges_of_runs(length: int, similarity: float) -> int:
+    """Shingles that similar runs of ``length`` words may lack, where these are too few for a word to change inside.
+
+    A word inside a run is in SHINGLE shingles, so runs that lack fewer can only begin or end differently. Else 0.
+    """
+    wide = length - SHINGLE + 1
+    lack = math.floor(wide * (1 - similarity) / (1 + similarity) + 1e-9)
+    return lack if lack < min(SHINGLE, wide) else 0
+
+
+def edge_keys(shingles: np.ndarray, wide: int, lack: int) -> np.ndarray:
+    """Keys of the ``lack + 1`` stretches of a run that are ``lack`` shingles shorter: similar runs have one in common."""
+    rows = shingles.reshape(-1, wide)
+    shifts = mix(np.arange(wide - lack, dtype=np.uint64))
+    return np.stack([mix(2 * mix(rows[:, j:j + wide - lack] + shifts).sum(axis=1, dtype=np.uint64)) for j in range(lack + 1)], axis=1)
+
+
 def _pairs(tokens: np.ndarray, holders: np.ndarray):
     """Different (token, holder) pairs by token: (tokens, holders, starts, lengths)."""
     order = np.lexsort((holders, tokens))
@@ -174,22 +195,34 @@ def _send(tokens, band_contents, contents, keys, bits: int) -> pa.RecordBatch:
 PACKED = ["bucket", "tokens", "band_contents", "a", "b", "contents", "documents", "slots"]
 
 
-def _bands(length: int, places: int, bands: int, per_band: int, bits: int):
+def _bands(length: int, places: int, bands: int, per_band: int, lack: int, bits: int):
     def run(batches):
-        held, size = [], 0
+        held, size = {LINE: [], RUN: []}, 0
 
         def out():
-            tokens, contents, keys = (np.concatenate(x) for x in zip(*held))
-            _, first = np.unique(contents, return_index=True)
-            return _send(tokens[first].ravel(), np.repeat(contents[first], bands), contents, keys, bits)
+            tokens, holders, contents, keys = [], [], [], []
+            for some in held.values():
+                if some:
+                    own, numbers, documents = (np.concatenate(x) for x in zip(*some))
+                    _, first = np.unique(numbers, return_index=True)
+                    tokens.append(own[first].ravel())
+                    holders.append(np.repeat(numbers[first], own.shape[1]))
+                    contents.append(numbers)
+                    keys.append(documents)
+                some.clear()
+            return _send(*(np.concatenate(x) for x in (tokens, holders, contents, keys)), bits)
 
         for batch in batches:
             for kind, keys, _, _, shingles, cuts in paragraphs(batch, length, places):
-                held.append((band_keys(kind, shingles, cuts, bands, per_band), contents_of(kind, shingles, cuts), keys.view(np.uint64)))
-                size += (bands + 1) * len(keys)
+                if kind == RUN and lack:
+                    own = edge_keys(shingles, length - SHINGLE + 1, lack)
+                else:
+                    own = band_keys(kind, shingles, cuts, bands, per_band)
+                held[kind].append((own, contents_of(kind, shingles, cuts), keys.view(np.uint64)))
+                size += own.size + len(keys)
                 if size >= CHUNK:
                     yield out()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield out()
 
@@ -258,7 +291,8 @@ def _classes(ties: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         sets.select(F.col("content").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     checked = staged(both.select("a", "b", (shared >= similarity * (F.size("sa") + F.size("sb") - shared)).alias("alike")), "checked")
-    first = components(checked.where("alike").select("a", "b")).select(F.col("node").alias("content"), "component")
+    alike = components(checked.where("alike").select("a", "b"))
+    first = alike.select(F.col("node").alias("content"), "component")
 
     def contracted(edges):
         """``edges`` between what the links connect already."""
@@ -267,7 +301,8 @@ def _classes(ties: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             edges = edges.join(of, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
         return edges.select("a", "b").where("a <> b").distinct()
 
-    blocks = components(contracted(checked.where("not alike").select("a", "b"))).select("node", F.col("component").alias("block"))
+    held = components(contracted(checked.where("not alike").select("a", "b")))
+    blocks = held.select("node", F.col("component").alias("block"))
     # Contents of the blocks, whether or not a link has them.
     linked = first.join(blocks, F.col("component") == F.col("node")).select("content", "block")
     alone = blocks.join(first, F.col("node") == F.col("content"), "left_anti").select(F.col("node").alias("content"), "block")
@@ -277,47 +312,58 @@ def _classes(ties: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         F.col("content").alias("cls"), F.size("s").cast("bigint").alias("n"), "block", F.explode("s").alias("token"))
     tokens = staged(tokens.withColumn("token", F.xxhash64("block", "token")).drop("block"), "tokens")
     share = Fraction(str(similarity))
-    second = components(contracted(links_within(tokens, share.numerator, of=share.denominator))).withColumnRenamed("component", "whole")
+    links = links_within(tokens, share.numerator, of=share.denominator)
+    whole = components(contracted(links))
+    second = whole.withColumnRenamed("component", "whole")
     linked = first.join(second, F.col("component") == F.col("node"), "left").select("content", F.coalesce("whole", "component").alias("component"))
     added = second.join(first, F.col("node") == F.col("content"), "left_anti")
-    return linked.unionByName(added.select(F.col("node").alias("content"), F.col("whole").alias("component")))
+    classes = staged(linked.unionByName(added.select(F.col("node").alias("content"), F.col("whole").alias("component"))), "contents")
+    release(checked, alike, held, members, tokens, links, whole)
+    return classes
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, places: int = PLACES,
                       similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Paragraphs that stand in more than one document.
 
-    A paragraph is a line of ``length`` words or more (runs of non-space, A-Z as a-z), or ``length`` words from a
-    content-defined place on, as passages need not begin or end with a line. Two of a kind are linked when their sets of SHINGLE-word shingles have a Jaccard similarity of
-    ``similarity`` or more; what collisions in the MinHash bands hold together is a block, searched exactly. Every passage of
-    ``places + length - 1`` words (51) that documents share word by word is found (in a run of one word over and over
-    only the beginning of the run counts); of similar ones about the share ``recall``. Linked paragraphs form classes (components), and classes within one document are left out.
+    A paragraph is a line of SHINGLE words or more (runs of non-space, A-Z as a-z), a block of lines between empty ones, or
+    ``length`` words from a content-defined place on (a run), as passages need not begin or end with a line. Lines and
+    blocks, and runs among each other, are linked when their sets of SHINGLE-word shingles have a Jaccard similarity of
+    ``similarity`` or more; what collisions hold together is a block of contents, searched exactly. Lines and blocks
+    collide in MinHash bands, similar ones with a chance of ``recall``; runs, which can then only begin or end
+    differently, in what is left without their first or last shingles. Every passage of ``places + length - 1`` words (51)
+    that documents share word by word is found (in a run of one word over and over only the beginning of the run
+    counts). Linked paragraphs form classes (components), and classes within one document are left out.
 
     Returns one row per paragraph: ``<id_col>, first_word, n_words, class_id, class_size, kept_in, removed``. ``class_id``
     is a number of the class, ``kept_in`` the smallest id in it; the first paragraph of that document stays, the others
-    are ``removed``. Null, empty and short texts have no paragraphs. Rows that repeat id and text are one document;
+    are ``removed``. Null and empty texts and those of fewer than SHINGLE words have no paragraphs. Rows that repeat id and text are one document;
     null ids count as documents and come last in the order of ids. An empty table gives an empty result.
     """
     bands = tuned_bands(similarity, recall)
     own = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     keyed = own.select("id", "text", F.xxhash64(F.col("id"), F.xxhash64("text")).alias("key"))
-    # About six bytes a word, a run for every (places + 1) / 2 words, and half as many lines.
-    entries = 1.5 * (docs.agg(F.sum(F.octet_length(col(text_col)))).first()[0] or 0) / 6 / ((places + 1) / 2) * bands
+    lack = edges_of_runs(length, similarity)
+    # About six bytes a word, a run for every (places + 1) / 2 words, and a line for every 25.
+    words = (docs.agg(F.sum(F.octet_length(col(text_col)))).first()[0] or 0) / 6
+    entries = words * ((lack + 1 if lack else bands) / ((places + 1) / 2) + bands / 25)
     bits = max(1, math.ceil(math.log2(max(1.0, entries / BUCKET))))
     kinds = ", ".join(f"{c} {'int' if c == 'bucket' else 'binary'}" for c in PACKED)
-    packed = keyed.select("key", "text").mapInArrow(_bands(length, places, bands, ROWS, bits), kinds).withColumn("bits", F.lit(bits))
+    packed = keyed.select("key", "text").mapInArrow(_bands(length, places, bands, ROWS, lack, bits), kinds).withColumn("bits", F.lit(bits))
     found = staged(packed.groupBy("bucket").applyInArrow(_collisions, "a bigint, b bigint, slot bigint"), "collisions")
     ties = staged(found.where("a is not null").select("a", "b").distinct(), "ties")
     slot = F.shiftrightunsigned("content", 64 - BITS).alias("slot")
     of_ties = ties.select(F.col("a").alias("content")).union(ties.select("b")).select(slot)
     tied = bitmap(of_ties)
     sieve = tied | bitmap(found.where("slot is not null").select("slot"))
+    release(found)
     id_type = keyed.schema["id"].dataType.simpleString()
     units = staged(keyed.mapInArrow(
         _wanted(sieve, tied, length, places),
         f"id {id_type}, content bigint, key bigint, first bigint, n_words bigint, shingles array<bigint>"), "paragraphs")
     sets = units.where("shingles is not null").select("content", F.array_distinct("shingles").alias("s")).dropDuplicates(["content"])
     classes = _classes(ties, sets, similarity)
+    release(ties)
     rest = ["id", "key", "first", "n_words"]
     if not keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # rows that repeat id and text
         units = units.dropDuplicates(["content", "key", "first"])

@@ -48,12 +48,12 @@ def test_planted_passages(spark):
     rows = documents(1)
     got = repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
     flagged = {r.doc_id for r in got}
-    # The other 20-word runs are lines of which a large part is shared.
-    assert runs(rows, 51) <= flagged <= runs(rows, 16) | {None}
+    # The others share a line of five words or more.
+    assert runs(rows, 51) <= flagged <= runs(rows, passages.SHINGLE) | {None}
     by_id = dict(rows)
     for r in got:
         own = words(by_id[r.doc_id])[r.first_word:r.first_word + r.n_words]
-        assert len(own) == r.n_words >= 20 and r.class_size > 1
+        assert len(own) == r.n_words >= passages.SHINGLE and r.class_size > 1
     for c in {r.class_id for r in got}:
         assert sum(not r.removed for r in got if r.class_id == c) == 1 and len({r.doc_id for r in got if r.class_id == c}) > 1
 
@@ -132,3 +132,40 @@ def test_cut(spark):
 def test_nothing_to_find(spark, rows):
     assert repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string, key int") if not rows else
                              spark.createDataFrame(rows, "doc_id bigint, text string")).count() == 0
+
+
+def test_short_lines_and_hard_wrapped_paragraphs(spark):
+    rng = random.Random(11)
+
+    def text(n):
+        return [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+    licence, rows = " ".join(text(18)), []
+    for i in range(6):
+        rows.append((i, " ".join(text(7)) + "\n" + licence + "\r\n" + " ".join(text(9))))
+    for i in range(100, 180, 2):
+        own = text(60)
+        other = list(own)
+        other[rng.randrange(60)] = "x"
+
+        def wrapped(words, width):
+            return "\n".join(" ".join(words[k:k + width]) for k in range(0, 60, width))
+
+        rows += [(i, " ".join(text(12)) + "\n\n" + wrapped(own, 10) + "\n \n" + " ".join(text(12))),
+                 (i + 1, " ".join(text(4)) + "\n\n" + wrapped(other, 10 if i % 4 else 60))]
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r.doc_id for r in found if r.n_words == 18} == set(range(6))
+    assert sum(not r.removed for r in found if r.n_words == 18) == 1
+    whole = {r.doc_id: r.class_id for r in found if r.n_words == 60}
+    assert sum(i in whole and whole[i] == whole.get(i + 1) for i in range(100, 180, 2)) >= 0.95 * 40
+
+
+def test_one_very_long_line(spark):
+    long = " ".join(f"w{k}" for k in range(300_000))
+    rows = [(1, long), (2, long + " end"), (3, "short line of just six words")]
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.n_words) for r in found if r.n_words > 100} == {(1, 300_000), (2, 300_001)} and {r.doc_id for r in found} == {1, 2}
+
+
+def test_edges_of_runs():
+    assert passages.edges_of_runs(20, 0.8) == 1 and passages.edges_of_runs(20, 0.95) == 0 and passages.edges_of_runs(100, 0.8) == 0
