@@ -9,6 +9,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from corpuscope.llm.components import components
 from corpuscope.llm.sieve import bitmap, passes, slot_of
 from corpuscope.llm.tables import col, fresh
 from corpuscope.llm.words import SPACED, documents_words, grams
-from corpuscope.session import staged
+from corpuscope.session import release, staged
 
 # Words of a shingle; a link needs 100 * |A and B| >= PERCENT * |A or B|.
 SHINGLE = 4
@@ -24,8 +25,9 @@ PERCENT = 85
 # Shingles collected in a task before they are sent off, and about how many a bucket gets.
 CHUNK = 1 << 21
 BUCKET = 1 << 20
-# Documents searched in one task; a larger block is searched as all pairs of its parts.
+# Documents and shingles searched in one task; a larger block is searched as all pairs of its parts.
 SHARD = 2000
+SHARD_TOKENS = 1 << 22
 # Long lists probed before candidates that can no longer reach the threshold are dropped.
 PROBE = 64
 
@@ -146,7 +148,7 @@ def _shared(rows: pa.Table) -> pa.Table:
 
 
 def _sets(sieve, shingle: int):
-    """Arrow function: shingle sets of the documents whose id passes the sieve."""
+    """Arrow function: shingle sets of the documents whose text passes the sieve."""
 
     def run(batches):
         for batch in batches:
@@ -246,7 +248,9 @@ def _search(percent: int, of: int):
 
     def run(rows: pa.Table) -> pa.Table:
         cls = rows.column("cls").to_numpy()
-        sets = [np.array(s, np.int64) for s in rows.column("tokens").to_pylist()]
+        tokens = rows.column("tokens").combine_chunks()
+        flat, at = tokens.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy())])
+        sets = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
         parts = rows.column("part").to_numpy()
         cross = bool((rows.column("i").to_numpy() != rows.column("j").to_numpy()).any())
         links = list(t_occurrence(rows.column("n").to_numpy().tolist(), sets, parts.tolist() if cross else None, percent, of))
@@ -259,7 +263,7 @@ def _search(percent: int, of: int):
 def links_between(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, shard: int = SHARD) -> DataFrame:
     """Links between classes of equal sets (a, b), enough of them to connect all that are linked.
 
-    ``docs`` has (id, text), ``classes`` has (cls, n, rep), ``rep`` being the id of a document of the class.
+    ``docs`` has texts, ``classes`` has (cls, n, hash), ``hash`` being that of the text of a document of the class.
 
     1. Of ``n`` shingles a link needs ``t = least_overlap(n)``, so a class of which more than ``n - t`` shingles are
        its own has no partner. The ``2 * (n - t + 1)`` smallest hashes of each class are sent to buckets of the hash
@@ -267,8 +271,8 @@ def links_between(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE, p
     2. Of the others all shingles are counted exactly. Ordered from rare to frequent, linked sets share one of their
        first ``n - t + 1``; equal ones tie classes together, and the connected parts are the blocks. No link
        leaves a block.
-    3. Blocks are searched by :func:`t_occurrence`: small ones packed together, those above ``shard`` classes
-       as all pairs of their parts, so that a task holds two parts at most.
+    3. Blocks are searched by :func:`t_occurrence`: small ones packed together, those above ``shard`` classes or
+       ``SHARD_TOKENS`` shingles as all pairs of their parts, so that a task holds two parts at most.
     """
     total = classes.agg(F.sum("n")).first()[0] or 0
     share = min(1.0, 2 * (100 - percent) / 100)
@@ -279,13 +283,13 @@ def links_between(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE, p
     shared = shared.groupBy("cls").agg(F.sum("shared").alias("shared"))
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("bigint") + 1
     looked = F.least("n", 2 * spare)
-    alive = staged(classes.where("rep is not null").join(shared, "cls").where(looked - F.col("shared") < spare)
-                   .select("cls", "rep", slot_of("rep").alias("slot")), "alive")
-    found = docs.select("text", slot_of("id").alias("slot")).where(F.col("slot").isNotNull()).mapInArrow(
+    alive = staged(classes.join(shared, "cls").where(looked - F.col("shared") < spare).select("cls", slot_of("hash").alias("slot")), "alive")
+    found = docs.select("text", slot_of(F.xxhash64("text")).alias("slot")).mapInArrow(
         _sets(bitmap(alive.select("slot")), shingle), "cls bigint, n bigint, tokens binary")
     sets = staged(found.join(alive.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-
-    return links_within(sets.mapInArrow(_token_rows, "cls bigint, n bigint, token bigint"), percent, shard)
+    links = links_within(sets.mapInArrow(_token_rows, "cls bigint, n bigint, token bigint"), percent, shard)
+    release(alive, sets)
+    return links
 
 
 def links_within(tokens: DataFrame, percent: int, shard: int = SHARD, of: int = 100) -> DataFrame:
@@ -303,10 +307,12 @@ def links_within(tokens: DataFrame, percent: int, shard: int = SHARD, of: int =
     star = firsts.groupBy("token").agg(F.min("cls").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
     blocks = components(firsts.join(star, "token").select("a", F.col("cls").alias("b")))
 
-    counts = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    n_packs = max(1, blocks.count() // shard)
-    placed = blocks.join(counts, "component").select(
-        F.col("node").alias("cls"), F.ceil(F.col("size") / shard).cast("int").alias("parts"), "component")
+    weighed = blocks.join(ranked.select(F.col("cls").alias("node"), F.size("tokens").alias("weight")), "node")
+    counts = weighed.groupBy("component").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / shard), F.ceil(F.sum("weight") / SHARD_TOKENS)).cast("int").alias("parts"))
+    n, weight = weighed.agg(F.count(F.lit(1)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    n_packs = max(1, n // shard, weight // SHARD_TOKENS)
+    placed = blocks.join(counts, "component").select(F.col("node").alias("cls"), "parts", "component")
     # Small blocks share a task; they have no shingle of a prefix in common, so the search keeps them apart.
     placed = placed.withColumn("pack", F.when(F.col("parts") > 1, F.col("component"))
                                .otherwise(F.pmod(F.xxhash64("component"), F.lit(n_packs))))
@@ -314,7 +320,9 @@ def links_within(tokens: DataFrame, percent: int, shard: int = SHARD, of: int =
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     tasks = ranked.join(placed, "cls").select("cls", "n", "tokens", "pack", "parts", "part", other).select(
         "cls", "n", "tokens", "pack", "parts", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    return tasks.groupBy("pack", "parts", "i", "j").applyInArrow(_search(percent, of), "a bigint, b bigint")
+    links = staged(tasks.groupBy("pack", "parts", "i", "j").applyInArrow(_search(percent, of), "a bigint, b bigint"), "links")
+    release(ranked, firsts, blocks)
+    return links
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -324,28 +332,30 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Returns ``<id_col>, n_shingles, component_id``: the size of the row's set of ``shingle``-word shingles (words without
     white space, A-Z as a-z; fewer words are one shingle) and the smallest id that links lead to. Equal sets are
     one class and are never compared with each other. Texts without words are empty, linked with nothing, and
-    their own component; null text is such a text. Rows with a null id get the component of the rows with the same set that
-    have one, else null. Rows that repeat an id are all kept; each gets the component of its own text. Every
-    link counts (64-bit hashes stand for words, shingles and sets).
+    their own component; null text is such a text. Rows with a null id are linked like any others, and links lead
+    through them; their component is the smallest id that can be reached, null where there is none. Rows that repeat an id are
+    all kept; each gets the component of its own text. Every link counts (64-bit hashes stand for words, shingles and sets).
     """
     return _grouped(docs, id_col, text_col, shingle, percent, shard).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, shard: int = SHARD) -> DataFrame:
-    """Rows of :func:`near_duplicate_groups` as (id, hash of the text, n, component_id)."""
+    """Rows of :func:`near_duplicate_groups` as (id, hash of the text, n, component_id), with ``component``, the number of it."""
     own = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
     keyed = own.select(F.struct("id", F.xxhash64("text").alias("hash")).alias("id"), "text")
     id_type = keyed.schema["id"].dataType.simpleString()
     members = staged(keyed.mapInArrow(_classes(shingle), f"id {id_type}, n bigint, cls bigint").select("id.id", "id.hash", "n", "cls"), "members")
-    classes = staged(members.where("n > 0").groupBy("cls", "n").agg(F.min("id").alias("rep")), "classes")
-    groups = components(links_between(own, classes, shingle, percent, shard))
+    classes = staged(members.where("n > 0").groupBy("cls", "n").agg(F.min("id").alias("rep"), F.min("hash").alias("hash")), "classes")
+    links = links_between(own, classes, shingle, percent, shard)
+    groups = components(links)
+    release(links)
     joined = classes.join(groups, F.col("cls") == F.col("node"), "left")
     lowest = joined.where("component is not null").groupBy("component").agg(F.min("rep").alias("lowest"))
     final = joined.join(lowest, "component", "left").select(
-        F.col("cls").alias("of"), F.coalesce("lowest", "rep").alias("component_id"))
+        F.col("cls").alias("of"), F.coalesce("component", "cls").alias("component"), F.coalesce("lowest", "rep").alias("component_id"))
     return members.join(final, F.col("cls") == F.col("of"), "left").select(
-        "id", "hash", "n",
+        "id", "hash", "n", "component",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -354,16 +364,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """``docs`` with one document of each component, the one with the smallest id, all columns as they were.
 
     Rows that repeat that id stay together. With ``by_text`` a row goes only if its own text is in a component with a
-    smaller id (or it has no id and one in its component has): rows with a null id stay where no row of their set has an
-    id, and an id with several texts stays in the components where it is the smallest. Without it an id, or null, goes
-    with all its rows once one of them does.
+    smaller id (or it has no id and one in its component has); an id with several texts stays in the components where it
+    is the smallest, and of a component without any id the text with the smallest hash stays. Without it an id, or null,
+    goes with all its rows once one of them does.
     """
     groups = _grouped(docs, id_col, text_col, shingle, percent)
-    dropped = groups.where(F.col("component_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("component_id")))
+    dropped = groups.where(F.col("component_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("component_id"))).select("id", "hash")
     name, text = fresh(docs, "dropped_id"), fresh(docs, "dropped_hash")
     same = col(id_col).eqNullSafe(F.col(name))
     if by_text:
-        dropped = dropped.select(F.col("id").alias(name), F.col("hash").alias(text)).distinct()
+        unnamed = groups.where("n > 0 and component_id is null")
+        first = unnamed.groupBy(F.col("component").alias("of")).agg(F.min("hash").alias("first"))
+        again = unnamed.join(first, F.col("component") == F.col("of")).where("hash <> first").select("id", "hash")
+        dropped = dropped.unionByName(again).select(F.col("id").alias(name), F.col("hash").alias(text)).distinct()
         same = same & (F.xxhash64(col(text_col)) == F.col(text))
     else:
         dropped = dropped.select(F.col("id").alias(name)).distinct()

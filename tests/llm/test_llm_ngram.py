@@ -122,3 +122,25 @@ def test_keep_one_by_text_leaves_other_texts_of_an_id(spark):
     want = [(1, a), (2, b), (None, c), (None, d), (None, None), (4, None)]
     assert kept.columns == table.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_links_lead_through_null_ids(spark):
+    base = [f"k{i}" for i in range(100)]
+
+    def changed(*at):
+        return " ".join(w if i not in at else "x" for i, w in enumerate(base))
+
+    # 1 - null - 2: the ends differ too much from each other. Then two near copies without any id.
+    rows = [(1, changed(99)), (None, changed()), (2, changed(0, 1, 2)), (None, "z " + changed(50, 51, 52, 53, 20, 80)),
+            (None, "z " + changed(50, 51, 52, 53, 20, 80, 99))]
+    rows[2] = (2, "y y y y y " + changed(0))
+    assert got(near_duplicate_groups(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows)
+    assert {c for i, _, c in brute(rows) if i} == {1}
+    kept = keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"), by_text=True).collect()
+    assert [r.doc_id for r in kept].count(1) == 1 and len(kept) == 2
+
+
+def test_shards_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHARD_TOKENS", 400)
+    rows = documents(4)
+    assert got(near_duplicate_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))) == brute(rows)
