@@ -191,14 +191,15 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     driver sees only those with enough support and, for the labelled rows, which of them they hold. Entries are taken
     by greedy cover: most evidence in texts with label 1 that none matches yet. Words and pairs that an entry matches
     but that texts of label 0 hold as often become exceptions. Weights come from a logistic regression on the number
-    of matches, none below zero. Texts that repeat count once. With one label only there are no entries.
+    of matches, none below zero. Texts that repeat count once, with the label of most of them, 0 if as many have
+    either. With one label only there are no entries.
     """
     marked = labels.select(col(id_col).alias("label_id"), col(label_col).cast("bigint").alias("y")).where("y is not null")
     own = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where(F.col("id").isNotNull())
     # Ids first, then the texts of those that are taken: at most `sample` rows are broadcast.
     chosen = own.select("id").join(marked, F.col("id") == F.col("label_id")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = own.join(F.broadcast(chosen.select(F.col("id").alias("chosen"), "y").distinct()), F.col("id") == F.col("chosen"))
-    rows = staged(rows.select("text", "y").dropDuplicates(["text"]), "labelled")
+    rows = staged(rows.groupBy("text").agg((F.avg("y") > 0.5).cast("bigint").alias("y")), "labelled")
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per label
     n_bad, n_good = totals.get(1, 0), totals.get(0, 0)
     if not n_bad or not n_good:
@@ -210,11 +211,12 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     strong = counts.where((F.col("bad") >= SUPPORT) & (odds > 4)).orderBy(
         F.desc(F.col("bad") * F.log(odds)), F.length("term"), "term").limit(8 * ENTRIES).select("term").collect()
     names = {r["term"]: k for k, r in enumerate(strong)}
-    held = rows.mapInArrow(_holding(names), "y bigint, held array<int>").toArrow()
+    # In one order whatever the partitions, as sums depend on it.
+    held = rows.mapInArrow(_holding(names), "y bigint, held array<int>").orderBy("y", "held").toArrow()
     entries = _cover(list(names), held["held"].to_pylist(), held["y"].to_numpy())
     draft = Lexicon({e: 1.0 for e in entries})
     draft = Lexicon(draft.entries, _exceptions(rows, draft, n_bad, n_good))
-    seen = rows.mapInArrow(_counted(draft), "y bigint, counts array<int>, n_words bigint").toArrow()
+    seen = rows.mapInArrow(_counted(draft), "y bigint, counts array<int>, n_words bigint").orderBy("y", "n_words", "counts").toArrow()
     counted = np.array(seen["counts"].to_pylist(), dtype=float).reshape(len(seen), len(entries))
     ys, lengths = seen["y"].to_numpy().astype(float), seen["n_words"].to_numpy()
     draft = Lexicon(dict(zip(entries, _weights(counted, ys))), draft.exceptions)

@@ -99,3 +99,18 @@ def test_held_out_accuracy(spark):
     test = [r for r in rows if held(r.doc_id)]
     s, y = np.array([score[r.doc_id] for r in test]), np.array([r.toxic for r in test])
     assert auc(s, y) > 0.9 and (s[y == 1] >= 0.3).mean() > 0.8 and (s[y == 0] < 0.3).mean() > 0.98
+
+
+def test_equal_texts_with_both_labels(spark):
+    """The label of most rows counts, whatever the partitions."""
+    import random
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["vile", "scum", "tree", "lake", "road", "bird"]) for _ in range(8)) for _ in range(50)]
+    rows = [(k, texts[k % 50], rng.randrange(2)) for k in range(400)]
+    learned = []
+    for parts in (1, 4, 16):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(parts)
+        lexicon = learn_lexicon(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+        learned.append((round(lexicon.bias, 6), {k: round(v, 6) for k, v in lexicon.entries.items()}, lexicon.exceptions))
+    assert learned[0] == learned[1] == learned[2]
