@@ -84,3 +84,8 @@ def release(*tables: DataFrame) -> None:
         context = table.sparkSession.sparkContext
         folder = context._jvm.org.apache.hadoop.fs.Path(table.staged_at)
         folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs now: it does so for what the driver's JVM has collected as garbage."""
+    spark.sparkContext._jvm.System.gc()
