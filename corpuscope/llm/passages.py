@@ -15,7 +15,7 @@ from corpuscope.llm.ngram_join import links_within
 from corpuscope.llm.sieve import BITS, bitmap, passes
 from corpuscope.llm.tables import col, fresh
 from corpuscope.llm.words import SPACED, documents_lines, grams, mix
-from corpuscope.session import release, staged
+from corpuscope.session import drop_shuffles, release, staged
 
 # Words of a shingle, similarity of two paragraphs, words of a run, and places among which one begins.
 SHINGLE = 5
@@ -251,9 +251,13 @@ def _collisions(rows: pa.Table) -> pa.Table:
 
 
 def _wanted(sieve, tied, length: int, places: int):
-    """Arrow function: the paragraphs whose content passes the sieve; with their shingles where it passes that of the ties."""
+    """Arrow function: the paragraphs whose content passes the sieve, marked where it passes that of the ties.
+
+    The first one of such a content in a task carries its shingles (31 bits of each).
+    """
 
     def run(batches):
+        seen: set = set()
         for batch in batches:
             row_of = {}
             for kind, keys, firsts, n, shingles, cuts in paragraphs(batch, length, places):
@@ -265,17 +269,22 @@ def _wanted(sieve, tied, length: int, places: int):
                 if not row_of:
                     row_of = {k: i for i, k in enumerate(batch.column("key").to_pylist())}
                 shown = passes(tied, slots)[keep]
-                sizes = np.diff(cuts)
+                sizes, contents = np.diff(cuts), contents[keep]
                 kept = shingles[np.repeat(keep, sizes)]
                 sizes = sizes[keep]
+                first = np.zeros(len(contents), bool)
+                first[np.unique(contents, return_index=True)[1]] = True
+                first &= shown
+                first[first] = [c not in seen for c in contents[first].tolist()]
+                seen.update(contents[first].tolist())
                 # Shingles of different kinds differ, so that lines and runs are never similar.
-                kept = (kept[np.repeat(shown, sizes)] ^ np.uint64(kind)).view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(np.where(shown, sizes, 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(kept), mask=pa.array(~shown))
+                kept = kept[np.repeat(first, sizes)] >> np.uint64(33) << np.uint64(1) | np.uint64(kind)
+                ends = np.concatenate([[0], np.cumsum(np.where(first, sizes, 0))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(kept.astype(np.uint32).view(np.int32)), mask=pa.array(~first))
                 ids = batch.column("id").take(pa.array([row_of[k] for k in keys[keep].tolist()], pa.int64()))
-                yield pa.record_batch([ids, pa.array(contents[keep].view(np.int64)), pa.array(keys[keep]), pa.array(firsts[keep]),
-                                       pa.array(n[keep].astype(np.int64)), lists],
-                                      names=["id", "content", "key", "first", "n_words", "shingles"])
+                yield pa.record_batch([ids, pa.array(contents.view(np.int64)), pa.array(keys[keep]), pa.array(firsts[keep]),
+                                       pa.array(n[keep].astype(np.int64)), pa.array(shown), lists],
+                                      names=["id", "content", "key", "first", "n_words", "tied", "shingles"])
 
     return run
 
@@ -291,6 +300,7 @@ def _classes(ties: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         sets.select(F.col("content").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     checked = staged(both.select("a", "b", (shared >= similarity * (F.size("sa") + F.size("sb") - shared)).alias("alike")), "checked")
+    drop_shuffles(sets.sparkSession)
     alike = components(checked.where("alike").select("a", "b"))
     first = alike.select(F.col("node").alias("content"), "component")
 
@@ -358,18 +368,23 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sieve = tied | bitmap(found.where("slot is not null").select("slot"))
     release(found)
     id_type = keyed.schema["id"].dataType.simpleString()
-    units = staged(keyed.mapInArrow(
+    drop_shuffles(docs.sparkSession)
+    wide = staged(keyed.mapInArrow(
         _wanted(sieve, tied, length, places),
-        f"id {id_type}, content bigint, key bigint, first bigint, n_words bigint, shingles array<bigint>"), "paragraphs")
-    sets = units.where("shingles is not null").select("content", F.array_distinct("shingles").alias("s")).dropDuplicates(["content"])
+        f"id {id_type}, content bigint, key bigint, first bigint, n_words bigint, tied boolean, shingles array<int>"), "paragraphs")
+    sets = staged(wide.where("shingles is not null").select("content", F.array_distinct("shingles").alias("s"))
+                  .dropDuplicates(["content"]), "sets")
+    units = staged(wide.drop("shingles"), "units")
+    release(wide)
+    drop_shuffles(docs.sparkSession)
     classes = _classes(ties, sets, similarity)
-    release(ties)
+    release(ties, sets)
     rest = ["id", "key", "first", "n_words"]
     if not keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # rows that repeat id and text
         units = units.dropDuplicates(["content", "key", "first"])
     # Only contents with their shingles can be in a tie; all others are classes of their own.
-    plain = units.where("shingles is null").select(F.col("content").alias("class_id"), *rest)
-    members = plain.unionByName(units.where("shingles is not null").select("content", *rest).join(classes, "content", "left").select(
+    plain = units.where("not tied").select(F.col("content").alias("class_id"), *rest)
+    members = plain.unionByName(units.where("tied").select("content", *rest).join(classes, "content", "left").select(
         F.coalesce("component", "content").alias("class_id"), *rest))
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("key"), F.col("first"))
     facts = staged(members.groupBy("class_id").agg(
