@@ -260,6 +260,53 @@ def _search(percent: int, of: int):
     return run
 
 
+def _search_blocks(percent: int, of: int):
+    """Links within each of the blocks of one task, from whole sets."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        block, cls = rows.column("block").to_numpy(), rows.column("cls").to_numpy()
+        lists = rows.column("tokens").combine_chunks()
+        flat, sizes = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
+        at = np.cumsum(sizes) - sizes
+        order = np.argsort(block, kind="stable")
+        a, b = [], []
+        for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            holder = np.repeat(np.arange(len(own)), sizes[own])
+            _, token, times = np.unique(np.concatenate([flat[at[i]:at[i] + sizes[i]] for i in own]), return_inverse=True, return_counts=True)
+            shared = times[token] > 1
+            holder, token = holder[shared], token[shared]
+            by_rarity = np.lexsort((token, times[token], holder))
+            cuts = np.searchsorted(holder, np.arange(1, len(own)))
+            for x, y in t_occurrence(sizes[own].tolist(), np.split(token[by_rarity].astype(np.int64), cuts), None, percent, of):
+                a.append(cls[own[x]])
+                b.append(cls[own[y]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def links_in_blocks(sets: DataFrame, percent: int, shard: int = SHARD, of: int = 100) -> DataFrame:
+    """Links (a, b) of whole sets given as rows (block, cls, tokens: array<int>), within their blocks; as :func:`links_within`.
+
+    Sets of blocks up to ``shard`` sets and ``SHARD_TOKENS`` tokens go to a task with their block, so nothing but the sets is
+    sent; larger blocks are taken apart by their rare tokens first.
+    """
+    weight = F.sum(F.size("tokens"))
+    blocks = staged(sets.groupBy("block").agg(F.count(F.lit(1)).alias("k"), weight.alias("weight")).where("k > 1"), "sizes")
+    small = (F.col("k") <= shard) & (F.col("weight") <= SHARD_TOKENS)
+    packs = 1 + (blocks.where(small).agg(F.sum("weight")).first()[0] or 0) // BUCKET
+    near = sets.join(blocks.where(small).select("block"), "block").withColumn("pack", F.pmod(F.xxhash64("block"), F.lit(packs)))
+    links = near.groupBy("pack").applyInArrow(_search_blocks(percent, of), "a bigint, b bigint")
+    large = sets.join(blocks.where(~small).select("block"), "block")
+    if not blocks.where(~small).isEmpty():
+        rows = large.select("cls", F.size("tokens").cast("bigint").alias("n"), "block", F.explode("tokens").alias("token"))
+        rows = staged(rows.select("cls", "n", F.xxhash64("block", "token").alias("token")), "tokens")
+        links = links.unionByName(links_within(rows, percent, shard, of))
+    links = staged(links, "links")
+    release(blocks)
+    return links
+
+
 def links_between(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, shard: int = SHARD) -> DataFrame:
     """Links between classes of equal sets (a, b), enough of them to connect all that are linked.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.llm.components import components
-from corpuscope.llm.ngram_join import links_within
+from corpuscope.llm.ngram_join import links_in_blocks
 from corpuscope.llm.sieve import BITS, bitmap, passes
 from corpuscope.llm.tables import col, fresh
 from corpuscope.llm.words import SPACED, documents_lines, grams, mix
@@ -318,17 +318,16 @@ def _classes(ties: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     alone = blocks.join(first, F.col("node") == F.col("content"), "left_anti").select(F.col("node").alias("content"), "block")
     members = staged(linked.unionByName(alone), "blocks")
     large = members.groupBy("block").agg(F.count(F.lit(1)).alias("k")).where("k > 2").select("block")
-    tokens = sets.join(members.join(large, "block"), "content").select(
-        F.col("content").alias("cls"), F.size("s").cast("bigint").alias("n"), "block", F.explode("s").alias("token"))
-    tokens = staged(tokens.withColumn("token", F.xxhash64("block", "token")).drop("block"), "tokens")
     share = Fraction(str(similarity))
-    links = links_within(tokens, share.numerator, of=share.denominator)
+    searched = staged(sets.join(members.join(large, "block"), "content").select("block", F.col("content").alias("cls"), F.col("s").alias("tokens")), "searched")
+    drop_shuffles(sets.sparkSession)
+    links = links_in_blocks(searched, share.numerator, of=share.denominator)
     whole = components(contracted(links))
     second = whole.withColumnRenamed("component", "whole")
     linked = first.join(second, F.col("component") == F.col("node"), "left").select("content", F.coalesce("whole", "component").alias("component"))
     added = second.join(first, F.col("node") == F.col("content"), "left_anti")
     classes = staged(linked.unionByName(added.select(F.col("node").alias("content"), F.col("whole").alias("component"))), "contents")
-    release(checked, alike, held, members, tokens, links, whole)
+    release(checked, alike, held, members, searched, links, whole)
     return classes
 
 
