@@ -1,4 +1,4 @@
-"""Name, metadata and keyword search for tables of requests; the artifacts are read once for all of them."""
+"""Name, metadata and keyword search for tables of requests: all terms of all requests meet the artifacts once."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import any_of, count_occurrences, ilike_term, word_count, words
+from corpuscope.operators.matching import match_terms
 from corpuscope.operators.topk import first_per_group
-from corpuscope.sources.artifacts import KEYS, SCOPE_LEVEL, all_levels, level_rank, scope_level
+from corpuscope.sources.artifacts import KEYS, LEVELS, SCOPE_LEVEL, all_levels, level_rank, scope_level
 
 # Words that are no search terms, shortest term, score per level.
 STOP_WORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by"]
@@ -16,9 +17,6 @@ METADATA_SCORE = {"function": 0.95, "class": 0.9, "file": 0.85}
 METADATA_ORDER = ["function", "class", "file"]
 DENSITY = 0.01
 
-# Requests that one row of a block holds.
-REQUESTS_PER_BLOCK = 256
-
 
 def extract_terms(df: DataFrame, text: str, keys) -> DataFrame:
     """Search terms of a text: lower case, punctuation removed, longer than two characters, no stop words."""
@@ -27,65 +25,34 @@ def extract_terms(df: DataFrame, text: str, keys) -> DataFrame:
     return df.select(*keys, F.posexplode(kept).alias("pos", "term")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def wild(term) -> Column:
-    """Whether a term holds a wildcard (or an escape)."""
-    return F.contains(term, F.lit("%")) | F.contains(term, F.lit("_")) | F.contains(term, F.lit("\\"))
-
-
-def like_term(lowered, term, pattern) -> Column:
-    """Containment of a lower-case term in a lower-case text, or its LIKE pattern where it has one (see :func:`patterns`)."""
-    text = F.col(lowered) if isinstance(lowered, str) else lowered
-    return F.when(pattern.isNull(), F.contains(text, term)).otherwise(F.like(text, pattern))
-
-
-def patterns(term: Column, literal: bool) -> Column:
-    """``%term%`` of a term with wildcards, else NULL; so the test of a plain term is a substring search."""
-    found = F.when(wild(term), F.concat(F.lit("%"), term, F.lit("%")))
-    return F.lit(None).cast("string") if literal else found
-
+# Kinds of terms: looked for in names, or in both texts.
+NAME, TEXT = "name", "text"
 
-PIECE = 3
 
+def find_terms(levels: dict[str, DataFrame], terms: DataFrame, literal: bool = False, kinds=(NAME, TEXT)) -> DataFrame:
+    """Where the terms of all requests stand: ``*KEYS, kind, term, n, words``; the artifacts are read once for all of them.
 
-def pieces(text) -> Column:
-    """Different runs of ``PIECE`` characters; none for shorter texts."""
-    letters = F.split(text, "")
-    last = F.length(text) - PIECE
-    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(*[F.get(letters, i + k) for k in range(PIECE)]))
-    return F.array_distinct(F.when(last >= 0, runs).otherwise(F.array().cast("array<string>")))
-
-
-def _by_pieces(named: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows of ``named`` (with ``__name``) whose name contains a plain term: one row per pair, with ``term``.
-
-    Names and terms meet on the rarest piece of the term; a term with a piece that no name has finds nothing. Only pieces
-    that some term has leave the scan of the names.
+    ``terms``: kind, term (lower case). Give the result to several searches as ``hits`` and they share that one read.
     """
-    own = terms.select("term").distinct().select("term", F.explode(pieces("term")).alias("piece"))
-    asked = own.select("piece").distinct()
-    parts = named.withColumn("piece", F.explode(pieces("__name"))).join(asked, "piece", "left_semi")
-    often = parts.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    rarest = own.join(often, "piece", "left").groupBy("term").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("r")).where("r.n > 0").select("term", "r.piece")
-    return parts.join(rarest, "piece").where(F.contains("__name", F.col("term"))).drop("piece")
+    source = all_levels(levels)
+    columns = {"__name": F.lower("name")} if NAME in kinds else {}
+    if TEXT in kinds:
+        # The second text only where it differs from the first.
+        original = F.when(~F.col("original_content").eqNullSafe(F.col("enhanced_content")), F.lower("original_content"))
+        columns |= {"__enhanced": F.lower("enhanced_content"), "__original": original}
+    texts = {NAME: ["__name"], TEXT: ["__enhanced", "__original"]}
+    return match_terms(source.withColumns(columns), KEYS, {k: texts[k] for k in kinds}, terms, literal)
 
 
-def _meet(artifacts: DataFrame, requests: DataFrame, holds, kept=None) -> DataFrame:
-    """Artifacts with the requests that hold for them, one row each; a request is the column ``r``.
-
-    The requests are put together in blocks, so a row of artifacts is met by few rows whatever their number, and the
-    plan is the same for any. ``kept`` extends the artifacts that any request of a block hit, before they are multiplied.
-    """
-    block = F.floor(F.monotonically_increasing_id() / REQUESTS_PER_BLOCK)
-    blocks = requests.withColumn("__block", block).groupBy("__block").agg(
-        F.collect_list(F.struct(*requests.columns)).alias("__requests")).drop("__block")
-    met = artifacts.join(blocks).withColumn("__requests", F.filter("__requests", holds)).where(F.size("__requests") > 0)
-    met = met if kept is None else kept(met)
-    return met.withColumn("r", F.explode("__requests")).drop("__requests")
+def _asked(requests: DataFrame, kind: str) -> DataFrame:
+    """Requests, one row per term, as terms to look for."""
+    return requests.select(F.lit(kind).alias("kind"), "term")
 
 
-def _same_repo(r) -> Column:
-    return r["repo_id"].isNull() | (r["repo_id"] == F.col("repo_id"))
+def _meet(hits: DataFrame, requests: DataFrame, kind: str) -> DataFrame:
+    """Hits with the requests that asked for their term in their repository; requests are the alias ``r``, hits ``h``."""
+    repo = F.col("r.repo_id").isNull() | (F.col("r.repo_id") == F.col("h.repo_id"))
+    return hits.where(F.col("kind") == kind).alias("h").join(requests.alias("r"), (F.col("h.term") == F.col("r.term")) & repo)
 
 
 def _with_repo(requests: DataFrame) -> DataFrame:
@@ -93,54 +60,58 @@ def _with_repo(requests: DataFrame) -> DataFrame:
     return requests if "repo_id" in requests.columns else requests.withColumn("repo_id", F.lit(None).cast("string"))
 
 
-def name_lookup(levels: dict[str, DataFrame], requests: DataFrame, literal: bool = False) -> DataFrame:
+def lookup_terms(requests: DataFrame) -> DataFrame:
+    """Requests for names, one row per name: query_id, repo_id, level, names, term."""
+    return _with_repo(requests).select("query_id", "repo_id", "level", "names", F.explode(F.split("names", ",")).alias("__one")).select(
+        "query_id", "repo_id", "level", "names", F.lower(F.trim("__one")).alias("term")).distinct()
+
+
+def name_hits(requests: DataFrame, hits: DataFrame) -> DataFrame:
+    """Keys of the artifacts that :func:`name_lookup` finds, with relevance_score and match_reason."""
+    found = _meet(hits, lookup_terms(requests).where(F.col("level").isin(LEVELS)), NAME).where(F.col("r.level") == F.col("h.type"))
+    return found.groupBy("r.query_id", *[F.col(f"h.{k}").alias(k) for k in KEYS]).agg(
+        F.any_value("r.level").alias("level"), F.any_value("r.names").alias("names")).select(
+        "query_id", *KEYS, F.lit(1.0).alias("relevance_score"),
+        F.concat(F.lit("Exact "), F.col("level"), F.lit(" match: "), F.col("names")).alias("match_reason"))
+
+
+def name_lookup(levels: dict[str, DataFrame], requests: DataFrame, literal: bool = False, hits: DataFrame | None = None) -> DataFrame:
     """Rows whose name contains one of the names.
 
-    ``requests``: query_id, level, names (comma-separated), and repo_id where wanted. A level that does not exist finds nothing.
+    ``requests``: query_id, level, names (comma-separated), and repo_id where wanted, one row per query. A level that does
+    not exist finds nothing.
     """
-    asked = _with_repo(requests).select(
-        "query_id", "repo_id", "level", "names", F.transform(F.split("names", ","), lambda n: F.struct(
-            F.lower(F.trim(n)).alias("term"), patterns(F.lower(F.trim(n)), literal).alias("pattern"))).alias("list"))
-    source = all_levels(levels).select(*KEYS, "enhanced_content", "rich_metadata", F.lower("name").alias("__name"))
+    hits = hits if hits is not None else find_terms(levels, _asked(lookup_terms(requests), NAME), literal, (NAME,))
+    texts = all_levels(levels).select(*KEYS, *[F.coalesce(c, F.lit("")).alias(c) for c in ("enhanced_content", "rich_metadata")])
+    return name_hits(requests, hits).join(texts, KEYS).select(
+        "query_id", *KEYS, "relevance_score", "enhanced_content", "match_reason", "rich_metadata")
 
-    def holds(r):
-        return (r["level"] == F.col("type")) & _same_repo(r) & F.exists(r["list"], lambda n: like_term("__name", n["term"], n["pattern"]))
 
-    return _meet(source, asked, holds).select(
-        F.col("r.query_id").alias("query_id"),
-        *KEYS,
-        F.lit(1.0).alias("relevance_score"),
-        F.coalesce("enhanced_content", F.lit("")).alias("enhanced_content"),
-        F.concat(F.lit("Exact "), F.col("r.level"), F.lit(" match: "), F.col("r.names")).alias("match_reason"),
-        F.coalesce("rich_metadata", F.lit("")).alias("rich_metadata"),
-    )
+def metadata_terms(terms: DataFrame) -> DataFrame:
+    """Terms of requests in lower case: query_id, repo_id, pos, term."""
+    return _with_repo(terms).select("query_id", "repo_id", "pos", F.lower("term").alias("term"))
 
 
-def metadata_search(levels: dict[str, DataFrame], terms: DataFrame, k: int = 20, literal: bool = False) -> DataFrame:
+def metadata_search(levels: dict[str, DataFrame], terms: DataFrame, k: int = 20, literal: bool = False,
+                    hits: DataFrame | None = None) -> DataFrame:
     """Name matches of single terms with a fixed score per level.
 
     ``terms``: query_id, pos, term (as :func:`extract_terms` gives them), and repo_id where wanted. Per term and level
     the first ``k`` by name are taken; a row found by several terms counts for the first one; the best ``k`` per query
     remain. ``rank`` is the position in that list.
     """
-    asked = _with_repo(terms).select("query_id", "repo_id", "pos", F.lower("term").alias("term")).withColumn("pattern", patterns(F.col("term"), literal))
-    source = all_levels(levels).select(*KEYS, F.lower("name").alias("__name"))
+    asked = metadata_terms(terms)
+    hits = hits if hits is not None else find_terms(levels, _asked(asked, NAME), literal, (NAME,))
     branch = F.array_position(F.array(*[F.lit(x) for x in METADATA_ORDER]), F.col("type")).cast("int")
     score = F.create_map(*[F.lit(v) for pair in METADATA_SCORE.items() for v in pair])[F.col("type")]
-    plain = F.col("pattern").isNull() & (F.length("term") >= PIECE)
-    found = _by_pieces(source, asked.where(plain)).drop("__name")
-    same = (F.col("r.term") == F.col("f.term")) & (F.col("r.repo_id").isNull() | (F.col("r.repo_id") == F.col("f.repo_id")))
-    named = found.alias("f").join(asked.where(plain).alias("r"), same).select(
-        "r.query_id", F.col("r.pos").alias("term_pos"), *[F.col(f"f.{k}").alias(k) for k in KEYS])
-    # Terms with wildcards, and those shorter than a piece, are tried on every name.
-    other = _meet(source, asked.where(~plain), lambda r: _same_repo(r) & like_term("__name", r["term"], r["pattern"])).select(
-        F.col("r.query_id").alias("query_id"), F.col("r.pos").alias("term_pos"), *KEYS)
-    hits = named.unionByName(other).withColumns({"branch": branch, "score": score})
+    named = _meet(hits, asked, NAME).select(
+        "r.query_id", F.col("r.pos").alias("term_pos"), *[F.col(f"h.{k}").alias(k) for k in KEYS])
+    named = named.withColumns({"branch": branch, "score": score})
     by_name = ["name", "file_path", "parent_class", "repo_id", "position"]
-    hits = first_per_group(hits, ["query_id", "term_pos", "type"], by_name, k)
-    hits = first_per_group(hits, ["query_id", *KEYS], ["term_pos"], 1)
+    named = first_per_group(named, ["query_id", "term_pos", "type"], by_name, k)
+    named = first_per_group(named, ["query_id", *KEYS], ["term_pos"], 1)
     order = [F.desc("score"), "term_pos", "branch", *by_name]
-    return first_per_group(hits, ["query_id"], order, k, rank="rank").select("query_id", "rank", *KEYS, "score")
+    return first_per_group(named, ["query_id"], order, k, rank="rank").select("query_id", "rank", *KEYS, "score")
 
 
 def _lowered(artifacts: DataFrame) -> DataFrame:
@@ -195,33 +166,33 @@ def keyword_rank(hits: DataFrame, keywords, k: int | None = 20) -> DataFrame:
     return scored.orderBy(*_ranking()).limit(k)
 
 
-def keyword_match(levels: dict[str, DataFrame], requests: DataFrame, k: int = 20, literal: bool = False) -> DataFrame:
-    """Filter and rank for a table of requests in one scan: query_id, keywords (array), scope, and repo_id where wanted.
+def keyword_terms(requests: DataFrame) -> DataFrame:
+    """Keyword requests, one row per keyword, repeated ones as often: query_id, repo_id, level, asked, joined, term."""
+    words_of = F.coalesce("keywords", F.array().cast("array<string>"))
+    return _with_repo(requests).select(
+        "query_id", "repo_id", scope_level("scope").alias("level"), F.size(words_of).alias("asked"),
+        F.concat_ws(", ", words_of).alias("joined"), F.explode(F.transform(words_of, F.lower)).alias("term"))
 
-    Words are counted once per text that any request of a block hits.
-    """
-    asked = _with_repo(requests).select(
-        "query_id", "repo_id", "keywords", scope_level("scope").alias("level"),
-        F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda x: F.struct(
-            F.lower(x).alias("term"), patterns(F.lower(x), literal).alias("pattern"))).alias("lowered"))
-    source = all_levels(levels).select(*KEYS, "enhanced_content", "original_content", "rich_metadata")
-
-    def contained(r, text):
-        return F.exists(r["lowered"], lambda x: F.coalesce(like_term(text, x["term"], x["pattern"]), F.lit(False)))
-
-    def holds(r):
-        own = (r["level"] == "all") | (r["level"] == F.col("type"))
-        return own & _same_repo(r) & (contained(r, "__enhanced") | contained(r, "__original"))
-
-    def counted(met):
-        return met.withColumn("__text", F.coalesce("__enhanced", F.lit(""))).withColumn("__words", word_count("__text")).drop("__enhanced", "__original")
-
-    hits = _meet(_lowered(source).drop("original_content"), asked, holds, counted)
-    found = F.aggregate("r.lowered.term", F.lit(0).cast("bigint"), lambda total, x: total + F.when(
-        F.length(x) > 0, F.floor((F.length("__text") - F.length(F.replace(F.col("__text"), x, F.lit("")))) / F.length(x))).otherwise(0))
-    score = F.least(found / (F.col("__words") * F.greatest(F.size("r.lowered"), F.lit(1)) * F.lit(DENSITY)), F.lit(1.0))
-    ranked = hits.select(
-        F.col("r.query_id").alias("query_id"), *KEYS, "enhanced_content", "rich_metadata",
-        F.when(F.col("__words") > 0, score).otherwise(F.lit(0.0)).alias("relevance_score"),
-        F.concat(F.lit("Keyword matches: "), F.concat_ws(", ", "r.keywords")).alias("match_reason"))
+
+def keyword_hits(requests: DataFrame, hits: DataFrame, k: int = 20) -> DataFrame:
+    """Keys of the best ``k`` artifacts of each keyword request, with rank, relevance_score and match_reason."""
+    found = _meet(hits, keyword_terms(requests), TEXT).where((F.col("r.level") == "all") | (F.col("r.level") == F.col("h.type")))
+    sums = found.groupBy("r.query_id", *[F.col(f"h.{k}").alias(k) for k in KEYS]).agg(
+        F.sum("n").alias("n"), F.any_value("words").alias("words"), F.any_value("asked").alias("asked"), F.any_value("joined").alias("joined"))
+    score = F.least(F.col("n") / (F.col("words") * F.greatest("asked", F.lit(1)) * F.lit(DENSITY)), F.lit(1.0))
+    ranked = sums.select(
+        "query_id", *KEYS, F.when(F.col("words") > 0, score).otherwise(F.lit(0.0)).alias("relevance_score"),
+        F.concat(F.lit("Keyword matches: "), "joined").alias("match_reason"))
     return first_per_group(ranked, ["query_id"], _ranking(), k, rank="rank")
+
+
+def keyword_match(levels: dict[str, DataFrame], requests: DataFrame, k: int = 20, literal: bool = False,
+                  hits: DataFrame | None = None) -> DataFrame:
+    """Filter and rank for a table of requests: query_id, keywords (array), scope, and repo_id where wanted, one row per query.
+
+    The texts are read once for the keywords of all requests, and once more for the winners' results.
+    """
+    hits = hits if hits is not None else find_terms(levels, _asked(keyword_terms(requests), TEXT), literal, (TEXT,))
+    texts = all_levels(levels).select(*KEYS, "enhanced_content", "rich_metadata")
+    return keyword_hits(requests, hits, k).join(texts, KEYS).select(
+        "query_id", *KEYS, "enhanced_content", "rich_metadata", "relevance_score", "match_reason", "rank")

@@ -7,9 +7,21 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.operators.keywords import extract_terms, keyword_match, metadata_search, name_lookup
+from corpuscope.operators.keywords import (
+    NAME,
+    TEXT,
+    extract_terms,
+    find_terms,
+    keyword_hits,
+    keyword_terms,
+    lookup_terms,
+    metadata_search,
+    metadata_terms,
+    name_hits,
+)
 from corpuscope.operators.merge import best_per_file, hybrid_merge, rerank
 from corpuscope.operators.vectors import vector_search, with_content
+from corpuscope.session import staged
 from corpuscope.sources.artifacts import KEYS, all_levels, focus_level
 
 # One row per search call. ``tool`` is identify_file, keyword_match or hybrid_search; any other means hybrid. Without a
@@ -27,6 +39,16 @@ def _complete(hits: DataFrame, levels: dict[str, DataFrame]) -> DataFrame:
     return full.withColumns({c: F.coalesce(c, F.lit("")) for c in ("enhanced_content", "rich_metadata")})
 
 
+def _hybrid(levels: dict[str, DataFrame], asked: DataFrame, terms: DataFrame, hits: DataFrame | None, rankings: DataFrame,
+            max_results: int, texts: dict[str, DataFrame]) -> DataFrame:
+    """Hits of hybrid search without their texts."""
+    near = vector_search(levels, asked.select("query_id", "repo_id", focus_level("focus").alias("level"), "embedding"), max_results)
+    candidates = near.select(
+        "query_id", "rank", *KEYS, (F.lit(1.0) - F.col("distance")).alias("relevance_score"), F.lit("").alias("match_reason"))
+    merged = hybrid_merge(metadata_search(texts, terms, max_results // 2, hits=hits), rerank(candidates, rankings))
+    return best_per_file(merged, max_results)
+
+
 def hybrid_search(levels: dict[str, DataFrame], requests: DataFrame, rankings: DataFrame, max_results: int = 20,
                   text_levels: dict[str, DataFrame] | None = None) -> DataFrame:
     """Vector search reranked by given scores, merged with name matches, best hit per file, with the texts of the hits.
@@ -37,25 +59,28 @@ def hybrid_search(levels: dict[str, DataFrame], requests: DataFrame, rankings: D
     """
     texts = text_levels or levels
     asked = requests.withColumnRenamed("request_id", "query_id")
-    near = vector_search(levels, asked.select("query_id", "repo_id", focus_level("focus").alias("level"), "embedding"), max_results)
-    candidates = near.select(
-        "query_id", "rank", *KEYS, (F.lit(1.0) - F.col("distance")).alias("relevance_score"), F.lit("").alias("match_reason"))
-    vec = rerank(candidates, rankings)
     terms = extract_terms(asked, "text", ["query_id", "repo_id"])
-    merged = hybrid_merge(metadata_search(texts, terms, max_results // 2), vec)
-    return _complete(best_per_file(merged, max_results), texts).select(*RESULT)
+    return _complete(_hybrid(levels, asked, terms, None, rankings, max_results, texts), texts).select(*RESULT)
 
 
 def routed_search(levels: dict[str, DataFrame], requests: DataFrame, rankings: DataFrame, max_results: int = 10,
                   text_levels: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Each request (``REQUEST_SCHEMA``) with the tool it names; all requests of a tool share its scans."""
+    """Each request (``REQUEST_SCHEMA``) with the tool it names.
+
+    The terms of all requests, whatever their tool, meet names and texts in one read; that table of hits is written and
+    every tool takes its own from it. The vectors are read once, and the texts of all winners once.
+    """
     texts = text_levels or levels
     tool = F.when(F.col("tool").isin("identify_file", "keyword_match"), F.col("tool")).otherwise(F.lit("hybrid_search"))
-    routed = requests.withColumn("tool", tool)
-    asked = routed.withColumnRenamed("request_id", "query_id")
-    named = name_lookup(texts, asked.where(F.col("tool") == "identify_file")).withColumn("rank", F.lit(None).cast("bigint"))
-    keyed = keyword_match(texts, asked.where(F.col("tool") == "keyword_match"), max_results)
-    mixed = hybrid_search(levels, routed.where(F.col("tool") == "hybrid_search"), rankings, max_results, texts)
-    parts = {"identify_file": named, "keyword_match": keyed, "hybrid_search": mixed}
-    return reduce(DataFrame.unionByName, [
-        _complete(hits, texts).select("query_id", F.lit(tool).alias("tool"), *RESULT[1:]) for tool, hits in parts.items()])
+    asked = staged(requests.withColumn("tool", tool).withColumnRenamed("request_id", "query_id"), "requests")
+    named, keyed, mixed = (asked.where(F.col("tool") == t) for t in ("identify_file", "keyword_match", "hybrid_search"))
+    terms = extract_terms(mixed, "text", ["query_id", "repo_id"])
+    wanted = [(NAME, lookup_terms(named)), (NAME, metadata_terms(terms)), (TEXT, keyword_terms(keyed))]
+    hits = staged(find_terms(texts, reduce(DataFrame.unionByName, [t.select(F.lit(kind).alias("kind"), "term") for kind, t in wanted])), "hits")
+    parts = {
+        "identify_file": name_hits(named, hits).withColumn("rank", F.lit(None).cast("bigint")),
+        "keyword_match": keyword_hits(keyed, hits, max_results),
+        "hybrid_search": _hybrid(levels, mixed, terms, hits, rankings, max_results, texts)}
+    columns = ["query_id", "rank", *KEYS, "relevance_score", "match_reason"]
+    winners = reduce(DataFrame.unionByName, [found.select(*columns, F.lit(name).alias("tool")) for name, found in parts.items()])
+    return _complete(winners, texts).select("query_id", "tool", *RESULT[1:])

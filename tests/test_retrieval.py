@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscope.operators import keywords
+from corpuscope.operators import matching
 from corpuscope.operators.keywords import extract_terms, keyword_filter, keyword_match, keyword_rank, metadata_search, name_lookup
 from corpuscope.operators.merge import best_per_file, candidate_cards, hybrid_merge, rerank
 from corpuscope.operators.vectors import to_results, vector_search, vector_topk, with_content
@@ -66,7 +66,7 @@ def check_topk(spark, levels, data, k, **how):
         assert all(math.isnan(r.distance) if math.isinf(w[0]) else abs(w[0] - r.distance) < 1e-6 for w, r in zip(want, mine))
 
 
-@pytest.mark.parametrize("how", [{}, {"chunks": 3}, {"chunks": 2, "query_blocks": 3}])
+@pytest.mark.parametrize("how", [{}, {"queries_at_once": 3}])
 def test_vector_search_is_exact(spark, how):
     """Many ties, repositories, levels and a query of length zero."""
     levels = make_levels(spark)
@@ -186,7 +186,7 @@ def test_metadata_search_keeps_first_term_and_limits(spark, monkeypatch):
     first = [r for r in got if r.query_id == 1]
     assert len(first) == 6 and {r.type for r in first} == {"function"} and {r.score for r in first} == {0.95}
     assert {r.repo_id for r in got if r.query_id == 3} == {"repo1"}
-    monkeypatch.setattr(keywords, "REQUESTS_PER_BLOCK", 1)
+    monkeypatch.setattr(matching, "TERMS_AT_ONCE", 1)
     again = metadata_search(levels, asked, 6).orderBy("query_id", "rank").collect()
     assert got == again
 
@@ -275,7 +275,13 @@ def test_search_plans(spark):
     levels = make_levels(spark)
     ranks = spark.createDataFrame([(1, 0, 2, 9.0, "x")], "query_id bigint, pos bigint, index bigint, relevance double, reason string")
     text = plan(hybrid_search(levels, search_requests(spark, [(1, "h", {"text": "load", "embedding": VECTOR})]), ranks, 10))
-    assert text.count("FlatMapCoGroupsInArrow") == 1, "the vectors are searched once"
-    assert "WindowGroupLimit" in text
+    assert text.count("MapInArrow") == 2, "vectors and names are read once"
+    assert "WindowGroupLimit" in text and "NestedLoop" not in text and "Cartesian" not in text
+    asked = keyed(spark, [(1, ["load%", "a", "%"], "all", None)])
+    for df in (keyword_match(levels, asked), name_lookup(levels, named(spark, [(1, "class", "lo_d, a", None)])),
+               metadata_search(levels, asked_terms(spark, [(1, None, ["l%d", "ab"])]))):
+        assert "NestedLoop" not in plan(df) and "Cartesian" not in plan(df) and plan(df).count("MapInArrow") == 1
+    routed = plan(routed_search(levels, search_requests(spark, [(1, "h", {"text": "load", "embedding": VECTOR})]), ranks))
+    assert "NestedLoop" not in routed and routed.count("MapInArrow") == 1
     top = plan(keyword_rank(keyword_filter(levels, ["load"]), ["load"], 5))
     assert "TakeOrderedAndProject" in top and "Join" not in top
