@@ -211,18 +211,24 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     strong = counts.where((F.col("bad") >= SUPPORT) & (odds > 4)).orderBy(
         F.desc(F.col("bad") * F.log(odds)), F.length("term"), "term").limit(8 * ENTRIES).select("term").collect()
     names = {r["term"]: k for k, r in enumerate(strong)}
-    # In one order whatever the partitions, as sums depend on it.
-    held = rows.mapInArrow(_holding(names), "y bigint, held array<int>").orderBy("y", "held").toArrow()
+    held = _in_order(rows.mapInArrow(_holding(names), "y bigint, held array<int>").toArrow())
     entries = _cover(list(names), held["held"].to_pylist(), held["y"].to_numpy())
     draft = Lexicon({e: 1.0 for e in entries})
     draft = Lexicon(draft.entries, _exceptions(rows, draft, n_bad, n_good))
-    seen = rows.mapInArrow(_counted(draft), "y bigint, counts array<int>, n_words bigint").orderBy("y", "n_words", "counts").toArrow()
+    seen = rows.mapInArrow(_counted(draft), "y bigint, counts array<int>, n_words bigint").toArrow()
+    seen = _in_order(seen)
     counted = np.array(seen["counts"].to_pylist(), dtype=float).reshape(len(seen), len(entries))
     ys, lengths = seen["y"].to_numpy().astype(float), seen["n_words"].to_numpy()
     draft = Lexicon(dict(zip(entries, _weights(counted, ys))), draft.exceptions)
     return calibrated(draft, counted @ np.array(list(draft.entries.values())), lengths, ys)
 
 
+def _in_order(rows: pa.Table) -> pa.Table:
+    """The rows of the labelled sample in one order whatever the partitions, as sums depend on it."""
+    cells = list(zip(*(rows[c].to_pylist() for c in rows.column_names)))
+    return rows.take(pa.array(sorted(range(len(cells)), key=cells.__getitem__), pa.int64()))
+
+
 def _holding(names: dict):
     """Arrow function: label and candidates of each labelled text."""
 
