@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.operators.history import SESSION_TTL, event_spans, merge_spans, session_rows
-from corpuscope.streaming.tables import BUCKETS, read_table, table_stream
+from corpuscope.streaming.tables import BUCKET_BYTES, read_table, table_stream
 
 
 def session_stream(events: DataFrame, keys, ts: str = "ts", gap_seconds: int = SESSION_TTL, lateness: str = "1 hour") -> DataFrame:
@@ -25,7 +25,7 @@ def session_stream(events: DataFrame, keys, ts: str = "ts", gap_seconds: int = S
 
 
 def session_table_stream(events: DataFrame, path: str, checkpoint: str, keys, ts: str = "ts", gap_seconds: int = SESSION_TTL,
-                         buckets: int = BUCKETS):
+                         bucket_bytes: int = BUCKET_BYTES):
     """Writer that keeps all sessions, open and closed, as a table; start it with a trigger.
 
     Each micro-batch is reduced to spans first and merged into the spans of the buckets it touches, so events may come in
@@ -34,7 +34,7 @@ def session_table_stream(events: DataFrame, path: str, checkpoint: str, keys, ts
     return table_stream(
         events, path, checkpoint, keys,
         lambda batch: merge_spans(event_spans(batch, keys, ts, gap_seconds), keys, gap_seconds),
-        lambda rows: merge_spans(rows, keys, gap_seconds), buckets)
+        lambda rows: merge_spans(rows, keys, gap_seconds), bucket_bytes)
 
 
 def read_sessions(spark: SparkSession, path: str, keys, gap_seconds: int = SESSION_TTL) -> DataFrame:

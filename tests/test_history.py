@@ -5,11 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscope.operators import history
-from corpuscope.operators.history import (capped_history, delete_keys, followup_context, last_context, list_keys, live_sessions, merge_state,
+from corpuscope.operators.history import (capped_history, delete_keys, followup_context, last_context, list_keys, live_history, live_sessions, merge_state,
                                           replace_history, running_context, session_status, sessions)
 from corpuscope.operators.status import derive_status, status_counts
 from corpuscope.streaming.history import capped_history_stream, history_table_stream, latest_history, read_histories
+from corpuscope.streaming.history import current_history, live_history_stream
 from corpuscope.streaming.sessions import read_sessions, session_stream, session_table_stream
+from corpuscope.streaming.tables import Snapshots, delete_from_table, read_table, replace_in_table, update_table
 from tests.conftest import plan, rows
 
 START = dt.datetime(2024, 1, 1)
@@ -145,7 +147,7 @@ def test_history_stream_equals_batch(spark, event_files):
 def test_history_table_equals_batch(spark, event_files):
     data, stream, tmp = event_files
     path = str(tmp / "table")
-    history_table_stream(stream.drop("ts"), path, str(tmp / "ck2"), ["k"], ["seq"], 6, buckets=3).trigger(availableNow=True).start().awaitTermination()
+    history_table_stream(stream.drop("ts"), path, str(tmp / "ck2"), ["k"], ["seq"], 6, bucket_bytes=2000).trigger(availableNow=True).start().awaitTermination()
     got = read_histories(spark, path, ["k"], ["seq"])
     want = capped_history(frame(spark, data), ["k"], ["seq"], 6)
     assert rows(got.select("k", "recency", "seq", "m")) == rows(want.select("k", "recency", "seq", "m"))
@@ -155,13 +157,13 @@ def test_session_table_equals_batch(spark, event_files):
     """Open and closed sessions, whatever the order of the files; a batch that runs twice changes nothing."""
     data, stream, tmp = event_files
     path, gap = str(tmp / "sessions"), 300
-    writer = session_table_stream(stream, path, str(tmp / "ck4"), ["k"], "ts", gap, buckets=3)
+    writer = session_table_stream(stream, path, str(tmp / "ck4"), ["k"], "ts", gap, bucket_bytes=2000)
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     want = sessions(frame(spark, data), ["k"], "ts", gap)
     assert rows(read_sessions(spark, path, ["k"], gap)) == rows(want)
     # The same batches from the beginning: every bucket has seen them.
-    again = session_table_stream(stream, path, str(tmp / "ck5"), ["k"], "ts", gap, buckets=3)
+    again = session_table_stream(stream, path, str(tmp / "ck5"), ["k"], "ts", gap, bucket_bytes=2000)
     again.trigger(availableNow=True).start().awaitTermination()
     assert rows(read_sessions(spark, path, ["k"], gap)) == rows(want)
 
@@ -176,3 +178,77 @@ def test_session_stream_equals_closed_batch_sessions(spark, event_files):
     want = sessions(frame(spark, data), ["k"], "ts", gap).where(F.col("expires_at") <= F.lit(mark))
     assert rows(got.select("k", "created_at", "last_activity", "events")) == rows(want.select("k", "created_at", "last_activity", "events"))
     assert want.count() > 0
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def test_live_history_stream_forgets_idle_keys(spark, event_files):
+    """Lists that have run out by the watermark leave state and result; the others are those of the batch operator."""
+    data, stream, tmp = event_files
+    gap, late = 900, 60
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, ROCKS)
+    try:
+        query = live_history_stream(stream, "k", "seq", "ts", "m", 6, gap, f"{late} seconds").writeStream.format("parquet").option(
+            "path", str(tmp / "live")).option("checkpointLocation", str(tmp / "ck6")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    finally:
+        spark.conf.set(store, before)
+    changes = spark.read.parquet(str(tmp / "live"))
+    now = max(e[2] for e in data) - dt.timedelta(seconds=late)
+    want = live_history(frame(spark, data), ["k"], ["seq"], "ts", 6, gap, F.lit(now))
+    got = current_history(changes)
+    assert rows(got.select(F.col("key").cast("int"), "recency", "seq", "message")) == rows(want.select("k", "recency", "seq", "m"))
+    live = {r.key for r in got.collect()}
+    assert live and live < {r.key for r in changes.collect()} and held < len({e[0] for e in data}) * 3
+    assert changes.where("change = 'drop'").count() > 0
+
+
+def kept(spark, path, data, **how):
+    df = spark.createDataFrame(data, "k int, v int")
+    return update_table(spark, path, ["k"], df, lambda stored: df if stored is None else stored.unionByName(df), **how)
+
+
+def test_snapshots(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        read_table(spark, path)
+    assert kept(spark, path, [(i % 40, i) for i in range(400)] + [(None, 7)], through=0)
+    assert not kept(spark, path, [(1, 1)], through=0)
+    begun = read_table(spark, path)
+    want = rows(begun)
+
+    def killed(self, manifest):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(Snapshots, "commit", killed)
+        with pytest.raises(KeyboardInterrupt):
+            kept(spark, path, [(1, -1)], through=1)
+    assert rows(read_table(spark, path)) == want and len(Snapshots(spark, path)._names("data")) == 2
+    # The next writer commits, splits large buckets, and removes what the dead one left.
+    assert kept(spark, path, [(k, -2) for k in range(40)], through=1, bucket_bytes=100)
+    assert rows(read_table(spark, path)) == sorted(want + [(k, -2) for k in range(40)], key=repr) and rows(begun) == want
+    table = Snapshots(spark, path)
+    assert len(table._names("data")) == 2 and any(b.startswith("4-") for b in table.manifest()["buckets"])
+    assert rows(read_table(spark, path, 1)) == want
+    stale = table.manifest()
+    kept(spark, path, [(3, 0)])
+    with pytest.raises(RuntimeError):
+        table.commit(stale | {"version": stale["version"] + 1})
+
+
+def test_delete_and_replace_on_a_stored_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    data = [(i % 10, i) for i in range(100)] + [(None, 5)]
+    kept(spark, path, data)
+    gone = spark.createDataFrame([(1,), (None,), (77,)], "k int")
+    delete_from_table(spark, path, gone, ["k"])
+    left = [r for r in data if r[0] not in (1, None)]
+    assert rows(read_table(spark, path)) == sorted(left, key=repr)
+    replace_in_table(spark, path, spark.createDataFrame([(2, -1), (50, -1)], "k int, v int"), ["k"], spark.createDataFrame([(3,)], "k int"))
+    left = [r for r in left if r[0] not in (2, 3)] + [(2, -1), (50, -1)]
+    assert rows(read_table(spark, path)) == sorted(left, key=repr)

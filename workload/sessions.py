@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 from corpuscope.operators import history
 from corpuscope.operators.status import derive_status, status_counts
 from corpuscope.session import shared_dir
-from corpuscope.streaming.history import capped_history_stream, history_table_stream, latest_history, read_histories
+from corpuscope.streaming.history import (
+    capped_history_stream,
+    current_history,
+    history_table_stream,
+    latest_history,
+    live_history_stream,
+    read_histories,
+)
 from corpuscope.streaming.sessions import read_sessions, session_stream, session_table_stream
+from corpuscope.streaming.tables import delete_from_table, replace_in_table
 from workload.tables import CTES, sql, table
 
 HALF_DAY = 12 * 3600
@@ -54,7 +62,7 @@ def recent_events_table(spark, sf):
     """The same list kept as a table by micro-batches."""
     out = shared_dir(spark, "history")
     rows = event_files(spark, sf, out).select("user_id", "event_id", "event_type")
-    history_table_stream(rows, f"{out}/table", f"{out}/state", ["user_id"], ["event_id"], buckets=8).trigger(
+    history_table_stream(rows, f"{out}/table", f"{out}/state", ["user_id"], ["event_id"]).trigger(
         availableNow=True).start().awaitTermination()
     return read_histories(spark, f"{out}/table", ["user_id"], ["event_id"]).select("user_id", "recency", "event_id", "event_type")
 
@@ -66,6 +74,59 @@ RECENT_EVENTS_STREAM = """
 """
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def expiring_events_stream(spark, sf):
+    """Lists of events that run out half a day after the last one, kept by a stream that forgets idle users."""
+    out = shared_dir(spark, "expiring")
+    source = events(spark, sf)
+    source.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(f"{out}/source")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/source")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, ROCKS)
+    try:
+        # Files are read in any order, so no event may count as late.
+        live_history_stream(stream, "user_id", "event_id", "ts", "event_type", 50, HALF_DAY, "10000 days").writeStream.format(
+            "parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(
+            availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return current_history(spark.read.parquet(f"{out}/rows")).select(
+        F.col("key").cast("bigint").alias("user_id"), "recency", F.col("seq").alias("event_id"), F.col("message").alias("event_type"))
+
+
+EXPIRING_EVENTS = f"""
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) AS recency, event_id, event_type
+    FROM (SELECT *, max(opens) OVER (PARTITION BY user_id) AS opened FROM (
+        SELECT *, CASE WHEN epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) > {HALF_DAY * 1000}
+                       THEN epoch_ms(ts) ELSE 0 END AS opens FROM events))
+    WHERE epoch_ms(ts) >= opened QUALIFY recency <= 50
+"""
+
+
+def stored_changes(spark, sf):
+    """A kept table of histories after users were deleted from it and others got another history."""
+    out = shared_dir(spark, "stored")
+    rows = event_files(spark, sf, out).select("user_id", "event_id", "event_type")
+    history_table_stream(rows, f"{out}/table", f"{out}/state", ["user_id"], ["event_id"], bucket_bytes=1 << 14).trigger(
+        availableNow=True).start().awaitTermination()
+    source = events(spark, sf)
+    delete_from_table(spark, f"{out}/table", source.where("user_id % 5 = 0"), ["user_id"])
+    again = source.where("user_id % 5 = 1").groupBy("user_id").agg(F.max("event_id").alias("event_id")).withColumn("event_type", F.lit("kept"))
+    replace_in_table(spark, f"{out}/table", again, ["user_id"], source.where("user_id % 5 = 2"))
+    return read_histories(spark, f"{out}/table", ["user_id"], ["event_id"]).select("user_id", "recency", "event_id", "event_type")
+
+
+STORED_CHANGES = """
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS recency, event_id, event_type FROM (
+        SELECT user_id, event_id, event_type FROM events WHERE user_id % 5 > 2
+        UNION ALL SELECT user_id, max(event_id), 'kept' FROM events WHERE user_id % 5 = 1 GROUP BY user_id)
+    QUALIFY recency <= 50
+"""
+
+
 def as_ntz(df, *columns):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
@@ -136,7 +197,7 @@ def closed_sessions_stream(spark, sf):
 def all_sessions_table(spark, sf):
     """All sessions, open ones too, kept as a table by micro-batches."""
     out = shared_dir(spark, "sessions")
-    session_table_stream(event_files(spark, sf, out), f"{out}/table", f"{out}/state", ["user_id"], gap_seconds=HALF_DAY, buckets=8).trigger(
+    session_table_stream(event_files(spark, sf, out), f"{out}/table", f"{out}/state", ["user_id"], gap_seconds=HALF_DAY).trigger(
         availableNow=True).start().awaitTermination()
     return as_ntz(read_sessions(spark, f"{out}/table", ["user_id"], HALF_DAY), *TIMES)
 
@@ -309,6 +370,8 @@ QUERIES = {
     "live_history": (live_events, LIVE_EVENTS),
     "capped_history_stream": (recent_events_stream, RECENT_EVENTS_STREAM),
     "history_table_stream": (recent_events_table, RECENT_EVENTS_STREAM),
+    "live_history_stream": (expiring_events_stream, EXPIRING_EVENTS),
+    "stored_history_changes": (stored_changes, STORED_CHANGES),
     "sessions": (half_day_sessions, HALF_DAY_SESSIONS),
     "weekly_sessions": (weekly_sessions, WEEKLY_SESSIONS),
     "live_sessions": (live_at_end, LIVE_AT_END),
