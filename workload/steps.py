@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.plans.documents import plan_documents, run_documents
 from corpuscope.plans.steps import batch_steps, check_steps, resolve_tables, run_steps
 from corpuscope.session import shared_dir
 from corpuscope.sources.ledger import append_ledger, read_ledger
@@ -251,6 +255,75 @@ CONFIG_DOCUMENTS = """
     FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang) GROUP BY source
 """
 
+
+def order_documents(spark, sf, out):
+    """A config document per order status: two sources, a join, a filter and a flag, declared last step first."""
+    def text(value):
+        return F.lit(value) if isinstance(value, str) else value
+
+    def source(name):
+        return F.struct(F.lit(name).alias("name"), F.lit("file").alias("type"), F.create_map(F.lit("path"), F.lit(f"{sf}/{name}.parquet")).alias("connection_params"))
+
+    def step(name, kind, inputs, target, **parameters):
+        pairs = [x for k, v in parameters.items() for x in (F.lit(k), text(v))]
+        return F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), F.create_map(*pairs).alias("parameters"),
+                        F.array(*[F.lit(i) for i in inputs]).alias("input_sources"), F.lit(target).alias("output_target"))
+
+    status = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("doc")).distinct()
+    docs = status.select(
+        "doc", F.array(source("orders"), source("customer")).alias("data_sources"),
+        F.array(step("flag", "custom", ["both"], "flagged", logic="df['passed'] = df['o_totalprice'] > 10 * df['c_acctbal']"),
+                step("both", "join", ["keyed", "customer"], "both", on="c_custkey", how="inner"),
+                step("key", "derive", ["own"], "keyed", column="c_custkey", expression="o_custkey"),
+                step("own", "filter", ["orders"], "own", condition=F.concat(F.lit("o_orderstatus = '"), "doc", F.lit("'"))),
+                ).alias("transformations"))
+    docs.repartition("doc").write.partitionBy("doc").json(out)
+    return read_config(spark, out)
+
+
+def run_order_documents(spark, sf):
+    """Every document run from the table of documents; their flagged orders side by side."""
+    done = run_documents(spark, order_documents(spark, sf, shared_dir(spark, "documents")), "doc")
+    return reduce(DataFrame.unionByName, [
+        frames["flagged"].select(F.lit(doc).alias("doc"), "o_orderkey", "c_name", "passed") for doc, frames in sorted(done.items())])
+
+
+RUN_DOCUMENTS = """
+    SELECT o_orderstatus AS doc, o_orderkey, c_name, o_totalprice > 10 * c_acctbal AS passed FROM orders JOIN customer ON c_custkey = o_custkey
+"""
+
+
+def conversation_documents(spark, sf):
+    """Conversations as documents: turn n needs turn n - 1, the last needs turn 99, system turns are sources."""
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_set("turn")).alias("turns"))
+    name = lambda t: F.concat(F.lit("t"), t.cast("string"))
+    last = F.element_at("turns", -1)
+    steps = F.transform(F.slice("turns", 2, 1 << 20), lambda t: F.struct(
+        name(t).alias("name"), F.lit("custom").alias("type"), F.lit(None).cast("map<string,string>").alias("parameters"),
+        F.array(F.when((t == last) & (F.col("conv_id") % 3 == 0), F.lit("t99")).otherwise(
+            F.when((t == last) & (F.col("conv_id") % 3 == 1), name(t)).otherwise(name(t - 1)))).alias("input_sources"),
+        F.lit(None).cast("string").alias("output_target")))
+    first = F.struct(name(F.element_at("turns", 1)).alias("name"), F.lit("file").alias("type"),
+                     F.lit(None).cast("map<string,string>").alias("connection_params"), F.lit(None).cast("array<string>").alias("tables_or_files"))
+    outputs = F.lit(None).cast("array<struct<name:string,type:string,format:string,location:string,schema:struct<columns:array<string>>>>")
+    docs = turns.select("conv_id", F.array(first).alias("data_sources"), steps.alias("transformations"), outputs.alias("outputs"))
+    return plan_documents(docs, "conv_id").select("conv_id", "kind", "name", "layer", "problem")
+
+
+PLAN_DOCUMENTS = """
+    WITH t AS (SELECT conv_id, turn, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+                      turn - row_number() OVER w = min(turn) OVER (PARTITION BY conv_id) - 1 AS joined
+               FROM (SELECT DISTINCT conv_id, turn FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    s AS (SELECT *, min(CASE WHEN NOT joined THEN turn END) OVER (PARTITION BY conv_id) AS gap,
+                 CASE WHEN i > 0 AND i = n - 1 AND conv_id % 3 = 0 THEN 't99' WHEN i > 0 AND i = n - 1 AND conv_id % 3 = 1 THEN 't' || turn
+                      WHEN i > 0 THEN 't' || (turn - 1) END AS need FROM t),
+    k AS (SELECT s.*, need IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t WHERE t.conv_id = s.conv_id AND 't' || t.turn = need) AS unknown FROM s)
+    SELECT conv_id, CASE WHEN i = 0 THEN 'source' ELSE 'transformation' END AS kind, 't' || turn AS name,
+           CASE WHEN problem IS NULL THEN i END AS layer, problem
+    FROM (SELECT *, CASE WHEN unknown THEN 'unknown input: ' || need WHEN i > 0 AND i = n - 1 AND conv_id % 3 = 1 THEN 'cycle'
+                         WHEN i > 0 AND gap IS NOT NULL AND turn >= gap THEN 'waits for: ' || need END AS problem FROM k)
+"""
+
 QUERIES = {
     "resolve_tables": (known_tables, KNOWN_TABLES),
     "check_steps": (step_problems, STEP_PROBLEMS),
@@ -268,4 +341,6 @@ QUERIES = {
     "ledger": (ledger_entries, LEDGER_ENTRIES),
     "scan_sources": (source_tree, SOURCE_TREE),
     "read_config": (config_documents, CONFIG_DOCUMENTS),
+    "run_documents": (run_order_documents, RUN_DOCUMENTS),
+    "plan_documents": (conversation_documents, PLAN_DOCUMENTS),
 }
