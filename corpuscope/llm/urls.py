@@ -27,66 +27,80 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
-# Small labelled table: URLs to block (1) and to keep (0).
+# Small labelled table, written from what such addresses look like in general: URLs to block (1) and to keep (0).
 LABELLED = (
-    ("http://cheap-pills.example.com/en/450", 1),
-    ("https://www.cheap-meds.example.net/buy/pills?ref=x", 1),
-    ("http://best-pills-online.example.com/order", 1),
-    ("https://discount-pharmacy.example.org/viagra/cheap", 1),
-    ("http://spam-farm.example.org/en/728", 1),
-    ("https://link-farm.example.net/en/91", 1),
-    ("http://seo-spam.example.com/backlinks/cheap", 1),
-    ("https://www.spam-links.example.net/en/5", 1),
-    ("http://casino-bonus.example.com/play/slots", 1),
-    ("https://online-casino.example.net/en/free-spins", 1),
-    ("http://poker-win.example.com/bonus/now", 1),
-    ("https://bet-now.example.org/win/jackpot", 1),
-    ("http://xxx-tube.example.com/videos/hot", 1),
-    ("https://hot-girls.example.net/xxx/cams", 1),
-    ("http://adult-cams.example.com/live/sex", 1),
-    ("https://porn-free.example.net/watch", 1),
-    ("http://replica-watches.example.com/rolex/cheap", 1),
-    ("https://cheap-replica-bags.example.net/sale", 1),
-    ("http://fast-loans.example.com/payday/apply-now", 1),
-    ("https://payday-loan-cash.example.net/en/12", 1),
-    ("http://free-money-now.example.com/click", 1),
-    ("https://get-rich-quick.example.org/crypto/win", 1),
-    ("http://crypto-giveaway.example.com/claim-now", 1),
-    ("https://free-download-crack.example.net/keygen", 1),
-    ("http://warez-crack.example.com/serial/keygen", 1),
-    ("https://click-bait-ads.example.net/popunder", 1),
-    ("http://win-prize-now.example.com/claim/free", 1),
-    ("https://weight-loss-pills.example.net/buy-now", 1),
-    ("http://www.example.com/en/", 0),
-    ("https://blog.example.net/en/853", 0),
-    ("https://www.example.org/en/148.html", 0),
-    ("http://m.example.net/en/25#top", 0),
-    ("https://news.example.com/world/2021/05/article-17", 0),
-    ("http://docs.example.org/guide/install.html", 0),
-    ("https://library.example.edu/catalog/item/4411", 0),
-    ("http://wiki.example.org/history/of/printing", 0),
-    ("https://blog.garden.example.com/en/777?page=2", 0),
-    ("http://therein.example.net/de/612?utm_source=feed", 0),
-    ("https://www.river.example.org/fr/825", 0),
-    ("http://m.other.example.com/es/575", 0),
-    ("https://museum.example.net/en/visit", 0),
-    ("http://school.example.edu/courses/maths", 0),
-    ("https://city.example.gov/services/parking", 0),
-    ("http://forum.example.com/thread/9012", 0),
-    ("https://recipes.example.net/en/bread/120", 0),
-    ("http://science.example.org/papers/88.html", 0),
-    ("https://weather.example.com/en/forecast", 0),
-    ("http://blog.than.example.net/en/369#top", 0),
-    ("https://therather.example.net/en/471", 0),
-    ("http://www.thering.example.com/en/321/", 0),
-    ("https://static.example.net/fr/960?ref=x", 0),
-    ("http://travel.example.com/es/533/", 0),
-    ("https://www.stone.example.com/en/676", 0),
-    ("http://music.example.net/de/252", 0),
-    ("https://hospital.example.org/en/contact", 0),
-    ("http://open-data.example.org/sets/17", 0),
-    ("https://blog.the-house.example.com/en/64", 0),
-    ("http://m.north-side.example.net/en/618", 0),
+    ("https://www.cheap-pills-store.net/en/5102", 1),
+    ("http://discount-pharmacy-rx.com/de/88", 1),
+    ("https://buy-cheap-meds.org/pills/no-prescription", 1),
+    ("http://weight-loss-miracle-pills.com/buy", 1),
+    ("http://link-farm-directory.net/en/20", 1),
+    ("https://seo-spam-links.com/buy-backlinks", 1),
+    ("http://spam-farm-pages.info/fr/1130.html", 1),
+    ("https://spammy-link-exchange.biz/es/9", 1),
+    ("http://free-casino-slots.com/en/77", 1),
+    ("https://casino-bonus-online.net/free-spins", 1),
+    ("http://online-poker-jackpot.org/es/72", 1),
+    ("https://bet-win-casino.com/fr/301", 1),
+    ("http://xxx-adult-videos.com/free-porn", 1),
+    ("https://adult-webcams-live.net/en/640", 1),
+    ("http://hot-sex-tube.org/watch-free", 1),
+    ("https://porn-xxx-free.com/es/15.html", 1),
+    ("http://replica-watches-cheap.net/rolex-replica", 1),
+    ("https://cheap-replica-handbags.com/en/2009", 1),
+    ("http://payday-loans-fast-cash.com/en/4", 1),
+    ("https://easy-cash-payday-loan.net/no-credit-check", 1),
+    ("http://make-money-fast-online.org/get-rich", 1),
+    ("https://get-rich-quick-crypto.com/de/51", 1),
+    ("http://crypto-giveaway-claim.net/claim-free", 1),
+    ("http://free-download-cracked-keygen.com/warez", 1),
+    ("https://warez-crack-serials.net/fr/43", 1),
+    ("http://click-here-win-prize.com/en/9033", 1),
+    ("https://free-prize-winner-claim.org/click", 1),
+    ("http://popup-ads-clickbait.net/de/616", 1),
+    ("https://www.university.edu/departments/history", 0),
+    ("https://library.college.edu/catalogue/4821", 0),
+    ("http://www.city-council.gov/services/parking", 0),
+    ("https://weather.service.gov/forecast/today", 0),
+    ("https://news.daily-herald.com/world/2019/07/elections", 0),
+    ("http://www.morningpost.co.uk/sport/cricket/report", 0),
+    ("https://en.encyclopedia.org/wiki/printing_press", 0),
+    ("https://de.encyclopedia.org/wiki/buchdruck", 0),
+    ("https://docs.software.org/guide/install.html", 0),
+    ("https://developer.platform.com/en/reference/api", 0),
+    ("https://blog.gardener.net/en/2018", 0),
+    ("https://blog.traveller.com/fr/440", 0),
+    ("http://blog.carpenter.org/en/61", 0),
+    ("https://forum.photographers.net/thread/90211", 0),
+    ("http://forum.linux-users.org/viewtopic?t=1234", 0),
+    ("https://recipes.kitchen.com/en/733.html", 0),
+    ("https://www.hospital.org/en/12", 0),
+    ("https://www.museum.nl/en/8", 0),
+    ("https://www.theatre.de/de/2020", 0),
+    ("https://www.school.fr/fr/78", 0),
+    ("https://shop.bookstore.es/es/312.html", 0),
+    ("https://m.newspaper.es/es/5520", 0),
+    ("https://m.railway.ch/de/95", 0),
+    ("https://m.radio.com/en/88", 0),
+    ("http://www.river-trust.org/en/707", 0),
+    ("https://science.journal.org/articles/10.html", 0),
+    ("https://papers.conference.org/2017/paper-41.pdf", 0),
+    ("https://static.images.net/photos/1024.jpg", 0),
+    ("https://open-data.statistics.eu/datasets/17", 0),
+    ("https://maps.mountains.org/de/1180", 0),
+    ("https://www.orchestra.com/en/3", 0),
+    ("https://www.small-bakery.fr/fr/56", 0),
+    ("https://www.village-hall.org/en/12.html", 0),
+    ("https://jobs.company.com/en/334", 0),
+    ("https://support.company.com/en/6071", 0),
+    ("https://cdn.library.net/js/index.html", 0),
+    ("https://stories.writers.net/en/29", 0),
+    ("https://music.lessons.org/es/814", 0),
+    ("https://astronomy.club.org/en/2021", 0),
+    ("https://law.archive.gov/en/1954", 0),
+    ("https://history.society.org/es/17", 0),
+    ("https://podcasts.network.com/de/205", 0),
+    ("https://www.another-house.net/en/4", 0),
+    ("https://the-weather-station.org/fr/907", 0),
 )
 
 

@@ -51,6 +51,33 @@ def test_model_separates_hosts_it_has_not_seen(spark, model):
     assert own.where((F.col("score") >= 0.5) == (F.col("y") == 1)).count() == len(LABELLED)
 
 
+# URLs of neither the labelled table nor the test tables.
+UNSEEN = {
+    1: ["http://pills-for-cheap.net/shop", "https://rx-pharmacy-discount.com/", "http://casino-royal-slots.org/bonus", "https://free-spins-casino.net/",
+        "http://xxx-movies-adult.com/free", "https://adult-porn-club.net/watch", "http://replica-rolex-sale.com/cheap", "https://payday-cash-loan.com/apply",
+        "http://get-rich-online-fast.com/", "https://keygen-crack-download.net/warez", "http://link-spam-network.com/backlinks", "https://claim-your-prize-free.com/win"],
+    0: ["https://www.zoology.edu/staff/research", "https://blog.orchardist.com/en/pruning/5", "http://forum.cyclists.org/thread/118", "https://docs.database.net/manual/index.html",
+        "https://m.gazette.fr/fr/politique/931", "https://www.stadtwerke.de/de/strom/2", "https://archive.parliament.gov/debates/1987", "https://recipes.granny.net/soup/leek",
+        "https://www.harbour-museum.org/en/boats", "https://news.valley.com/local/2020/11/school", "https://geology.society.org/papers/44.html", "https://biblioteca.es/es/catalogo/77"]}
+
+
+def test_accuracy_on_unseen_urls(spark, model):
+    df = spark.createDataFrame([(u, y) for y, urls in UNSEEN.items() for u in urls], "url string, y int")
+    right = judge_urls(df, model, rules=()).where((F.col("score") >= 0.5) == (F.col("y") == 1)).count()
+    assert right >= 22
+
+
+def test_labels_are_not_taken_from_the_test_tables(spark):
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not there")
+    seen = spark.read.parquet(f"{sf}/pages.parquet").select(host_of(F.col("url")).alias("h")).distinct()
+    own = spark.createDataFrame([(u,) for u, _ in LABELLED], "u string").select(host_of(F.col("u")).alias("h"))
+    assert seen.join(own, "h").count() == 0
+
+
 def test_grams(spark):
     df = spark.createDataFrame([("abcab",), ("ab",), ("",)], "t string").select(n_grams(F.col("t"), "h", (3,)).alias("g"))
     assert [r.g for r in df.collect()] == [["habc", "hbca", "hcab"], [], []]
