@@ -2,65 +2,75 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpuscope.functions.text import folded
 from corpuscope.operators.edits import apply_edits
 from corpuscope.operators.quality import PERFORMANCE, SECURITY, rule_findings, validate_checked, validation_summary
 from corpuscope.operators.symbols import lint_text
+from corpuscope.session import staged
 from corpuscope.sources.ledger import append_ledger
 
 FINDING = ["rule_id", "kind", "severity", "message"]
+FOUND = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in FINDING]))
 
 
-def _checked(lint: bool):
-    """Arrow function: a row for each file, its rule findings, and what the parse of its text finds."""
+@cache
+def _parse_findings():
+    """Column function: what the parse of a text finds; nothing for a missing text. Only the text goes to Python."""
+    kind = to_arrow_type(FOUND)
 
-    def run(batches):
-        for batch in batches:
-            spots, cells = [list(range(batch.num_rows))], [[(None, None, None, None)] * batch.num_rows]
-            found = batch.column("found")
-            spots.append(pc.list_parent_indices(found).to_pylist())
-            cells.append([tuple(x[c] for c in FINDING) for x in pc.list_flatten(found).to_pylist()])
-            for i, text in enumerate(batch.column("content") if lint else ()):
-                rows = list(lint_text(text.as_py())) if text.is_valid else []
-                spots.append([i] * len(rows))
-                cells.append([(rule, kind, severity, message) for kind, rule, severity, _, message in rows])
-            rows = [c for part in cells for c in part]
-            columns = [pa.array([r[k] for r in rows], pa.string()) for k in range(len(FINDING))]
-            files = batch.column("file").take(pa.array([s for part in spots for s in part], pa.int64()))
-            yield pa.record_batch([files, *columns], names=["file", *FINDING])
+    def found(text):
+        rows = lint_text(text) if text is not None else ()
+        return [{"rule_id": rule, "kind": kind, "severity": severity, "message": message} for kind, rule, severity, _, message in rows]
 
-    return run
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([found(t) for t in texts.to_pylist()], kind)
 
+    return F.arrow_udf(run, FOUND)
 
-def check_files(files: DataFrame, rules=tuple(SECURITY + PERFORMANCE), keys=("file_path",), content: str = "content", lint: bool = True) -> DataFrame:
-    """One row per file, with NULL in the columns of a finding, and one per finding of the rules and of the parse.
 
-    The files are read once: the rules are columns beside the text, and the parse takes both. Files are dealt by their
-    key over all shuffle partitions first, as a parse costs far more than its bytes.
+def all_findings(texts: DataFrame, keys, rules=tuple(SECURITY + PERFORMANCE), content: str = "content", lint: bool = True) -> DataFrame:
+    """``*keys, found``: the findings of the rules and of the parse of each text as one array, in one read.
+
+    The rules are columns beside the text. Texts are dealt by their key over all shuffle partitions before the parse, as a
+    parse costs far more than its bytes.
     """
-    texts = files.select(F.struct(*keys).alias("file"), F.col(content).alias("content"), folded(content).alias("__folded"))
-    found = texts.select("file", "content", rule_findings(rules, "content", "__folded").alias("found"))
-    if lint:
-        found = found.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
-    kind = found.schema["file"].dataType.simpleString()
-    rows = found.mapInArrow(_checked(lint), f"file {kind}, " + ", ".join(f"{c} string" for c in FINDING))
-    return rows.select("file.*", *FINDING)
+    ruled = texts.select(*keys, F.col(content).alias("__text"), folded(content).alias("__folded"))
+    ruled = ruled.select(*keys, "__text", rule_findings(rules, "__text", "__folded").alias("found"))
+    if not lint:
+        return ruled.select(*keys, "found")
+    dealt = ruled.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return dealt.select(*keys, F.concat("found", _parse_findings()("__text")).alias("found"))
+
+
+def finding_rows(found: DataFrame, columns) -> DataFrame:
+    """A row for each finding and one with NULL in its columns for each row of ``found``."""
+    none = F.array(F.lit(None).cast(FOUND.elementType))
+    rows = found.select(*columns, F.explode(F.concat(none, F.coalesce("found", F.array().cast(FOUND)))).alias("f"))
+    return rows.select(*columns, *[F.col(f"f.{c}") for c in FINDING])
+
+
+def check_files(files: DataFrame, rules=tuple(SECURITY + PERFORMANCE), keys=("file_path",), content: str = "content", lint: bool = True) -> DataFrame:
+    """One row per file, with NULL in the columns of a finding, and one per finding of the rules and of the parse."""
+    return finding_rows(all_findings(files, keys, rules, content, lint), keys)
 
 
 def run_changes(files: DataFrame, edits: DataFrame, run: str = "run_id", key: str = "file_path", content: str = "content",
                 rules=tuple(SECURITY + PERFORMANCE), strict: bool = False, lint: bool = True) -> DataFrame:
     """A change plan from its edits to the outcome of each run.
 
-    ``files``: run, key, content; ``edits`` as for ``apply_edits``. The edits are applied, the resulting texts checked, the
-    findings summed per file and per run. ``files_not_edited`` counts files whose edits could not be applied; a run passes
+    ``files``: run, key, content; ``edits`` as for ``apply_edits``. The edits are applied once and kept, the resulting texts
+    checked, the findings summed per file and per run. ``files_not_edited`` counts files whose edits could not be applied; a run passes
     without those and without errors. Edits without a document belong to no run and are left to ``apply_edits``.
     """
-    done = apply_edits(files, edits, key, content, keep=[run]).where(F.col("status") != "missing_document")
+    done = staged(apply_edits(files, edits, key, content, keep=[run]).where(F.col("status") != "missing_document"), "edited")
     usable = F.col("status").isin("edited", "unchanged")
     checked = check_files(done.where(usable), rules, [run, key], content, lint)
     per_file = validate_checked(checked, [run, key], strict)

@@ -19,6 +19,8 @@ from corpuscope.operators.quality import (
     validation_summary,
 )
 from corpuscope.operators.symbols import import_edges, lint_findings, symbol_counts, symbol_index
+from corpuscope.operators.rules import scan_rule_table
+from corpuscope.plans.recheck import check_changed
 from corpuscope.plans.validation import check_files, record_passed, run_changes
 from corpuscope.session import shared_dir
 from corpuscope.sources.ledger import read_ledger
@@ -256,6 +258,47 @@ def file_validation_strict(spark, sf):
 FILE_VALIDATION_STRICT = sql("SELECT * EXCLUDE (folder) FROM validated_strict")
 
 
+def rechecked_files(spark, sf):
+    """The source files checked once, then again after one order in five has got a line more: the rest is not checked twice."""
+    files, path = source_files(spark, sf), shared_dir(spark, "findings")
+    keys = ["file_path", "order_key"]
+    check_changed(files, path, keys=keys)
+    longer = F.when(F.col("order_key") % 5 == 0, F.concat("content", F.lit("global done\n"))).otherwise(F.col("content"))
+    return check_changed(files.withColumn("content", longer), path, keys=keys).select("file_path", "rule_id", "kind", "severity", "known")
+
+
+RECHECKED_FILES = sql("""
+    SELECT f.file_path, rule_id, kind, severity, order_key % 5 <> 0 AS known FROM source_files f JOIN (
+        SELECT file_path, rule_id, kind, severity FROM findings
+        UNION ALL SELECT file_path, 'global', 'performance', 'scope' FROM source_files WHERE order_key % 5 = 0
+        UNION ALL SELECT file_path, NULL, NULL, NULL FROM source_files) r ON r.file_path = f.file_path
+""")
+
+
+def benchmark_rules(spark, sf):
+    """A rule for each benchmark item, its first two words next to each other, and the security rules as rows."""
+    words = F.split("text", " ")
+    pair = F.concat(words[0], F.lit(r"\s+"), words[1])
+    items = table(spark, sf, "benchmark").select(
+        F.concat(F.lit("item_"), "item_id").alias("rule_id"), F.lit("security").alias("kind"), F.lit("low").alias("severity"),
+        pair.alias("pattern"), F.lit("First words of an item").alias("message"), F.lit(None).cast("string").alias("word"),
+        (F.col("item_id") % 2 == 0).alias("ignore_case"))
+    return items.where(pair.rlike(r"^[A-Za-z]+\\s\+[A-Za-z]+$")).unionByName(spark.createDataFrame(SECURITY, items.schema))
+
+
+def rule_table_scan(spark, sf):
+    return scan_rule_table(table(spark, sf, "documents"), benchmark_rules(spark, sf), "text", ["doc_id", "source"])
+
+
+RULE_TABLE_SCAN = SECURITY_SCAN + r"""
+    UNION ALL
+    SELECT doc_id, source, 'item_' || item_id, 'security', 'low', 'Security Warning: First words of an item'
+    FROM documents d JOIN (SELECT item_id, string_split(text, ' ') AS w FROM benchmark) b
+        ON regexp_matches(d.text, CASE WHEN item_id % 2 = 0 THEN '(?i)' ELSE '' END || w[1] || '\s+' || w[2])
+    WHERE regexp_full_match(w[1], '[A-Za-z]+') AND regexp_full_match(w[2], '[A-Za-z]+')
+""".replace(r"\s", SPACE)
+
+
 def folder_summary(spark, sf):
     per_file = validate_checked(checked_files(spark, sf), ["file_path"])
     folder = F.element_at(F.split("file_path", "/"), 2)
@@ -361,6 +404,7 @@ QUERIES = {
     "security_scan": (security_scan, SECURITY_SCAN),
     "security_scan_pages": (security_scan_pages, SECURITY_SCAN_PAGES),
     "code_scan": (code_scan, CODE_SCAN),
+    "rule_table_scan": (rule_table_scan, RULE_TABLE_SCAN),
     "code_metrics": (document_metrics, DOCUMENT_METRICS),
     "source_metrics": (source_metrics, SOURCE_METRICS),
     "complexity": (document_complexity, DOCUMENT_COMPLEXITY),
@@ -371,6 +415,7 @@ QUERIES = {
     "import_edges": (file_edges, FILE_EDGES),
     "validate": (file_validation, FILE_VALIDATION),
     "validate_strict": (file_validation_strict, FILE_VALIDATION_STRICT),
+    "recheck_files": (rechecked_files, RECHECKED_FILES),
     "validation_summary": (folder_summary, FOLDER_SUMMARY),
     "source_summary": (source_summary, SOURCE_SUMMARY),
     "run_summary_strict": (run_summary_strict, RUN_SUMMARY_STRICT),
