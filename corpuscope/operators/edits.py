@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuscope.functions.text import normal_breaks, split_lines, strip
+from corpuscope.operators.sweep import edited
 
 # Fixed value: longest added text that is put in without review.
 MAX_ADDED_CHARS = 500
+# Edits of a document up to which each is a step of its own, which costs a copy of the text.
+STEPS = 32
 
 
 def eligible(mods_action="action", old="old_code", new="new_code"):
@@ -76,7 +79,9 @@ def apply_edits(docs: DataFrame, edits: DataFrame, key: str, text: str, keep=())
     documents that stay.
 
     Each edit sees the result of the one before, so a document with its own edits is one row's work; nothing but the
-    edits is grouped, and the plan is the same for any number of them.
+    edits is grouped, and the plan is the same for any number of them. Up to ``STEPS`` edits are a fold in the JVM; longer
+    lists go to Python with their text, where neighbouring additions are one pass over the lines and swaps that do not
+    touch each other one pass over the text.
     """
     line = F.coalesce(F.col("line_number"), F.lit(0)).cast("bigint")
     edit = F.struct(
@@ -94,7 +99,9 @@ def apply_edits(docs: DataFrame, edits: DataFrame, key: str, text: str, keep=())
     )
     joined = docs.select(key, *keep, F.col(text).alias("__text"), F.lit(True).alias("__found")).join(
         lists, F.col(key) == F.col("__key"), "full")
-    state = F.when(F.col("__found") & F.col("__list").isNotNull(), F.aggregate("__list", start, _step)).otherwise(start)
+    long = F.col("__text").isNotNull() & (F.size("__list") > STEPS)
+    state = F.when(F.col("__found") & long, edited()(F.when(long, F.col("__text")), F.when(long, F.col("__list")))).when(
+        F.col("__found") & F.col("__list").isNotNull(), F.aggregate("__list", start, _step)).otherwise(start)
     status = (
         F.when(F.col("__found").isNull(), "missing_document")
         .when(F.col("__list").isNull(), "unchanged")

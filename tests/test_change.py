@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscope.operators import change
+from corpuscope.operators import change, sweep
 from corpuscope.operators.edits import apply_edits, edit_eligible, line_delta
 from corpuscope.operators.requests import classify_request, extract_files, mentions, missing_in_context, missing_mentions
 from corpuscope.operators.topk import positions
@@ -202,6 +202,78 @@ def test_many_edits_of_one_document(spark):
     assert (got.status, got.text, got.edits_applied) == ("edited", "a3000", 3000)
 
 
+def step_by_step(text, edits):
+    """Edits one after the other, as plainly as they can be written."""
+    applied = 0
+    for e in edits:
+        action, old, new = e["action"], e["old"], e["new"]
+        if action == "add":
+            lines = text.split("\n")
+            if 1 <= e["line_number"] <= len(lines):
+                lines.insert(e["line_number"] - 1, new)
+            else:
+                lines.append(new)
+            text = "\n".join(lines)
+        elif (action == "modify" and old and new) or (action == "delete" and old):
+            if old not in text:
+                return None, 0
+            text = text.replace(old, new if action == "modify" else "", 1)
+        else:
+            continue
+        applied += 1
+    return text, applied
+
+
+def random_edits(rng, n, text, alphabet, span):
+    found = []
+    for seq in range(n):
+        at = rng.randrange(max(1, len(text)))
+        old = text[at:at + rng.randint(1, span)]
+        if rng.random() < 0.02:
+            old = "".join(rng.choice(alphabet) for _ in range(3))
+        action = rng.choice(["modify"] * 6 + ["delete", "add", "add", "other"])
+        new = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, span)))
+        found.append({"seq": seq, "action": action, "line_number": rng.choice([0, 0, rng.randint(-1, 40)]), "old": old, "new": new})
+    return sorted(found, key=lambda e: (-max(e["line_number"], 0), e["seq"]))
+
+
+def test_sweep_equals_steps(monkeypatch):
+    rng = random.Random(11)
+    kept, batches = 0, []
+    real = sweep.independent
+    monkeypatch.setattr(sweep, "independent", lambda *a: batches.append(real(*a)) or batches[-1])
+    for case in range(400):
+        monkeypatch.setattr(sweep, "PART", rng.choice([7, 50, 1 << 14]))
+        monkeypatch.setattr(sweep, "FEW", rng.choice([1, 3]))
+        monkeypatch.setattr(sweep, "PLAIN", rng.choice([1, 4]))
+        monkeypatch.setattr(sweep, "LONGEST", rng.choice([5, 4096]))
+        alphabet = rng.choice(["ab\n", "abcdefghijklmnop \n", "aéß漢😀\n"])
+        text = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 20, 400, 3000])))
+        edits = random_edits(rng, rng.choice([1, 5, 40]), text, alphabet, rng.choice([2, 6, 12]))
+        want, applied = step_by_step(text, edits)
+        got = sweep.edit_text(text, edits)
+        assert (got["text"], got["applied"]) == (want, applied), (case, text, edits)
+        kept += want is not None
+    assert kept > 150 and max(map(len, batches)) > 10
+
+
+def test_long_lists_in_spark_equal_steps(spark):
+    rng = random.Random(2)
+    words = [f"{w}{i}" for i in range(900) for w in ("alpha", "beta")]
+    text = "\n".join(" ".join(rng.sample(words, 12)) for _ in range(300))
+    lists = {0: [("modify", 0, w, w.upper()) for w in dict.fromkeys(text.split())][:500], 1: [("add", n % 310, None, f"new {n}") for n in range(200)],
+             2: [("delete", 0, "alpha", None)] * 60, 3: [("modify", 0, "none", "x")] * 60, 4: [("add", 3, None, "few")]}
+    docs = spark.createDataFrame([(i, text) for i in lists] + [(9, None)], "id int, text string")
+    flat = [(i, n, *e) for i, own in lists.items() for n, e in enumerate(own)] + [(9, n, "add", 1, None, "x") for n in range(40)]
+    edits = spark.createDataFrame(flat, "id int, seq int, action string, line_number int, old_code string, new_code string")
+    got = {r.id: (r.status, r.text, r.edits_applied) for r in apply_edits(docs, edits, "id", "text").collect()}
+    for i, own in lists.items():
+        ordered = sorted(({"seq": n, "action": a, "line_number": k, "old": o or "", "new": w or ""} for n, (a, k, o, w) in enumerate(own)),
+                         key=lambda e: (-e["line_number"], e["seq"]))
+        want, applied = step_by_step(text, ordered)
+        assert got[i] == (("edited", want, applied) if want is not None else ("rejected", None, 0)), i
+
+
 def test_line_delta_matches_counting(spark):
     rng = random.Random(2)
     data = [(i, "\n".join(rng.choice("abc") for _ in range(rng.randint(0, 6))), "\r\n".join(rng.choice("abcd") for _ in range(rng.randint(0, 6)))) for i in range(40)]
