@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuscope.operators import history
+from corpuscope.operators import contexts, history
 from corpuscope.operators.status import derive_status, status_counts
 from corpuscope.session import shared_dir
 from corpuscope.streaming.history import (
@@ -254,6 +254,24 @@ CONVERSATION_CONTEXT = """
 """
 
 
+def stored_contexts(spark, sf):
+    """The conversations stored in two appends, the second sent twice, and the contexts of every third turn and of each last one."""
+    turns, path = table(spark, sf, "conversations"), shared_dir(spark, "contexts")
+    for part in ("turn < 4", "turn >= 4", "turn >= 4"):
+        contexts.store_contexts(turns.where(part), path, ["conv_id"])
+    asked = turns.where("turn % 3 = 0").select("conv_id", "turn").unionByName(turns.groupBy("conv_id").agg(F.max("turn").alias("turn")))
+    return contexts.contexts_at(asked, contexts.read_blocks(spark, path), ["conv_id"])
+
+
+STORED_CONTEXTS = """
+    SELECT conv_id, turn, context FROM (
+        SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS last,
+               string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS context
+        FROM conversations)
+    WHERE turn % 3 = 0 OR turn = last
+"""
+
+
 def whole_conversations(spark, sf):
     return history.last_context(table(spark, sf, "conversations"), ["conv_id"])
 
@@ -381,6 +399,7 @@ QUERIES = {
     "delete_keys": (after_delete, AFTER_DELETE),
     "replace_history": (replaced, REPLACED),
     "running_context": (conversation_context, CONVERSATION_CONTEXT),
+    "stored_contexts": (stored_contexts, STORED_CONTEXTS),
     "last_context": (whole_conversations, WHOLE_CONVERSATIONS),
     "followup_context": (followup_tasks, FOLLOWUP_TASKS),
     "merge_state": (merged_state, MERGED_STATE),
