@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from re import _parser as grammar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,8 @@ from corpuscope.operators.quality import PREFIX
 
 # Rules that one pass over the texts tries.
 RULES_AT_ONCE = 1 << 14
+# Bytes of texts whose pieces are looked up together; a longer text is alone.
+AT_ONCE_BYTES = 1 << 21
 
 RULE = ["rule_id", "kind", "severity", "message"]
 TRIED = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in [*RULE, "pattern", "word"]]))
@@ -48,15 +52,24 @@ def _tried(sent, ignore_case: bool):
     """Column function: the rules whose word's rarest piece stands in a text."""
     # Structures as Arrow makes them; the types of Spark are only needed on the driver.
     kind = pa.list_(pa.struct([(c, pa.string()) for c in [*RULE, "pattern", "word"]]))
+    terms: list[Terms] = []
 
-    def run(texts: pa.Array) -> pa.Array:
+    def part_found(texts: pa.Array) -> pa.Array:
         rules = sent.value[ignore_case]
         found: list = [[] if ok else None for ok in texts.is_valid().to_pylist()]
-        for rule, rows in Terms([r["word"] for r in rules], True).candidates(texts):
+        for rule, rows in terms[0].candidates(texts):
             for row in rows.tolist():
                 found[row].append(rules[rule])
         return pa.array(found, kind)
 
+    def run(texts: pa.Array) -> pa.Array:
+        if not terms:
+            terms.append(Terms([r["word"] for r in sent.value[ignore_case]], True))
+        part = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(), dtype=np.int64) // AT_ONCE_BYTES
+        begins = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        parts = [part_found(texts.slice(b, e - b)) for b, e in zip(begins, [*begins[1:], len(texts)])]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
     return F.arrow_udf(run, TRIED)
 
 
