@@ -1,17 +1,21 @@
-"""Lint findings and symbols of Python sources.
+"""Syntax trees of Python sources as rows, and lint findings, symbols and import edges told from them in Spark.
 
-Only the parse of one file is Python; Spark hands out the files in Arrow batches and does all joining and counting.
+Python only parses: it lists the nodes of a tree, without looking for anything. Rules and symbols are Spark expressions over
+the nodes of a file, which refer to each other by place.
 """
 
 from __future__ import annotations
 
 import ast
+from collections import deque
+from functools import cache, reduce
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from corpuscope.functions.text import file_name
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Function lengths that warn and fail.
 LONG_FUNCTION = 50
@@ -19,97 +23,211 @@ TOO_LONG_FUNCTION = 100
 
 PARSE_ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError)
 
+# A node: its class, its name (of a constant: the type of its value), the field of its parent it stands in and the place there,
+# its lines, and where its parent and its children are in the list, counted from 1; level by level, so children are neighbours.
+NODE = T.StructType([
+    T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("field", T.StringType()),
+    T.StructField("place", T.IntegerType()), T.StructField("line", T.LongType()), T.StructField("last_line", T.LongType()),
+    T.StructField("parent", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("children", T.IntegerType()),
+])
+PARSED = T.StructType([T.StructField("error", T.StringType()), T.StructField("nodes", T.ArrayType(NODE))])
+
+NAMED = ("name", "id", "arg", "attr", "module")
+
+
+def _name(node) -> str | None:
+    if isinstance(node, ast.Constant):
+        return type(node.value).__name__
+    found = next((getattr(node, a) for a in NAMED if hasattr(node, a)), None)
+    return found if isinstance(found, str) else None
+
+
+# Nodes that are listed unless all are asked for: statements and their parts, and the expressions that rules read.
+STATEMENTS = (ast.stmt, ast.excepthandler, ast.match_case, ast.arguments, ast.arg, ast.alias)
+READ = {(ast.Assign, "targets"), (ast.ExceptHandler, "type"), (ast.Expr, "value")}
+# Nodes that are held as Python objects before they become Arrow columns.
+AT_ONCE = 1 << 16
+
+
+def _listed(text: str, whole: bool):
+    """The nodes of a text's tree, level by level, as tuples of ``NODE``."""
+    waiting = deque([(ast.parse(text), None, 0, 0)])
+    at = listed = 0
+    while waiting:
+        node, field, place, parent = waiting.popleft()
+        at, before = at + 1, listed
+        if whole or not isinstance(node, ast.expr):
+            for name, value in ast.iter_fields(node):
+                read = whole or (type(node), name) in READ
+                for i, child in enumerate(value if isinstance(value, list) else [value]):
+                    if isinstance(child, ast.AST if read else STATEMENTS):
+                        waiting.append((child, name, i, at))
+                        listed += 1
+        yield (type(node).__name__, _name(node), field, place, getattr(node, "lineno", 0), getattr(node, "end_lineno", 0), parent, before + 2,
+               listed - before)
+
+
+def _chunk(rows) -> pa.StructArray:
+    node = to_arrow_type(NODE)
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), node)], fields=list(node))
+
+
+@cache
+def _parse():
+    """Column function: the error or the listed nodes of each text; NULL for a missing text."""
+    node, result = to_arrow_type(NODE), to_arrow_type(PARSED)
 
-def _parsed(text):
-    try:
-        return ast.parse(text), None
-    except PARSE_ERRORS as error:
-        return None, str(error)
-
-
-def _is_docstring(body) -> bool:
-    first = body[0] if body else None
-    value = getattr(first, "value", None) if isinstance(first, ast.Expr) else None
-    return isinstance(getattr(value, "value", None), str) and isinstance(value, ast.Constant)
-
-
-def lint_text(text):
-    """(kind, rule, severity, line, message) of one source text."""
-    tree, error = _parsed(text)
-    if tree is None:
-        yield "syntax", "syntax_error", "error", 0, f"Syntax Error: {error}"
-        return
-    for node in ast.walk(tree):
-        line = getattr(node, "lineno", 0)
-        match node:
-            case ast.ExceptHandler(type=None):
-                yield "static", "bare_except", "warning", line, f"Line {line}: Bare except clause detected"
-            case ast.Assign():
-                for t in node.targets:
-                    if isinstance(t, ast.Name) and t.id[:1] == "_" and t.id[:2] != "__":
-                        yield "static", "unused_variable", "suggestion", line, f"Line {line}: Variable {t.id} appears unused"
-        if isinstance(node, ast.FunctionDef):
-            span = node.end_lineno - line
-            if span > LONG_FUNCTION:
-                worst = span > TOO_LONG_FUNCTION
-                how = "too" if worst else "very"
-                yield ("static", "function_length", "error" if worst else "warning", line,
-                       f"Line {line}: Function '{node.name}' is {how} long ({span} lines)")
-        if isinstance(node, (ast.FunctionDef, ast.ClassDef)) and not _is_docstring(node.body):
-            what = type(node).__name__
-            yield "static", "missing_docstring", "warning", line, f"Line {line}: {what} '{node.name}' missing docstring"
-
-
-def _symbols(text):
-    """(kind, name, line, args) of one source text; nothing when it does not parse."""
-    tree, _ = _parsed(text)
-    for node in ast.walk(tree) if tree else ():
-        match node:
-            case ast.FunctionDef():
-                yield "function", node.name, node.lineno, [a.arg for a in node.args.args]
-            case ast.ClassDef():
-                yield "class", node.name, node.lineno, None
-            case ast.Import():
-                yield from (("import", a.name, node.lineno, None) for a in node.names)
-            case ast.ImportFrom():
-                yield from (("import", f"{node.module or ''}.{a.name}", node.lineno, None) for a in node.names)
-            case ast.Assign():
-                yield from (("variable", t.id, node.lineno, None) for t in node.targets if isinstance(t, ast.Name))
-
-
-def _per_file(extract, columns):
-    def run(batches):
-        for pdf in batches:
-            rows = [
-                (path, n, *row)
-                for path, text in zip(pdf["file_path"], pdf["content"])
-                for n, row in enumerate(extract(text))
-            ]
-            yield pd.DataFrame(rows, columns=["file_path", "pos", *columns])
-
-    return run
-
-
-def _dealt(files: DataFrame) -> DataFrame:
-    """Paths and texts over all shuffle partitions: a parse costs far more than the bytes that Spark packs tasks by."""
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("file_path", "content").repartition(parts, "file_path")
+    def run(texts: pa.Array) -> pa.Array:
+        chunks, rows, ends, errors = [pa.array([], node)], [], [0], []
+        for text in texts:
+            found, error = [], None
+            try:
+                found = list(_listed(text.as_py(), False)) if text.is_valid else []
+            except PARSE_ERRORS as problem:
+                error = str(problem)
+            rows += found
+            errors.append(error)
+            ends.append(ends[-1] + len(found))
+            if len(rows) >= AT_ONCE:
+                chunks.append(_chunk(rows))
+                rows = []
+        nodes = pa.concat_arrays([*chunks, _chunk(rows)] if rows else chunks)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes).cast(result.field("nodes").type)
+        return pa.StructArray.from_arrays([pa.array(errors, pa.string()), lists], fields=list(result), mask=texts.is_null())
+
+    return F.arrow_udf(run, PARSED)
+
+
+def _node_rows(batches):
+    """Arrow function: (file_path, node, all nodes) of files, a bounded number at a time."""
+    for batch in batches:
+        for path, text in zip(batch.column(0), batch.column(1)):
+            try:
+                nodes = enumerate(_listed(text.as_py(), True), 1)
+                while rows := list(islice(nodes, AT_ONCE)):
+                    fields = _chunk([r for _, r in rows])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path.as_py()] * len(rows), pa.string()), pa.array([n for n, _ in rows], pa.int32()), *fields.flatten()],
+                        ["file_path", "node", *NODE.names])
+            except PARSE_ERRORS:
+                continue
+
+
+def parsed(content) -> Column:
+    """``error, nodes`` of a text: statements and what rules read of them. Only the text goes to Python; name it as a column."""
+    return _parse()(content)
+
+
+def _dealt(files: DataFrame, *keys) -> DataFrame:
+    """Texts over all shuffle partitions: a parse costs far more than the bytes that Spark packs tasks by."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _trees(files: DataFrame) -> DataFrame:
+    """``file_path, __tree`` of files."""
+    return _dealt(files.select("file_path", "content"), "file_path").select("file_path", parsed("content").alias("__tree"))
+
+
+def syntax_nodes(files: DataFrame) -> DataFrame:
+    """A row for each node of each file that parses: file_path, node (its number) and the fields of ``NODE``.
+
+    ``parent`` and ``first`` are numbers of nodes of the same file: joined on (file_path, parent) = (file_path, node) a node
+    meets its parent. A file without text has a ``Module`` only; one that does not parse, or is NULL, has no rows.
+    """
+    source = _dealt(files.where(F.col("content").isNotNull()).select("file_path", "content"), "file_path")
+    return source.mapInArrow(_node_rows, "file_path string, node int, " + NODE.simpleString()[7:-1].replace(":", " ").replace(",", ", "))
+
+
+def _children(nodes, n, *tests) -> Column:
+    """Children of a node that meet all tests."""
+    return F.filter(F.slice(nodes, n["first"], n["children"]), lambda c: reduce(Column.__and__, [t(c) for t in tests]))
+
+
+def _in(*fields):
+    return lambda c: c["field"].isin(*fields)
+
+
+def _is(*kinds):
+    return lambda c: c["kind"].isin(*kinds)
+
+
+def _finding(kind, rule, severity, line, message) -> Column:
+    severity = F.lit(severity) if isinstance(severity, str) else severity
+    return F.struct(F.lit(rule).alias("rule_id"), F.lit(kind).alias("kind"), severity.alias("severity"), F.concat(*message).alias("message"),
+                    line.cast("bigint").alias("line"))
+
+
+def _at(line) -> list:
+    return [F.lit("Line "), line, F.lit(": ")]
+
+
+def _node_findings(nodes, n) -> Column:
+    """Findings at one node, in the order of the rules."""
+    line = n["line"]
+    caught = _children(nodes, n, _in("type"))
+    bare = _finding("static", "bare_except", "warning", line, [*_at(line), F.lit("Bare except clause detected")])
+    private = _children(nodes, n, _in("targets"), _is("Name"), lambda c: c["name"].startswith("_") & ~c["name"].startswith("__"))
+    unused = F.transform(private, lambda c: _finding(
+        "static", "unused_variable", "suggestion", line, [*_at(line), F.lit("Variable "), c["name"], F.lit(" appears unused")]))
+    span = n["last_line"] - line
+    worst = span > TOO_LONG_FUNCTION
+    length = _finding(
+        "static", "function_length", F.when(worst, "error").otherwise("warning"), line,
+        [*_at(line), F.lit("Function '"), n["name"], F.lit("' is "), F.when(worst, "too").otherwise("very"), F.lit(" long ("), span, F.lit(" lines)")])
+    opening = _children(nodes, n, _in("body"), lambda c: c["place"] == 0, _is("Expr"))
+    documented = F.exists(opening, lambda e: F.size(_children(nodes, e, _is("Constant"), lambda c: c["name"] == "str")) > 0)
+    undocumented = _finding("static", "missing_docstring", "warning", line, [*_at(line), n["kind"], F.lit(" '"), n["name"], F.lit("' missing docstring")])
+    none = F.array().cast(FOUND)
+    return F.when(_is("ExceptHandler")(n) & (F.size(caught) == 0), F.array(bare)).when(_is("Assign")(n), unused).when(
+        _is("FunctionDef", "ClassDef")(n),
+        F.concat(F.when(_is("FunctionDef")(n) & (span > LONG_FUNCTION), F.array(length)).otherwise(none),
+                 F.when(~documented, F.array(undocumented)).otherwise(none))).otherwise(none)
+
+
+FOUND = T.ArrayType(T.StructType([
+    *[T.StructField(c, T.StringType()) for c in ("rule_id", "kind", "severity", "message")], T.StructField("line", T.LongType())]))
+
+
+def tree_findings(tree: str) -> Column:
+    """Findings (rule_id, kind, severity, message, line) of a ``parsed`` column: a syntax error, or those of its nodes; none for NULL."""
+    nodes = F.col(f"{tree}.nodes")
+    broken = _finding("syntax", "syntax_error", "error", F.lit(0), [F.lit("Syntax Error: "), F.col(f"{tree}.error")])
+    found = F.flatten(F.transform(nodes, lambda n: _node_findings(nodes, n)))
+    return F.when(F.col(f"{tree}.error").isNotNull(), F.array(broken)).otherwise(F.coalesce(found, F.array().cast(FOUND)))
 
 
 def lint_findings(files: DataFrame) -> DataFrame:
     """Findings of every file: syntax error, or bare excepts, unused names, long functions, missing docstrings."""
-    source = _dealt(files.where(F.col("content").isNotNull()))
-    run = _per_file(lint_text, ["kind", "rule_id", "severity", "line", "message"])
-    return source.mapInPandas(
-        run, "file_path string, pos bigint, kind string, rule_id string, severity string, line bigint, message string"
-    )
+    found = _trees(files.where(F.col("content").isNotNull())).select("file_path", F.posexplode(tree_findings("__tree")).alias("at", "f"))
+    return found.select("file_path", F.col("at").cast("bigint").alias("pos"), "f.kind", "f.rule_id", "f.severity", "f.line", "f.message")
+
+
+def _node_symbols(nodes, n) -> Column:
+    """What one node declares: functions with the names of their plain parameters, classes, imports, assigned names."""
+    kind, line = n["kind"], n["line"]
+
+    def symbol(what, name, args=None):
+        args = F.lit(None).cast("array<string>") if args is None else args
+        return F.struct(F.lit(what).alias("kind"), name.alias("name"), line.alias("line"), args.alias("args"))
+
+    lists = _children(nodes, n, _in("args"), _is("arguments"))
+    args = F.flatten(F.transform(lists, lambda a: F.transform(_children(nodes, a, _in("args")), lambda c: c["name"])))
+    aliases = _children(nodes, n, _in("names"), _is("alias"))
+    origin = F.concat(F.coalesce(n["name"], F.lit("")), F.lit("."))
+    names = _children(nodes, n, _in("targets"), _is("Name"))
+    return F.when(kind == "FunctionDef", F.array(symbol("function", n["name"], args))).when(
+        kind == "ClassDef", F.array(symbol("class", n["name"]))).when(
+        kind == "Import", F.transform(aliases, lambda c: symbol("import", c["name"]))).when(
+        kind == "ImportFrom", F.transform(aliases, lambda c: symbol("import", F.concat(origin, c["name"])))).when(
+        kind == "Assign", F.transform(names, lambda c: symbol("variable", c["name"])))
 
 
 def symbol_index(files: DataFrame) -> DataFrame:
     """Functions, classes, imports and assigned names of every file that parses."""
-    source = _dealt(files.where(F.length("content") > 0))
-    run = _per_file(_symbols, ["kind", "name", "line", "args"])
-    return source.mapInPandas(run, "file_path string, pos bigint, kind string, name string, line bigint, args array<string>")
+    nodes = F.col("__tree.nodes")
+    declared = F.flatten(F.filter(F.transform(nodes, lambda n: _node_symbols(nodes, n)), lambda s: s.isNotNull()))
+    found = _trees(files.where(F.length("content") > 0)).select("file_path", F.posexplode(declared).alias("at", "s"))
+    return found.select("file_path", F.col("at").cast("bigint").alias("pos"), "s.*")
 
 
 def symbol_counts(symbols: DataFrame, by=("kind",)) -> DataFrame:

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from functools import cache
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from corpuscope.functions.text import folded
 from corpuscope.operators.edits import apply_edits
 from corpuscope.operators.quality import PERFORMANCE, SECURITY, rule_findings, validate_checked, validation_summary
-from corpuscope.operators.symbols import lint_text
+from corpuscope.operators.symbols import parsed, tree_findings
 from corpuscope.session import staged
 from corpuscope.sources.ledger import append_ledger
 
@@ -21,21 +17,6 @@ FINDING = ["rule_id", "kind", "severity", "message"]
 FOUND = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in FINDING]))
 
 
-@cache
-def _parse_findings():
-    """Column function: what the parse of a text finds; nothing for a missing text. Only the text goes to Python."""
-    kind = to_arrow_type(FOUND)
-
-    def found(text):
-        rows = lint_text(text) if text is not None else ()
-        return [{"rule_id": rule, "kind": kind, "severity": severity, "message": message} for kind, rule, severity, _, message in rows]
-
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([found(t) for t in texts.to_pylist()], kind)
-
-    return F.arrow_udf(run, FOUND)
-
-
 def all_findings(texts: DataFrame, keys, rules=tuple(SECURITY + PERFORMANCE), content: str = "content", lint: bool = True) -> DataFrame:
     """``*keys, found``: the findings of the rules and of the parse of each text as one array, in one read.
 
@@ -47,7 +28,9 @@ def all_findings(texts: DataFrame, keys, rules=tuple(SECURITY + PERFORMANCE), co
     if not lint:
         return ruled.select(*keys, "found")
     dealt = ruled.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-    return dealt.select(*keys, F.concat("found", _parse_findings()("__text")).alias("found"))
+    parsed_once = dealt.select(*keys, "found", parsed("__text").alias("__tree"))
+    of_tree = F.transform(tree_findings("__tree"), lambda f: F.struct(*[f[c].alias(c) for c in FINDING]))
+    return parsed_once.select(*keys, F.concat("found", of_tree).alias("found"))
 
 
 def finding_rows(found: DataFrame, columns) -> DataFrame:

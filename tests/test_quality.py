@@ -1,3 +1,5 @@
+
+import ast
 import random
 import re
 
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.operators.quality import (PERFORMANCE, SECURITY, code_metrics, complexity, route_findings, scan_rules, top_issues,
                                           validate, validate_checked, validation_summary)
-from corpuscope.operators.symbols import import_edges, lint_findings, symbol_counts, symbol_index
+from corpuscope.operators.symbols import import_edges, lint_findings, symbol_counts, symbol_index, syntax_nodes
 from corpuscope.operators.edits import delta_counts
 from corpuscope.plans.validation import check_files, record_passed, run_changes
 from corpuscope.sources.ledger import read_ledger
@@ -78,6 +80,44 @@ def test_lint(spark):
     }
 
 
+def test_rules_over_nodes(spark):
+    """Parts of statements where a rule could look at the wrong node."""
+    text = (
+        "try:\n    def f(a, /, b, *c, d=lambda q: 1, **e):\n        'doc'\nexcept (A, B):\n    _a = _b = __c = x._d = 1\n"
+        "finally:\n    pass\nclass K:\n    x = 'no doc'\n    'late'\n    async def g(self): pass\n"
+        "def h():\n    b'bytes'\n    def inner(): 'doc'\nmatch x:\n    case 1:\n        try: pass\n        except: _z: int = 1\n"
+        "(_t, _u) = 1, 2\nfrom .. import p as q, r\nimport s.t as u\n")
+    files = spark.createDataFrame([("a", text), ("a", "def k(): pass"), ("n", None), ("e", ""), ("nul", "x\0"), ("deep", "(" * 5000)],
+                                  "file_path string, content string")
+    found = lint_findings(files).orderBy("file_path", "pos").collect()
+    assert sorted((r.rule_id, r.line, r.message.split(": ", 1)[1]) for r in found if r.file_path == "a") == sorted([
+        ("unused_variable", 5, "Variable _a appears unused"), ("unused_variable", 5, "Variable _b appears unused"),
+        ("missing_docstring", 8, "ClassDef 'K' missing docstring"), ("missing_docstring", 12, "FunctionDef 'h' missing docstring"),
+        ("bare_except", 18, "Bare except clause detected"), ("missing_docstring", 1, "FunctionDef 'k' missing docstring")])
+    assert sorted(r.file_path for r in found if r.rule_id == "syntax_error") == ["deep", "nul"]
+    symbols = {(r.kind, r.name, r.line, tuple(r.args or ())) for r in symbol_index(files).collect()}
+    assert symbols == {
+        ("function", "f", 2, ("b",)), ("variable", "_a", 5, ()), ("variable", "_b", 5, ()), ("variable", "__c", 5, ()), ("class", "K", 8, ()),
+        ("variable", "x", 9, ()), ("function", "h", 12, ()), ("function", "inner", 14, ()), ("import", ".p", 20, ()), ("import", ".r", 20, ()),
+        ("import", "s.t", 21, ()), ("function", "k", 1, ())}
+
+
+def test_node_rows(spark):
+    text = "def f(a):\n    return a + g(1)\n"
+    files = spark.createDataFrame([("a", text), ("b", "x"), ("empty", ""), ("bad", "def"), ("n", None)], "file_path string, content string")
+    nodes = syntax_nodes(files)
+    want = {path: [type(n).__name__ for n in ast.walk(ast.parse(t))] for path, t in (("a", text), ("b", "x"), ("empty", ""))}
+    got = {}
+    for r in nodes.orderBy("file_path", "node").collect():
+        got.setdefault(r.file_path, []).append(r.kind)
+    assert got == want
+    parents = nodes.select("file_path", F.col("node").alias("parent"), F.col("kind").alias("of"), "first", "children")
+    met = nodes.drop("first", "children").join(parents, ["file_path", "parent"])
+    assert met.where("node < first or node >= first + children").count() == 0
+    assert rows(met.where("name is not null"), "of", "field", "name") == [
+        ("BinOp", "left", "a"), ("Call", "args", "int"), ("Call", "func", "g"), ("Expr", "value", "x"), ("Module", "body", "f"), ("arguments", "args", "a")]
+
+
 def test_symbols_and_edges(spark):
     files = spark.createDataFrame(CODE, "file_path string, content string")
     symbols = symbol_index(files)
