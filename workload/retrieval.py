@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuscope.operators.keyword_index import KeywordIndex, add_to_index, indexed_filter, indexed_match
 from corpuscope.operators.keywords import (
     extract_terms,
     keyword_filter,
@@ -407,6 +408,26 @@ KEYWORD_MATCH_REQUESTS = sql(f"""
 """)
 
 
+def text_index(spark, sf) -> KeywordIndex:
+    """The index of all artifacts: files first, the other levels added to it."""
+    index = KeywordIndex(shared_dir(spark, "keyword-index"))
+    found = text_levels(spark, sf)
+    add_to_index({"file": found.pop("file")}, index)
+    add_to_index(found, index)
+    return index
+
+
+def indexed_keyword_match(spark, sf):
+    """As keyword_match, and with the same SQL: every benchmark item asks for its first two terms."""
+    asked = requests(spark, sf).withColumnRenamed("request_id", "query_id")
+    return indexed_match(spark, text_index(spark, sf), asked, 20).withColumn("relevance_score", F.round("relevance_score", 6))
+
+
+def indexed_keyword_filter(spark, sf):
+    hits = indexed_filter(spark, text_index(spark, sf), KEYWORDS, "all")
+    return hits.select("repo_id", "type", "file_path", "name", "position", "rich_metadata")
+
+
 def routed_search_requests(spark, sf):
     found = routed_search(levels(spark, sf), requests(spark, sf), rankings(spark, sf), 20, text_levels(spark, sf))
     return found.withColumn("relevance_score", F.round("relevance_score", 6))
@@ -434,6 +455,8 @@ QUERIES = {
     "keyword_relevance": (keyword_relevance_all, KEYWORD_RELEVANCE_ALL),
     "keyword_top": (keyword_top, KEYWORD_TOP),
     "keyword_match": (keyword_match_requests, KEYWORD_MATCH_REQUESTS),
+    "indexed_keyword_match": (indexed_keyword_match, KEYWORD_MATCH_REQUESTS),
+    "indexed_keyword_filter": (indexed_keyword_filter, KEYWORD_FILTER_ALL),
     "rerank": (rerank_labels, RERANK_LABELS),
     "candidate_cards": (candidate_descriptions, CANDIDATE_DESCRIPTIONS),
     "hybrid_merge": (hybrid_merge_hits, HYBRID_MERGE_HITS),
