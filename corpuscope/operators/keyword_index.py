@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,18 +51,17 @@ class KeywordIndex:
 
 
 def _counted(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of a long text and how often each stands there, in a table that does not grow with the text."""
-    table = np.zeros(_BASE[PIECE] + (1 << 8 * PIECE), np.int64)
+    """Pieces of a long text and how often each stands there, a chunk at a time."""
+    pieces, n = np.zeros(0, np.int32), np.zeros(0)
     for at in range(0, len(data), CHUNK):
-        for width in range(1, PIECE + 1):
-            part = data[at:at + CHUNK + width - 1]
-            if len(part) >= width:
-                table += np.bincount(_codes(part, width), minlength=len(table))
-    pieces = np.flatnonzero(table)
-    return pieces.astype(np.int32), table[pieces]
+        parts = [data[at:at + CHUNK + width - 1] for width in range(1, PIECE + 1)]
+        own, times = np.unique(np.concatenate([_codes(p, w) for w, p in enumerate(parts, 1) if len(p) >= w]), return_counts=True)
+        pieces, place = np.unique(np.concatenate([pieces, own]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([n, times]))
+    return pieces, n
 
 
-def _dense(texts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
+def _dense(texts) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of (text, words) and, of each, its largest count per word in a text; texts without words count as 0."""
     found, many = [], []
     waiting: list[tuple[np.ndarray, int]] = []
@@ -83,6 +83,7 @@ def _dense(texts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
             pieces, n = _counted(data)
             found.append(pieces)
             many.append(n / words if words else np.zeros(len(n)))
+            found, many = ([x] for x in _largest(found, many))
             continue
         waiting.append((data, words))
         size += len(data)
@@ -123,11 +124,11 @@ def _list_rows(batches):
                 found, many = [], []
             now = blocks[start]
             part = batch.slice(start, end - start)
-            texts = [(t.as_buffer().to_pybytes(), len(t.as_py().split())) for t in part.column("enhanced") if t.is_valid]
+            counted = ((t.as_buffer(), len(t.as_py().split())) for t in part.column("enhanced") if t.is_valid)
             # The second text decides who is found, not how high.
-            texts += [(t.as_buffer().to_pybytes(), 0) for t in part.column("original") if t.is_valid]
-            pieces, dense = _dense(texts)
-            found, many = (list(x) for x in zip(_largest([*found, pieces], [*many, dense]))) if found else ([pieces], [dense])
+            shown = ((t.as_buffer(), 0) for t in part.column("original") if t.is_valid)
+            pieces, dense = _dense(chain(counted, shown))
+            found, many = ([x] for x in _largest([*found, pieces], [*many, dense]))
             start = end
     if now is not None:
         yield from rows()

@@ -6,12 +6,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bytes of a piece, and terms that one pass over the texts looks for.
 PIECE = 3
 TERMS_AT_ONCE = 1 << 15
+# Bytes of texts whose pieces are looked up together; a longer text is alone.
+AT_ONCE_BYTES = 1 << 21
 
 # Between the literal parts of a LIKE pattern: wildcards, and escapes with what they escape.
 _GAPS = re.compile(rb"\\.?|[%_]", re.DOTALL)
@@ -94,12 +97,21 @@ class Terms:
             yield int(term), own[np.append(True, own[1:] != own[:-1])]
 
 
+def _in_parts(batches, columns):
+    """Batches cut where their texts reach AT_ONCE_BYTES."""
+    for batch in batches:
+        size = sum(pc.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        begins = np.flatnonzero(np.diff(np.cumsum(size) // AT_ONCE_BYTES, prepend=-1)).tolist()
+        for begin, end in zip(begins, [*begins[1:], len(batch)]):
+            yield batch.slice(begin, end - begin)
+
+
 def _found(terms, kinds: dict[str, list[str]], keys: list[str]):
     """Arrow function: (key columns, kind, term, n, words, texts of a pattern's candidate) for all texts of a batch."""
 
     def run(batches):
         sets = {kind: Terms(own, literal) for kind, (own, literal) in terms.value.items()}
-        for batch in batches:
+        for batch in _in_parts(batches, sorted({c for columns in kinds.values() for c in columns})):
             spots, kind_of, names, counts, words, shown = [], [], [], [], [], []
             for kind, columns in kinds.items():
                 texts = [batch.column(c) for c in columns]

@@ -35,9 +35,10 @@ def brute(rows, literal):
 
 
 @pytest.mark.parametrize("literal", [False, True])
-@pytest.mark.parametrize("at_once", [1 << 15, 5])
-def test_equals_every_term_on_every_text(spark, monkeypatch, literal, at_once):
+@pytest.mark.parametrize("at_once, size", [(1 << 15, 1 << 21), (5, 50)])
+def test_equals_every_term_on_every_text(spark, monkeypatch, literal, at_once, size):
     monkeypatch.setattr(matching, "TERMS_AT_ONCE", at_once)
+    monkeypatch.setattr(matching, "AT_ONCE_BYTES", size)
     rows = [(i, t and t.lower(), TEXTS[-i].lower() if i % 3 == 0 and TEXTS[-i] else None) for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "id bigint, one string, two string").repartition(3)
     terms = spark.createDataFrame([("t", t) for t in TERMS * 2] + [("t", None)], "kind string, term string")
