@@ -82,11 +82,17 @@ class Snapshots:
         return self.spark.read.schema(manifest["schema"]).parquet(*folders) if folders else None
 
 
-def _bucket(keys, manifest: dict, splitting: dict | None = None) -> Column:
-    """Bucket of a key: that of the manifest with these last bits; a new one begins with ``BITS``."""
+def _split(buckets, splitting) -> set[str]:
+    """Names of buckets once some are split: both halves stand for a bucket that is, whether rows are in them or not."""
+    halves = {f"{depth + 1}-{half}" for depth, number in (map(int, b.split("-")) for b in splitting) for half in (number, number + (1 << depth))}
+    return (set(buckets) - set(splitting)) | halves
+
+
+def _bucket(keys, buckets) -> Column:
+    """Bucket of a key: the deepest of ``buckets`` with its last bits; a new one begins with ``BITS``. One branch for each depth."""
     value = F.xxhash64(*keys)
     by_depth: dict[int, list[int]] = {}
-    for name in manifest["buckets"]:
+    for name in sorted(buckets):
         depth, number = map(int, name.split("-"))
         by_depth.setdefault(depth, []).append(number)
 
@@ -94,10 +100,7 @@ def _bucket(keys, manifest: dict, splitting: dict | None = None) -> Column:
         return F.concat(F.lit(f"{depth}-"), F.pmod(value, F.lit(1 << depth)).cast("string"))
 
     found = [F.when(F.pmod(value, F.lit(1 << depth)).isin(numbers), named(depth)) for depth, numbers in sorted(by_depth.items(), reverse=True)]
-    at = F.coalesce(*found, named(BITS)) if found else named(BITS)
-    for name, depth in (splitting or {}).items():
-        at = F.when(at == name, named(depth + 1)).otherwise(at)
-    return at
+    return F.coalesce(*found, named(BITS)) if found else named(BITS)
 
 
 def read_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -123,14 +126,14 @@ def update_table(spark: SparkSession, path: str, keys, touched: DataFrame, chang
     if through is not None and manifest["through"] >= through:
         return False
     # One short name per bucket.
-    names = [r[0] for r in touched.select(_bucket(keys, manifest).alias("b")).distinct().collect()]
+    names = [r[0] for r in touched.select(_bucket(keys, manifest["buckets"]).alias("b")).distinct().collect()]
     old = {b: manifest["buckets"][b] for b in names if b in manifest["buckets"]}
-    splitting = {b: int(b.split("-")[0]) for b, folder in old.items() if table.size(folder) > bucket_bytes}
+    splitting = [b for b, folder in old.items() if table.size(folder) > bucket_bytes]
     rows = change(table.read(manifest, old))
     schema = manifest["schema"] or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     folder = f"{manifest['version'] + 1}-{uuid.uuid4().hex}"
     # A bucket goes into one file; split by size, it fits a task.
-    rows.withColumn(BUCKET, _bucket(keys, manifest, splitting)).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{table.path}/data/{folder}")
+    rows.withColumn(BUCKET, _bucket(keys, _split(manifest["buckets"], splitting))).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{table.path}/data/{folder}")
     written = {n.removeprefix(f"{BUCKET}="): f"{folder}/{n}" for n in table._names(f"data/{folder}") if n.startswith(BUCKET)}
     kept = {b: f for b, f in manifest["buckets"].items() if b not in old}
     table.commit({"version": manifest["version"] + 1, "schema": schema, "buckets": kept | written,

@@ -11,7 +11,7 @@ from corpuscope.operators.status import derive_status, status_counts
 from corpuscope.streaming.history import capped_history_stream, history_table_stream, latest_history, read_histories
 from corpuscope.streaming.history import current_history, live_history_stream
 from corpuscope.streaming.sessions import read_sessions, session_stream, session_table_stream
-from corpuscope.streaming.tables import Snapshots, delete_from_table, read_table, replace_in_table, update_table
+from corpuscope.streaming.tables import Snapshots, _bucket, _split, delete_from_table, read_table, replace_in_table, update_table
 from tests.conftest import plan, rows
 
 START = dt.datetime(2024, 1, 1)
@@ -252,3 +252,22 @@ def test_delete_and_replace_on_a_stored_table(spark, tmp_path):
     replace_in_table(spark, path, spark.createDataFrame([(2, -1), (50, -1)], "k int, v int"), ["k"], spark.createDataFrame([(3,)], "k int"))
     left = [r for r in left if r[0] not in (2, 3)] + [(2, -1), (50, -1)]
     assert rows(read_table(spark, path)) == sorted(left, key=repr)
+
+
+def test_many_buckets_split_at_once(spark, tmp_path):
+    """The bucket of a key stays one short expression, however many buckets are split."""
+    shallow = {f"{d}-{n}" for d, n in [(3, k) for k in range(8)] + [(4, 1), (5, 2)]}
+    many = {f"9-{n}" for n in range(512)}
+    few, all_ = (len(_bucket([F.col("k")], _split(names, names))._jc.toString()) for names in ({"9-0"}, many))
+    assert all_ < few + 16 * len(many)
+    # Halves: every key of a split bucket goes one bit deeper, all others stay where they were.
+    keys = spark.range(2000).select(F.col("id").alias("k"))
+    placed = keys.select(_bucket(["k"], shallow).alias("old"), _bucket(["k"], _split(shallow, {"3-1", "4-1", "3-5"})).alias("new"), F.xxhash64("k").alias("h"))
+    for r in placed.collect():
+        depth = int(r.old.split("-")[0]) + (r.old in {"3-1", "4-1", "3-5"})
+        assert r.new == f"{depth}-{r.h % (1 << depth)}"
+    path, data = str(tmp_path / "many"), [(i, i) for i in range(3000)]
+    for step in range(4):
+        kept(spark, path, data if step == 0 else [(i, -step) for i in range(3000)], bucket_bytes=1)
+    assert read_table(spark, path).count() == 12000 and len(Snapshots(spark, path).manifest()["buckets"]) == 64
+    assert rows(read_table(spark, path).where("v >= 0")) == sorted(data, key=repr)
