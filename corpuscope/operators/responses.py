@@ -104,8 +104,13 @@ def _default(f: Field) -> Column:
     return F.lit(f.default).cast(f.type)
 
 
-def _value(raw: Column, kind: Column, f: Field) -> tuple[Column, Column]:
-    """Typed value of a variant, NULL where it does not fit, and what is wrong inside it (NULL if nothing).
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once wherever ``use`` refers to it: expressions in a lambda are not shared."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _value(raw: Column, kind: Column, f: Field) -> Column:
+    """Typed value of a variant, NULL where it does not fit; that of a struct, and elements of a list, say what is wrong inside them.
 
     Numeric text is a number, a number is no text; whole numbers may be written with a point; some texts and 0 and 1
     stand for truth values. ``kind`` is the variant's type.
@@ -113,69 +118,78 @@ def _value(raw: Column, kind: Column, f: Field) -> tuple[Column, Column]:
     def got(as_type):
         return F.try_variant_get(raw, "$", as_type)
 
-    none = F.lit(None).cast("string")
     number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL"))
     text, flag = F.when(kind == "STRING", got("string")), F.when(kind == "BOOLEAN", got("boolean"))
     match f.type:
         case "string":
-            return text, none
+            return text
         case "int" | "bigint":
             whole = F.when(number & (got("double") == F.floor(got("double"))), got("double"))
             written = F.when(F.trim(text).rlike(r"^[+-]?[0-9]+(?:\.0*)?$"), F.trim(text).try_cast("double"))
             exact = F.when(kind == "BIGINT", got("bigint"))
-            return F.coalesce(exact, F.coalesce(whole, written, flag.cast("double")).try_cast("bigint")).try_cast(f.type), none
+            return F.coalesce(exact, F.coalesce(whole, written, flag.cast("double")).try_cast("bigint")).try_cast(f.type)
         case "double":
-            return F.coalesce(F.when(number, got("double")), F.trim(text).try_cast("double"), flag.cast("double")), none
+            return F.coalesce(F.when(number, got("double")), F.trim(text).try_cast("double"), flag.cast("double"))
         case "boolean":
             word = F.lower(text)
             one = F.when(kind == "BIGINT", got("bigint"))
-            return F.coalesce(flag, F.when(word.isin(TRUE_TEXTS) | (one == 1), True).when(word.isin(FALSE_TEXTS) | (one == 0), False)), none
+            return F.coalesce(flag, F.when(word.isin(TRUE_TEXTS) | (one == 1), True).when(word.isin(FALSE_TEXTS) | (one == 0), False))
         case "array<string>":
             items = F.when(F.startswith(kind, F.lit("ARRAY")), got("array<variant>"))
             fits = F.forall(items, lambda x: F.schema_of_variant(x) == "STRING")
-            return F.when(fits, F.transform(items, lambda x: F.try_variant_get(x, "$", "string"))), none
+            return F.when(fits, F.transform(items, lambda x: F.try_variant_get(x, "$", "string")))
         case "map<string,string>":
             items = F.when(F.startswith(kind, F.lit("OBJECT")), got("map<string,variant>"))
             return F.transform_values(items, lambda _, x: F.when(
-                F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x))), none
+                F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x)))
         case "struct":
-            values, problem = _fields(raw, f.fields)
-            inside = F.struct(*[v.alias(n) for n, v in values.items()])
-            return F.when(F.startswith(kind, F.lit("OBJECT")), inside), F.concat(F.lit(f.name + ": "), problem)
+            return F.when(F.startswith(kind, F.lit("OBJECT")), _object(raw, f.fields))
         case "list":
-            def element(x):
-                values, problem = _fields(x, f.fields)
-                reason = F.when(~F.startswith(F.schema_of_variant(x), F.lit("OBJECT")), "wrong type").otherwise(problem)
-                return F.struct(*[v.alias(n) for n, v in values.items()], reason.alias("reject_reason"))
-
-            return F.when(F.startswith(kind, F.lit("ARRAY")), F.transform(got("array<variant>"), element)), none
+            return F.when(F.startswith(kind, F.lit("ARRAY")), F.transform(got("array<variant>"), lambda x: _object(x, f.fields, "wrong type")))
     raise ValueError(f"unknown type {f.type}")
 
 
-def _fields(obj: Column, contract) -> tuple[dict, Column]:
-    """Values of the fields of an object, defaults filled in, and the first thing that is wrong with it."""
-    values, missing, wrong, refused, inner = {}, [], [], [], []
-    for f in contract:
-        raw = F.try_variant_get(obj, f"$['{f.name}']", "variant")
-        kind = F.schema_of_variant(raw)
-        value, problem = _value(raw, kind, f)
+def _cell(obj: Column, f: Field) -> Column:
+    """A field of an object: its value, the default filled in, and whether it is absent, null, of another type or refused."""
+    def told(raw, kind, found):
         absent = raw.isNull()
         null = kind == "VOID"
+        value, inner = found, F.lit(None).cast("string")
+        if f.type == "struct":
+            value = F.when(found.isNotNull(), F.struct(*[found[x.name].alias(x.name) for x in f.fields]))
+            inner = F.when(~absent & ~null, F.concat(F.lit(f.name + ": "), found["reject_reason"]))
         # A given null is not the default: it is kept where the field is open to it.
-        values[f.name] = F.when(absent, _default(f) if not f.required else F.lit(None).cast(_ddl(f))).when(null, F.lit(None).cast(_ddl(f))).otherwise(value)
-        if f.required:
-            missing.append((absent, f"missing {f.name}"))
-        if not f.nullable:
-            wrong.append((null, f"null {f.name}"))
-        wrong.append((~absent & ~null & value.isNull(), f"wrong type {f.name}"))
+        filled = F.when(absent, _default(f) if not f.required else F.lit(None).cast(_ddl(f))).when(null, F.lit(None).cast(_ddl(f))).otherwise(value)
+        refused = F.lit(False)
         if f.allowed:
-            refused.append((~absent & ~null & ~value.isin(*f.allowed, *([f.default] if f.default is not None else [])), f"invalid {f.name}"))
-        if f.type == "struct":
-            inner.append(F.when(~absent & ~null, problem))
-    reason = F.when(F.lit(False), F.lit(None).cast("string"))
-    for condition, message in [*missing, *wrong, *refused]:
-        reason = reason.when(condition, F.lit(message))
-    return values, F.coalesce(reason.otherwise(F.lit(None).cast("string")), *inner)
+            refused = ~absent & ~null & ~found.isin(*f.allowed, *([f.default] if f.default is not None else []))
+        return F.struct(filled.alias("value"), absent.alias("absent"), null.alias("null"), (~absent & ~null & found.isNull()).alias("wrong"),
+                        refused.alias("refused"), inner.alias("inner"))
+
+    raw = F.try_variant_get(obj, f"$['{f.name}']", "variant")
+    return _once(raw, lambda r: _once(F.schema_of_variant(r), lambda kind: _once(_value(r, kind, f), lambda found: told(r, kind, found))))
+
+
+def _object(obj: Column, contract, no_object: str | None = None) -> Column:
+    """The fields of an object and ``reject_reason``, the first thing that is wrong with it: ``no_object`` if it is none.
+
+    Each field is looked up, typed and checked once.
+    """
+    def told(cells):
+        missing = [(cells[f.name]["absent"], f"missing {f.name}") for f in contract if f.required]
+        wrong = [(cells[f.name][c], text + f.name) for f in contract for c, text in (("null", "null "), ("wrong", "wrong type "))
+                 if c == "wrong" or not f.nullable]
+        refused = [(cells[f.name]["refused"], f"invalid {f.name}") for f in contract if f.allowed]
+        other = F.lit(False)
+        if no_object:
+            other = ~F.coalesce(F.startswith(F.schema_of_variant(obj), F.lit("OBJECT")), F.lit(False))
+        reason = F.when(other, F.lit(no_object).cast("string"))
+        for condition, message in [*missing, *wrong, *refused]:
+            reason = reason.when(condition, F.lit(message))
+        inner = F.coalesce(*[cells[f.name]["inner"] for f in contract])
+        return F.struct(*[cells[f.name]["value"].alias(f.name) for f in contract], reason.otherwise(inner).alias("reject_reason"))
+
+    return _once(F.struct(*[_cell(obj, f).alias(f.name) for f in contract]), told)
 
 
 def parse_contract(df: DataFrame, col: str, contract: list[Field]) -> DataFrame:
@@ -185,12 +199,10 @@ def parse_contract(df: DataFrame, col: str, contract: list[Field]) -> DataFrame:
     JSON, a missing required field, a null or a value of another type, a value that is not allowed, the same inside a
     struct. Elements of a list carry a ``reject_reason`` of their own (see :func:`contract_elements`).
     """
-    # Exploding the one value keeps later filters above the parse, so each text is parsed once.
+    # Exploding the one value keeps later filters above the parse and the check, so each text is parsed and checked once.
     rows = df.select("*", F.explode(F.array(F.try_parse_json(F.col(col)))).alias("__v"))
-    object_ = F.coalesce(F.startswith(F.schema_of_variant("__v"), F.lit("OBJECT")), F.lit(False))
-    values, problem = _fields(F.col("__v"), contract)
-    reason = F.when(~object_, F.lit("malformed")).otherwise(problem)
-    return rows.withColumns({**values, "reject_reason": reason}).drop("__v")
+    rows = rows.select("*", F.explode(F.array(_object(F.col("__v"), contract, "malformed"))).alias("__c"))
+    return rows.withColumns({c: F.col("__c")[c] for c in [*(f.name for f in contract), "reject_reason"]}).drop("__v", "__c")
 
 
 def contract_elements(parsed: DataFrame, name: str, keys) -> DataFrame:

@@ -136,3 +136,14 @@ def test_coercion(spark):
 def test_even_turns(spark):
     df = spark.createDataFrame([(0, " a\n"), (1, "b"), (2, "c")], "turn int, text string")
     assert rows(user_turns(df)) == [(0, "a"), (2, "c")]
+
+
+def test_each_field_is_looked_up_once(spark):
+    """Also in the elements of a list, whose expressions Spark does not share."""
+    df = spark.createDataFrame([('{"modifications": [{"action": "a", "target_type": "t", "target_name": "n", "new_code": "c", "explanation": "e", "line_number": 2.0}]}',)], "t string")
+    parsed = parse_responses(df, "t", CHANGE_PLAN)
+    found = contract_elements(parsed, "modifications", [])
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("line_number", "action", "modifications", "alignment_score"):
+        assert text.count(f"$['{name}']") == 1
+    assert found.first().line_number == 2 and found.first().reject_reason is None
