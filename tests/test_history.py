@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from corpuscope.operators.history import (capped_history, delete_keys, followup_
                                           replace_history, running_context, session_status, sessions)
 from corpuscope.operators.status import derive_status, status_counts
 from corpuscope.streaming.history import capped_history_stream, history_table_stream, latest_history, read_histories
-from corpuscope.streaming.history import current_history, live_history_stream
+from corpuscope.streaming.history import ExpiringHistory, current_history, live_history_stream
 from corpuscope.streaming.sessions import read_sessions, session_stream, session_table_stream
 from corpuscope.streaming.tables import Snapshots, _bucket, _split, delete_from_table, read_table, replace_in_table, update_table
 from tests.conftest import plan, rows
@@ -271,3 +272,43 @@ def test_many_buckets_split_at_once(spark, tmp_path):
         kept(spark, path, data if step == 0 else [(i, -step) for i in range(3000)], bucket_bytes=1)
     assert read_table(spark, path).count() == 12000 and len(Snapshots(spark, path).manifest()["buckets"]) == 64
     assert rows(read_table(spark, path).where("v >= 0")) == sorted(data, key=repr)
+
+
+def test_expiring_history_asks_its_state_little():
+    """Calls to the state cost more than the work on a list: one read, and the timer is only moved when the newest message changes."""
+    class Handle:
+        def __init__(self):
+            self.calls, self.value = [], None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def registerTimer(self, at):
+            self.calls.append(("register", at))
+
+        def deleteTimer(self, at):
+            self.calls.append(("delete", at))
+
+        def clear(self):
+            self.value = None
+
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    def batch(*times):
+        return [pd.DataFrame({"ts_ms": times, "seq": times, "message": [str(t) for t in times]})]
+
+    handle, history_ = Handle(), ExpiringHistory(3, 100)
+    history_.init(handle)
+    changes = [list(history_.handleInputRows(("k",), batch(*times), handle))[0] for times in ((10, 20), (15,), (30, 40))]
+    assert handle.calls == ["get", ("register", 120), "update", "get", "update", "get", ("delete", 120), ("register", 140), "update"]
+    assert [list(zip(c["change"], c["seq"])) for c in changes] == [
+        [("add", 10), ("add", 20)], [("add", 15)], [("drop", 10), ("drop", 15), ("add", 30), ("add", 40)]]
