@@ -33,37 +33,40 @@ NODE = T.StructType([
 PARSED = T.StructType([T.StructField("error", T.StringType()), T.StructField("nodes", T.ArrayType(NODE))])
 
 NAMED = ("name", "id", "arg", "attr", "module")
-
-
-def _name(node) -> str | None:
-    if isinstance(node, ast.Constant):
-        return type(node.value).__name__
-    found = next((getattr(node, a) for a in NAMED if hasattr(node, a)), None)
-    return found if isinstance(found, str) else None
-
-
 # Nodes that are listed unless all are asked for: statements and their parts, and the expressions that rules read.
 STATEMENTS = (ast.stmt, ast.excepthandler, ast.match_case, ast.arguments, ast.arg, ast.alias)
 READ = {(ast.Assign, "targets"), (ast.ExceptHandler, "type"), (ast.Expr, "value")}
+# Fields that can hold such nodes.
+HOLDING = {"body", "orelse", "finalbody", "handlers", "cases", "names", "args", "posonlyargs", "kwonlyargs", "vararg", "kwarg"}
 # Nodes that are held as Python objects before they become Arrow columns.
 AT_ONCE = 1 << 16
 
 
+@cache
+def _class(kind: type, whole: bool) -> tuple:
+    """Of a class of nodes: its name, the field of a node's name, whether it is listed, and its fields with whether all in them is."""
+    named = next((a for a in NAMED if a in kind._fields), None)
+    inside = whole or not issubclass(kind, ast.expr)
+    read = [(f, whole or (kind, f) in READ) for f in kind._fields if inside]
+    return kind.__name__, named, issubclass(kind, STATEMENTS), [(f, every) for f, every in read if every or f in HOLDING]
+
+
 def _listed(text: str, whole: bool):
     """The nodes of a text's tree, level by level, as tuples of ``NODE``."""
     waiting = deque([(ast.parse(text), None, 0, 0)])
-    at = listed = 0
+    at, listed = 0, 1
     while waiting:
         node, field, place, parent = waiting.popleft()
         at, before = at + 1, listed
-        if whole or not isinstance(node, ast.expr):
-            for name, value in ast.iter_fields(node):
-                read = whole or (type(node), name) in READ
-                for i, child in enumerate(value if isinstance(value, list) else [value]):
-                    if isinstance(child, ast.AST if read else STATEMENTS):
-                        waiting.append((child, name, i, at))
-                        listed += 1
-        yield (type(node).__name__, _name(node), field, place, getattr(node, "lineno", 0), getattr(node, "end_lineno", 0), parent, before + 2,
+        kind, named, _, fields = _class(type(node), whole)
+        for name, every in fields:
+            value = getattr(node, name, None)
+            for i, child in enumerate(value) if type(value) is list else ((0, value),):
+                if isinstance(child, ast.AST) and (every or _class(type(child), whole)[2]):
+                    waiting.append((child, name, i, at))
+                    listed += 1
+        name = type(node.value).__name__ if kind == "Constant" else getattr(node, named, None) if named else None
+        yield (kind, name if type(name) is str else None, field, place, getattr(node, "lineno", 0), getattr(node, "end_lineno", 0), parent, before + 1,
                listed - before)
 
 

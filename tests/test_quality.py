@@ -1,5 +1,6 @@
 
 import ast
+import sys
 import random
 import re
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.operators.quality import (PERFORMANCE, SECURITY, code_metrics, complexity, route_findings, scan_rules, top_issues,
                                           validate, validate_checked, validation_summary)
-from corpuscope.operators.symbols import import_edges, lint_findings, symbol_counts, symbol_index, syntax_nodes
+from corpuscope.operators.symbols import _listed, import_edges, lint_findings, symbol_counts, symbol_index, syntax_nodes
 from corpuscope.operators.edits import delta_counts
 from corpuscope.plans.validation import check_files, record_passed, run_changes
 from corpuscope.sources.ledger import read_ledger
@@ -211,3 +212,15 @@ def test_delta_counts_on_breaks(spark):
     df = spark.createDataFrame([(1, "a\r\nb\n\n", "a\nb\nc"), (2, None, "x"), (3, "", "")], "k int, old string, new string")
     assert rows(delta_counts(df, "k", "old", "new")) == [(1, 1, 2, 1), (2, 1, 0, 0)]
     assert df.where(F.col("old") == "").count() == 1
+
+
+def test_listing_calls_little():
+    """What is listed of a class of nodes is looked up once, not asked of every node."""
+    text = "".join(f"def f{i}(a, b):\n    x = a\n    import os\n" for i in range(50))
+    nodes, calls = len(list(_listed(text, False))), []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        list(_listed(text, False))
+    finally:
+        sys.setprofile(None)
+    assert nodes == 1 + 50 * 8 and len(calls) < 16 * nodes
