@@ -1,10 +1,11 @@
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 
 from corpuscope.llm import lm
-from corpuscope.llm.lm import Trainer, flat, lm_scores, shaped, start_weights, train, vocabulary
+from corpuscope.llm.lm import Trainer, decisions, flat, forward, huffman, lm_scores, shaped, start_weights, train, vocabulary
 from corpuscope.llm.words import ALNUM, documents_words
 import pyarrow as pa
 
@@ -125,3 +126,83 @@ def test_words_of_a_bucket_have_their_own_counts(spark, monkeypatch):
     assert np.isclose(got["1"] - got["u"], np.log(2))
     again = lm_scores(asked.where("doc_id = 'm'"), vocabulary(df, size=2)).first().log_probability
     assert np.isfinite(again) and np.isfinite(got["m"])
+
+
+def brute_words(model, text):
+    """Word by word over tokens: class, then each decision on the way to the token."""
+    hashes = list(documents_words(pa.array([text]), ALNUM))[0][1]
+    e, b, u, c, v, d = (w.astype(np.float64) for w in model.weights)
+    tokens = [int(t) for t in model.tokens(hashes)]
+    total = 0.0
+    for i, t in enumerate(tokens):
+        around = [tokens[i + s] if 0 <= i + s < len(tokens) else e.shape[1] - 1 for s in (-2, -1, 1, 2)]
+        hidden = np.tanh(b + sum(e[k][j] for k, j in enumerate(around)))
+        logits = hidden @ u + c
+        total += logits[model.class_of[t]] - np.log(np.exp(logits).sum()) + model.inside[t]
+        for level in range(model.tree.lengths[t]):
+            node = model.tree.nodes[level, t]
+            total -= np.log(1 + np.exp(model.tree.signs[level, t] * (hidden @ v[node] + d[node])))
+    return total
+
+
+def test_words_of_one_class_are_told_apart_by_their_neighbours(spark):
+    """200 pairs, all equally frequent: which word follows which is all there is to learn."""
+    rng = random.Random(6)
+    text = [(i, " ".join(f"x{k} y{k}" for k in rng.choices(range(200), k=40))) for i in range(1500)]
+    df = spark.createDataFrame(text, "doc_id bigint, text string").repartition(2)
+    start = vocabulary(df)
+    model = start
+    for _ in range(3):
+        model = train(df, model)
+    right = [(i, " ".join(f"x{k} y{k}" for k in rng.choices(range(200), k=40))) for i in range(50)]
+    wrong = [(i, " ".join(f"x{k} y{(k + 77) % 200}" for k in rng.choices(range(200), k=40))) for i in range(50)]
+    mean = [lm_scores(spark.createDataFrame(rows, df.schema), m).agg({"per_word": "avg"}).first()[0] for rows, m in
+            ((right, start), (wrong, start), (right, model), (wrong, model))]
+    assert abs(mean[0] - mean[1]) < 0.1 and mean[2] > mean[0] + 0.5 and mean[2] > mean[3] + 0.5
+    hashes = np.concatenate([h for _, h, _ in documents_words(pa.array([t for _, t in right]), ALNUM)])
+    assert model.tokens(hashes).max() < len(model.words)
+    got = lm_scores(spark.createDataFrame(right[:3], df.schema), replace(model, lexicon=None)).collect()
+    assert all(np.isclose(r.log_probability, brute_words(model, right[r.doc_id][1]), atol=0.05) for r in got)
+
+
+def test_tokens_add_up_in_any_surroundings(spark):
+    df = spark.createDataFrame(documents(7, 60), "doc_id bigint, text string")
+    model = train(df, vocabulary(df))
+    tokens = np.arange(len(model.class_of))
+    around = np.repeat(np.array([[3], [0], [5], [len(tokens)]]), len(tokens), axis=1)
+    hidden, logits = forward(model.weights, around)
+    classes = np.exp(logits[0]) / np.exp(logits[0]).sum()
+    p = classes[model.class_of].astype(np.float64)
+    order = model.tree.longest_first(tokens)
+    for n, node, sign in model.tree.levels(tokens[order]):
+        p[order[:n]] /= 1 + np.exp(sign * decisions(model.weights, hidden[:n], node)[0])
+    assert np.isclose(p.sum(), 1, atol=1e-4)
+
+
+def test_gradients_of_decisions():
+    """The change of the embeddings follows the slope of the loss."""
+    rng = np.random.default_rng(8)
+    mass = rng.integers(1, 50, 40).astype(float)
+    class_of = np.arange(40) % 4
+    tree, odds = huffman(mass, class_of, 4)
+    weights = start_weights(4, np.full(4, 0.25), 2, 6, tokens=40, odds=odds)
+    weights = (*weights[:4], rng.normal(0, 0.5, weights[4].shape).astype(np.float32), odds)
+    around, tokens = rng.integers(0, 41, (4, 64)), rng.integers(0, 40, 64)
+
+    def loss(w):
+        hidden, logits = forward([x.astype(np.float64) for x in w], around)
+        total = np.log(np.exp(logits).sum(axis=1)).sum() - logits[np.arange(64), class_of[tokens]].sum()
+        order = tree.longest_first(tokens)
+        for n, node, sign in tree.levels(tokens[order]):
+            total += np.log(1 + np.exp(sign * decisions([x.astype(np.float64) for x in w], hidden[order][:n], node)[0])).sum()
+        return total
+
+    trainer = Trainer(weights, tree)
+    trainer.step(around, class_of[tokens], tokens)
+    trainer.finish()
+    for i, at in ((0, (1, int(around[1, 0]), 2)), (4, (int(tree.nodes[0, tokens[0]]), 1)), (5, (int(tree.nodes[0, tokens[0]]),))):
+        moved = [w.astype(np.float64) for w in weights]
+        moved[i][at] += 1e-5
+        slope = (loss(moved) - loss(weights)) / 1e-5
+        step = trainer.weights[i][at] - weights[i][at]
+        assert np.isclose(step, -lm.RATE * slope / np.sqrt(1 + slope * slope), rtol=2e-2, atol=1e-4)
