@@ -26,8 +26,10 @@ from corpuscope.sources.artifacts import ARTIFACT_COLUMNS, KEYS, SCOPE_LEVEL, al
 RAREST = 4
 FIRST_BLOCKS = 4
 LIST_ROWS = 1 << 23
-# Bytes of text whose pieces are sorted together; longer texts are counted in a table instead.
+# Bytes of text whose pieces are sorted together, of so many texts that their number fits above a piece; longer texts are
+# counted in a table instead.
 CHUNK = 1 << 20
+TOGETHER = 256
 # Stands in the lists for what every block holds: the piece of terms without one.
 ANYWHERE = -1
 # Bounds are compared with room for the last digits of a sum.
@@ -61,19 +63,47 @@ def _counted(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pieces, n
 
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and the sum of ``n`` of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def _counts(texts: list[np.ndarray]):
+    """Yield (width, text, run of bytes, how often it stands there) as arrays, for at most TOGETHER texts.
+
+    Only the longest runs are sorted. A shorter one stands where a run begins with it, or at the end of its text.
+    """
+    data, sizes = np.concatenate(texts).astype(np.uint32), np.array([len(t) for t in texts])
+    owner, ends = np.repeat(np.arange(len(texts), dtype=np.uint32), sizes), np.cumsum(sizes)
+    whole = np.flatnonzero(np.arange(len(data)) + PIECE <= np.repeat(ends, sizes))
+    key = owner[whole]
+    for i in range(PIECE):
+        key = (key << 8) | data[whole + i]
+    keys, n = np.unique(key, return_counts=True)
+    for width in range(PIECE, 0, -1):
+        if width < PIECE:
+            last = np.flatnonzero(sizes >= width)
+            end = last.astype(np.uint32)
+            for i in range(width, 0, -1):
+                end = (end << 8) | data[ends[last] - i]
+            keys, n = _summed(np.concatenate([keys >> 8, end]), np.concatenate([n, np.ones(len(end), n.dtype)]))
+        yield width, keys >> (8 * width), keys & ((1 << 8 * width) - 1), n
+
+
 def _dense(texts) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of (text, words) and, of each, its largest count per word in a text; texts without words count as 0."""
     found, many = [], []
     waiting: list[tuple[np.ndarray, int]] = []
 
     def flush():
-        codes = [_codes(d, w) for d, _ in waiting for w in range(1, PIECE + 1) if len(d) >= w]
-        owner = [np.full(len(d) - w + 1, i) for i, (d, _) in enumerate(waiting) for w in range(1, PIECE + 1) if len(d) >= w]
-        if codes:
-            key, n = np.unique((np.concatenate(owner).astype(np.int64) << 32) | np.concatenate(codes), return_counts=True)
-            words = np.array([w for _, w in waiting])[key >> 32]
-            found.append((key & 0xFFFFFFFF).astype(np.int32))
-            many.append(np.where(words > 0, n / np.maximum(words, 1), 0.0))
+        if waiting:
+            words = np.array([w for _, w in waiting])
+            for width, owner, code, n in _counts([d for d, _ in waiting]):
+                found.append(code.astype(np.int32) + _BASE[width])
+                many.append(np.where(words[owner] > 0, n / np.maximum(words[owner], 1), 0.0))
         waiting.clear()
 
     size = 0
@@ -87,7 +117,7 @@ def _dense(texts) -> tuple[np.ndarray, np.ndarray]:
             continue
         waiting.append((data, words))
         size += len(data)
-        if size >= CHUNK:
+        if size >= CHUNK or len(waiting) == TOGETHER:
             flush()
             size = 0
     flush()
@@ -99,14 +129,17 @@ def _largest(found, many) -> tuple[np.ndarray, np.ndarray]:
     if not found:
         return np.zeros(0, np.int32), np.zeros(0)
     pieces, values = np.concatenate(found), np.concatenate(many)
-    order = np.argsort(pieces, kind="stable")
+    order = np.argsort(pieces)
     pieces, values = pieces[order], values[order]
     first = np.flatnonzero(np.append(True, pieces[1:] != pieces[:-1])) if len(pieces) else np.zeros(0, np.int64)
     return pieces[first], np.maximum.reduceat(values, first) if len(first) else values
 
 
 def _list_rows(batches):
-    """Arrow function: (piece, block, dense) of texts that come block by block; a task holds the pieces of one block."""
+    """Arrow function: (piece, block, dense) of texts that come block by block; a task holds the pieces of one block.
+
+    A block whose texts come in several runs gives rows for each.
+    """
     now, found, many = None, [], []
 
     def rows():
@@ -140,30 +173,36 @@ def _lowered(rows: DataFrame) -> dict[str, Column]:
     return {"__enhanced": F.lower("enhanced_content"), "__original": original}
 
 
+def _placed(rows: DataFrame, index: KeywordIndex, batch: str) -> DataFrame:
+    """Rows with their block."""
+    size = F.lit(64) + sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in ("enhanced_content", "original_content"))
+    wanted = rows.groupBy(F.col("repo_id").alias("__repo"), F.col("type").alias("__type")).agg(
+        F.ceil(F.sum(size.cast("bigint")) / F.lit(index.block_bytes)).alias("__n"))
+    # One narrow row per repository and level, of a size that is known, so that no text moves to meet it.
+    dealt = rows.join(staged(wanted, "wanted"), (F.col("repo_id") == F.col("__repo")) & (F.col("type") == F.col("__type")))
+    number = F.pmod(F.xxhash64(*KEYS), F.col("__n"))
+    return dealt.withColumn("block", F.xxhash64(F.lit(batch), "repo_id", "type", number)).select("block", *STORED)
+
+
 def add_to_index(levels: dict[str, DataFrame], index: KeywordIndex) -> None:
     """Add artifacts to an index (a new one where nothing lies there yet); blocks that are there are not touched.
 
     Rows of a repository and level are dealt by a hash over as many blocks as their bytes ask for, so a large repository is
-    many blocks and each is built by one task. The texts are shuffled once, to their blocks; lists are made where they lie.
-    If it fails half-way, readers see nothing of it.
+    many blocks and each is built by one task. The texts are shuffled once, to their blocks; lists are made where they lie,
+    and of a block that is read in several parts they are merged. If it fails half-way, readers see nothing of it.
     """
     rows = all_levels(levels).select(*STORED)
     spark = rows.sparkSession
     batch = uuid.uuid4().hex
-    size = F.lit(64) + sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in ("enhanced_content", "original_content"))
-    wanted = rows.groupBy(F.col("repo_id").alias("__repo"), F.col("type").alias("__type")).agg(
-        F.ceil(F.sum(size.cast("bigint")) / F.lit(index.block_bytes)).alias("__n"))
-    dealt = rows.join(wanted, (F.col("repo_id") == F.col("__repo")) & (F.col("type") == F.col("__type")))
-    number = F.pmod(F.xxhash64(*KEYS), F.col("__n"))
-    placed = dealt.withColumn("block", F.xxhash64(F.lit(batch), "repo_id", "type", number)).select("block", *STORED)
+    placed = _placed(rows, index, batch)
     # A block is one task; equal numbers of two blocks (by chance) would only make them one.
     placed.repartition("block").sortWithinPartitions("block").write.mode("append").partitionBy("block").parquet(f"{index.root}/texts")
     own = placed.groupBy("block", "repo_id", "type").agg(F.count(F.lit(1)).alias("n_rows"))
     own = staged(own, "blocks")
     texts = _texts(spark, index).join(own.where("n_rows > 0").select("block").distinct(), "block", "left_semi").withColumns(_lowered(rows))
     lists = texts.select("block", F.col("__enhanced").alias("enhanced"), F.col("__original").alias("original"))
-    lists = lists.repartition("block").sortWithinPartitions("block").mapInArrow(_list_rows, "piece int, block bigint, dense double")
-    lists = staged(lists, "lists")
+    lists = lists.mapInArrow(_list_rows, "piece int, block bigint, dense double")
+    lists = staged(lists.groupBy("piece", "block").agg(F.max("dense").alias("dense")), "lists")
     bucket = F.pmod(F.xxhash64("piece"), F.lit(index.buckets)).cast("int")
     files = max(1, -(-lists.count() // (index.buckets * LIST_ROWS)))
     spread = F.pmod(F.xxhash64("block"), F.lit(files))

@@ -115,3 +115,34 @@ def test_pieces_of_long_texts(monkeypatch):
     assert long == dict(zip(*(x.tolist() for x in keyword_index._dense([(text, 4), (b"aab", 0), (b"", 0)]))))
     code = keyword_index._codes(np.frombuffer(b"aab", np.uint8), 3)[0]
     assert long[code] == 0.75
+
+
+def test_no_text_moves_to_meet_the_number_of_its_blocks(spark, tmp_path):
+    """The texts of a repository and level would all go to one task."""
+    texts = spark.range(4000).selectExpr("concat('r', id % 2) as repo_id", "concat('f', id) as file_path", "repeat('word ', 20) as enhanced_content",
+                                         "cast(null as string) as original_content", "'m' as rich_metadata")
+    levels = {"file": as_artifacts(texts, "file")}
+    index = KeywordIndex(str(tmp_path / "i"), block_bytes=100_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        placed = keyword_index._placed(keyword_index.all_levels(levels).select(*keyword_index.STORED), index, "b")
+        text = plan(placed)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "hashpartitioning" not in text
+    sizes = [r["count"] for r in placed.groupBy("block").count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) == 8
+
+
+def test_runs_of_a_block_and_shorter_pieces():
+    texts = [b"aab aab", b"b", b"", b"\x00\x00\x00", "語ab".encode()]
+    got = {}
+    for _, owner, code, n in keyword_index._counts([np.frombuffer(t, np.uint8) for t in texts]):
+        got |= {(int(o), int(c), _): int(k) for o, c, k in zip(owner, code, n)}
+    want = {}
+    for i, t in enumerate(texts):
+        for w in (1, 2, 3):
+            for at in range(len(t) - w + 1):
+                key = (i, int.from_bytes(t[at:at + w], "big"), w)
+                want[key] = want.get(key, 0) + 1
+    assert got == want
