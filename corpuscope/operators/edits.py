@@ -68,20 +68,27 @@ def _step(state, e):
     )
 
 
-def apply_edits(docs: DataFrame, edits: DataFrame, key: str, text: str, keep=()) -> DataFrame:
+def most_edits(edits: DataFrame, key: str) -> int:
+    """Edits of the document that has most of them, counted now."""
+    return edits.where(F.col(key).isNotNull()).groupBy(key).count().agg(F.max("count")).first()[0] or 0
+
+
+def apply_edits(docs: DataFrame, edits: DataFrame, key: str, text: str, keep=(), missing: bool = True, most: int | None = None) -> DataFrame:
     """Documents after their edits.
 
     ``edits``: key, seq, action (add / modify / delete), line_number, old_code, new_code. Line edits come first, last
     line first, the others follow by ``seq``. modify and delete change the first occurrence; when the text is missing
     the document is ``rejected`` and its content NULL. Documents with an edit that may not be applied directly are
     ``ineligible``, those without edits ``unchanged``. Unusable edits are counted in ``edits_skipped``. Edits whose key
-    (NULL included) no document has give one row with the status ``missing_document``. ``keep`` names columns of the
+    (NULL included) no document has give one row with the status ``missing_document``; without ``missing`` they are left out
+    by the join, where a filter on ``status`` would have Spark make every edit a second time. ``keep`` names columns of the
     documents that stay.
 
     Each edit sees the result of the one before, so a document with its own edits is one row's work; nothing but the
     edits is grouped, and the plan is the same for any number of them. Up to ``STEPS`` edits are a fold in the JVM; longer
     lists go to Python with their text, where neighbouring additions are one pass over the lines and swaps that do not
-    touch each other one pass over the text.
+    touch each other one pass over the text. Every row passes through Python for that, unless ``most`` (see
+    :func:`most_edits`) says that no list is longer.
     """
     line = F.coalesce(F.col("line_number"), F.lit(0)).cast("bigint")
     edit = F.struct(
@@ -98,10 +105,12 @@ def apply_edits(docs: DataFrame, edits: DataFrame, key: str, text: str, keep=())
         F.col("__text").alias("text"), F.lit(True).alias("ok"), F.lit(0).alias("applied"), F.lit(0).alias("skipped")
     )
     joined = docs.select(key, *keep, F.col(text).alias("__text"), F.lit(True).alias("__found")).join(
-        lists, F.col(key) == F.col("__key"), "full")
+        lists, F.col(key) == F.col("__key"), "full" if missing else "left")
     long = F.col("__text").isNotNull() & (F.size("__list") > STEPS)
-    state = F.when(F.col("__found") & long, edited()(F.when(long, F.col("__text")), F.when(long, F.col("__list")))).when(
-        F.col("__found") & F.col("__list").isNotNull(), F.aggregate("__list", start, _step)).otherwise(start)
+    state = F.when(F.col("__found") & F.col("__list").isNotNull(), F.aggregate("__list", start, _step)).otherwise(start)
+    if most is None or most > STEPS:
+        swept = edited()(F.when(long, F.col("__text")), F.when(long, F.col("__list")))
+        state = F.when(F.col("__found") & long, swept).otherwise(state)
     status = (
         F.when(F.col("__found").isNull(), "missing_document")
         .when(F.col("__list").isNull(), "unchanged")

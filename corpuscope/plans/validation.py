@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscope.functions.text import folded
-from corpuscope.operators.edits import apply_edits
+from corpuscope.operators.edits import apply_edits, most_edits
 from corpuscope.operators.quality import PERFORMANCE, SECURITY, rule_findings, validate_checked, validation_summary
 from corpuscope.operators.symbols import parsed, tree_findings
 from corpuscope.session import staged
@@ -50,10 +50,11 @@ def run_changes(files: DataFrame, edits: DataFrame, run: str = "run_id", key: st
     """A change plan from its edits to the outcome of each run.
 
     ``files``: run, key, content; ``edits`` as for ``apply_edits``. The edits are applied once and kept, the resulting texts
-    checked, the findings summed per file and per run. ``files_not_edited`` counts files whose edits could not be applied; a run passes
+    checked, the findings summed per file and per run, and the outcome kept for the ledger and whoever else reads it.
+    ``files_not_edited`` counts files whose edits could not be applied; a run passes
     without those and without errors. Edits without a document belong to no run and are left to ``apply_edits``.
     """
-    done = staged(apply_edits(files, edits, key, content, keep=[run]).where(F.col("status") != "missing_document"), "edited")
+    done = staged(apply_edits(files, edits, key, content, keep=[run], missing=False, most=most_edits(edits, key)), "edited")
     usable = F.col("status").isin("edited", "unchanged")
     checked = check_files(done.where(usable), rules, [run, key], content, lint)
     per_file = validate_checked(checked, [run, key], strict)
@@ -63,7 +64,7 @@ def run_changes(files: DataFrame, edits: DataFrame, run: str = "run_id", key: st
     joined = counts.join(summary, F.col("__run").eqNullSafe(F.col(run)), "left")
     whole = joined.select(F.col("__run").alias(run), "files_edited", "files_not_edited", *[c for c in summary.columns if c != run])
     passed = (F.col("files_not_edited") == 0) & (F.coalesce("overall_status", F.lit("passed")) != "failed")
-    return whole.withColumn("passed", passed)
+    return staged(whole.withColumn("passed", passed), "runs")
 
 
 def record_passed(runs: DataFrame, path: str, saved_at, run: str = "run_id") -> None:

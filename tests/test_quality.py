@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from corpuscope.operators.quality import (PERFORMANCE, SECURITY, code_metrics, complexity, route_findings, scan_rules, top_issues,
                                           validate, validate_checked, validation_summary)
 from corpuscope.operators.symbols import _listed, import_edges, lint_findings, symbol_counts, symbol_index, syntax_nodes
-from corpuscope.operators.edits import delta_counts
+from corpuscope.operators.edits import STEPS, delta_counts
+from corpuscope.plans import validation
 from corpuscope.plans.validation import check_files, record_passed, run_changes
+from corpuscope.session import staged
 from corpuscope.sources.ledger import read_ledger
 from tests.conftest import plan, rows
 
@@ -168,6 +170,22 @@ def test_change_plan_to_ledger(spark, tmp_path):
     assert sorted(r.user_id for r in read_ledger(spark, str(tmp_path / "l")).collect()) == ["r1", "r4"]
 
 
+def test_change_plan_makes_every_edit_once(spark, monkeypatch):
+    """No edit is made twice, no text goes to Python for short lists, and the outcome of a run is read, not found again."""
+    plans = {}
+    monkeypatch.setattr(validation, "staged", lambda df, purpose: plans.setdefault(purpose, plan(df)) and staged(df, purpose))
+    files = spark.createDataFrame([("r", "a", "a0"), ("r", "b", "b"), ("s", None, "n")], "run_id string, file_path string, content string")
+    for n in (STEPS, STEPS + 1):
+        plans.clear()
+        edits = spark.range(n).selectExpr("'a' as file_path", "id as seq", "'modify' as action", "0 as line_number",
+                                          "concat('a', id) as old_code", "concat('a', id + 1) as new_code")
+        lost = edits.limit(1).select(F.lit(None).cast("string").alias("file_path"), *edits.columns[1:])
+        runs = run_changes(files, edits.unionByName(lost), lint=False)
+        assert rows(runs, "run_id", "files_edited", "files_not_edited", "total_files") == [("r", 1, 0, 2), ("s", 0, 0, 1)]
+        assert plans["edited"].count("aggregate(") == 1 and plans["edited"].count("ArrowEvalPython") == (n > STEPS)
+        assert "RLIKE" not in plan(runs) and "Join" not in plan(runs)
+
+
 def findings(spark):
     files = spark.createDataFrame(CODE, "file_path string, content string").where("content is not null")
     scanned = scan_rules(files, SECURITY + PERFORMANCE, "content", ["file_path"])
