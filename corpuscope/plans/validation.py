@@ -21,14 +21,16 @@ def all_findings(texts: DataFrame, keys, rules=tuple(SECURITY + PERFORMANCE), co
     """``*keys, found``: the findings of the rules and of the parse of each text as one array, in one read.
 
     The rules are columns beside the text. Texts are dealt by their key over all shuffle partitions before the parse, as a
-    parse costs far more than its bytes.
+    parse costs far more than its bytes, and before the rules, as findings are longer than many a text.
     """
-    ruled = texts.select(*keys, F.col(content).alias("__text"), folded(content).alias("__folded"))
+    dealt = texts.select(*keys, F.col(content).alias("__text"))
+    if lint:
+        dealt = dealt.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    ruled = dealt.select(*keys, "__text", folded("__text").alias("__folded"))
     ruled = ruled.select(*keys, "__text", rule_findings(rules, "__text", "__folded").alias("found"))
     if not lint:
         return ruled.select(*keys, "found")
-    dealt = ruled.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-    parsed_once = dealt.select(*keys, "found", parsed("__text").alias("__tree"))
+    parsed_once = ruled.select(*keys, "found", parsed("__text").alias("__tree"))
     of_tree = F.transform(tree_findings("__tree"), lambda f: F.struct(*[f[c].alias(c) for c in FINDING]))
     return parsed_once.select(*keys, F.concat("found", of_tree).alias("found"))
 

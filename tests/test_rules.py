@@ -1,15 +1,21 @@
+import hashlib
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from corpuscope.operators import rules as rules_module
 from corpuscope.operators.quality import PERFORMANCE, PREFIX, SECURITY, scan_rules
 from corpuscope.operators.rules import required_word, scan_rule_table
 from corpuscope.plans.recheck import check_changed, kept_findings
-from corpuscope.plans.validation import check_files
+from corpuscope.plans.validation import all_findings, check_files
+from corpuscope.session import staged_parts
 from tests.conftest import plan, rows
 from tests.test_quality import CODE, frame, texts
+from workload.tables import source_files
 
 SCHEMA = "rule_id string, kind string, severity string, pattern string, message string, word string, ignore_case boolean"
 
@@ -87,3 +93,51 @@ def test_texts_of_known_contents_do_not_move(spark, tmp_path):
     one = spark.createDataFrame([("a", "x = 1")], "file_path string, content string")
     text = plan(check_changed(one, str(tmp_path / "kept")))
     assert "ArrowEvalPython" not in text
+
+
+def test_passes_find_the_same(spark, tmp_path):
+    """Passes share the contents out: what is found and kept is that of one pass, in whatever number a later run works."""
+    files = [*CODE, ("null.py", None), ("copy.py", CODE[0][1]), (None, "eval(1)"), *[(f"{i}.py", f"exec({i % 40})\n_a = '\\\\ \"é\"'\n") for i in range(60)]]
+    df = spark.createDataFrame(files, "digest string, content string")
+    want = rows(check_files(df, keys=["digest"]))
+    contents = sorted({hashlib.sha256(t.encode()).digest() for _, t in files if t is not None})
+    path = str(tmp_path / "kept")
+    for passes, known in ((3, False), (2, True), (0, True)):
+        got = check_changed(df, path, keys=["digest"], passes=passes)
+        assert rows(got, "digest", "rule_id", "kind", "severity", "message") == want
+        assert sorted(bytes(r.digest) for r in kept_findings(spark, path).collect()) == contents
+        assert {r.known for r in got.where("digest <> 'src/e.py' and digest <> 'null.py'").collect()} == {known}
+
+
+def test_shuffles_are_narrow(spark, tmp_path):
+    """Texts are dealt without their findings, digests are bytes, and a rechecked table is made once and read."""
+    df = spark.createDataFrame([("a", "x = 1")], "file_path string, content string")
+    text = plan(all_findings(df, ["file_path"]))
+    assert text.index("RLIKE") < text.index("Exchange")
+    assert dict(kept_findings(spark, str(tmp_path / "none")).dtypes)["digest"] == "binary"
+    text = plan(check_changed(df, str(tmp_path / "kept")))
+    assert "json" in text.lower() and "RLIKE" not in text
+    text = plan(queries()["recheck_files"](spark, "/root/testdata/sf0.001"))
+    assert "l_orderkey" not in text and "sources-" in text
+
+
+def test_parts_leave_no_shuffles(spark):
+    """A table that is made part by part has the rows of the whole, and shuffle files of a part go before the next."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    seen = []
+
+    def left():
+        return manager.getAllFiles().mkString(" ").count("/shuffle_")
+
+    def parts():
+        for part in range(4):
+            until = time.time() + 20
+            while part and left() > seen[0] and time.time() < until:
+                time.sleep(0.1)
+            seen.append(left())
+            yield spark.range(1000).where(f"id % 4 = {part}").repartition(3, "id").groupBy((F.col("id") % 10).alias("k")).count()
+
+    table = staged_parts(parts(), "test")
+    assert max(seen) == seen[0] and table.agg(F.sum("count")).first()[0] == 1000
+    whole, split = source_files(spark, "/root/testdata/sf0.001"), [source_files(spark, "/root/testdata/sf0.001", i, 3) for i in range(3)]
+    assert rows(whole) == rows(split[0].union(split[1]).union(split[2])) and all(s.limit(1).count() for s in split)
